@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strainlake.llm.common import ship
+
 
 def docs_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,18 +26,38 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs_of(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import mixing
+
+    m = mixing.mix(docs_of(spark, sf_dir))
+    return m.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("prob", 6).alias("prob"), "selected")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import exact_dedup
 
     return exact_dedup.dedup(docs_of(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import toxicity
+
+    docs = docs_of(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, docs_of(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import packing
 
     return packing.pack(docs_of(spark, sf_dir), vocabulary())
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import secret_scan
+
+    return secret_scan.scan(docs_of(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import token_files
 
@@ -42,7 +65,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op7_packing, op10_token_files)}
+    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op5_toxicity, op7_packing, op9_secret_scan, op10_token_files)
+    return {f.__name__: f for f in all_of}
 
 
 _OP3 = r"""
