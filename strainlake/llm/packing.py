@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 8 << 20):
                 ids, offs = enc.encode(part.column(1))
                 raw = ids.tobytes()
                 for doc, a, b in zip(part.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):

@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, 8 << 20):
                 ids, offs = enc.encode(some.column(1))
                 ids = np.insert(ids, offs[1:], end_id).astype(np.int32)
                 offs = offs + np.arange(len(offs))

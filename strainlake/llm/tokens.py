@@ -32,6 +32,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         # Only a plain byte-level pre-tokenizer is known to cut before each such space.
         self.cuts = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None
+        self.lines = self.whole(["\n"])[0]
         self.ends = dict(zip(".,", self.whole([".", ","]), strict=True))
         # How a byte-level vocabulary shows bytes: printable Latin-1 as itself, the others in order from U+0100 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -40,32 +41,33 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts, each with a space before it. A word of letters alone is one unit: the model takes it as it is."""
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of parts, each behind a space or, if the key begins with a line end, behind none."""
         out: dict[str, bytes] = {}
         other = []
         tokenize, shown = self.tok.model.tokenize, self.shown
-        for p in parts:
-            if p.isalpha():
-                raw = p if p.isascii() else p.encode().decode("latin-1").translate(shown)
-                out[p] = array("I", [t.id for t in tokenize("\u0120" + raw)]).tobytes()
+        for k in keys:
+            word = k[1:] if k[0] == "\n" else k
+            if word.isalpha():  # letters alone are one unit: the model takes them as they are
+                raw = word if word.isascii() else word.encode().decode("latin-1").translate(shown)
+                out[k] = array("I", [t.id for t in tokenize(raw if word is not k else "\u0120" + raw)]).tobytes()
             else:
-                other.append(p)
+                other.append(k)
         if other:
-            out.update(zip(other, self.whole([f" {p}" for p in other]), strict=True))
+            out.update(zip(other, self.whole([k[1:] if k[0] == "\n" else f" {k}" for k in other]), strict=True))
         return out
 
-    def _values(self, parts: list[str], odd: np.ndarray) -> list[bytes]:
+    def _values(self, parts: list[str], odd: list[bool]) -> list[bytes]:
         """Ids of each part; a full stop or comma behind letters is a unit of its own."""
         young, old, ends = self.young, self.old, self.ends
-        keys = [p[:-1] if p[-1:] in ends and p[:-1].isalpha() else p for p in parts]
-        new = {p for p, skip in zip(keys, odd.tolist(), strict=True) if p not in young and not skip}
-        for p in [p for p in new if p in old]:
-            young[p] = old[p]
-            new.discard(p)
-        learnt = self._learn(list(new))
-        values = [(young.get(k) or learnt.get(k, b"")) + (ends[p[-1]] if len(p) > len(k) else b"") for k, p in zip(keys, parts, strict=True)]
-        young.update(learnt)
+        keys = [p[:-1] if p[-1:] in ends and (p[:-1].isalpha() or p[0] == "\n" and p[1:-1].isalpha()) else p for p in parts]
+        new = {k for k, skip in zip(keys, odd, strict=True) if k not in young and not skip}
+        for k in new & old.keys():
+            young[k] = old[k]
+            new.discard(k)
+        if new:
+            young.update(self._learn(list(new)))
+        values = [young.get(k, b"") + ends[p[-1]] if len(p) > len(k) else young.get(k, b"") for k, p in zip(keys, parts, strict=True)]
         if len(young) > self.half:
             self.old, self.young = young, {}
         return values
@@ -79,27 +81,37 @@ class Encoder:
         if not self.cuts:
             values = self.whole(texts.to_pylist())
             return np.frombuffer(b"".join(values), "<u4"), np.concatenate([[0], np.cumsum([len(v) // 4 for v in values])])
-        cut = pc.split_pattern(texts, " ")
+        # A line end between other characters is a unit of its own: it begins a part, and so does the whole text.
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
         offs = cut.offsets.to_numpy().astype(np.int64)
         offs -= offs[0]
-        flat = cut.flatten()
-        coded = flat.dictionary_encode()
-        at, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in parts), bool, len(parts))
-        whole = np.logical_or.reduceat(odd[at], offs[:-1])
-        heads = flat.take(pa.array(offs[:-1])).to_pylist()
-        for r in np.flatnonzero(whole).tolist():
-            heads[r] = texts[r].as_py()
-        values = self._values(parts, odd) + self.whole(heads) + [b""]
-        at[np.repeat(whole, np.diff(offs))] = len(values) - 1
-        at[offs[:-1]] = len(parts) + np.arange(rows)
+        coded = cut.flatten().dictionary_encode()
+        at, parts = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+        odd = [not p or p[-1].isspace() or p[0].isspace() and (p[0] != "\n" or p[1].isspace()) for p in parts]
+        odd_at = np.asarray(odd)[at]
+        odd_at[offs[:-1]] = False  # before the line end put in front there is nothing
+        whole = np.logical_or.reduceat(odd_at, offs[:-1])
+        rows_whole = np.flatnonzero(whole).tolist()
+        values = self._values(parts, odd)
+        values += [self.lines + v if p[:1] == "\n" else v for p, v in zip(parts, values, strict=True)] + [b""]
+        none = len(values) - 1
+        at += len(parts)
+        at[offs[:-1]] = none
+        at[offs[:-1] + 1] -= len(parts)  # the text's first part, without that line end
+        if rows_whole:
+            at[np.repeat(whole, np.diff(offs))] = none
+            at[offs[rows_whole]] = none + 1 + np.arange(len(rows_whole))
+            values += self.whole([texts[r].as_py() for r in rows_whole])
         table = np.frombuffer(b"".join(values), "<u4")
         size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begin = np.cumsum(size) - size
-        n = size[at]
-        ends = np.cumsum(n)
-        ids = table[np.repeat(begin[at] - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends[offs[1:] - 1]])
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        n = size.astype(np.int32)[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        step = begin[at]
+        step -= (ends - n).astype(np.int32)
+        index = np.repeat(step, n)
+        index += np.arange(len(index), dtype=np.int32)
+        return table[index], np.concatenate([[0], ends[offs[1:] - 1]])
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
