@@ -39,6 +39,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs_of(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import jaccard
+
+    return jaccard.join(docs_of(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import toxicity
 
@@ -65,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op5_toxicity, op7_packing, op9_secret_scan, op10_token_files)
+    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op7_packing, op9_secret_scan, op10_token_files)
     return {f.__name__: f for f in all_of}
 
 
