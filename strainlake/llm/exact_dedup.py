@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strainlake.llm.common import WS_RUN, written
 
@@ -95,3 +95,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: C
         groups = bad.groupBy("digest", "text_sha256").agg(F.min(_entry()).alias("entry"), F.count("*").alias("group_size"))
         right = resolved.join(wrong, "digest", "left_anti").unionByName(bad.join(groups, ["digest", "text_sha256"]))
     return right.select("doc_id", F.col("entry.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("entry.uid")).alias("kept"), "text_sha256")
+
+
+def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that dedup() keeps."""
+    found = dedup(docs, doc_id, text)
+    stay = found.where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_sha")).distinct()
+    if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs.join(stay, docs[doc_id].eqNullSafe(stay["_stay"]), "left_semi")
+    # Rows share an id: the text tells which stays, and of whole copies one does.
+    own = docs.withColumn("_own", F.sha2(normalised(F.col(text)), 256))
+    own = own.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    first = Window.partitionBy(doc_id, "_own").orderBy(F.desc(F.length(F.coalesce(F.col(text), F.lit("")))))
+    return own.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_own")

@@ -80,7 +80,7 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, int]) -> DataFrame:
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, int], k: int) -> DataFrame:
     """doc_id, n, sig (of the whole set), prefix, sketch for each row."""
     types = [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())]
 
@@ -91,7 +91,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, i
             for part in slices(batch, 1):
                 rows = []
                 for i, raw in zip(part.column(0).to_pylist(), raw_of(part.column(1)), strict=True):
-                    s = shingles(raw)
+                    s = shingles(raw, k)
                     rows.append((i, len(s), xxhash.xxh128_digest(s.tobytes()), s[: prefix_length(len(s), at_least) if len(s) else 0].view(np.int64), sketch(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], schema=pa.schema(types))
 
@@ -112,7 +112,7 @@ def _hot(reps: DataFrame) -> np.ndarray:
     return np.sort(np.asarray([r["s"] for r in counts.where(F.col("count") >= least).select("s").collect()], np.int64).view(np.uint64))
 
 
-def _ordered_prefixes(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, int], hot: np.ndarray) -> DataFrame:
+def _ordered_prefixes(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, int], k: int, hot: np.ndarray) -> DataFrame:
     """doc_id and prefix with hot shingles last, of the documents that have a hot one in their prefix."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -122,7 +122,7 @@ def _ordered_prefixes(docs: DataFrame, doc_id: str, text: str, at_least: tuple[i
             for part in slices(batch, 1):
                 ids, out = [], []
                 for i, raw in zip(part.column(0).to_pylist(), raw_of(part.column(1)), strict=True):
-                    s = shingles(raw)
+                    s = shingles(raw, k)
                     p = prefix_length(len(s), at_least) if len(s) else 0
                     is_hot = h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s
                     if is_hot[:p].any():
@@ -207,7 +207,7 @@ def _near(pairs: DataFrame, reps: DataFrame, at_least: tuple[int, int]) -> DataF
     return pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long, d long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, int], k: int) -> DataFrame:
     """The pairs whose shingle sets, from their whole texts, reach the threshold."""
     a, b = at_least
 
@@ -219,8 +219,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, at_leas
             for i, (tx, ty) in enumerate(zip(raw_of(batch.column(2)), raw_of(batch.column(3)), strict=True)):
                 if y[i] not in known:
                     known.clear()  # pairs come sorted by y
-                    known[y[i]] = shingles(ty)
-                p, q = shingles(tx), known[y[i]]
+                    known[y[i]] = shingles(ty, k)
+                p, q = shingles(tx, k), known[y[i]]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if b * both >= a * (len(p) + len(q) - both):
                     on.append(i)
@@ -258,18 +258,18 @@ def _collected(spark) -> None:
     spark._jvm.System.gc()
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = THRESHOLD, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id (smallest id of an equal set).
 
     Documents without words, and those with a null id, are linked with nothing and are their own component. Rows that
     share an id are one document, the longest text of them. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sets = written(shingle_sets(docs, doc_id, text, at_least), "sets")
+    sets = written(shingle_sets(docs, doc_id, text, at_least, words), "sets")
     if sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
         one = d.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.length("t").alias("n"), "t")).alias("x")).select("doc_id", F.col("x.t").alias("t"))
-        whole = join(written(one.unionByName(d.where("doc_id is null")), "unshared"), "doc_id", "t", at_least)
+        whole = join(written(one.unionByName(d.where("doc_id is null")), "unshared"), "doc_id", "t", at_least, words)
         again = d.where("doc_id is not null").select("doc_id").join(whole, "doc_id")
         return again.unionByName(whole.where("doc_id is null"))
     real = sets.where("n > 0 and doc_id is not null")
@@ -278,7 +278,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     hot = _hot(reps)
     prefixes = reps.select("rep", "n", "prefix")
     if len(hot):
-        anew = _ordered_prefixes(docs, doc_id, text, at_least, hot).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("prefix").alias("p2"))
+        anew = _ordered_prefixes(docs, doc_id, text, at_least, words, hot).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("prefix").alias("p2"))
         prefixes = prefixes.join(anew, "rep", "left").select("rep", "n", F.coalesce("p2", "prefix").alias("prefix"))
     postings = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
     lists = postings.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1").select("s", "n", F.col("pos").cast("long").alias("pos"), "rep")
@@ -289,13 +289,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     first = _near(_pairs(lists.withColumn("comp", F.col("rep")), at_least, False), reps, at_least)
     either = first.select(F.col("x").alias("k"), "*").unionByName(first.select(F.col("y").alias("k"), "*"))
     best = written(either.groupBy("k").agg(F.min(F.struct("d", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "pairs")
-    links = written(_verified(best, docs, doc_id, text, at_least), "links")
+    links = written(_verified(best, docs, doc_id, text, at_least, words), "links")
     _collected(spark)
     comp = components(nodes, links)
     across = lists.join(comp.withColumnRenamed("id", "rep"), "rep")
     rest = written(_near(_pairs(across, at_least, True), reps, at_least), "pairs").join(best, ["x", "y"], "left_anti")
     if rest.limit(1).count():
-        more = written(_verified(rest, docs, doc_id, text, at_least), "links")
+        more = written(_verified(rest, docs, doc_id, text, at_least, words), "links")
         _collected(spark)
         comp = components(nodes, links.unionByName(more))
 
@@ -310,3 +310,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
     out = found.select("doc_id", "n", "rep", "comp").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("rep").alias("class_id"))
+
+
+def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """The rows of docs, all columns as they are, without those of a component whose smallest id is another's."""
+    gone = join(docs, doc_id, text, at_least, words).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

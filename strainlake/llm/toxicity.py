@@ -244,6 +244,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def kept(docs: DataFrame, model: Model, text: str = "text", most: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, that score below most."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array([model.score(t) < most for t in texts_of(part.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per significant passage: doc_id, first token, end token, its chance in a clean text."""
 
