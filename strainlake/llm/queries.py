@@ -52,6 +52,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, docs_of(spark, sf_dir, "labels")))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import ngram_lm
+
+    return ngram_lm.score(docs_of(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import packing
 
@@ -71,7 +77,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op7_packing, op9_secret_scan, op10_token_files)
+    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op6_lm_scoring, op7_packing, op9_secret_scan, op10_token_files)
     return {f.__name__: f for f in all_of}
 
 
