@@ -64,6 +64,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs_of(spark, sf_dir), vocabulary())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import line_dedup
+
+    return line_dedup.dedup(docs_of(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import secret_scan
 
@@ -77,7 +83,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op6_lm_scoring, op7_packing, op9_secret_scan, op10_token_files)
+    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op6_lm_scoring, op7_packing, op8_line_dedup, op9_secret_scan, op10_token_files)
     return {f.__name__: f for f in all_of}
 
 
