@@ -46,7 +46,8 @@ def spearman(t: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFr
     Ranks need one order per key, so keys should name single fields: points of one field, not all rows of a campaign.
     """
     r = average_rank(average_rank(t, a, "_ra", keys), b, "_rb", keys)
-    c = F.when((F.count("*") > 1) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0), F.corr("_ra", "_rb"))
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    c = F.when((F.count("*") > 1) & (spread > 0), F.covar_pop("_ra", "_rb") / F.when(spread > 0, spread))
     return r.groupBy(*keys).agg(c.alias("rho")) if keys else r.agg(c.alias("rho"))
 
 
@@ -103,6 +104,14 @@ def distance_to(points: DataFrame, mask: DataFrame, shape: tuple[int, int, int],
     return p.join(done.select("poi", F.col("best").alias("distance")), "poi", "left")
 
 
+def distance_from_volume(points: DataFrame, mask: DataFrame, shape: tuple[int, int, int], to: bool = True) -> DataFrame:
+    """As distance_to, from the distance transform of the whole volume: three passes over lines, whatever the distances."""
+    from strainlake.functions.signal import distance_volume
+
+    d = distance_volume(mask, shape, to).select(*[F.col(a).alias(f"c{a}") for a in "zyx"], F.col("value").alias("distance"))
+    return centre_voxel(points, shape).join(d, ["cz", "cy", "cx"], "left")
+
+
 def status_counts(field: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Points of each status, also of those that do not occur."""
     aggs = [F.count("*").alias("n_total"), *[F.count_if(F.col("status") == v).alias(f"n_{k.lower()}") for k, v in STATUS.items()]]

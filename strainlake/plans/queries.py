@@ -408,3 +408,81 @@ def iso_cells(spark, d):
 @query
 def magnitude_percentiles(spark, d):
     return score.magnitudes(event_field(spark, d))
+
+
+# Not expressible in SQL: held against the other kernel, exact round trips or known answers in tests.
+
+
+def plain(f: Query) -> Query:
+    def run(spark, d):
+        from strainlake.functions.shipping import ship
+
+        ship(spark)
+        return f(spark, d)
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+@plain
+def ncc_fft(spark, d):
+    """The transform kernel's field under cyclic correlation."""
+    return _field(spark, d, CorrelateConfig(window=8, mask_threshold=0.5, mode="cyclic", normalization="global"))
+
+
+@plain
+def make_texture(spark, d):
+    from strainlake.functions.synth import texture
+
+    return texture(spark, (12, 16, 16), 1.5, 7)
+
+
+@plain
+def warp_cubic(spark, d):
+    from strainlake.functions.synth import warp
+
+    return warp(volume(cube(spark, d)), fields.rigid((0.5, -1.25, 0.75)), SHAPE)
+
+
+@plain
+def field_spline(spark, d):
+    from strainlake.functions.signal import sample, spline_table
+
+    return sample(L.lattice_table(spark, LATTICE), spline_table(volume(cube(spark, d)), SHAPE), SHAPE)
+
+
+@plain
+def distance_volume(spark, d):
+    from strainlake.functions.signal import distance_volume as f
+
+    return f(mask(cube(spark, d)), SHAPE)
+
+
+@plain
+def phantom_render(spark, d):
+    from strainlake.functions.synth import default_phantom
+
+    return default_phantom(spark, (12, 40, 40), 3)
+
+
+@plain
+def zarr_roundtrip(spark, d):
+    """The cube written as a chunked array and read back through the data source."""
+    import tempfile
+
+    import numpy as np
+
+    from strainlake.sources import zarr_source
+
+    p = cube(spark, d).orderBy("z", "y", "x").toPandas()  # 16,384 cells at any size of the tables
+    store = tempfile.mkdtemp(prefix="strainlake-") + "/cube.zarr"
+    zarr_source.write_array(store, "base/volume0", p["value"].to_numpy(np.float32).reshape(SHAPE), (8, 16, 16))
+    return zarr_source.load_volume(spark, store, "base/volume0")
+
+
+@plain
+def frame_pairs(spark, d):
+    from strainlake.streaming.frames import pairs
+
+    f = table(spark, d, "events").select(F.col("user_id").cast("string").alias("series"), F.col("event_id").alias("t"), F.col("event_type").alias("path"))
+    return pairs(f, "sequential")
