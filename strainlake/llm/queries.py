@@ -95,5 +95,55 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+_WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _op1() -> str:
+    from strainlake.llm.quality import RULES
+
+    fails = ", ".join(f"count(*) FILTER (WHERE {e}) AS k_{k}" for k, e in RULES.items())
+    moments = ", ".join(f"avg(k_{k} / n) AS m_{k}, avg(power(k_{k} / n, 2)) - power(avg(k_{k} / n), 2) - avg(k_{k} / n) * (1 - avg(k_{k} / n)) * avg(1 / n) AS b_{k}" for k in RULES)
+    strength = {k: f"(CASE WHEN b_{k} > 0 THEN least(1e9, greatest(1, m_{k} * (1 - m_{k}) / b_{k} - 1)) ELSE 1e9 END)" for k in RULES}
+    good = " AND ".join(f"(k_{k} + m_{k} * {strength[k]}) / (n + {strength[k]}) <= 0.5" for k in RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, {_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cov AS (SELECT doc_id, sum(c) AS c FROM (SELECT doc_id, least(3, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 3)) AS c FROM dup) GROUP BY 1),
+m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {fails} FROM m GROUP BY 1), q AS (SELECT {moments} FROM h), v AS (SELECT host, {good} AS host_ok FROM h, q),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept FROM b JOIN v ON b.host IS NOT DISTINCT FROM v.host
+"""
+
+
+def _op2() -> str:
+    from strainlake.llm import mixing
+
+    dims = mixing.DIMENSIONS
+    count = lambda p: f"(length(t) - length(regexp_replace(t, '{p}', '', 'g')))"
+    ctes = [
+        "d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents)",
+        f"""m AS (SELECT doc_id, source, lang, CASE WHEN 20 * {count('[|]')} > greatest(length(t), 1) THEN 'table' WHEN 5 * {count('[0-9]')} > greatest(length(t), 1) THEN 'numbers' WHEN 20 * {count('[{}()<>=;#$%&*]')} > greatest(length(t), 1) THEN 'symbols' WHEN length(t) < 600 THEN 'short' ELSE 'prose' END AS topic, CAST(len({_WORDS}) AS BIGINT) AS n_tokens FROM d)""",
+        "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM m GROUP BY ALL)",
+        *[f"t_{x} AS (SELECT {x}, power(sum(tokens), {mixing.TEMPER[x]}e0) / sum(power(sum(tokens), {mixing.TEMPER[x]}e0)) OVER () AS s_{x} FROM c GROUP BY {x})" for x in dims],
+        "w0 AS (SELECT *, tokens AS weight FROM c " + " ".join(f"JOIN t_{x} USING ({x})" for x in dims) + ")",
+    ]
+    n = 0
+    for _ in range(mixing.ROUNDS):
+        for x in dims:
+            ctes.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * s_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0 END AS weight) FROM w{n})")
+            n += 1
+    ctes += [
+        f"r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{n})",
+        "o AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(tokens * ratio) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(tokens) OVER () AS total FROM r)",
+        f"k AS (SELECT ({mixing.KEEP}e0 * total - above) / rest AS c FROM o WHERE rest > 0 AND ({mixing.KEEP}e0 * total - above) / rest * ratio <= 1 ORDER BY ratio DESC LIMIT 1)",
+        "p AS (SELECT source, lang, topic, least(1, c * ratio) AS prob FROM r, k)",
+    ]
+    return f"""WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens, round(prob, 6) AS prob, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 < prob AS selected FROM m JOIN p USING (source, lang, topic)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3}
+    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op3_exact_dedup": _OP3}
