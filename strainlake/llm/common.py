@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
+import time
 import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strainlake.functions.shipping import ship
+
+__all__ = ["WS_RUN", "discard", "new_path", "raw_of", "release", "ship", "slices", "texts_of", "words", "work_dir", "written"]
+
 #: Java pattern of a run of the six ASCII white-space characters; all other characters belong to words.
 WS_RUN = r"[ \t\n\x0B\f\r]+"
 
 _own_dirs: dict[str, str] = {}
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each application, so that its functions load there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="strainlake-"), "strainlake.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("strainlake", os.path.relpath(full, top)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,7 +43,24 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._work_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing that is still to run reads them."""
+    for t in tables:
+        jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._work_path)
+        jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of queries that are over: its cleaner needs their plans collected, twice."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def words(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strainlake.llm.common import WS_RUN, written
+from strainlake.llm.common import WS_RUN, discard, release, written
 
 FANOUT = 16
 #: Digests with at least this share of all rows are looked up by broadcast: there are at most 1 / HOT_SHARE of them.
@@ -54,8 +54,9 @@ def build_index(log: DataFrame, fanout: int = FANOUT) -> DataFrame:
     n = 0
     while top > 0:
         n, top = n + 1, top // fanout
-        level = _run_table(merged(level, fanout), f"run{n}")
-    return level.drop("run")
+        below, level = level, _run_table(merged(level, fanout), f"run{n}")
+        discard(below)
+    return level
 
 
 def _look_up(log: DataFrame, index: DataFrame, total: int) -> DataFrame:
@@ -79,7 +80,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: C
     log = d.select("doc_id", normalised(F.col("t")).alias("normal"), F.length("t").alias("n_points"))
     log = written(log.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_points", digest(F.col("normal")).alias("digest"), F.sha2("normal", 256).alias("text_sha256")), "log")
     index = build_index(log, fanout)
-    resolved = written(_look_up(log, index, log.count()), "hits")
+    resolved = written(_look_up(log, index.drop("run"), log.count()), "hits")
+    discard(log, index)
 
     # Byte verification: all members of a group must be one text. Tasks first reduce their own members.
     members = resolved.where("group_size > 1").select(F.col("doc_id").alias("member"), "digest").distinct()
@@ -94,7 +96,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: C
         bad = resolved.join(wrong, "digest", "left_semi").drop("entry", "group_size")
         groups = bad.groupBy("digest", "text_sha256").agg(F.min(_entry()).alias("entry"), F.count("*").alias("group_size"))
         right = resolved.join(wrong, "digest", "left_anti").unionByName(bad.join(groups, ["digest", "text_sha256"]))
-    return right.select("doc_id", F.col("entry.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("entry.uid")).alias("kept"), "text_sha256")
+    out = written(right.select("doc_id", F.col("entry.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("entry.uid")).alias("kept"), "text_sha256"), "kept")
+    discard(resolved, wrong)
+    release(docs.sparkSession)
+    return out
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

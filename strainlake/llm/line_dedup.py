@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strainlake.llm.common import written
+from strainlake.llm.common import discard, release, written
 
 PIECE = 64
 MIN_NEAR = 20
@@ -126,9 +126,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     copy = F.col("first").isNotNull() & (_first() != F.col("first"))
     judged = judged.select("uid", "doc_id", "no", F.col("digest").isNotNull().alias("real"), F.coalesce(copy, F.lit(False)).alias("copy"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = F.col("copy") | F.col("near")
-    return judged.groupBy("uid", "doc_id").agg(
+    out = judged.groupBy("uid", "doc_id").agg(
         F.count_if("real").alias("n_lines"), F.count_if("copy").alias("n_copies"), F.count_if(F.col("near") & ~F.col("copy")).alias("n_near"), F.sort_array(F.collect_list(F.when(gone, F.col("no")))).alias("removed")
     ).drop("uid")
+    out = written(out, "removed")
+    discard(occ, lines, table)
+    release(docs.sparkSession)
+    return out
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

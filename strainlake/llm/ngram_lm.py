@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strainlake.llm.common import raw_of, written
+from strainlake.llm.common import raw_of, release, written
 
 DISCOUNT = 0.75
 CUTOFF = 2
@@ -322,6 +322,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     d = docs.select(F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).cast("long").alias("doc_id"), (~held_out(F.col(doc_id))).alias("train"), F.col(text).alias("t"))
     asked = d.groupBy("block").applyInArrow(_asked(blocks), _ASKED)
     answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN)), _ANSWER), "answers")
+    del asked
+    release(docs.sparkSession)  # the documents and questions that were dealt for the first pass
     n, types, once = answers.agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
     own = answers.select("shard", "block", "counts", "g", "g_book", "p", "p_book")
     return d.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_scored(n or 0, types or 0, once or 0), _SCORES)
