@@ -4,8 +4,9 @@ Equal sets are one class. Each class is indexed by its prefix: the first n - cei
 global order, rare ones first, so that two linked sets share a prefix shingle. Index lists are sorted by set size and
 carry positions; blocks whose sizes or positions cannot reach the threshold are skipped. Answers are derived across
 similar sets: in each list sets are first compared with the middle set of their block, and a set takes over the
-component of the one it is linked to; after that only sets of different components are compared, all of them.
-A parity sketch (a lower bound of the symmetric difference) drops pairs before their texts are compared exactly.
+component of the one it is linked to; after that only sets of different components are compared, all of them, in
+lists that still hold more than one. A parity sketch (a lower bound of the symmetric difference) drops pairs before
+their texts are compared exactly; in the second pass it goes with long lists, so that only near pairs leave them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strainlake.llm.common import raw_of, slices, written
+from strainlake.llm.common import discard, raw_of, release, slices, written
 
 WORDS = 3
 THRESHOLD = (90, 100)
@@ -24,6 +25,8 @@ THRESHOLD = (90, 100)
 #: frequent. Any such set gives the same links: it only keeps lists short.
 HOT = 48
 MOST_HOT = 1 << 20
+#: Lists longer than this carry sketches, so that only near pairs leave them; shorter ones give few pairs anyway.
+SHORT = 64
 KEPT_WORDS = 300_000
 
 _words: dict[bytes, int] = {}
@@ -64,9 +67,9 @@ def most_apart(total: np.ndarray | int, at_least: tuple[int, int] = THRESHOLD):
     return total * (b - a) // (b + a)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of m buckets, m a power of two of at least twice the set's size."""
-    m = max(64, 1 << int(2 * len(s) - 1).bit_length())
+def sketch(s: np.ndarray, at_least: tuple[int, int] = THRESHOLD) -> bytes:
+    """Parity of the shingles in each of m buckets, m a power of two of at least four times what may differ."""
+    m = max(64, 1 << int(4 * most_apart(2 * len(s), at_least)).bit_length())
     return np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -92,7 +95,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, i
                 rows = []
                 for i, raw in zip(part.column(0).to_pylist(), raw_of(part.column(1)), strict=True):
                     s = shingles(raw, k)
-                    rows.append((i, len(s), xxhash.xxh128_digest(s.tobytes()), s[: prefix_length(len(s), at_least) if len(s) else 0].view(np.int64), sketch(s)))
+                    rows.append((i, len(s), xxhash.xxh128_digest(s.tobytes()), s[: prefix_length(len(s), at_least) if len(s) else 0].view(np.int64), sketch(s, at_least)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], schema=pa.schema(types))
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>, sketch binary")
@@ -133,11 +136,43 @@ def _ordered_prefixes(docs: DataFrame, doc_id: str, text: str, at_least: tuple[i
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, prefix array<long>")
 
 
+class _Sketches:
+    """The sketches of a list, by size; wider ones are folded to meet the next narrower size."""
+
+    def __init__(self, raw: list[bytes]):
+        self.bits = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.row = np.zeros(len(raw), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        self.folded: dict[int, np.ndarray] = {}
+        for m in np.unique(self.bits).tolist():
+            at = np.flatnonzero(self.bits == m)
+            self.row[at] = np.arange(len(at))
+            self.of[m] = np.frombuffer(b"".join([raw[i] for i in at]), np.uint8).reshape(len(at), m)
+            if m > 8:
+                half = self.of[m]
+                self.folded[m // 2] = half[:, : m // 2] ^ half[:, m // 2 :]
+
+    def apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric difference of set i and the sets j, none of which is smaller."""
+        m = int(self.bits[i])
+        own = self.of[m][self.row[i]].view(np.uint64)
+        out = np.zeros(len(j), np.int64)  # 0 where sizes are too far apart to compare here: those stay
+        for bits, table in ((m, self.of.get(m)), (2 * m, self.folded.get(m))):
+            at = np.flatnonzero(self.bits[j] == bits)
+            if len(at):
+                out[at] = np.bitwise_count(table[self.row[j[at]]].view(np.uint64) ^ own).sum(1)
+        return out
+
+
 def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFrame:
-    """Distinct pairs (x, y) from lists (s, n, pos, rep, comp): with the middle of their block, or all across components."""
+    """Distinct pairs (x, y) from lists (s, n, pos, rep, comp): with the middle of their block, or all across components.
+
+    With a column sketch, pairs that it rules out stay in the list's task.
+    """
     a, b = at_least
+    sketched = "sketch" in lists.columns
 
-    def of_list(n: np.ndarray, pos: np.ndarray, rep: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_list(n: np.ndarray, pos: np.ndarray, rep: np.ndarray, comp: np.ndarray, *sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if (comp == comp[0]).all():
             return
         ends = np.searchsorted(n, n * b // a, side="right")  # sizes beyond cannot be linked: those blocks are skipped
@@ -152,15 +187,22 @@ def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFra
                 yield rep[j], np.full(len(j), rep[mid])
                 i = stop
             return
+        own = _Sketches(sketch[0].tolist()) if sketch else None
         for i in range(len(n) - 1):
             j = np.arange(i + 1, ends[i])
             j = j[(comp[j] != comp[i]) & (pos[j] + pos[i] <= most_apart(n[j] + n[i], at_least))]
+            if own and len(j):
+                j = j[own.apart(i, j) <= most_apart(n[j] + n[i], at_least)]
             if len(j):
                 yield rep[j], np.full(len(j), rep[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
 
+        def told(xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
+            xy = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)  # lists repeat each other's pairs
+            return pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(cols[0])) + 1
             xs, ys, n = [], [], 0
@@ -171,15 +213,15 @@ def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFra
                         ys.append(np.maximum(x, y))
                         n += len(x)
                         if n > 200_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
+                            yield told(xs, ys)
                             xs, ys, n = [], [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
+                yield told(xs, ys)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if left is not None:
                 cols = [np.concatenate([p, c]) for p, c in zip(left, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
@@ -189,7 +231,7 @@ def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFra
         if left is not None:
             yield from out(left)
 
-    dealt = lists.select("s", "n", "pos", "rep", "comp").repartition("s").sortWithinPartitions("s", "n", "rep")
+    dealt = lists.select("s", "n", "pos", "rep", "comp", *["sketch"] * sketched).repartition("s").sortWithinPartitions("s", "n", "rep")
     return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
@@ -229,7 +271,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, at_leas
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id").dropDuplicates(["id"]), "texts", compression="zstd")
     both = pairs.select("x", "y").join(texts.select(F.col("id").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("t").alias("ty")), "y")
-    return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
+    good = written(both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long"), "links")
+    discard(texts)
+    return good
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -243,21 +287,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         of = both.join(labels.select(F.col("id").alias("y"), "comp"), "y").groupBy("x").agg(F.min("comp").alias("best"))
         moved = labels.join(of.withColumnRenamed("x", "id"), "id", "left").select("id", "comp", F.least("comp", "best").alias("new"))
         jump = moved.select(F.col("id").alias("new"), F.col("new").alias("up"))
-        after = written(moved.join(jump, "new", "left").select("id", F.least("new", "up").alias("next"), "comp"), "labels")
+        before, after = labels, written(moved.join(jump, "new", "left").select("id", F.least("new", "up").alias("next"), "comp"), "labels")
+        discard(before)
         changed = after.where("next <> comp").limit(1).count()
         labels = after.select("id", F.col("next").alias("comp"))
+        labels._work_path = after._work_path
         if not changed:
+            discard(both)
             return labels
 
 
-def _collected(spark) -> None:
-    """Lets Spark drop the shuffle files of queries that are over."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = THRESHOLD, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id (smallest id of an equal set).
 
@@ -289,14 +328,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     first = _near(_pairs(lists.withColumn("comp", F.col("rep")), at_least, False), reps, at_least)
     either = first.select(F.col("x").alias("k"), "*").unionByName(first.select(F.col("y").alias("k"), "*"))
     best = written(either.groupBy("k").agg(F.min(F.struct("d", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "pairs")
-    links = written(_verified(best, docs, doc_id, text, at_least, words), "links")
-    _collected(spark)
+    links = _verified(best, docs, doc_id, text, at_least, words)
+    release(spark)
     comp = components(nodes, links)
-    across = lists.join(comp.withColumnRenamed("id", "rep"), "rep")
-    rest = written(_near(_pairs(across, at_least, True), reps, at_least), "pairs").join(best, ["x", "y"], "left_anti")
+    by = Window.partitionBy("s")
+    across = lists.join(comp.withColumnRenamed("id", "rep"), "rep").withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo < hi")
+    across = across.withColumn("size", F.count("*").over(by))
+    few = _near(_pairs(across.where(F.col("size") <= SHORT), at_least, True), reps, at_least).select("x", "y")
+    many = _pairs(across.where(F.col("size") > SHORT).join(reps.select("rep", "sketch"), "rep"), at_least, True)
+    rest_table, more = written(few.union(many).distinct(), "pairs"), None
+    rest = rest_table.join(best, ["x", "y"], "left_anti")
     if rest.limit(1).count():
-        more = written(_verified(rest, docs, doc_id, text, at_least, words), "links")
-        _collected(spark)
+        more = _verified(rest, docs, doc_id, text, at_least, words)
+        release(spark)
         comp = components(nodes, links.unionByName(more))
 
     # A large class is one row for each task after the first grouping, so its sig is looked up by broadcast.
@@ -309,7 +353,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     found = begun.where("comp is not null").unionByName(begun.where("comp is null").select("doc_id", "n", "sig").join(cold, "sig"))
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
     out = found.select("doc_id", "n", "rep", "comp").unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("rep").alias("class_id"))
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("rep").alias("class_id")), "components")
+    discard(sets, reps, lists, best, links, rest_table, *([more] if more is not None else []))
+    release(spark)
+    return out
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = THRESHOLD, words: int = WORDS) -> DataFrame:

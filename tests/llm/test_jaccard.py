@@ -56,9 +56,10 @@ def corpus(seed):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 48), (2, 5), (3, 2)])
-def test_components(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize("seed,hot,short", [(1, 48, 64), (2, 5, 2), (3, 2, 8)])
+def test_components(spark, monkeypatch, seed, hot, short):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "SHORT", short)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
