@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Pass 1 counts the characters of all texts. Pass 2 finds the base patterns and all long runs of token characters; a
-run's encoding is inferred, and it stays a candidate only if chi-squared uniformity over that alphabet, the runs test
-and the serial correlation do not speak against chance. Its p-value is the likelihood ratio of ordinary text (the
+Pass 1 counts the characters of all texts. Pass 2 finds the base patterns and, in what they leave, all long runs of
+token characters, whole and parted at their separators (name=value, paths); a part's encoding is inferred, and it
+stays a candidate only if chi-squared uniformity over that alphabet, the runs test and the serial correlation do not
+speak against chance. Of overlapping candidates the strongest stays. Its p-value is the likelihood ratio of ordinary text (the
 counted characters) to uniform chance, which by Markov's inequality bounds how often ordinary text looks so random.
 The Benjamini-Hochberg rule is then applied in each length class over the candidates of the whole table.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -44,6 +46,9 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
+#: Ways to part a piece: which of the four separators count as a key's own characters. Padding stays at the end.
+_LAYERS = [re.compile(rf"[A-Za-z0-9{x}]+(?:=+\Z)?") for x in ("+/_-", "+/", "_-", "")]
+_NO_SEPARATORS = str.maketrans("", "", "+/_-=")
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
@@ -114,23 +119,60 @@ def length_class(n: int) -> int:
     return max(i for i, x in enumerate(CLASSES) if n >= x)
 
 
+def free(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans leave of [a, b)."""
+    out = []
+    for x, _, y in taken:
+        if y > a and x < b:
+            if x > a:
+                out.append((a, x))
+            a = y
+    return [*out, (a, b)] if a < b else out
+
+
+def strength(part: str, logs: np.ndarray) -> float:
+    """Surprise of a part's letters and digits alone: a separator at its edge neither adds nor takes."""
+    own = part.translate(_NO_SEPARATORS)
+    return surprise(own, encoding(own), logs)
+
+
+def random_parts(piece: str, logs: np.ndarray) -> list[tuple[int, int, float]]:
+    """(start, end, surprise) of the parts of a piece that the battery leaves as chance; of overlapping ones the strongest.
+
+    Inner '=' always separate; '+', '/', '-' and '_' are tried as characters of a key and as separators.
+    """
+    tested: set[tuple[int, int]] = set()
+    ways = 0
+    for layer in _LAYERS:
+        own = {m.span() for m in layer.finditer(piece) if len(m[0].rstrip("=")) >= MIN_LENGTH and encoding(m[0]) not in (None, "digits")}
+        ways += not own <= tested
+        tested |= own
+    passed = [(i, j) for i, j in tested if 3 * min(battery(piece[i:j], encoding(piece[i:j]))) >= LEVEL]
+    if len(passed) > 1:
+        passed.sort(key=lambda x: (-strength(piece[x[0] : x[1]], logs), x[1] - x[0], x[0]))
+    kept: list[tuple[int, int]] = []
+    for i, j in passed:
+        at = bisect.bisect(kept, (i, j))
+        if (at == 0 or kept[at - 1][1] <= i) and (at == len(kept) or kept[at][0] >= j):
+            kept.insert(at, (i, j))
+    # A character stood in up to so many tested parts, which the bound on the chance has to carry.
+    return [(i, j, max(0.0, surprise(piece[i:j], encoding(piece[i:j]), logs) - math.log10(ways))) for i, j in kept]
+
+
 def candidates(raw: bytes, text: str, logs: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, length class, surprise) of the runs that the battery leaves as chance."""
+    """(start, end, length class, surprise) of the parts of runs outside the base spans that the battery leaves as chance."""
     on = np.concatenate([[False], _RUN[np.frombuffer(raw, np.uint8)], [False]])
     edge = np.flatnonzero(on[1:] != on[:-1])
     out = []
+    start = seen = 0
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         if b - a < MIN_LENGTH:
             continue
-        run = raw[a:b].decode()
-        start = len(raw[:a].decode())
-        end = start + b - a
-        name = encoding(run)
-        if name in (None, "digits") or len(run.rstrip("=")) < MIN_LENGTH or any(x < end and start < y for x, _, y in taken):
-            continue
-        if 3 * min(battery(run, name)) < LEVEL:
-            continue
-        out.append((start, end, length_class(end - start), surprise(run, name, logs)))
+        start += len(raw[seen:a].decode())
+        seen = a
+        for x, y in free(start, start + b - a, taken):
+            if y - x >= MIN_LENGTH:
+                out += [(x + i, x + j, length_class(j - i), s) for i, j, s in random_parts(text[x:y], logs)]
     return out
 
 

@@ -128,6 +128,32 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_names_parameters_and_paths(spark):
+    rng = random.Random(6)
+
+    def key(name, n, first="A"):  # no separator at its edges
+        k = "".join(rng.choices(secret_scan.ALPHABETS[name], k=n - 2))
+        return first + k + "z"
+
+    filler = "the quick brown fox and some ordinary words of a text " * 30
+    cases = [
+        ("é STRIPE_LIVE=", key("base62", 44), f"\n{filler}"),
+        ("DB_URL=", key("base64", 64) + "==", f" {filler}"),
+        ("see https://host.example/get?user=someone&sig=", key("base62", 44), f"&x=1 {filler}"),
+        (f"{filler} /home/some-user/my_files/", key("base62", 44), " end"),
+        (f"{filler} https/some/ordinary/path/", key("base62", 44), " end"),
+        (f"{filler} a+b/c/", key("base64url", 64), ""),
+        ("ü token=abcdefgh ", key("base62", 44), f" {filler}"),
+        (f"{'0a1b2c3d' * 4}/", key("base62", 44, "X"), f" {filler}"),
+    ]
+    docs = spark.createDataFrame([(i, "".join(c)) for i, c in enumerate(cases)] + [(99, filler + "NAME=the_quick_brown_fox/of-ordinary_words=and_some_other_words")], "doc_id long, text string")
+    by = {g.doc_id: g.spans.split(",") for g in secret_scan.scan(docs).collect()}
+    for i, (before, k, _) in enumerate(cases):
+        assert f"random:{len(before)}:{len(before) + len(k)}" in by[i], (i, by[i])
+    assert by[99] == [""]
+    assert secret_scan.free(0, 10, [(2, 0, 4), (3, 1, 5), (9, 2, 12)]) == [(0, 2), (5, 9)]
+
+
 def test_battery_levels():
     rng = random.Random(4)
     for name in ("hex", "base62", "base64"):
