@@ -2,12 +2,16 @@
 
 Token counts are summed to cells of (source, lang, topic); the cells' weights are raked until their sums over each
 dimension meet the targets; each cell's keep probability is proportional to weight over tokens, capped at 1 and scaled
-so that the expected tokens are a set share of all. A document stays when a hash of its id falls below that
-probability. Native: DataFrame functions only; the text is read once, all later steps see one row per cell.
+so that the expected tokens are a set share of all. The cap holds within the raking, until the targets are met; the
+kept share is lowered where they need it, down to a floor, and a gap that remains is logged. A document stays when a
+hash of its id falls below its probability. Native: DataFrame functions only; the text is read once, all later steps
+see one row per cell.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strainlake.llm.common import words, written
@@ -19,6 +23,12 @@ KEEP = 0.9
 ROUNDS = 12
 #: Rounds in one plan: each is a window over every dimension, on cells alone.
 ROUNDS_A_PLAN = 4
+#: Targets count as met within this share; rounds until raking under the cap gives up; the floor of a lowered kept share.
+TOLERANCE = 1e-4
+MOST_ROUNDS = 60
+LEAST = 0.5
+#: The kept share falls by this factor when raking under the cap no longer halves the gap.
+LOWER = 0.97
 #: Up to so many cells the probabilities are broadcast; beyond, the join is salted.
 BROADCAST_CELLS = 50_000
 SALTS = 32
@@ -70,6 +80,48 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return cells
 
 
+def gaps(cells: DataFrame, amount: Column) -> dict[str, float]:
+    """Dimension -> largest distance of a value's share of amount from its target s_<dim>."""
+    out = {}
+    for dim in DIMENSIONS:
+        by = cells.groupBy(dim).agg(F.sum(amount).alias("x"), F.first(f"s_{dim}").alias("s"))
+        total = by.agg(F.sum("x")).first()[0] or 1.0
+        out[dim] = by.agg(F.max(F.abs(F.col("x") / F.lit(float(total)) - F.col("s")))).first()[0] or 0.0
+    return out
+
+
+def rake_under_cap(cells: DataFrame, keep: float = KEEP, least: float = LEAST, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+    """cells with weight as of rake(), but at most tokens / (kept share x all tokens), and the kept share.
+
+    The share starts at what each value's tokens allow, and is lowered to least at most while the targets are not met.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.withColumn("weight", F.lit(0.0)), keep
+    share = keep
+    for dim in DIMENSIONS:
+        by = cells.groupBy(dim).agg((F.sum("tokens") / F.lit(total)).alias("x"), F.first(f"s_{dim}").alias("s"))
+        share = min(share, by.where("x > 0 AND s > 0").agg(F.min(F.col("x") / F.col("s"))).first()[0] or share)
+    least = min(least, keep)
+    share = max(share, least)
+    cells = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+    before = float("inf")
+    for _ in range(0, rounds, ROUNDS_A_PLAN):
+        cap = F.col("tokens") / F.lit(total * share)
+        for _ in range(ROUNDS_A_PLAN):
+            for dim in DIMENSIONS:
+                own = F.sum("weight").over(Window.partitionBy(dim))
+                cells = cells.withColumn("weight", F.when(own > 0, F.least(cap, F.col("weight") * F.col(f"s_{dim}") / own)).otherwise(0.0))
+        cells = written(cells, "raked")
+        gap = max(gaps(cells, F.col("weight")).values())
+        if gap <= TOLERANCE or (share == least and gap > 0.9 * before):
+            break
+        if gap > before / 2:
+            share = max(least, share * LOWER)
+        before = gap
+    return cells, share
+
+
 def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     """cells with prob = min(1, c weight / tokens), where c makes the expected tokens keep x all tokens."""
     cells = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
@@ -90,9 +142,12 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | str | None = None,
     targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, keep: float = KEEP, rounds: int = ROUNDS,
+    meet: bool = True, least: float = LEAST,
 ) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight (of its cell), prob, selected.
 
+    With meet the targets are met under the cap, for which the kept share may fall from keep to least; without, it is
+    keep, and cells capped after a fixed number of rounds miss their targets. A gap is logged in both cases.
     A null source, language or topic counts as ''; a null text has no tokens. Cells without tokens have probability 0
     unless no cell has any: then all stay. Rows with one id share their fate; other columns are ignored.
     """
@@ -105,7 +160,11 @@ def mix(
     d = written(d, "measured")
     cells = d.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     cells = written(_targets(written(cells, "cells"), targets or {}, temper), "targets")
-    cells = written(calibrated(rake(cells, rounds), keep), "probabilities").select(*DIMENSIONS, "weight", "prob")
+    raked, share = rake_under_cap(cells, keep, least, max(rounds, MOST_ROUNDS)) if meet else (rake(cells, rounds), keep)
+    cells = written(calibrated(raked, share), "probabilities")
+    gap = gaps(cells, F.col("tokens") * F.col("prob"))
+    logging.getLogger(__name__).log(logging.WARNING if max(gap.values()) > TOLERANCE else logging.INFO, "kept share %.4f of tokens, gaps to the targets %s", share, gap)
+    cells = cells.select(*DIMENSIONS, "weight", "prob")
     if cells.count() <= BROADCAST_CELLS:
         out = d.join(F.broadcast(cells), list(DIMENSIONS))
     else:

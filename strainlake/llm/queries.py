@@ -29,7 +29,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import mixing
 
-    m = mixing.mix(docs_of(spark, sf_dir))
+    m = mixing.mix(docs_of(spark, sf_dir), meet=False)  # as the SQL has it: fixed rounds, the cap after them
     return m.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("prob", 6).alias("prob"), "selected")
 
 

@@ -35,6 +35,34 @@ def test_raking_meets_targets(docs):
     assert (m.selected == (np.asarray(u) < m.prob)).all()
 
 
+def test_skewed_sources_meet_their_targets(spark, caplog):
+    """The finding's case (a third of the tokens in one source, ten equal others) and cells capped at 1."""
+
+    def expected(m, dim):
+        e = (m.prob * m.n_tokens).groupby(m[dim]).sum()
+        return (e / e.sum()).to_dict()
+
+    rows = [(i, "w " * 10, "hot" if i % 3 == 0 else f"s{i // 3 % 10}", "x", "p") for i in range(900)]
+    schema = "doc_id long, text string, source string, lang string, topic string"
+    m = mixing.mix(spark.createDataFrame(rows, schema), topic="topic").toPandas()
+    raw = {"hot": (1 / 3) ** 0.7} | {f"s{i}": (1 / 15) ** 0.7 for i in range(10)}
+    got = expected(m, "source")
+    assert all(abs(got[k] - v / sum(raw.values())) < 1e-3 for k, v in raw.items())
+    assert 0.86 < (m.prob * m.n_tokens).sum() / m.n_tokens.sum() < 0.88 and m.prob.max() <= 1
+    # b/x/q alone would need more tokens than it has; the other cells make up for it.
+    targets = {"source": {"a": 0.62, "b": 0.38}, "lang": {"x": 0.65, "y": 0.35}, "topic": {"p": 0.4, "q": 0.6}}
+    rows = [(i, "w " * 10, "aaab"[i % 4], "xy"[i // 4 % 2], "pq"[i // 8 % 2]) for i in range(960)]
+    m = mixing.mix(spark.createDataFrame(rows, schema), topic="topic", targets=targets, keep=0.6).toPandas()
+    assert abs(m.prob.max() - 1) < 1e-6 and abs((m.prob * m.n_tokens).sum() / m.n_tokens.sum() - 0.6) < 1e-3
+    for dim, shares in targets.items():
+        got = expected(m, dim)
+        assert all(abs(got[k] - v) < 1e-3 for k, v in shares.items())
+    # Targets that the floor of the kept share rules out: the share stays there and the gap is told.
+    with caplog.at_level("WARNING", mixing.__name__):
+        m = mixing.mix(spark.createDataFrame(rows, schema), topic="topic", targets={"source": {"a": 0.1, "b": 0.9}}).toPandas()
+    assert abs((m.prob * m.n_tokens).sum() / m.n_tokens.sum() - mixing.LEAST) < 1e-3 and "gaps to the targets" in caplog.text
+
+
 def test_salted_cells_and_empty(docs, monkeypatch):
     whole = sorted(map(str, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", 1)
