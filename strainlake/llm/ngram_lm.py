@@ -6,7 +6,7 @@ sequences with monotone pointers and 8-bit quantised smoothed probabilities), ma
 block's pairs by successor search within the range of their context. The blocks then score their documents. Nothing
 that grows with the corpus is broadcast or collected: a task holds one block or one shard.
 
-Model: P(w|u) = max(c(uw) - D, 0) / c(u) + g(u) P(w) over pairs seen CUTOFF times or more, where g(u) is the mass left;
+Model: P(w|u) = max(c(uw) - D, 0) / c(u) + g(u) P(w) over pairs seen `cutoff` times or more, where g(u) is the mass left;
 P(w) = (1 - P0) c(w) / N, and P0 = n1 / N (Good-Turing) is the probability of the one type of all unseen words.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strainlake.llm.common import raw_of, release, written
 
 DISCOUNT = 0.75
+#: Least count of a pair in the trie, unless score() is told another; op6_lm_scoring keeps all (1).
 CUTOFF = 2
 #: Text bytes of a block; as many shards as blocks.
 BLOCK_BYTES = 16 << 20
@@ -105,7 +106,7 @@ class Trie:
     """Level 1: words with count and code of log10 g; level 2: successors with code of log10 (c - D) / c(u)."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        """words: sorted hashes with counts > 0; pairs: sorted (word's index << LOW_BITS | successor), all counts >= CUTOFF."""
+        """words: sorted hashes with counts > 0; pairs: sorted (word's index << LOW_BITS | successor), all counts >= 1."""
         of = (pairs >> np.uint64(LOW_BITS)).astype(np.int64)
         mass = np.bincount(of, weights=pair_counts - DISCOUNT, minlength=len(words))
         self.counts = counts.astype(np.uint32)
@@ -241,7 +242,7 @@ def _asked(shards: int):
     return run
 
 
-def _answered(begin: int):
+def _answered(begin: int, cutoff: int):
     def run(key, table):
         of = [table.column(k).to_pylist() for k in ("block", "words", "counts", "degree", "next", "next_counts")]
         rows = []
@@ -261,7 +262,7 @@ def _answered(begin: int):
         rank = np.cumsum(seen) - 1
         of_pair = (keys >> np.uint64(LOW_BITS)).astype(np.int64)
         low = keys & np.uint64((1 << LOW_BITS) - 1)
-        kept = pair_counts >= CUTOFF
+        kept = pair_counts >= max(1, cutoff)
         trie = Trie(words[seen], counts[seen], (rank[of_pair[kept]].astype(np.uint64) << np.uint64(LOW_BITS)) | low[kept], pair_counts[kept]).mapped()
         try:
             at = trie.word(words)
@@ -308,7 +309,7 @@ def _scored(total: int, types: int, once: int):
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, cutoff: int = CUTOFF) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is empty: its one token is the end. A null id counts as not held out. Repeated rows each count and are
@@ -321,7 +322,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     blocks = max(1, -(-total // block_bytes))
     d = docs.select(F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).cast("long").alias("doc_id"), (~held_out(F.col(doc_id))).alias("train"), F.col(text).alias("t"))
     asked = d.groupBy("block").applyInArrow(_asked(blocks), _ASKED)
-    answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN)), _ANSWER), "answers")
+    answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN), cutoff), _ANSWER), "answers")
     del asked
     release(docs.sparkSession)  # the documents and questions that were dealt for the first pass
     n, types, once = answers.agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()

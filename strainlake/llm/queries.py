@@ -55,7 +55,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import ngram_lm
 
-    return ngram_lm.score(docs_of(spark, sf_dir))
+    return ngram_lm.score(docs_of(spark, sf_dir), cutoff=1)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,32 @@ def test_scores(spark, block_bytes):
     for u in ("<begin>", "the", "x3"):
         assert abs(sum(two(u, x) for x in c) + two(u, "<unseen>") - 1) < 1e-9
     assert ngram_lm.score(docs.limit(0)).count() == 0
+
+
+def test_query_scores_pairs_seen_once(spark, tmp_path):
+    """op6_lm_scoring keeps every pair: a dictionary model without cutoff gives its scores."""
+    from strainlake.llm.queries import op6_lm_scoring
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"x{k}" for k in range(60)], k=rng.randint(1, 20))), "en", "s") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c, c2, docs_n = Counter(), Counter(), 0
+    words = {i: [*t.split(), "<end>"] for i, t, *_ in rows}
+    for i, w in words.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            docs_n += 1
+            c.update(w)
+            c2.update(zip(["<begin>", *w], w))
+    n, p0 = sum(c.values()), min(0.5, max(1, sum(x == 1 for x in c.values())) / sum(c.values()))
+    ctx, left = Counter(c) | Counter({"<begin>": docs_n}), Counter()
+    for (u, _), x in c2.items():
+        left[u] += x - 0.75
+    assert sum(x == 1 for x in c2.values()) > len(c2) / 2
+
+    def two(u, w):
+        one = (1 - p0) * c[w] / n if c[w] else p0
+        return one if not ctx[u] else max(0, c2[u, w] - 0.75) / ctx[u] + (1 - left[u] / ctx[u]) * one
+
+    for g in op6_lm_scoring(spark, str(tmp_path)).collect():
+        w = words[g.doc_id]
+        assert abs(g.score - sum(math.log10(two(u, x)) for u, x in zip(["<begin>", *w], w))) < 0.02 * len(w)
