@@ -3,19 +3,26 @@
 Equal sets are one class. Each class is indexed by its prefix: the first n - ceil(0.9 n) + 1 of its shingles in one
 global order, rare ones first, so that two linked sets share a prefix shingle. Index lists are sorted by set size and
 carry positions; blocks whose sizes or positions cannot reach the threshold are skipped. Answers are derived across
-similar sets: in each list sets are first compared with the middle set of their block, and a set takes over the
-component of the one it is linked to; after that only sets of different components are compared, all of them, in
-lists that still hold more than one. A parity sketch (a lower bound of the symmetric difference) drops pairs before
-their texts are compared exactly; in the second pass it goes with long lists, so that only near pairs leave them.
+similar sets, in three passes over the lists, each verified against the texts before the next begins:
+
+1. Each set is compared with the middle set of its block and takes over the component of the nearest one it links to.
+2. Within a list a set takes over the answers of the sets found near it so far: what one of them is linked to needs no
+   further pair. Near-certain links (well within the bound) go first, so a list gives fewer pairs than it has sets.
+3. All pairs that are still of different components and not yet verified.
+
+A parity sketch (a lower bound of the symmetric difference, wide enough to be nearly exact about the bound) drops
+pairs before their texts are compared. Lists longer than CHUNK are dealt out as pairs of chunks, so a task's list is
+bounded; all pairs of chunks are there, so no pair is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strainlake.llm.common import discard, raw_of, release, slices, written
 
@@ -27,6 +34,8 @@ HOT = 48
 MOST_HOT = 1 << 20
 #: Lists longer than this carry sketches, so that only near pairs leave them; shorter ones give few pairs anyway.
 SHORT = 64
+#: Longer lists are dealt out by chunks of about so many sets.
+CHUNK = 2048
 KEPT_WORDS = 300_000
 
 _words: dict[bytes, int] = {}
@@ -68,8 +77,8 @@ def most_apart(total: np.ndarray | int, at_least: tuple[int, int] = THRESHOLD):
 
 
 def sketch(s: np.ndarray, at_least: tuple[int, int] = THRESHOLD) -> bytes:
-    """Parity of the shingles in each of m buckets, m a power of two of at least four times what may differ."""
-    m = max(64, 1 << int(4 * most_apart(2 * len(s), at_least)).bit_length())
+    """Parity of the shingles in each of m buckets, m a power of two of at least 16 times what may differ."""
+    m = max(64, 1 << int(16 * most_apart(2 * len(s), at_least)).bit_length())
     return np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -164,19 +173,37 @@ class _Sketches:
         return out
 
 
-def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFrame:
-    """Distinct pairs (x, y) from lists (s, n, pos, rep, comp): with the middle of their block, or all across components.
+#: What a pass over the lists tells: pairs with the middle of their block, the pairs by which sets of different
+#: components take over each other's answers, or all pairs of different components.
+MIDDLES, ANSWERS, ALL = "middles", "answers", "all"
+
+
+def _dealt(lists: DataFrame, by: str) -> DataFrame:
+    """lists with sub-key i, j and the set's own chunk: 0, 0, 0 but for lists longer than CHUNK (column size)."""
+    short = lists.where(F.col("size") <= CHUNK).select("*", *[F.lit(0).alias(c) for c in ("i", "j", "chunk")])
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    long = lists.where(F.col("size") > CHUNK).withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
+    if by == MIDDLES:
+        long = long.select("*", F.col("chunk").alias("i"), F.col("chunk").alias("j"))
+    else:
+        other = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
+        long = long.select("*", other).select("*", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).drop("other")
+    return short.unionByName(long)
+
+
+def _pairs(lists: DataFrame, at_least: tuple[int, int], by: str) -> DataFrame:
+    """Distinct pairs (x, y) from lists (s, size, n, pos, rep, comp) as by says.
 
     With a column sketch, pairs that it rules out stay in the list's task.
     """
     a, b = at_least
-    sketched = "sketch" in lists.columns
+    sketched = ["sketch"] * ("sketch" in lists.columns)
 
-    def of_list(n: np.ndarray, pos: np.ndarray, rep: np.ndarray, comp: np.ndarray, *sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_list(i_chunk: int, j_chunk: int, chunk: np.ndarray, n: np.ndarray, pos: np.ndarray, rep: np.ndarray, comp: np.ndarray, *sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if (comp == comp[0]).all():
             return
         ends = np.searchsorted(n, n * b // a, side="right")  # sizes beyond cannot be linked: those blocks are skipped
-        if not all_of:
+        if by == MIDDLES:
             i = 0
             while i < len(n):
                 # A block that reaches from the smallest to its middle, and from there as far again.
@@ -188,12 +215,28 @@ def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFra
                 i = stop
             return
         own = _Sketches(sketch[0].tolist()) if sketch else None
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, ends[i])
-            j = j[(comp[j] != comp[i]) & (pos[j] + pos[i] <= most_apart(n[j] + n[i], at_least))]
-            if own and len(j):
-                j = j[own.apart(i, j) <= most_apart(n[j] + n[i], at_least)]
-            if len(j):
+        label = np.unique(comp, return_inverse=True)[1]
+        # Near-certain links first: their sets share answers, so fewer pairs are left to the others.
+        for strict in (True, False) if own and by == ANSWERS else (False,):
+            for i in range(len(n) - 1):
+                j = np.arange(i + 1, ends[i])
+                most = most_apart(n[j] + n[i], at_least)
+                on = (label[j] != label[i]) & (pos[j] + pos[i] <= most)
+                if i_chunk != j_chunk:
+                    on &= chunk[j] != chunk[i]
+                j, most = j[on], most[on]
+                if own and len(j):
+                    d = own.apart(i, j)
+                    on = 4 * d <= 3 * most if strict else d <= most
+                    j, d = j[on], d[on]
+                if not len(j):
+                    continue
+                if by == ANSWERS:
+                    if own:
+                        j = j[np.argsort(d, kind="stable")]
+                    new, first = np.unique(label[j], return_index=True)  # the nearest of each other label
+                    j = j[first]
+                    label[np.isin(label, new)] = label[i]
                 yield rep[j], np.full(len(j), rep[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +246,15 @@ def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFra
             xy = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)  # lists repeat each other's pairs
             return pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
 
+        def edges(cols: list[np.ndarray]) -> np.ndarray:
+            return np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(cols[0])) + 1
+            cuts = edges(cols).tolist()
             xs, ys, n = [], [], 0
             for begin, end in zip([0, *cuts], [*cuts, len(cols[0])], strict=True):
                 if end - begin > 1:
-                    for x, y in of_list(*(c[begin:end] for c in cols[1:])):
+                    for x, y in of_list(cols[1][begin], cols[2][begin], *(c[begin:end] for c in cols[3:])):
                         xs.append(np.minimum(x, y))
                         ys.append(np.maximum(x, y))
                         n += len(x)
@@ -224,14 +270,16 @@ def _pairs(lists: DataFrame, at_least: tuple[int, int], all_of: bool) -> DataFra
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if left is not None:
                 cols = [np.concatenate([p, c]) for p, c in zip(left, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+            cuts = edges(cols)
+            last = int(cuts[-1]) if len(cuts) else 0  # the last list may go on in the next batch
             left = [c[last:] for c in cols]
             if last:
                 yield from out([c[:last] for c in cols])
         if left is not None:
             yield from out(left)
 
-    dealt = lists.select("s", "n", "pos", "rep", "comp", *["sketch"] * sketched).repartition("s").sortWithinPartitions("s", "n", "rep")
+    dealt = _dealt(lists, by).select("s", "i", "j", "chunk", "n", "pos", "rep", "comp", *sketched)
+    dealt = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "n", "rep")
     return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
@@ -320,28 +368,39 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
         anew = _ordered_prefixes(docs, doc_id, text, at_least, words, hot).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("prefix").alias("p2"))
         prefixes = prefixes.join(anew, "rep", "left").select("rep", "n", F.coalesce("p2", "prefix").alias("prefix"))
     postings = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
-    lists = postings.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1").select("s", "n", F.col("pos").cast("long").alias("pos"), "rep")
-    lists = written(lists, "lists")
+    # Sizes by a sum for each shingle and a join that can split a long list, not by a window that holds it.
+    shared = postings.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
+    lists = written(postings.join(shared, "s").select("s", "size", "n", F.col("pos").cast("long").alias("pos"), "rep"), "lists")
     nodes = reps.select(F.col("rep").alias("id"))
+    done: list[DataFrame] = []  # verified pairs
+    links: list[DataFrame] = []
 
-    # First each set with the nearest middle of its blocks, then all pairs that are still of different components.
-    first = _near(_pairs(lists.withColumn("comp", F.col("rep")), at_least, False), reps, at_least)
-    either = first.select(F.col("x").alias("k"), "*").unionByName(first.select(F.col("y").alias("k"), "*"))
-    best = written(either.groupBy("k").agg(F.min(F.struct("d", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "pairs")
-    links = _verified(best, docs, doc_id, text, at_least, words)
-    release(spark)
-    comp = components(nodes, links)
-    by = Window.partitionBy("s")
-    across = lists.join(comp.withColumnRenamed("id", "rep"), "rep").withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo < hi")
-    across = across.withColumn("size", F.count("*").over(by))
-    few = _near(_pairs(across.where(F.col("size") <= SHORT), at_least, True), reps, at_least).select("x", "y")
-    many = _pairs(across.where(F.col("size") > SHORT).join(reps.select("rep", "sketch"), "rep"), at_least, True)
-    rest_table, more = written(few.union(many).distinct(), "pairs"), None
-    rest = rest_table.join(best, ["x", "y"], "left_anti")
-    if rest.limit(1).count():
-        more = _verified(rest, docs, doc_id, text, at_least, words)
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.select("x", "y") for t in tables])
+
+    def verify(pairs: DataFrame) -> None:
+        done.append(pairs)
+        links.append(_verified(pairs, docs, doc_id, text, at_least, words))
         release(spark)
-        comp = components(nodes, links.unionByName(more))
+
+    def across(comp: DataFrame) -> DataFrame:
+        """The lists that hold more than one component, with the components."""
+        now = lists.drop("size").join(comp.withColumnRenamed("id", "rep"), "rep")
+        sizes = now.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("s", "size")
+        return now.join(sizes, "s")
+
+    first = _near(_pairs(lists.withColumn("comp", F.col("rep")), at_least, MIDDLES), reps, at_least)
+    either = first.select(F.col("x").alias("k"), "*").unionByName(first.select(F.col("y").alias("k"), "*"))
+    verify(written(either.groupBy("k").agg(F.min(F.struct("d", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "pairs"))
+    for by in (ANSWERS, ALL):
+        comp = components(nodes, all_of(links))
+        open_ = across(comp)
+        few = _near(_pairs(open_.where(F.col("size") <= SHORT), at_least, by), reps, at_least).select("x", "y") if by == ALL else None
+        many = _pairs(open_.where(F.col("size") > SHORT).join(reps.select("rep", "sketch"), "rep"), at_least, by)
+        new = many if few is None else few.unionByName(many).distinct()
+        verify(written(new.join(all_of(done), ["x", "y"], "left_anti"), "pairs"))
+    if links[-1].limit(1).count():
+        comp = components(nodes, all_of(links))
 
     # A large class is one row for each task after the first grouping, so its sig is looked up by broadcast.
     named = reps.select("sig", "rep").join(comp.withColumnRenamed("id", "rep"), "rep")
@@ -354,7 +413,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
     out = found.select("doc_id", "n", "rep", "comp").unionByName(alone)
     out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("rep").alias("class_id")), "components")
-    discard(sets, reps, lists, best, links, rest_table, *([more] if more is not None else []))
+    discard(sets, reps, lists, *done, *links)
     release(spark)
     return out
 

@@ -56,10 +56,11 @@ def corpus(seed):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("seed,hot,short", [(1, 48, 64), (2, 5, 2), (3, 2, 8)])
-def test_components(spark, monkeypatch, seed, hot, short):
+@pytest.mark.parametrize("seed,hot,short,chunk", [(1, 48, 64, 2048), (2, 5, 2, 2048), (3, 2, 8, 16), (4, 4, 0, 7)])
+def test_components(spark, monkeypatch, seed, hot, short, chunk):
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
