@@ -1,48 +1,55 @@
 """Language-model scores from an Elias-Fano n-gram trie whose shards answer blocks of documents.
 
-Documents are dealt to blocks. A block sends each shard its distinct words and word pairs with their training counts,
-split by the first word. A shard sums them, builds its trie (words, then successors of each word, as Elias-Fano
-sequences with monotone pointers and 8-bit quantised smoothed probabilities), maps it into memory, and answers every
-block's pairs by successor search within the range of their context. The blocks then score their documents. Nothing
-that grows with the corpus is broadcast or collected: a task holds one block or one shard.
-
-Model: P(w|u) = max(c(uw) - D, 0) / c(u) + g(u) P(w) over pairs seen `cutoff` times or more, where g(u) is the mass left;
-P(w) = (1 - P0) c(w) / N, and P0 = n1 / N (Good-Turing) is the probability of the one type of all unseen words.
+Documents are dealt to blocks. A block sends each shard its distinct words, word pairs and triples with their training
+counts, split by the first word. A shard sums them, builds its trie (words, successors of each word, successors of
+each pair, as Elias-Fano sequences with monotone pointers and 8-bit quantised smoothed probabilities) in memory-mapped
+levels, and answers every block's n-grams by successor search within the range of their context. The blocks then score
+their documents. Nothing that grows with the corpus is broadcast or collected: a task holds one block or one shard. A
+shard serves several blocks' worth of text. A word that alone would outgrow a shard as a context is split by ranges of
+its successors; which words are, a look at a few documents decides. It only moves work: the scores stay the same.
+
+Model, order 3 with absolute discounting, all n-grams seen in training kept:
+P(w|u,v) = max(c(uvw) - D, 0) / c(uv) + g(uv) P(w|v), P(w|v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), where g is the mass
+that is left; P(w) = (1 - P0) c(w) / N, and P0 = n1 / N (Good-Turing) is the probability of the one type of all unseen
+words. A document's first word has the begin of the document as its only context.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strainlake.llm.common import raw_of, release, written
+from strainlake.llm.common import release, written
 
 DISCOUNT = 0.75
-#: Least count of a pair in the trie, unless score() is told another; op6_lm_scoring keeps all (1).
-CUTOFF = 2
-#: Text bytes of a block; as many shards as blocks.
-BLOCK_BYTES = 16 << 20
-KEPT_WORDS = 300_000
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Text bytes of a block, and of the text whose n-grams a shard holds.
+BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+#: Documents that are looked at for words to split; it decides on the layout only.
+LOOKED_AT = 2000
 #: Words hold no white space, so these two stand for no word.
 END, BEGIN = b"\n", b" "
 #: Bits of a successor's hash that are kept below its context.
-LOW_BITS = 40
-
-_words: dict[bytes, int] = {}
+LOW_BITS = 32
+_LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
 class EliasFano:
-    """A sorted sequence of n numbers: low bits packed, high bits in unary. get() and find() work on arrays."""
+    """A sorted sequence of n numbers: low bits packed, high bits in unary, with the place of every STEP-th number.
+
+    Numbers are decoded STEP at a time, so that memory stays packed; get() and find() take sorted arrays.
+    """
+
+    STEP = 1 << 14
 
-    def __init__(self, low_bits: int, n: int, low: np.ndarray, high: np.ndarray):
-        self.l, self.n, self.low, self.high = low_bits, n, low, high
-        self._ones: np.ndarray | None = None
+    def __init__(self, low_bits: int, n: int, low: np.ndarray, high: np.ndarray, places: np.ndarray):
+        self.l, self.n, self.low, self.high, self.places = low_bits, n, low, high, places
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -56,38 +63,52 @@ class EliasFano:
                 own = (v[i : i + (1 << 16), None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
                 parts.append(np.packbits(own.astype(bool).ravel(), bitorder="little"))
             low = np.concatenate([*parts, low])
-        high = np.zeros(0, np.uint8)
-        if n:
-            at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
-            bits = np.zeros(int(at[-1]) + 1, bool)
-            bits[at] = True
-            high = np.packbits(bits, bitorder="little")
-        return cls(width, n, low, high)
+        at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
+        bits = np.zeros(int(at[-1]) + 1 if n else 0, bool)
+        bits[at] = True
+        return cls(width, n, low, np.packbits(bits, bitorder="little"), at[:: cls.STEP])
 
     def size(self) -> int:
-        return self.low.nbytes + self.high.nbytes
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(np.asarray(self.high), bitorder="little"))
-        out = (self._ones[i] - i).astype(np.uint64) << np.uint64(self.l)
+        return self.low.nbytes + self.high.nbytes + self.places.nbytes
+
+    def part(self, k: int) -> np.ndarray:
+        """The numbers from k * STEP on, STEP of them at most."""
+        begin, end = k * self.STEP, min(self.n, (k + 1) * self.STEP)
+        at = int(self.places[k])
+        to = int(self.places[k + 1]) if k + 1 < len(self.places) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at >> 3 : (to + 7) >> 3], bitorder="little")
+        ones = np.flatnonzero(bits[at & 7 :])[: end - begin] + at
+        i = np.arange(begin, end)
+        out = (ones - i).astype(np.uint64) << np.uint64(self.l)
         if self.l:
             bit = i * self.l
             window = np.ascontiguousarray(self.low[(bit >> 3)[:, None] + np.arange(8)]).view("<u8")[:, 0]
             out |= (window >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.l) - 1)
         return out
 
-    def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Successor search: index of the first value >= x[k] within [lo[k], hi[k]), hi[k] if there is none."""
-        lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
-        on = np.flatnonzero(lo < hi)
-        while len(on):
-            mid = (lo[on] + hi[on]) >> 1
-            less = self.get(mid) < x[on]
-            lo[on[less]] = mid[less] + 1
-            hi[on[~less]] = mid[~less]
-            on = on[lo[on] < hi[on]]
-        return lo
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at the ascending places i."""
+        out = np.zeros(len(i), np.uint64)
+        cut = np.searchsorted(i, np.arange(0, self.n + self.STEP, self.STEP))
+        for k in range(len(cut) - 1):
+            a, b = cut[k], cut[k + 1]
+            if a < b:
+                out[a:b] = self.part(k)[i[a:b] - k * self.STEP]
+        return out
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successor search: index of the first number >= x[k] for ascending x, n if there is none, and if they are equal."""
+        at, same = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        a = 0
+        for k in range(len(self.places)):
+            if a == len(x):
+                break
+            own = self.part(k)
+            b = a + int(np.searchsorted(x[a:], own[-1], side="right"))
+            j = np.searchsorted(own, x[a:b])
+            at[a:b], same[a:b] = j + k * self.STEP, own[j] == x[a:b]
+            a = b
+        return at, same
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,184 +123,283 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code + 1).astype(np.uint8), book
 
 
+class Level:
+    """Successors of the contexts of the level above: keys (context << LOW_BITS | successor), each context's first one,
+    and codes of log10 (c - D) / c(context); as contexts themselves, codes of log10 g."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, context_counts: np.ndarray):
+        of = (keys >> np.uint64(LOW_BITS)).astype(np.int64)
+        self.keys = EliasFano.of(keys)
+        self.begin = EliasFano.of(np.searchsorted(of, np.arange(len(context_counts) + 1)))
+        self.p, self.p_book = quantised(np.log10((counts - DISCOUNT) / context_counts[of]) if len(of) else np.zeros(0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each of the ascending keys, and if it is there within the range of its context."""
+        if not self.keys.n:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        context, code = np.unique(keys >> np.uint64(LOW_BITS), return_inverse=True)
+        ends = self.begin.get(context.astype(np.int64) + 1).astype(np.int64)[code]
+        at, same = self.keys.find(keys)
+        same &= at < ends
+        return np.where(same, at, 0), same
+
+
+def _left(keys: np.ndarray, counts: np.ndarray, context_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of log10 of the mass that each context leaves to shorter ones."""
+    of = (keys >> np.uint64(LOW_BITS)).astype(np.int64)
+    mass = np.bincount(of, weights=counts - DISCOUNT, minlength=len(context_counts))
+    return quantised(np.log10(1 - mass / np.maximum(1, context_counts)))
+
+
 class Trie:
-    """Level 1: words with count and code of log10 g; level 2: successors with code of log10 (c - D) / c(u)."""
+    """Words with counts, successors of words, successors of pairs; the levels lie in one anonymous memory map."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        """words: sorted hashes with counts > 0; pairs: sorted (word's index << LOW_BITS | successor), all counts >= 1."""
-        of = (pairs >> np.uint64(LOW_BITS)).astype(np.int64)
-        mass = np.bincount(of, weights=pair_counts - DISCOUNT, minlength=len(words))
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
+        """words: sorted hashes; pairs, triples: sorted keys (place of the context << LOW_BITS | successor); counts > 0."""
         self.counts = counts.astype(np.uint32)
-        self.g, self.g_book = quantised(np.log10(1 - mass / np.maximum(1, counts)))
-        self.p, self.p_book = quantised(np.log10((pair_counts - DISCOUNT) / counts[of]) if len(of) else np.zeros(0))
         self.words = EliasFano.of(words)
-        self.begin = EliasFano.of(np.searchsorted(of, np.arange(len(words) + 1)))
-        self.pairs = EliasFano.of(pairs)
-        self.file: str | None = None
+        self.two, self.three = Level(pairs, pair_counts, counts), Level(triples, triple_counts, pair_counts)
+        self.g, self.g_book = _left(pairs, pair_counts, counts)
+        self.g2, self.g2_book = _left(triples, triple_counts, pair_counts)
+
+    def _levels(self) -> list[tuple[object, str]]:
+        sequences = [self.words, self.two.keys, self.two.begin, self.three.keys, self.three.begin]
+        return [(s, k) for s in sequences for k in ("low", "high", "places")] + [(self, "counts"), (self, "g"), (self, "g2"), (self.two, "p"), (self.three, "p")]
+
+    def size(self) -> int:
+        return sum(getattr(o, k).nbytes for o, k in self._levels())
 
     def mapped(self) -> Trie:
-        """Writes the levels to a file and maps them from there."""
-        parts = [(self.words, "low"), (self.words, "high"), (self.begin, "low"), (self.begin, "high"), (self.pairs, "low"), (self.pairs, "high"), (self, "p"), (self, "g"), (self, "counts")]
-        handle, self.file = tempfile.mkstemp(suffix=".trie")
-        with os.fdopen(handle, "wb") as f:
-            for o, k in parts:
-                f.write(getattr(o, k).tobytes() + b"\0" * (-getattr(o, k).nbytes % 8))
-        at = 0
-        for o, k in parts:
-            a = getattr(o, k)
-            if len(a):
-                setattr(o, k, np.memmap(self.file, a.dtype, "r", at, a.shape))
-            at += a.nbytes + -a.nbytes % 8
+        """Moves the levels to a memory map, in which they stay packed."""
+        arrays = [(o, k, getattr(o, k)) for o, k in self._levels()]
+        held, at = mmap.mmap(-1, max(8, sum(-(-a.nbytes // 8) * 8 for *_, a in arrays))), 0
+        for o, k, a in arrays:
+            if a.nbytes:
+                own = np.frombuffer(held, a.dtype, len(a), at)
+                own[:] = a
+                setattr(o, k, own)
+            at += -(-a.nbytes // 8) * 8
         return self
 
-    def close(self) -> None:
-        if self.file:
-            os.unlink(self.file)
-            self.file = None
-
-    def word(self, x: np.ndarray) -> np.ndarray:
-        """Index of each word hash, -1 if it is not there."""
-        n = self.words.n
-        if not n:
-            return np.full(len(x), -1)
-        at = self.words.find(x, np.zeros(len(x), np.int64), np.full(len(x), n))
-        ok = at < n
-        ok[ok] = self.words.get(at[ok]) == x[ok]
-        return np.where(ok, at, -1)
-
-    def pair(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Code of each pair (0: none) by successor search in its context's range; context: word index or -1."""
-        out = np.zeros(len(context), np.uint8)
-        known = np.flatnonzero(context >= 0)
-        if not len(known) or not self.pairs.n:
-            return out
-        u = context[known]
-        lo, hi = self.begin.get(u).astype(np.int64), self.begin.get(u + 1).astype(np.int64)
-        on = hi > lo
-        known, u, lo, hi = known[on], u[on], lo[on], hi[on]
-        x = (u.astype(np.uint64) << np.uint64(LOW_BITS)) | successor[known]
-        at = self.pairs.find(x, lo, hi)
-        ok = at < hi
-        ok[ok] = self.pairs.get(at[ok]) == x[ok]
-        out[known[ok]] = self.p[at[ok]]
-        return out
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def _tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the words' places among these, and the number of words of each text."""
+    import xxhash
+
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    flat, offs = parts.values, parts.offsets.to_numpy().astype(np.int64)
+    coded = flat.dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    at = coded.indices.to_numpy().astype(np.int64)
+    real = np.ones(len(at), bool)
+    if b"" in names:  # white space at the ends of a text
+        real = at != names.index(b"")
+    before = np.concatenate([[0], np.cumsum(real)])
+    return hashes, at[real], np.diff(before[offs])
+
+
 class Block:
-    """The tokens of a block's documents and its distinct words and pairs, in the order in which shards see them."""
+    """The tokens of a block's documents and its distinct n-grams, in the order in which shards see them.
+
+    A context word that is split counts as several: one for each of its ranges of successors.
+    """
 
-    def __init__(self, raws: list[bytes]):
+    def __init__(self, texts: pa.Array, split: dict[int, int]):
         import xxhash
 
-        if len(_words) > KEPT_WORDS:
-            _words.clear()
-        parts = []
-        for raw in raws:
-            words = raw.translate(_LOWER).split()
-            for w in set(words).difference(_words):
-                _words[w] = xxhash.xxh64_intdigest(w)
-            parts.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
-            if len(_words) > 4 * KEPT_WORDS:
-                _words.clear()
+        hashes, at, n = _tokenised(texts)
         end, begin = np.uint64(xxhash.xxh64_intdigest(END)), np.uint64(xxhash.xxh64_intdigest(BEGIN))
         # Each document is its begin, its words, its end; the begin is only a context.
-        self.n = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
-        flat = np.concatenate([x for p in parts for x in ([begin], p, [end])]) if parts else np.zeros(0, np.uint64)
-        self.words, code = np.unique(flat, return_inverse=True)
+        self.n = n + 1
         first = np.cumsum(self.n + 1) - self.n - 1
-        is_begin = np.zeros(len(flat), bool)
+        tokens = np.full(int((self.n + 1).sum()), end, np.uint64)
+        is_begin = np.zeros(len(tokens), bool)
         is_begin[first] = True
-        self.token = code[~is_begin]
-        self.context = code[:-1][~is_begin[1:]] if len(code) else code
-        self.begin_word = begin
-        self.begins = int(np.searchsorted(self.words, begin)) if parts else 0
-        key = self.context * np.int64(max(1, len(self.words))) + self.token
-        self.keys, self.pair = np.unique(key, return_inverse=True)
-        self.pair_context, self.pair_token = np.divmod(self.keys, max(1, len(self.words)))
-
-    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of words (of the begin: documents) and of pairs."""
+        is_word = ~is_begin
+        is_word[first + self.n] = False
+        tokens[is_begin] = begin
+        tokens[is_word] = hashes[at]
+        self.words, code = np.unique(tokens, return_inverse=True)
+        context, self.token = code[:-1][~is_begin[1:]], code[~is_begin]
+        self.begins = int(np.searchsorted(self.words, begin)) if len(n) else 0
+        self.node_of_word = np.arange(len(self.words))
+        self.nodes = self.words
+        if split:
+            self._split(context, split)
+            context = self.context
+        # Ascending by node and successor: shards see hashes in order.
+        width = np.int64(max(1, len(self.words)))
+        keys, self.pair = np.unique(context * width + self.token, return_inverse=True)
+        self.pair_node, self.pair_token = np.divmod(keys, width)
+        inner = np.ones(len(self.token), bool)
+        inner[np.cumsum(self.n) - self.n] = False  # a document's first token has no context of two
+        self.inner = np.flatnonzero(inner)
+        keys, self.triple = np.unique(self.pair[self.inner - 1] * width + self.token[self.inner], return_inverse=True)
+        self.triple_pair, self.triple_token = np.divmod(keys, width)
+
+    def _split(self, context: np.ndarray, split: dict[int, int]) -> None:
+        hot = np.asarray(sorted(split), np.uint64)
+        parts = np.asarray([split[int(h)] for h in hot], np.uint64)
+        at = np.minimum(np.searchsorted(hot, self.words), len(hot) - 1)
+        is_hot = hot[at] == self.words
+        own = self.words[context]
+        on = is_hot[context]
+        m = parts[at[context[on]]]
+        own[on] = split_hash(own[on], ((self.words[self.token[on]] >> np.uint64(32)) * m) >> np.uint64(32))
+        self.nodes, code = np.unique(np.concatenate([self.words, own]), return_inverse=True)
+        self.node_of_word, self.context = code[: len(self.words)], code[len(self.words) :]
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of nodes (a word's occurrences, of the begin: documents), pairs and triples."""
         on = np.repeat(train, self.n)
         words = np.bincount(self.token[on], minlength=len(self.words))
         if len(train):
             words[self.begins] = int(train.sum())
-        return words, np.bincount(self.pair[on], minlength=len(self.keys))
+        nodes = np.bincount(self.pair_node[self.pair[on]], minlength=len(self.nodes))
+        nodes[self.node_of_word] = words
+        pairs = np.bincount(self.pair[on], minlength=len(self.pair_node))
+        return nodes, pairs, np.bincount(self.triple[on[self.inner]], minlength=len(self.triple_pair))
 
     def shard_of(self, shards: int) -> np.ndarray:
-        """Shard of each word, ascending with its hash."""
-        return (((self.words >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int64)
+        """Shard of each node, ascending with its hash."""
+        return (((self.nodes >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int64)
 
 
-_ASKED = "shard int, block int, words binary, counts binary, degree binary, next binary, next_counts binary"
-_ANSWER = "shard int, block int, counts binary, g binary, g_book binary, p binary, p_book binary, tokens long, types long, once long, bytes long"
+def split_hash(word: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The node of a split word's range of successors."""
+    x = (word ^ (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
 
 
-def _asked(shards: int):
+def split_words(docs: DataFrame, text: str, shards: int) -> dict[int, int]:
+    """Hash -> number of ranges of the words that, as contexts, would fill half a shard or more: 2 * shards at most."""
+    if shards < 4:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        total: Counter = Counter()
+        begin = xxhash.xxh64_intdigest(BEGIN)
+        for batch in batches:
+            hashes, at, n = _tokenised(batch.column(0))
+            total.update(dict(zip(hashes.tolist(), np.bincount(at, minlength=len(hashes)).tolist(), strict=True)))
+            total[begin] += len(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(list(total), np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
+
+    c = docs.select(text).limit(LOOKED_AT).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    total = c.agg(F.sum("c")).first()[0] or 0
+    rows = c.where(F.col("c") * F.lit(2 * shards) >= F.lit(max(1, total))).collect()
+    return {r["word"] & ((1 << 64) - 1): -(-2 * shards * r["c"] // total) for r in rows}
+
+
+_ASKED = "shard int, block int, nodes binary, counts binary, degree binary, next binary, next_counts binary, degree2 binary, next2 binary, next2_counts binary"
+_ANSWER = "shard int, block int, counts binary, g binary, g_book binary, p binary, p_book binary, g2 binary, g2_book binary, p3 binary, p3_book binary, tokens long, types long, once long, bytes long, split binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _small(c: np.ndarray) -> bytes:
+    """Counts, a byte each where that is enough."""
+    return c.astype(np.uint8 if not len(c) or c.max() < 256 else np.uint32).tobytes()
+
+
+def _large(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n and n else np.uint8)
+
+
+def _asked(shards: int, split: dict[int, int]):
     def run(key, table):
-        b = Block(raw_of(table.column("t").combine_chunks()))
-        words, pairs = b.counts(table.column("train").to_numpy())
-        shard = b.shard_of(shards)
-        degree = np.bincount(b.pair_context, minlength=len(b.words))
-        nexts = b.words[b.pair_token] >> np.uint64(64 - LOW_BITS)
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        at = np.concatenate([[0], np.cumsum(degree)])
+        b = Block(table.column("t"), split)
+        nodes, pairs, triples = b.counts(table.column("train").to_numpy())
+        cut = np.searchsorted(b.shard_of(shards), np.arange(shards + 1))
+        degree, degree2 = np.bincount(b.pair_node, minlength=len(b.nodes)), np.bincount(b.triple_pair, minlength=len(b.pair_node))
+        at, at2 = np.concatenate([[0], np.cumsum(degree)]), np.concatenate([[0], np.cumsum(degree2)])
+        short = (b.words >> np.uint64(64 - LOW_BITS)).astype(np.uint32)
+        nexts, nexts2 = short[b.pair_token], short[b.triple_token]
         rows = []
         for s in range(shards):
             i, j = cut[s], cut[s + 1]
             if i < j:
                 x, y = at[i], at[j]
-                small = np.ascontiguousarray(nexts[x:y]).view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
-                c = pairs[x:y]
-                c = c.astype(np.uint8 if not len(c) or c.max() < 256 else np.uint32)
-                rows.append((s, key[0].as_py(), b.words[i:j].tobytes(), words[i:j].astype(np.uint32).tobytes(), degree[i:j].astype(np.uint32).tobytes(), small.tobytes(), c.tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.table([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=[x.split()[0] for x in _ASKED.split(", ")])
+                v, w = at2[x], at2[y]
+                rows.append((s, key[0].as_py(), b.nodes[i:j].tobytes(), _small(nodes[i:j]), _small(degree[i:j]), nexts[x:y].tobytes(), _small(pairs[x:y]), _small(degree2[x:y]), nexts2[v:w].tobytes(), _small(triples[v:w])))
+        cols = list(zip(*rows, strict=True)) or [()] * 10
+        return pa.table([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=_names(_ASKED))
 
     return run
 
 
-def _answered(begin: int, cutoff: int):
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of each given one, and the sums of their counts."""
+    all_of, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return all_of, place, np.bincount(place, weights=np.concatenate(counts), minlength=len(all_of)).astype(np.int64)
+
+
+def _below(context: np.ndarray, degree: list[np.ndarray], nexts: list[bytes]) -> np.ndarray:
+    """Keys of the next level."""
+    raw = np.frombuffer(b"".join(nexts), np.uint32)
+    return (np.repeat(context.astype(np.uint64), np.concatenate(degree)) << np.uint64(LOW_BITS)) | raw
+
+
+def _trained(keys: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The keys seen in training, their contexts replaced by their ranks among the trained ones."""
+    on = counts > 0
+    return (rank[(keys[on] >> np.uint64(LOW_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(LOW_BITS)) | (keys[on] & _LOW)
+
+
+def _told(level: Level, keys: np.ndarray, rank: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of p of the asked keys (0: none) and their places in the level."""
+    of = (keys >> np.uint64(LOW_BITS)).astype(np.int64)
+    on = np.flatnonzero(known[of])
+    p, at = np.zeros(len(keys), np.uint8), np.full(len(keys), -1)
+    place, same = level.find((rank[of[on]].astype(np.uint64) << np.uint64(LOW_BITS)) | (keys[on] & _LOW))
+    on, place = on[same], place[same]
+    p[on], at[on] = level.p[place], place
+    return p, at
+
+
+def _answered(begin: int, split_nodes: np.ndarray):
     def run(key, table):
-        of = [table.column(k).to_pylist() for k in ("block", "words", "counts", "degree", "next", "next_counts")]
-        rows = []
-        for block, w, c, d, x, xc in zip(*of, strict=True):
-            degree = np.frombuffer(d, np.uint32)
-            small = np.zeros((int(degree.sum()), 8), np.uint8)
-            small[:, : LOW_BITS // 8] = np.frombuffer(x, np.uint8).reshape(-1, LOW_BITS // 8)
-            wide = len(xc) == 4 * len(small) and len(small) > 0
-            rows.append((block, np.frombuffer(w, np.uint64), np.frombuffer(c, np.uint32), degree, small.view("<u8")[:, 0], np.frombuffer(xc, np.uint32 if wide else np.uint8)))
-        words, code = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-        counts = np.bincount(code, weights=np.concatenate([r[2] for r in rows]), minlength=len(words)).astype(np.int64)
-        context = code[np.repeat(np.arange(len(code)), np.concatenate([r[3] for r in rows]))].astype(np.uint64)
-        keys, pair = np.unique((context << np.uint64(LOW_BITS)) | np.concatenate([r[4] for r in rows]), return_inverse=True)
-        pair_counts = np.bincount(pair, weights=np.concatenate([r[5] for r in rows]), minlength=len(keys)).astype(np.int64)
-        # The trie holds trained words and pairs over the cutoff; words get their rank among the trained.
-        seen = counts > 0
-        rank = np.cumsum(seen) - 1
-        of_pair = (keys >> np.uint64(LOW_BITS)).astype(np.int64)
-        low = keys & np.uint64((1 << LOW_BITS) - 1)
-        kept = pair_counts >= max(1, cutoff)
-        trie = Trie(words[seen], counts[seen], (rank[of_pair[kept]].astype(np.uint64) << np.uint64(LOW_BITS)) | low[kept], pair_counts[kept]).mapped()
-        try:
-            at = trie.word(words)
-            c = np.where(at >= 0, trie.counts[np.maximum(at, 0)] if trie.words.n else 0, 0).astype(np.uint32)
-            g = np.where(at >= 0, trie.g[np.maximum(at, 0)] if trie.words.n else 0, 0).astype(np.uint8)
-            p = trie.pair(at[of_pair], low)
-            real = seen & (words != np.uint64(begin))
-            stats = (int(counts[real].sum()), int(real.sum()), int((counts[real] == 1).sum()), trie.words.size() + trie.begin.size() + trie.pairs.size() + len(trie.p) + 5 * len(trie.g))
-            out, i, j = [], 0, 0
-            for n, (block, w, _, _, x, _) in enumerate(rows):
-                own, own_pairs = code[i : i + len(w)], pair[j : j + len(x)]
-                i, j = i + len(w), j + len(x)
-                out.append((key[0].as_py(), block, c[own].tobytes(), g[own].tobytes(), trie.g_book.tobytes(), p[own_pairs].tobytes(), trie.p_book.tobytes(), *(stats if n == 0 else (0, 0, 0, 0))))
-        finally:
-            trie.close()
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 5 + [pa.int64()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _ANSWER.split(", ")])
+        of = {k: table.column(k).to_pylist() for k in _names(_ASKED)[1:]}
+        n_nodes, n_pairs = [len(x) // 8 for x in of["nodes"]], [len(x) // 4 for x in of["next"]]
+        n_triples = [len(x) // 4 for x in of["next2"]]
+        large = lambda k, sizes: [_large(x, n) for x, n in zip(of.pop(k), sizes, strict=True)]
+        nodes, node, counts = _merged([np.frombuffer(x, np.uint64) for x in of.pop("nodes")], large("counts", n_nodes))
+        pairs, pair, pair_counts = _merged([_below(node, large("degree", n_nodes), of.pop("next"))], large("next_counts", n_pairs))
+        triples, triple, triple_counts = _merged([_below(pair, large("degree2", n_pairs), of.pop("next2"))], large("next2_counts", n_triples))
+        # The trie holds what was seen in training; contexts get their ranks among that.
+        seen, seen2 = counts > 0, pair_counts > 0
+        rank, rank2 = np.cumsum(seen) - 1, np.cumsum(seen2) - 1
+        trie = Trie(nodes[seen], counts[seen], _trained(pairs, pair_counts, rank), pair_counts[seen2], _trained(triples, triple_counts, rank2), triple_counts[triple_counts > 0]).mapped()
+        real = seen & (nodes != np.uint64(begin)) & ~np.isin(nodes, split_nodes)
+        parts = np.flatnonzero(seen & np.isin(nodes, split_nodes))
+        after = np.bincount((pairs[seen2] >> np.uint64(LOW_BITS)).astype(np.int64), minlength=len(nodes))
+        stats = (int(counts[real].sum()), int(real.sum()), int((counts[real] == 1).sum()), trie.size())
+        split = np.stack([nodes[parts], counts[parts].astype(np.uint64), after[parts].astype(np.uint64)], 1).tobytes()
+        at, known = trie.words.find(nodes) if trie.words.n else (np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool))
+        place = np.where(known, at, 0)
+        c, g = (np.where(known, x[place] if len(x) else 0, 0).astype(x.dtype) for x in (trie.counts, trie.g))
+        p, at = _told(trie.two, pairs, place, known)
+        g2 = np.where(at >= 0, trie.g2[np.maximum(at, 0)] if len(trie.g2) else 0, 0).astype(np.uint8)
+        p3, _ = _told(trie.three, triples, np.maximum(at, 0), at >= 0)
+        out, i, j, k = [], 0, 0, 0
+        books = [x.tobytes() for x in (trie.g_book, trie.two.p_book, trie.g2_book, trie.three.p_book)]
+        for r, (block, x, y, z) in enumerate(zip(of["block"], n_nodes, n_pairs, n_triples, strict=True)):
+            own, own2, own3 = node[i : i + x], pair[j : j + y], triple[k : k + z]
+            i, j, k = i + x, j + y, k + z
+            out.append((key[0].as_py(), block, _small(c[own]), g[own].tobytes(), books[0], p[own2].tobytes(), books[1], g2[own2].tobytes(), books[2], p3[own3].tobytes(), books[3], *((*stats, split) if r == 0 else (0, 0, 0, 0, b""))))
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 9 + [pa.int64()] * 4 + [pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_ANSWER))
 
     return run
 
@@ -287,29 +407,47 @@ def _answered(begin: int, cutoff: int):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(total: int, types: int, once: int):
-    names = [x.split()[0] for x in _SCORES.split(", ")]
+def _scored(total: int, types: int, once: int, split: dict[int, int], whole: dict[int, tuple[float, float]]):
+    """whole: node of a split word -> its share of the word's count, and the word's left mass."""
 
     def run(key, left, right):
-        b = Block(raw_of(left.column("t").combine_chunks()))
+        b = Block(left.column("t"), split)
         answers = right.sort_by("shard").to_pylist()
-        c = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in answers]).astype(np.float64)
-        g = np.concatenate([np.frombuffer(r["g_book"], np.float32)[np.frombuffer(r["g"], np.uint8)] for r in answers]).astype(np.float64)
-        p = np.concatenate([np.where((q := np.frombuffer(r["p"], np.uint8)) > 0, 10.0 ** np.frombuffer(r["p_book"], np.float32)[q], 0.0) for r in answers])
+
+        def values(k: str, book: str, none: float) -> np.ndarray:
+            parts = []
+            for r in answers:
+                table = 10.0 ** np.frombuffer(r[book], np.float32).astype(np.float64)
+                table[0] = none
+                parts.append(table[np.frombuffer(r[k], np.uint8)])
+            return np.concatenate(parts)
+
+        c = np.concatenate([_large(r["counts"], len(r["g"])) for r in answers]).astype(np.float64)
+        g, g2 = values("g", "g_book", 1.0), values("g2", "g2_book", 1.0)  # a context that was not seen leaves all to shorter ones
+        p, p3 = values("p", "p_book", 0.0), values("p3", "p3_book", 0.0)
+        if whole:
+            own = np.asarray(list(whole), np.uint64)
+            at = np.minimum(np.searchsorted(b.nodes, own), len(b.nodes) - 1)
+            on = np.flatnonzero(b.nodes[at] == own)
+            share, mass = np.ones(len(b.nodes)), np.asarray(list(whole.values()), np.float64)
+            share[at[on]], g[at[on]] = mass[on, 0], mass[on, 1]
+            p = p * share[b.pair_node]
+        c = c[b.node_of_word]
         base = np.log10((c + 0.1) / (total + 0.1 * (types + 1)))
         unseen = min(0.5, max(1, once) / max(1, total))
         one = np.where(c > 0, (1 - unseen) * c / max(1, total), unseen)
-        rest = np.where(c > 0, 10.0**g, 1.0)  # a context that was not seen leaves all to P(w)
-        two = np.log10(p + rest[b.pair_context] * one[b.pair_token])
+        two = p + g[b.pair_node] * one[b.pair_token]
+        score = two[b.pair]
+        score[b.inner] = p3[b.triple] + g2[b.triple_pair[b.triple]] * score[b.inner]
         at = np.cumsum(b.n) - b.n
-        sums = [np.add.reduceat(x, at) for x in ((c[b.token] > 0).astype(np.int64), base[b.token], two[b.pair])]
+        sums = [np.add.reduceat(x, at) for x in ((c[b.token] > 0).astype(np.int64), base[b.token], np.log10(score))]
         held = pa.array(~left.column("train").to_numpy())
-        return pa.table([left.column("doc_id"), held, pa.array(b.n), pa.array(sums[0]), pa.array(np.full(len(b.n), total)), pa.array(sums[1]), pa.array(sums[2])], names=names)
+        return pa.table([left.column("doc_id"), held, pa.array(b.n), pa.array(sums[0]), pa.array(np.full(len(b.n), total)), pa.array(sums[1]), pa.array(sums[2])], names=_names(_SCORES))
 
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, cutoff: int = CUTOFF) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is empty: its one token is the end. A null id counts as not held out. Repeated rows each count and are
@@ -319,12 +457,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     import xxhash
 
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    blocks, shards = max(1, -(-total // block_bytes)), max(1, -(-total // shard_bytes))
+    split = split_words(docs, text, shards)
+    nodes = {int(split_hash(np.asarray([h], np.uint64), np.asarray([k], np.uint64))[0]): h for h, m in split.items() for k in range(m)}
     d = docs.select(F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).cast("long").alias("doc_id"), (~held_out(F.col(doc_id))).alias("train"), F.col(text).alias("t"))
-    asked = d.groupBy("block").applyInArrow(_asked(blocks), _ASKED)
-    answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN), cutoff), _ANSWER), "answers")
+    asked = d.groupBy("block").applyInArrow(_asked(shards, split), _ASKED)
+    answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN), np.asarray(sorted(nodes), np.uint64)), _ANSWER), "answers")
     del asked
     release(docs.sparkSession)  # the documents and questions that were dealt for the first pass
     n, types, once = answers.agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
-    own = answers.select("shard", "block", "counts", "g", "g_book", "p", "p_book")
-    return d.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_scored(n or 0, types or 0, once or 0), _SCORES)
+    # As many rows as split words have ranges: about 4 * shards at most.
+    told = [np.frombuffer(r["split"], np.uint64).reshape(-1, 3).tolist() for r in answers.where("octet_length(split) > 0").select("split").collect()]
+    count = {node: (c, after) for rows in told for node, c, after in rows}
+    sums: Counter = Counter()
+    successors: Counter = Counter()
+    for node, (c, after) in count.items():
+        sums[nodes[node]] += c
+        successors[nodes[node]] += after
+    whole = {node: (count.get(node, (0, 0))[0] / sums[w], DISCOUNT * successors[w] / sums[w]) for node, w in nodes.items() if sums[w]}
+    own = answers.select("shard", "block", "counts", "g", "g_book", "p", "p_book", "g2", "g2_book", "p3", "p3_book")
+    return d.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_scored(n or 0, types or 0, once or 0, split, whole), _SCORES)
