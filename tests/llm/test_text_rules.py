@@ -98,7 +98,6 @@ def encode(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -161,3 +160,30 @@ def test_token_files(spark, docs, tmp_path):
     f = next(p for p in (tmp_path / "t").glob("part-*.parquet") if pq.ParquetFile(p).metadata.num_rows)
     column = pq.ParquetFile(f).metadata.row_group(0).column(4)
     assert "DICTIONARY" in str(column.encodings) and column.has_offset_index
+
+
+def odd_texts(seed, n=400):
+    import random
+
+    rng = random.Random(seed)
+    pieces = ["a", "word", "Wörter", "naïve", "3", "don't", "x.y", "...", ")", "<|endoftext|>", "<|endoftext", "\x01", "\x01.", "é", "日本", "ⅷ", "😀", "", "\t", "\r", "\u00a0", "\u2028", "_", "'s"]
+    joints = [" ", " ", " ", ", ", ". ", ".", ",", "\n", "\n\n", " \n", "\n ", "  ", ".\n", ",\n", ""]
+    return ["".join(rng.choice(pieces) + rng.choice(joints) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("specials_as_text,kept", [(False, 600_000), (True, 600_000), (False, 40)])
+def test_encoder_is_the_plain_call(specials_as_text, kept):
+    """Also with added tokens, marks and white space of all kinds, and with a table that forgets."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from strainlake.llm.tokens import Encoder
+
+    tok = Tokenizer.from_file(vocabulary())
+    tok.encode_special_tokens = specials_as_text
+    enc = Encoder(vocabulary(), kept, specials_as_text)
+    for seed in range(6):
+        texts = [*odd_texts(seed), None, "", " ", "\n", "long " * 3000]
+        ids, offs = enc.encode(pa.array(texts, pa.string()))
+        for t, a, b in zip(texts, offs[:-1], offs[1:], strict=True):
+            assert ids[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
