@@ -1,9 +1,10 @@
 """Toxic passages: all maximal-scoring segments of token log-odds, judged by extreme-value statistics.
 
 Log-odds of tokens between toxic and clean labelled texts are shrunk by an informative Dirichlet prior (the pooled
-counts). A linear-time scan finds every maximal segment; a segment's score S in a text of n tokens is normalised to
-lambda S - ln(K n), with lambda from the clean token distribution and K from the best segments of clean texts. A
-document's normalised scores are summed and mapped to a probability by a logistic fit on the labelled rows.
+counts), and count as far as their interval lies off zero, on either side: clean-leaning tokens cost a segment more
+than neutral ones. A linear-time scan finds every maximal segment; a segment's score S in a text of n tokens is
+normalised to lambda S - ln(K n), with lambda from the clean token distribution and K from the best segments of clean
+texts. A document's normalised scores are summed and mapped to a probability by a logistic fit on the labelled rows.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strainlake.llm.common import WS_RUN, slices, texts_of
+from strainlake.llm.common import WS_RUN, discard, slices, texts_of, written
 
-#: Bounds of the fit: labelled rows (those of smallest hash) and scored terms (those of largest z).
+#: Bound of the fit: labelled rows (those of smallest hash). Terms are those of these rows, all of them.
 MAX_LABELLED = 20_000
-MAX_TERMS = 20_000
-#: The prior weighs as much as this share of the labelled tokens; terms count from this z on; cost of a neutral token.
+#: The prior weighs as much as this share of the labelled tokens; half width of the interval in standard errors; what
+#: every token costs, so that a neutral one does.
 PRIOR_SHARE = 0.1
-MIN_Z = 3.5
+WIDTH = 1.96
 DRIFT = 0.5
+#: Scores of clean tokens are counted in steps of this size.
+STEP = 1 / 256
 #: Chance that a clean text has a segment as good as one that is called significant.
 SIGNIFICANCE = 0.01
 
@@ -54,18 +57,27 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, prior_share: float = PRIOR_SH
     return delta, delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
 
+def shrunk(delta: np.ndarray, z: np.ndarray, width: float = WIDTH) -> np.ndarray:
+    """The end of the interval of the log-odds that is nearer to zero; zero if it holds zero."""
+    return delta * np.maximum(0.0, 1 - width / np.maximum(np.abs(z), 1e-12))
+
+
 def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (begin, end, score) of a text whose token at[i] scores score[i], the others -drift.
 
     Ruzzo and Tompa's scan in time linear in the scored tokens: each candidate keeps the totals left of it and at its
-    right end; a new one is merged back as long as that makes it better.
+    right end; a new one is merged back as long as that makes it better. Tokens of no positive score begin none.
     """
     out: list[list] = []  # begin, end, left total, right total
     total, before = 0.0, 0
     for i, s in zip(at.tolist(), score.tolist(), strict=True):
         total -= drift * (i - before)
+        before = i + 1
+        if s <= 0:
+            total += s
+            continue
         new = [i, i + 1, total, total + s]
-        total, before = total + s, i + 1
+        total += s
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= new[2]:
@@ -106,11 +118,11 @@ class Model:
         return self.__dict__ | {"words": {}}
 
     def word_score(self, word: str) -> float | None:
-        """The best score of a word's terms; None for a neutral word."""
+        """The best score of a word's terms, less what every token costs; None for a neutral word."""
         got = [s for t in terms_of(word) if (s := self.terms.get(t)) is not None] if word else []
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        best = self.words[word] = max(got, default=None)
+        best = self.words[word] = max(got) - DRIFT if got else None
         return best
 
     def hits(self, text: str) -> tuple[list[int], list[float], int]:
@@ -177,8 +189,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> Model:
-    """Learns from labelled rows that are not held out, at most `most` of them. Without both classes no term scores."""
-    rows = _labelled(docs, labels, doc_id, text, label, most)
+    """Learns from labelled rows that are not held out, at most `most` of them. Without both classes no term scores.
+
+    Null texts, labels and ids, texts of any length and repeated rows are as in score(); a row's label is the largest.
+    The driver gets the terms that score and one short row per labelled text.
+    """
+    rows = written(_labelled(docs, labels, doc_id, text, label, most), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,40 +206,50 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([both[1][x] for x in terms], pa.int64()), pa.array([both[0][x] for x in terms], pa.int64())], names=["term", "toxic", "clean"])
 
     counts = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.persist()
-    try:
-        own = ~F.col("term").endswith("*")
-        nt, nc = (float(x or 0) for x in counts.where(own).agg(F.sum("toxic"), F.sum("clean")).first())
-        # The same log-odds as log_odds(), as columns, so that only scoring terms reach the driver.
-        t, c = F.col("toxic"), F.col("clean")
-        prior = PRIOR_SHARE * (t + c)
-        a0 = PRIOR_SHARE * (nt + nc)
-        delta = F.log((t + prior) / (nt + a0 - t - prior)) - F.log((c + prior) / (nc + a0 - c - prior))
-        z = delta / F.sqrt(1 / (t + prior) + 1 / (c + prior))
-        best = counts.where((t > 0) & (F.col("term") != "") & F.lit(nt > 0 and nc > 0)).select("term", delta.alias("d"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("d") > DRIFT))
-        got = best.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    finally:
-        counts.unpersist()
-    # The lower end of an interval of the log-odds: rare terms score less than their ratio.
-    model = Model({r["term"]: x for r in got if (x := r["d"] * (1 - 1.64 / r["z"])) > 0})
-    if not model.terms:
+    counts = written(counts, "terms")
+    own = ~F.col("term").endswith("*")
+    nt, nc = (float(x or 0) for x in counts.where(own).agg(F.sum("toxic"), F.sum("clean")).first())
+    # The same as shrunk(log_odds()), as columns, so that only scoring terms reach the driver.
+    t, c = F.col("toxic"), F.col("clean")
+    prior = PRIOR_SHARE * (t + c)
+    a0 = PRIOR_SHARE * (nt + nc)
+    delta = F.log((t + prior) / (nt + a0 - t - prior)) - F.log((c + prior) / (nc + a0 - c - prior))
+    z = F.abs(delta) / F.sqrt(1 / (t + prior) + 1 / (c + prior))
+    scored = counts.where((F.col("term") != "") & F.lit(nt > 0 and nc > 0)).select("term", delta.alias("d"), z.alias("z")).where(F.col("z") > WIDTH)
+    model = Model({r["term"]: r["s"] for r in scored.select("term", (F.col("d") * (1 - WIDTH / F.col("z"))).alias("s")).collect()})
+    if not any(x > DRIFT for x in model.terms.values()):
         model.shift = -5.0
+        discard(rows, counts)
         return model
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often a clean text's tokens have each score (null: neutral)."""
+        seen: Counter = Counter()
+        for batch in batches:
+            for y, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                if y != 1:
+                    at, score, n = model.hits(t)
+                    seen.update(round(s / STEP) for s in score)
+                    seen[None] += n - len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["bin", "c"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.hits(t) for t in texts_of(batch.column(1))]
-            segs = [[s for _, _, s in segments(np.asarray(at), np.asarray(score))] if at else [] for at, score, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for *_, n in found], pa.int64()), pa.array([x for _, x, _ in found], pa.list_(pa.float64())), pa.array(segs, pa.list_(pa.float64()))], names=["y", "n", "hits", "s"])
-
-    seen = rows.mapInArrow(hits, "y int, n long, hits array<double>, s array<double>").collect()  # at most `most` rows
-    clean = [r for r in seen if r["y"] != 1]
-    of = np.asarray([x for r in clean for x in r["hits"]] + [max(model.terms.values())])
-    model.lam = decay(of, np.full(len(of), 1 / max(2.0, sum(r["n"] for r in clean))))
+            found = [model.found(t) for t in texts_of(batch.column(1))]
+            tops = [max((x for _, _, x in segs), default=0.0) for segs, _ in found]
+            values = [model.normalised(n, [x for _, _, x in segs]) for segs, n in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array(tops, pa.float64()), pa.array(values, pa.float64())], names=["y", "n", "top", "x"])
+
+    of = rows.mapInArrow(spread, "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).collect()  # a row for each step of the score
+    hits = [r for r in of if r["bin"] is not None]
+    at = np.asarray([r["bin"] * STEP for r in hits] + [max(model.terms.values()) - DRIFT])
+    model.lam = decay(at, np.asarray([r["c"] for r in hits] + [1]) / max(2.0, sum(r["c"] for r in of) + 1))
+    clean = [r for r in rows.mapInArrow(best, "y int, n long, top double, x double").collect() if r["y"] != 1]  # at most `most` rows
     # Maximum likelihood of the Gumbel law of clean maxima, given lambda.
-    model.k = max(1e-12, len(clean) / max(1e-9, sum(max(1, r["n"]) * math.exp(-model.lam * max(r["s"], default=0.0)) for r in clean)))
-    x, y = np.asarray([model.normalised(r["n"], r["s"]) for r in seen]), np.asarray([float(r["y"] == 1) for r in seen])
-    model.slope, model.shift = logistic(x, y)
+    model.k = max(1e-12, len(clean) / max(1e-9, sum(max(1, r["n"]) * math.exp(-model.lam * r["top"]) for r in clean)))
+    seen = rows.mapInArrow(best, "y int, n long, top double, x double").collect()  # now normalised by lambda and K
+    model.slope, model.shift = logistic(np.asarray([r["x"] for r in seen]), np.asarray([float(r["y"] == 1) for r in seen]))
+    discard(rows, counts)
     return model
 
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,7 +88,7 @@ def test_segments_are_ruzzo_tompa():
     for _ in range(300):
         n = int(rng.integers(1, 14))
         at = np.flatnonzero(rng.random(n) < 0.5)
-        score = rng.random(len(at)) * 2 + 0.013
+        score = rng.random(len(at)) * 3 - 0.987  # clean-leaning tokens score below zero
         s = np.full(n, -0.5)
         s[at] = score
         assert [(a, b) for a, b, _ in toxicity.segments(at, score, 0.5)] == brute(list(s))
@@ -118,6 +121,53 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_fit_is_the_plain_one(spark):
+    """Term scores, lambda, K and the logistic step against loops over the labelled texts."""
+    rng = random.Random(3)
+    plain = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(["vile", "slur", "slurs"] if i % 2 == 0 and rng.random() < 0.2 else plain + ["kind", "fairly"] * (i % 2)) for _ in range(50))) for i in range(600)]
+    rows += [(1000, "kind " * 20_000), (1001, None), (1002, rows[8][1])]
+    labels = [(i, int(i % 2 == 0 and i < 1000)) for i, _ in rows]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    texts = {}
+    for i, t in rows:
+        if not held(i):
+            key = re.sub(r"\s", "", t or "")
+            texts[key] = max(texts.get(key, (0, "")), (int(i % 2 == 0 and i < 1000), t or ""))
+    texts = list(texts.values())
+    count = Counter(), Counter()
+    for y, t in texts:
+        words = {w.strip(".,") for w in t.lower().split()}
+        count[y].update({x for w in words for x in [w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k)]})
+    nt, nc = (sum(n for x, n in count[y].items() if x[-1] != "*") for y in (1, 0))
+    want = {}
+    for x in count[0].keys() | count[1].keys():
+        t, c = count[1][x], count[0][x]
+        a, a0 = 0.1 * (t + c), 0.1 * (nt + nc)
+        d = math.log((t + a) / (nt + a0 - t - a)) - math.log((c + a) / (nc + a0 - c - a))
+        se = math.sqrt(1 / (t + a) + 1 / (c + a))
+        if abs(d) > 1.96 * se:
+            want[x] = math.copysign(abs(d) - 1.96 * se, d)
+    assert model.terms == pytest.approx(want) and min(want.values()) < 0 < max(want.values())
+
+    def scores(t):
+        own = [[want[x] for x in [w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k)] if x in want] for w in t.lower().split()]
+        return [max(x, default=0.0) - 0.5 for x in own]
+
+    clean = [scores(t) for y, t in texts if not y]
+    tokens = [x for s in clean for x in s] + [max(want.values()) - 0.5]
+    assert abs(sum(math.exp(model.lam * x) for x in tokens) / len(tokens) - 1) < 0.03
+    top = lambda s: max([x for *_, x in toxicity.segments(np.arange(len(s)), np.asarray(s))], default=0.0)
+    k = len(clean) / sum(max(1, len(s)) * math.exp(-model.lam * top(s)) for s in clean)
+    assert model.k == pytest.approx(k, rel=1e-6)
+    x, y = [model.statistic(t) for _, t in texts], [y for y, _ in texts]
+    p = [1 / (1 + math.exp(-(model.slope * v + model.shift))) for v in x]
+    assert abs(sum((a - b) * v for a, b, v in zip(y, p, x)) - 0.01 * model.slope) < 1e-3
+    assert abs(sum(a - b for a, b in zip(y, p)) - 0.01 * model.shift) < 1e-3
+
+
 def plain_spans(text):
     t = text or ""
     a = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 8]
