@@ -18,6 +18,9 @@ RULES = {
     "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
     "word_length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
 }
+#: A host is rejected when a rule's shrunk failure rate lies Z posterior standard deviations above TIMES the mean rate of
+#: all hosts, and above LEAST: credibly a worse host than others, and one that fails often.
+Z, TIMES, LEAST = 2.33, 2.0, 0.2
 #: Up to so many hosts the verdicts are broadcast; beyond, the join is salted.
 BROADCAST_HOSTS = 10_000
 SALTS = 32
@@ -68,11 +71,12 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: C
     return d.withColumn("n_repeat_words", F.when(F.size(at) >= 2, covered).otherwise(F.lit(0).cast("long"))).drop("at")
 
 
-def host_rates(measured: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """One row per host and rule: documents n, failures k, and the failure rate shrunk by a beta prior.
+def host_rates(measured: DataFrame, rules: dict[str, str] = RULES, z: float = Z, times: float = TIMES, least: float = LEAST) -> DataFrame:
+    """One row per host and rule: documents n, failures k, shrunk rate, its credible lower bound, and the limit of that.
 
-    The prior's mean and strength come from the hosts themselves by moments: strength m(1-m)/v - 1, where v is the
-    spread of the host rates beyond what drawing documents explains. Without such spread all hosts get the mean.
+    The prior's mean m and strength come from the hosts themselves by moments: strength m(1-m)/v - 1, where v is the
+    spread of the host rates beyond what drawing documents explains. Without such spread all hosts get the mean. The
+    bound lies z posterior standard deviations below the rate; the limit is times the mean, least at the lowest.
     """
     fails = [F.count_if(F.coalesce(F.expr(e), F.lit(False))).alias(k) for k, e in rules.items()]
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *fails)
@@ -87,24 +91,27 @@ def host_rates(measured: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
         m, v = float(moments[f"{k}_m"] or 0), float(moments[f"{k}_v"] or 0)
         between = v - m * (1 - m) * float(moments["inv_n"] or 0)
         strength = min(1e9, max(1.0, m * (1 - m) / between - 1)) if between > 0 else 1e9
-        rows.append(F.struct(F.lit(k).alias("rule"), F.col(k).alias("k"), ((F.col(k) + F.lit(m * strength)) / (F.col("n") + F.lit(strength))).alias("rate")))
+        weight = F.col("n") + F.lit(strength)
+        rows.append(F.struct(F.lit(k).alias("rule"), F.col(k).alias("k"), ((F.col(k) + F.lit(m * strength)) / weight).alias("rate"), weight.alias("weight"), F.lit(max(least, times * m)).alias("limit")))
     out = hosts.select("host", "n", F.explode(F.array(*rows)).alias("r")).select("host", "n", "r.*")
-    return out
+    rate = F.col("rate")
+    return out.withColumn("bound", rate - F.lit(z) * F.sqrt(F.greatest(F.lit(0.0), rate * (1 - rate)) / (F.col("weight") + 1))).drop("weight")
 
 
-def host_verdicts(measured: DataFrame, rules: dict[str, str] = RULES, most: float = 0.5) -> DataFrame:
-    """host, host_rate (the worst shrunk rate) and host_ok (no rule's shrunk rate is over most)."""
-    return host_rates(measured, rules).groupBy("host").agg(F.max("rate").alias("host_rate")).withColumn("host_ok", F.col("host_rate") <= most)
+def host_verdicts(measured: DataFrame, rules: dict[str, str] = RULES, z: float = Z, times: float = TIMES, least: float = LEAST) -> DataFrame:
+    """host, host_rate (the worst shrunk rate) and host_ok: no rule's rate is credibly over its limit."""
+    by = host_rates(measured, rules, z, times, least).groupBy("host")
+    return by.agg(F.max("rate").alias("host_rate"), F.min(F.col("bound") <= F.col("limit")).alias("host_ok"))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: Column | str = "source", rules: dict[str, str] = RULES, most: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: Column | str = "source", rules: dict[str, str] = RULES, z: float = Z, times: float = TIMES, least: float = LEAST) -> DataFrame:
     """One row per document with its measures, base_failed, its host's verdict, and kept.
 
     Null text: no words, so it fails. A null host is a host of its own. Repeated rows stay repeated; an empty table
     gives no rows; columns other than the three named are ignored.
     """
     m = written(measure(docs, doc_id, text, host), "quality")
-    verdicts = host_verdicts(m, rules, most)
+    verdicts = host_verdicts(m, rules, z, times, least)
     if m.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         joined = m.alias("m").join(F.broadcast(verdicts.withColumnRenamed("host", "h")), F.col("host").eqNullSafe(F.col("h")), "left")
     else:  # a hot host's documents are dealt over SALTS keys

@@ -23,7 +23,8 @@ def vocabulary() -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import quality
 
-    return quality.judge(docs_of(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    j = quality.judge(docs_of(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 5))
+    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_ok")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +99,23 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 _WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
-def _op1() -> str:
-    from strainlake.llm.quality import RULES
+#: The rules once more, as DuckDB has them, so that a wrong rule cannot be wrong on both sides.
+_OP1_FAILS = {
+    "too_short": "n_words < 50",
+    "repetitive": "n_repeat_words > n_words / 2e0",
+    "symbol_heavy": "n_symbols > n_words / 1e1",
+    "duplicate_lines": "n_dup_lines * 1e1 > n_lines * 3e0",
+    "word_length": "word_chars / 2e0 < n_words OR word_chars / 2e1 > n_words",
+}
+
 
-    fails = ", ".join(f"count(*) FILTER (WHERE {e}) AS k_{k}" for k, e in RULES.items())
-    moments = ", ".join(f"avg(k_{k} / n) AS m_{k}, avg(power(k_{k} / n, 2)) - power(avg(k_{k} / n), 2) - avg(k_{k} / n) * (1 - avg(k_{k} / n)) * avg(1 / n) AS b_{k}" for k in RULES)
-    strength = {k: f"(CASE WHEN b_{k} > 0 THEN least(1e9, greatest(1, m_{k} * (1 - m_{k}) / b_{k} - 1)) ELSE 1e9 END)" for k in RULES}
-    good = " AND ".join(f"(k_{k} + m_{k} * {strength[k]}) / (n + {strength[k]}) <= 0.5" for k in RULES)
+def _op1() -> str:
+    names = list(_OP1_FAILS)
+    fails = ", ".join(f"count(*) FILTER (WHERE {e}) AS k_{k}" for k, e in _OP1_FAILS.items())
+    moments = ", ".join(f"avg(k_{k} / n) AS m_{k}, avg(power(k_{k} / n, 2)) - power(avg(k_{k} / n), 2) - avg(k_{k} / n) * (1 - avg(k_{k} / n)) * avg(1 / n) AS b_{k}" for k in names)
+    strength = ", ".join(f"CASE WHEN b_{k} > 0 THEN least(1e9, greatest(1, m_{k} * (1 - m_{k}) / b_{k} - 1)) ELSE 1e9 END AS s_{k}" for k in names)
+    rates = ", ".join(f"(k_{k} + m_{k} * s_{k}) / (n + s_{k}) AS r_{k}" for k in names)
+    good = " AND ".join(f"r_{k} - 2.33e0 * sqrt(greatest(0e0, r_{k} * (1 - r_{k})) / (n + s_{k} + 1)) <= greatest(0.2e0, 2 * m_{k})" for k in names)
     return rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, {_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -113,9 +124,10 @@ dup AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, s)
 cov AS (SELECT doc_id, sum(c) AS c FROM (SELECT doc_id, least(3, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 3)) AS c FROM dup) GROUP BY 1),
 m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
  len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
-h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {fails} FROM m GROUP BY 1), q AS (SELECT {moments} FROM h), v AS (SELECT host, {good} AS host_ok FROM h, q),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {fails} FROM m GROUP BY 1), q AS (SELECT {moments} FROM h), p AS (SELECT *, {strength} FROM h, q), u AS (SELECT *, {rates} FROM p),
+v AS (SELECT host, {good} AS host_ok, round(greatest({', '.join(f'r_{k}' for k in names)}), 5) AS host_rate FROM u),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept FROM b JOIN v ON b.host IS NOT DISTINCT FROM v.host
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept, host_rate, host_ok FROM b JOIN v ON b.host IS NOT DISTINCT FROM v.host
 """
 
 

@@ -187,3 +187,30 @@ def test_encoder_is_the_plain_call(specials_as_text, kept):
         ids, offs = enc.encode(pa.array(texts, pa.string()))
         for t, a, b in zip(texts, offs[:-1], offs[1:], strict=True):
             assert ids[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_a_bad_host_falls_in_query_and_sql(spark, tmp_path):
+    """A host whose documents often fail one rule loses its clean documents too; the SQL says the same of every row."""
+    import random
+
+    import duckdb
+
+    from strainlake.llm import queries
+
+    rng = random.Random(2)
+    rows = []
+    for h in range(25):
+        for k in range(40):
+            words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 80, 90, 120]) if k % 8 else 20)]
+            if rng.random() < (0.7 if h == 3 else 0.05):
+                words += ["#"] * (len(words) // 3)
+            rows.append((100 * h + k, " ".join(words), f"host{h}" if h else None))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_quality_rules(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    own = got[(got.doc_id >= 300) & (got.doc_id < 340)]
+    assert not own.kept.any() and not own.host_ok.any() and (~own.base_failed).sum() > 20
+    rest = got.drop(own.index)
+    assert (rest.kept == ~rest.base_failed).all()
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(queries.oracle_sql()["op1_quality_rules"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert (got[want.columns] == want).all().all() and set(got.columns) == set(want.columns)
