@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Pass 1 counts the characters of all texts. Pass 2 finds the base patterns and, in what they leave, all long runs of
-token characters, whole and parted at their separators (name=value, paths); a part's encoding is inferred, and it
-stays a candidate only if chi-squared uniformity over that alphabet, the runs test and the serial correlation do not
-speak against chance. Of overlapping candidates the strongest stays. Its p-value is the likelihood ratio of ordinary text (the
-counted characters) to uniform chance, which by Markov's inequality bounds how often ordinary text looks so random.
-The Benjamini-Hochberg rule is then applied in each length class over the candidates of the whole table.
+Pass 1 counts the characters of all texts and which follow which. Pass 2 finds the base patterns and, in what they
+leave, all runs of token characters, whole and parted at their separators (name=value, paths); a part's encoding is
+inferred. Two claims are tested of each: that it is no ordinary text, by the likelihood ratio of ordinary text (the
+counted characters) to uniform chance, whose inverse bounds by Markov's inequality how often ordinary text looks so; and
+that it is no ordinary pattern, by the battery: the deviates of chi-squared uniformity over the alphabet, of the runs
+test and of the serial correlation are summed in squares, and that sum is compared with the sums that ordinary text of
+that alphabet and length gives (drawn from the counts, log-normal). A secret has to pass both, so its p-value is the
+larger one. Of overlapping parts the strongest stays. The Benjamini-Hochberg rule is then applied in each length class
+over all runs of the whole table; parts that cannot pass it (first p-value over the rate) are counted only.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-#: Shortest candidate, bounds of the length classes, share of false discoveries, and the level of the three tests.
-MIN_LENGTH = 20
-CLASSES = (20, 32, 48, 64, 128)
+#: Shortest run that is tested (no shorter one could pass), bounds of the length classes, share of false discoveries.
+MIN_LENGTH = 8
+CLASSES = (8, 12, 16, 20, 24, 32, 48, 64, 128)
 FDR = 0.01
-LEVEL = 0.01
+#: Texts drawn for each alphabet and length class.
+DRAWN = 2000
 
 #: Alphabets in the order they are tried: the first that holds all characters of a run is its encoding.
 ALPHABETS = {
@@ -45,12 +49,26 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-_SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 #: Ways to part a piece: which of the four separators count as a key's own characters. Padding stays at the end.
 _LAYERS = [re.compile(rf"[A-Za-z0-9{x}]+(?:=+\Z)?") for x in ("+/_-", "+/", "_-", "")]
-_NO_SEPARATORS = str.maketrans("", "", "+/_-=")
+_RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _RUN = np.zeros(256, bool)
-_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_RUN[list(_RUN_BYTES)] = True
+#: Kinds of characters, a bit each; which kinds an alphabet holds decides whether it holds all characters of a run.
+_KINDS = (b"01", b"234567", b"89", b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"+/", b"-_", b"=")
+_KIND = np.zeros(256, np.uint16)
+for _i, _chars in enumerate(_KINDS):
+    _KIND[list(_chars)] = 1 << _i
+_NAMES = list(ALPHABETS)
+_HELD = [int(np.bitwise_or.reduce(_KIND[list(v.encode())])) for v in ALPHABETS.values()]
+#: Kinds -> number of the first alphabet that holds them, -1 if none does. Padding counts as separator.
+_ENCODING = np.asarray([next((i for i, h in enumerate(_HELD) if kinds and not kinds & ~h), -1) for kinds in range(1 << len(_KINDS))])
+_SEPARATORS = int(np.bitwise_or.reduce(_KIND[list(b"+/-_=")]))
+_INDEX = []
+for _v in ALPHABETS.values():
+    _x = np.full(256, -1, np.int64)
+    _x[list(_v.encode())] = np.arange(len(_v))
+    _INDEX.append(_x)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,139 +87,194 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def encoding(run: str) -> str | None:
-    chars = set(run.rstrip("="))
-    return next((k for k, s in _SETS.items() if chars <= s), None)
+    """The first alphabet that holds all characters of a run, padding aside."""
+    raw = run.rstrip("=").encode()
+    i = int(_ENCODING[np.bitwise_or.reduce(_KIND[list(raw)])]) if raw else -1
+    return _NAMES[i] if i >= 0 else None
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def deviates(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Standard normal deviates, under chance, of chi-squared uniformity, runs and serial correlation.
 
-
-def battery(run: str, name: str) -> tuple[float, float, float]:
-    """p-values, under chance, of chi-squared uniformity, the runs test and the serial correlation."""
-    alphabet = ALPHABETS[name]
-    x = np.fromiter(map(alphabet.index, run.rstrip("=")), np.int64)
-    n, k = len(x), len(alphabet)
-    seen = np.bincount(x, minlength=k)
-    chi = float(((seen - n / k) ** 2).sum() * k / n)
-    p_chi = _two_sided((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    x: one sequence a row, of numbers below k.
+    """
+    rows, n = x.shape
+    seen = np.bincount((np.arange(rows)[:, None] * k + x).ravel(), minlength=rows * k).reshape(rows, k)
+    chi = ((seen - n / k) ** 2).sum(1) * k / n
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * max(1, n - 1) / n)
     high = x >= k // 2
-    a, b = int(high.sum()), int((~high).sum())
-    if a and b and n > 2:
-        mean, var = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-        p_runs = _two_sided((1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(var)) if var > 0 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
-    d = x - x.mean()
-    ss = float((d * d).sum())
-    p_serial = _two_sided((float((d[1:] * d[:-1]).sum()) / ss + 1 / n) * math.sqrt(n)) if ss else 0.0
-    return p_chi, p_runs, p_serial
-
-
-def text_logs(counts: dict[int, int]) -> np.ndarray:
-    """Natural logs of the share of each byte among all characters of token runs, one added to each count."""
-    c = np.ones(256)
-    for b, n in counts.items():
-        c[b] += n
-    c[~_RUN] = 1
-    return np.log(c / c[_RUN].sum())
-
-
-def surprise(run: str, name: str, logs: np.ndarray) -> float:
-    """-log10 of the bound on the chance that ordinary text looks as random as run."""
-    raw = np.frombuffer(run.rstrip("=").encode(), np.uint8)
-    own = np.frombuffer(ALPHABETS[name].encode(), np.uint8)
-    text = logs[raw] - np.log(np.exp(logs[own]).sum())
-    return max(0.0, float(-(text.sum() + len(raw) * math.log(len(own))) / math.log(10)))
-
-
-def length_class(n: int) -> int:
-    return max(i for i, x in enumerate(CLASSES) if n >= x)
+    a = high.sum(1).astype(float)
+    b = n - a
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    mean, var = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * max(1, n - 1))
+    z_runs = np.where(var > 0, (runs - mean) / np.sqrt(np.where(var > 0, var, 1)), math.sqrt(2 * n * math.log(2)))
+    d = x - x.mean(1, keepdims=True)
+    ss = (d * d).sum(1)
+    z_serial = np.where(ss > 0, ((d[:, 1:] * d[:, :-1]).sum(1) / np.where(ss > 0, ss, 1) + 1 / n) * math.sqrt(n), float(n))
+    return z_chi, z_runs, z_serial
 
 
-def free(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """What the sorted spans leave of [a, b)."""
-    out = []
-    for x, _, y in taken:
-        if y > a and x < b:
-            if x > a:
-                out.append((a, x))
-            a = y
-    return [*out, (a, b)] if a < b else out
+def battery(x: np.ndarray, k: int) -> np.ndarray:
+    """The log of the sum of the squared deviates of each row: about that of chi-squared with 3 degrees under chance."""
+    return np.log(1e-3 + sum(z * z for z in deviates(x, k)))
 
 
-def strength(part: str, logs: np.ndarray) -> float:
-    """Surprise of a part's letters and digits alone: a separator at its edge neither adds nor takes."""
-    own = part.translate(_NO_SEPARATORS)
-    return surprise(own, encoding(own), logs)
+def _normal(z: float) -> float:
+    return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def random_parts(piece: str, logs: np.ndarray) -> list[tuple[int, int, float]]:
-    """(start, end, surprise) of the parts of a piece that the battery leaves as chance; of overlapping ones the strongest.
+def length_class(n: int) -> int:
+    return bisect.bisect_right(CLASSES, n) - 1
+
+
+_LOG_CLASSES = np.log(CLASSES)
+
+
+class Ordinary:
+    """What ordinary text looks like: shares of characters, and for each alphabet and length class the battery's law."""
+
+    def __init__(self, counts: np.ndarray, follows: np.ndarray, fdr: float = FDR, seed: int = 11):
+        """counts: of bytes; follows: of pairs of neighbouring bytes (256 x 256). One is added to each count."""
+        self.least = -math.log10(fdr)  # what lies below passes no Benjamini-Hochberg rule at that rate
+        c = np.where(_RUN, counts + 1.0, 1.0)
+        self.logs = np.log(c / c[_RUN].sum())
+        rng = np.random.default_rng(seed)
+        self.law: list[list[tuple[float, float]]] = []
+        self.own: list[float] = []
+        for alphabet in ALPHABETS.values():
+            at = list(alphabet.encode())
+            k = len(at)
+            self.own.append(math.log(np.exp(self.logs[at]).sum()))
+            step = np.cumsum(follows[np.ix_(at, at)] + c[at] / c[at].sum(), 1)  # a character that is followed by none goes by the shares
+            step /= step[:, -1:]
+            first = np.cumsum(c[at]) / c[at].sum()
+            x = np.zeros((DRAWN, CLASSES[-1]), np.int64)
+            x[:, 0] = np.minimum(k - 1, np.searchsorted(first, rng.random(DRAWN)))
+            for i in range(1, CLASSES[-1]):
+                x[:, i] = np.minimum(k - 1, (step[x[:, i - 1]] < rng.random(DRAWN)[:, None]).sum(1))
+            self.law.append([(float(t.mean()), max(0.05, float(t.std()))) for t in (battery(x[:, :n], k) for n in CLASSES)])
+
+    def unlike_text(self, run: bytes, i: int) -> float:
+        """-log10 of the bound on the chance that ordinary text of alphabet i looks so evenly drawn as run."""
+        total = float(self.logs[np.frombuffer(run, np.uint8)].sum()) - len(run) * self.own[i]
+        return max(0.0, -(total + len(run) * math.log(len(ALPHABETS[_NAMES[i]]))) / math.log(10))
+
+    def unlike_pattern(self, run: bytes, i: int) -> float:
+        """-log10 of the chance that ordinary text of alphabet i and that length does so well in the battery."""
+        at = np.log(len(run))
+        mean, sd = (float(np.interp(at, _LOG_CLASSES, [law[j] for law in self.law[i]])) for j in (0, 1))
+        x = _INDEX[i][np.frombuffer(run, np.uint8)]
+        p = _normal((float(battery(x[None], len(ALPHABETS[_NAMES[i]]))[0]) - mean) / sd)
+        return -math.log10(max(p, 1e-300))
+
+
+def best_parts(piece: str, ordinary: Ordinary) -> list[tuple[int, int, float]]:
+    """(start, end, -log10 p) of the parts of a piece with separators; of overlapping ones the strongest.
 
     Inner '=' always separate; '+', '/', '-' and '_' are tried as characters of a key and as separators.
     """
-    tested: set[tuple[int, int]] = set()
+    tested: dict[tuple[int, int], tuple[bytes, int]] = {}
     ways = 0
     for layer in _LAYERS:
-        own = {m.span() for m in layer.finditer(piece) if len(m[0].rstrip("=")) >= MIN_LENGTH and encoding(m[0]) not in (None, "digits")}
-        ways += not own <= tested
-        tested |= own
-    passed = [(i, j) for i, j in tested if 3 * min(battery(piece[i:j], encoding(piece[i:j]))) >= LEVEL]
-    if len(passed) > 1:
-        passed.sort(key=lambda x: (-strength(piece[x[0] : x[1]], logs), x[1] - x[0], x[0]))
+        before = len(tested)
+        for m in layer.finditer(piece):
+            run = m[0].rstrip("=").encode()
+            if len(run) >= MIN_LENGTH and (i := int(_ENCODING[np.bitwise_or.reduce(_KIND[list(run)])])) >= 0:
+                tested[m.span()] = run, i
+        ways += len(tested) > before
+
+    def strength(span: tuple[int, int]) -> float:
+        """Of a part's letters and digits alone: a separator at its edge neither adds nor takes."""
+        own = tested[span][0].translate(None, b"+/_-")
+        return ordinary.unlike_text(own, int(_ENCODING[np.bitwise_or.reduce(_KIND[list(own)])])) if own else 0.0
+
+    order = sorted(tested, key=lambda x: (-strength(x), x[1] - x[0], x[0])) if len(tested) > 1 else list(tested)
     kept: list[tuple[int, int]] = []
-    for i, j in passed:
+    for i, j in order:
         at = bisect.bisect(kept, (i, j))
         if (at == 0 or kept[at - 1][1] <= i) and (at == len(kept) or kept[at][0] >= j):
             kept.insert(at, (i, j))
     # A character stood in up to so many tested parts, which the bound on the chance has to carry.
-    return [(i, j, max(0.0, surprise(piece[i:j], encoding(piece[i:j]), logs) - math.log10(ways))) for i, j in kept]
-
-
-def candidates(raw: bytes, text: str, logs: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, length class, surprise) of the parts of runs outside the base spans that the battery leaves as chance."""
-    on = np.concatenate([[False], _RUN[np.frombuffer(raw, np.uint8)], [False]])
-    edge = np.flatnonzero(on[1:] != on[:-1])
     out = []
-    start = seen = 0
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if b - a < MIN_LENGTH:
-            continue
-        start += len(raw[seen:a].decode())
-        seen = a
-        for x, y in free(start, start + b - a, taken):
-            if y - x >= MIN_LENGTH:
-                out += [(x + i, x + j, length_class(j - i), s) for i, j, s in random_parts(text[x:y], logs)]
+    for span in kept:
+        run, e = tested[span]
+        q = ordinary.unlike_text(run, e) - math.log10(ways)
+        out.append((*span, min(q, ordinary.unlike_pattern(run, e)) if q >= ordinary.least else 0.0))
     return out
 
 
-def thresholds(histogram: dict[tuple[int, int], int], fdr: float = FDR) -> dict[int, int]:
-    """Length class -> least bin (of tenths of -log10 p) that the Benjamini-Hochberg rule accepts."""
+def candidates(raw: bytes, text: str, ordinary: Ordinary, taken: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, float]], np.ndarray]:
+    """(start, end, length class, -log10 p) of the parts outside the base spans that could pass, and the number tested in each class."""
+    b = np.frombuffer(raw, np.uint8)
+    points = np.flatnonzero((b & 0xC0) != 0x80) if taken or len(text) < len(raw) else None
+    on = np.concatenate([[False], _RUN[b], [False]])
+    for x, _, y in taken:
+        on[int(points[x]) + 1 : (int(points[y]) if y < len(points) else len(b)) + 1] = False
+    edge = np.flatnonzero(on[1:] != on[:-1])
+    begin, end = edge[::2], edge[1::2]
+    long = end - begin >= MIN_LENGTH
+    begin, end = begin[long], end[long]
+    tested = np.zeros(len(CLASSES), np.int64)
+    if not len(begin):
+        return [], tested
+    both = np.stack([begin, end], 1).ravel()
+    both = both[:-1] if both[-1] == len(b) else both
+    kinds = np.bitwise_or.reduceat(_KIND[b], both)[::2].astype(np.int64)
+    total = np.add.reduceat(ordinary.logs[b], both)[::2]
+    n = end - begin
+    plain = kinds & _SEPARATORS == 0
+    code = _ENCODING[kinds]
+    own, size = np.asarray(ordinary.own)[code], np.asarray([len(v) for v in ALPHABETS.values()])[code]
+    q = -(total - n * own + n * np.log(size)) / math.log(10)
+    tested += np.bincount(np.searchsorted(CLASSES, n[plain], side="right") - 1, minlength=len(CLASSES))
+    out = []
+    for r in np.flatnonzero(~plain | (q >= ordinary.least)).tolist():
+        i, j = int(begin[r]), int(end[r])
+        start = i if points is None else int(np.searchsorted(points, i))
+        if plain[r]:
+            found = [(0, j - i, min(float(q[r]), ordinary.unlike_pattern(raw[i:j], int(code[r]))))]
+        else:
+            found = best_parts(raw[i:j].decode(), ordinary)
+            for x, y, _ in found:
+                tested[length_class(y - x)] += 1
+        out += [(start + x, start + y, length_class(y - x), p) for x, y, p in found if p >= ordinary.least]
+    return out, tested
+
+
+def thresholds(histogram: dict[tuple[int, int], int], tested: dict[int, int], fdr: float = FDR) -> dict[int, int]:
+    """Length class -> least bin (of tenths of -log10 p) that the Benjamini-Hochberg rule accepts, among all tested."""
     out = {}
     for c in {c for c, _ in histogram}:
         bins = {b: n for (k, b), n in histogram.items() if k == c}
-        total, within = sum(bins.values()), 0
+        within = 0
         for b in sorted(bins, reverse=True):
             within += bins[b]
-            if total * 10 ** (-b / 10) <= fdr * within:
+            if tested[c] * 10 ** (-b / 10) <= fdr * within:
                 out[c] = b
     return out
 
 
-def character_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
+def ordinary_text(docs: DataFrame, text: str = "text", fdr: float = FDR) -> Ordinary:
+    """From the characters of all texts: 256 counts and those of pairs of token characters reach the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        total = np.zeros(256 + 65536, np.int64)
         for batch in batches:
-            for raw in raw_of(batch.column(0)):
-                total += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int64()), pa.array(total)], names=["b", "n"])
+            for part in slices(batch, 0):
+                b = np.frombuffer(b" ".join(raw_of(part.column(0))), np.uint8)
+                total[:256] += np.bincount(b, minlength=256)
+                pair = _RUN[b[:-1]] & _RUN[b[1:]] if len(b) else np.zeros(0, bool)
+                total[256:] += np.bincount(b[:-1][pair].astype(np.int64) * 256 + b[1:][pair], minlength=65536)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["b", "n"])
 
-    rows = docs.select(F.col(text)).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
-    return {r["b"]: r["n"] for r in rows}
+    total = np.zeros(256 + 65536)
+    for r in docs.select(F.col(text)).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        total[r["b"]] = r["n"]
+    return Ordinary(total[:256], total[256:].reshape(256, 256), fdr)
 
 
-_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<int>, start array<int>, end array<int>, class array<int>, bin array<int>"
+_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<int>, start array<int>, end array<int>, class array<int>, bin array<int>, tested array<int>"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float = FDR) -> DataFrame:
@@ -210,10 +283,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float
     A null text is empty; repeated rows are scanned each for itself and a null id stays null; other columns are
     ignored; an empty table gives no rows. Positions are code points, ends are exclusive.
     """
-    logs = text_logs(character_counts(docs, text))
+    ordinary = ordinary_text(docs, text, fdr)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 5
+        types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 6
         names = [x.split()[0] for x in _FOUND.split(", ")]
         for batch in batches:
             for part in slices(batch, 1):
@@ -221,15 +294,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float
                 for doc, raw in zip(part.column(0).to_pylist(), raw_of(part.column(1)), strict=True):
                     t = raw.decode()
                     base = base_spans(t)
-                    more = candidates(raw, t, logs, base)
+                    more, tested = candidates(raw, t, ordinary, base)
                     kinds = [k for _, k, _ in base]
-                    rows.append((doc, *map(kinds.count, range(3)), [x for s in base for x in s], [x[0] for x in more], [x[1] for x in more], [x[2] for x in more], [min(3000, int(10 * x[3])) for x in more]))
+                    rows.append((doc, *map(kinds.count, range(3)), [x for s in base for x in s], [x[0] for x in more], [x[1] for x in more], [x[2] for x in more], [min(3000, int(10 * x[3])) for x in more], tested.tolist() if tested.any() else []))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     found = written(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(find, _FOUND), "secrets")
     # At most one row for each class and bin, however many candidates there are.
     bins = found.select(F.explode(F.arrays_zip("class", "bin")).alias("x")).groupBy("x.class", "x.bin").count().collect()
-    least = thresholds({(r["class"], r["bin"]): r["count"] for r in bins}, fdr)
+    sums = found.agg(*[F.sum(F.get("tested", F.lit(i))).alias(str(i)) for i in range(len(CLASSES))]).first()
+    least = thresholds({(r["class"], r["bin"]): r["count"] for r in bins}, {i: sums[i] or 0 for i in range(len(CLASSES))}, fdr)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

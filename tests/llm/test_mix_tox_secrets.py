@@ -229,13 +229,61 @@ def test_secrets_in_names_parameters_and_paths(spark):
     for i, (before, k, _) in enumerate(cases):
         assert f"random:{len(before)}:{len(before) + len(k)}" in by[i], (i, by[i])
     assert by[99] == [""]
-    assert secret_scan.free(0, 10, [(2, 0, 4), (3, 1, 5), (9, 2, 12)]) == [(0, 2), (5, 9)]
 
 
-def test_battery_levels():
-    rng = random.Random(4)
-    for name in ("hex", "base62", "base64"):
-        runs = ["".join(rng.choices(secret_scan.ALPHABETS[name], k=40)) for _ in range(400)]
-        passed = np.mean([3 * min(secret_scan.battery(r, name)) >= 0.01 for r in runs])
-        assert passed > 0.93
-    assert min(secret_scan.battery("ab" * 20, "lower")) < 1e-3
+def test_battery_against_plain_tests():
+    """Each deviate against its textbook formula, and their law under chance."""
+    rng = np.random.default_rng(4)
+    for k, n in ((16, 40), (62, 44), (26, 9)):
+        x = rng.integers(0, k, (300, n))
+        z = secret_scan.deviates(x, k)
+        for r in range(20):
+            seen = [sum(v == i for v in x[r]) for i in range(k)]
+            chi = sum((c - n / k) ** 2 / (n / k) for c in seen)
+            assert z[0][r] == pytest.approx((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+            high = [v >= k // 2 for v in x[r]]
+            a, b = sum(high), n - sum(high)
+            runs = sum(1 for _ in itertools.groupby(high))
+            assert z[1][r] == pytest.approx((runs - 2 * a * b / n - 1) / math.sqrt(2 * a * b * (2 * a * b - n) / (n * n * (n - 1))))
+            m = x[r].mean()
+            serial = sum((p - m) * (q - m) for p, q in zip(x[r], x[r][1:])) / sum((p - m) ** 2 for p in x[r])
+            assert z[2][r] == pytest.approx((serial + 1 / n) * math.sqrt(n))
+        assert all(abs(v.mean()) < 0.25 and 0.7 < v.std() < 1.3 for v in z)
+    patterned = np.asarray([[0, 1] * 20, [5] * 40])
+    assert (secret_scan.battery(patterned, 26) > np.quantile(secret_scan.battery(rng.integers(0, 26, (500, 40)), 26), 0.99)).all()
+
+
+def test_false_discovery_rule_against_brute_force():
+    """Benjamini-Hochberg in each class, over p-values of which all but the small ones are counted only."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        p = {c: np.concatenate([rng.random(rng.integers(1, 400)), 10.0 ** -rng.uniform(1, 6, rng.integers(0, 30))]) for c in range(3)}
+        bins = Counter((c, int(-10 * math.log10(x))) for c, xs in p.items() for x in xs if x <= 0.01)
+        least = secret_scan.thresholds(dict(bins), {c: len(xs) for c, xs in p.items()}, 0.01)
+        for c, xs in p.items():
+            up = np.sort([10 ** (-int(-10 * math.log10(x)) / 10) for x in xs])  # p-values as the bins round them, upwards
+            ok = np.flatnonzero(up <= 0.01 * np.arange(1, len(up) + 1) / len(up))
+            want = up[ok[-1]] if len(ok) else 0.0
+            for x in xs:
+                q = int(-10 * math.log10(x))
+                assert (q >= least.get(c, 1 << 30)) == (10 ** (-q / 10) <= want * (1 + 1e-12) and x <= 0.01)
+
+
+def test_planted_keys_are_found_and_words_are_not(spark):
+    rng = random.Random(9)
+    syllables = ["tion", "ing", "er", "an", "the", "re", "ou", "st", "en", "ly", "ment", "de"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 5)))
+    texts, keys = [], {}
+    for i in range(400):
+        w = [word().capitalize() if rng.random() < 0.1 else word() for _ in range(150)] + [str(rng.randrange(10**9))]
+        if i % 10 == 0:
+            name, n = [("base62", 24), ("base62", 40), ("base64url", 43), ("base36", 36)][i // 10 % 4]
+            keys[i] = "k" + "".join(rng.choices(secret_scan.ALPHABETS[name], k=n - 2)) + "7"
+            w.insert(rng.randrange(len(w)), keys[i])
+        texts.append(" ".join(w))
+    got = {g.doc_id: g.spans for g in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = {(i, texts[i][int(a) : int(b)]) for i, s in got.items() for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "random"}
+    found = sum((i, k) in spans for i, k in keys.items())
+    assert found >= 0.9 * len(keys) and all(i in keys for i, _ in spans), [k for i, k in keys.items() if (i, k) not in spans]
+    very_long = "x".join(texts)  # one text of some 300,000 characters gives the same runs
+    assert len(very_long) > 200_000 and secret_scan.scan(spark.createDataFrame([(1, very_long)], "doc_id long, text string")).count() == 1
