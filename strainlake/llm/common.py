@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strainlake.functions.shipping import ship
 
-__all__ = ["WS_RUN", "discard", "new_path", "raw_of", "release", "ship", "slices", "texts_of", "words", "work_dir", "written"]
+__all__ = ["WS_RUN", "discard", "free", "new_path", "raw_of", "release", "ship", "slices", "texts_of", "words", "work_dir", "written"]
 
 #: Java pattern of a run of the six ASCII white-space characters; all other characters belong to words.
 WS_RUN = r"[ \t\n\x0B\f\r]+"
@@ -63,6 +63,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like these that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for an empty text."""
     return F.array_remove(F.split(text, WS_RUN), "")

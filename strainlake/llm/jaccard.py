@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strainlake.llm.common import discard, raw_of, release, slices, written
+from strainlake.llm.common import discard, free, raw_of, release, slices, written
 
 WORDS = 3
 THRESHOLD = (90, 100)
@@ -349,7 +349,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
     """One row per document: doc_id, n_shingles, component_id, class_id (smallest id of an equal set).
 
     Documents without words, and those with a null id, are linked with nothing and are their own component. Rows that
-    share an id are one document, the longest text of them. Other columns are ignored; an empty table gives no rows.
+    share an id are one document, the longest text of them. Texts of any length are taken whole. Ids are integers: a text
+    id that is no number raises. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sets = written(shingle_sets(docs, doc_id, text, at_least, words), "sets")
@@ -420,5 +421,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least:
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = THRESHOLD, words: int = WORDS) -> DataFrame:
     """The rows of docs, all columns as they are, without those of a component whose smallest id is another's."""
-    gone = join(docs, doc_id, text, at_least, words).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    (gone,) = free(docs, "gone")
+    ids = join(docs, doc_id, text, at_least, words).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col(doc_id) == F.col(gone), "left_anti")

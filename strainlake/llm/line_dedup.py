@@ -4,18 +4,20 @@ A line is removed when an equal line, or one within edit distance 1, occurs earl
 Distinct lines first pass two sieves that no pair within the bound can fail: half of the line is shared, then all but
 one piece of PIECE characters is shared. Such pieces emit all their deletion variants as hashed keys; lines with an
 equal variant at the same place differ by a substitution, a line whose variant is another line by an insertion. Each
-line meets only the earliest of its key, never all pairs, and that pair's edit distance is verified. Lines shorter
-than MIN_NEAR are compared as they are. Native: DataFrame functions only.
+line meets only the earliest of its key, never all pairs, and that pair's edit distance is verified. Lines of a key are
+one another's neighbours but for one character at one place, so there are at most as many as characters. Native:
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strainlake.llm.common import discard, release, written
+from strainlake.llm.common import discard, free, release, written
 
 PIECE = 64
-MIN_NEAR = 20
+#: Least characters of a line that is matched near; 1 is all of them.
+MIN_NEAR = 1
 #: Lines with at least this share of all occurrences are looked up by broadcast: there are at most 1 / HOT_SHARE.
 HOT_SHARE = 0.001
 
@@ -24,7 +26,7 @@ def _line(raw: Column) -> Column:
     return F.btrim(raw, F.lit(" \t\n\x0b\f\r"))
 
 
-def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _occurrences(docs: DataFrame, doc_id: str, text: str, min_near: int) -> DataFrame:
     """uid, doc_id, no, digest (null: blank), n and the half keys of each line."""
     d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("ls"))
     d = d.select("uid", "doc_id", F.posexplode("ls").alias("no", "raw")).select("uid", "doc_id", "no", _line(F.col("raw")).alias("line")).withColumn("n", F.length("line"))
@@ -34,7 +36,7 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         h = F.floor(m / 2).cast("int")
         keys += [F.xxhash64(m, F.lit(0), F.left(line, h)), F.xxhash64(m, F.lit(1), F.right(line, m - h))]
     # The shorter of two has the same keys as one of equal length.
-    return d.select("uid", "doc_id", "no", F.when(n > 0, F.unhex(F.md5(line.cast("binary")))).alias("digest"), "n", F.when(n >= MIN_NEAR, F.array(*keys)).alias("halves"))
+    return d.select("uid", "doc_id", "no", F.when(n > 0, F.unhex(F.md5(line.cast("binary")))).alias("digest"), "n", F.when(n >= min_near, F.array(*keys)).alias("halves"))
 
 
 def _first() -> Column:
@@ -89,7 +91,7 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return p.select("digest", "first", "role", F.explode(keys).alias("variant"))
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, min_near: int = MIN_NEAR) -> DataFrame:
     """digest and earliest: lines that have an earlier one within edit distance 1, with that line's digest."""
     some = written(_with_text(_survivors(lines), docs, doc_id, text), "survivors")
     v = _variants(_pieces(some))
@@ -100,22 +102,23 @@ def near_lines(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> Dat
     pairs = met.select("digest", F.explode("others").alias("earliest"))
     text_of = lambda c, t: some.select(F.col("digest").alias(c), F.col("line").alias(t), F.col("first").alias(f"f{t}"))
     both = pairs.join(text_of("digest", "x"), "digest").join(text_of("earliest", "y"), "earliest")
-    good = both.where(F.levenshtein("x", "y", 1) == 1).where(F.least(F.length("x"), F.length("y")) >= MIN_NEAR)
+    good = both.where(F.levenshtein("x", "y", 1) == 1).where(F.least(F.length("x"), F.length("y")) >= min_near)
     return good.groupBy("digest").agg(F.min_by("earliest", "fy").alias("earliest"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """One row per document: doc_id, n_lines (not blank), n_copies, n_near (removed lines), removed (their numbers).
 
     Numbers count all lines of a text from 0. A null text has no lines; a null id comes after all others. Rows that
-    share an id number their lines alike, so none of them removes the other's; other columns are ignored; an empty
-    table gives no rows.
+    share an id number their lines alike, so none of them removes the other's; texts and lines of any length are taken
+    whole; ids are integers, a text id that is no number raises; other columns are ignored; an empty table gives no rows.
+    min_near: lines with fewer characters are compared as they are; by default there are none.
     """
-    occ = written(_occurrences(docs, doc_id, text), "occurrences")
+    occ = written(_occurrences(docs, doc_id, text, min_near), "occurrences")
     real = occ.where("digest is not null")
     lines = real.groupBy("digest").agg(F.min(_first()).alias("first"), F.count("*").alias("count"), F.min("halves").alias("halves"))
     lines = written(lines, "lines")
-    near = near_lines(docs, lines, doc_id, text)
+    near = near_lines(docs, lines, doc_id, text, min_near)
     table = written(lines.select("digest", "first", "count").join(near.select("digest", F.lit(True).alias("near")), "digest", "left").where("count > 1 or near"), "decisions")
     most = max(1000, int(real.count() * HOT_SHARE))
     hot = table.where(F.col("count") > most).select("digest", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -137,7 +140,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns as they are, with the removed lines taken out of text; ids must not repeat."""
-    gone = dedup(docs, doc_id, text).select(F.col("doc_id").alias("_i"), F.col("removed").alias("_gone"))
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_i")), "left")
-    stay = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    i, gone = free(docs, "i", "gone")
+    lines = dedup(docs, doc_id, text).select(F.col("doc_id").alias(i), F.col("removed").alias(gone))
+    joined = docs.join(lines, F.col(doc_id).cast("long").eqNullSafe(F.col(i)), "left")
+    stay = F.filter(F.split(F.col(text), "\n"), lambda x, at: ~F.array_contains(F.col(gone), at))
     return joined.select(*[F.array_join(stay, "\n").alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -14,7 +14,7 @@ import logging
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strainlake.llm.common import words, written
+from strainlake.llm.common import free, words, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a dimension's shares are its token shares to this power, scaled to 1: below 1 flattens.
@@ -149,7 +149,8 @@ def mix(
     With meet the targets are met under the cap, for which the kept share may fall from keep to least; without, it is
     keep, and cells capped after a fixed number of rounds miss their targets. A gap is logged in both cases.
     A null source, language or topic counts as ''; a null text has no tokens. Cells without tokens have probability 0
-    unless no cell has any: then all stay. Rows with one id share their fate; other columns are ignored.
+    unless no cell has any: then all stay. Texts of any length are counted whole. Rows with one id share their fate, null
+    ids one of their own; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     at = F.col(topic) if isinstance(topic, str) else form(F.col(text)) if topic is None else topic
     d = docs.select(
@@ -175,5 +176,6 @@ def mix(
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns as they are, that mix() selects."""
-    ids = mix(docs, doc_id, **options).where("selected").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs[doc_id].eqNullSafe(ids["_kept_id"]), "left_semi")
+    (stay,) = free(docs, "stay")
+    ids = mix(docs, doc_id, **options).where("selected").select(F.col("doc_id").alias(stay)).distinct()
+    return docs.join(ids, F.col(doc_id).eqNullSafe(F.col(stay)), "left_semi")

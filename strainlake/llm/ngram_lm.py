@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import mmap
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +28,16 @@ from strainlake.llm.common import release, written
 
 DISCOUNT = 0.75
 #: Text bytes of a block, and of the text whose n-grams a shard holds.
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
+SHARD_BYTES = 14 << 20
 #: Documents that are looked at for words to split; it decides on the layout only.
-LOOKED_AT = 2000
+LOOKED_AT = 300
 #: Words hold no white space, so these two stand for no word.
 END, BEGIN = b"\n", b" "
-#: Bits of a successor's hash that are kept below its context.
+#: Bits of a successor's hash that are kept below its context, a word or a pair. A pair has few successors, and where it
+#: has many, one that is mistaken for another has next to no probability of its own.
 LOW_BITS = 32
+LOW_BITS_3 = 24
 _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
@@ -280,24 +281,16 @@ def split_hash(word: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 def split_words(docs: DataFrame, text: str, shards: int) -> dict[int, int]:
     """Hash -> number of ranges of the words that, as contexts, would fill half a shard or more: 2 * shards at most."""
+    import xxhash
+
     if shards < 4:
         return {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        total: Counter = Counter()
-        begin = xxhash.xxh64_intdigest(BEGIN)
-        for batch in batches:
-            hashes, at, n = _tokenised(batch.column(0))
-            total.update(dict(zip(hashes.tolist(), np.bincount(at, minlength=len(hashes)).tolist(), strict=True)))
-            total[begin] += len(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(list(total), np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
-
-    c = docs.select(text).limit(LOOKED_AT).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    total = c.agg(F.sum("c")).first()[0] or 0
-    rows = c.where(F.col("c") * F.lit(2 * shards) >= F.lit(max(1, total))).collect()
-    return {r["word"] & ((1 << 64) - 1): -(-2 * shards * r["c"] // total) for r in rows}
+    some = docs.select(text).limit(LOOKED_AT).toArrow()  # of as few partitions as hold so many rows
+    hashes, at, n = _tokenised(some.column(0))
+    count = dict(zip(hashes.tolist(), np.bincount(at, minlength=len(hashes)).tolist(), strict=True))
+    count[xxhash.xxh64_intdigest(BEGIN)] = int((n > 0).sum())
+    total = max(1, sum(count.values()))
+    return {h: -(-2 * shards * c // total) for h, c in count.items() if c * 2 * shards >= total}
 
 
 _ASKED = "shard int, block int, nodes binary, counts binary, degree binary, next binary, next_counts binary, degree2 binary, next2 binary, next2_counts binary"
@@ -309,12 +302,18 @@ def _names(schema: str) -> list[str]:
 
 
 def _small(c: np.ndarray) -> bytes:
-    """Counts, a byte each where that is enough."""
-    return c.astype(np.uint8 if not len(c) or c.max() < 256 else np.uint32).tobytes()
+    """Counts that are mostly one: a bit for each one, then the others, a byte each where that is enough."""
+    one = c == 1
+    rest = c[~one]
+    width = 1 if not len(rest) or rest.max() < 256 else 4
+    return bytes([width]) + np.packbits(one).tobytes() + rest.astype(f"<u{width}").tobytes()
 
 
 def _large(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n and n else np.uint8)
+    one = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 1), count=n).astype(bool)
+    out = np.ones(n, np.uint32)
+    out[~one] = np.frombuffer(raw, f"<u{raw[0]}", -1, 1 + -(-n // 8)) if len(raw) > 1 + -(-n // 8) else 0
+    return out
 
 
 def _asked(shards: int, split: dict[int, int]):
@@ -332,23 +331,41 @@ def _asked(shards: int, split: dict[int, int]):
             if i < j:
                 x, y = at[i], at[j]
                 v, w = at2[x], at2[y]
-                rows.append((s, key[0].as_py(), b.nodes[i:j].tobytes(), _small(nodes[i:j]), _small(degree[i:j]), nexts[x:y].tobytes(), _small(pairs[x:y]), _small(degree2[x:y]), nexts2[v:w].tobytes(), _small(triples[v:w])))
+                rows.append((s, key[0].as_py(), b.nodes[i:j].tobytes(), _small(nodes[i:j]), _small(degree[i:j]), nexts[x:y].tobytes(), _small(pairs[x:y]), _small(degree2[x:y]), _three_bytes(nexts2[v:w]), _small(triples[v:w])))
         cols = list(zip(*rows, strict=True)) or [()] * 10
         return pa.table([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=_names(_ASKED))
 
     return run
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(keys: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the place of each given one, and the sums of their counts."""
-    all_of, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return all_of, place, np.bincount(place, weights=np.concatenate(counts), minlength=len(all_of)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.zeros(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], place, np.bincount(place, weights=np.concatenate(counts), minlength=int(new.sum())).astype(np.int64)
+
+
+def _three_bytes(x: np.ndarray) -> bytes:
+    """The upper LOW_BITS_3 of hashes of LOW_BITS."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
+
+
+def _from_three(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.view("<u4")[:, 0]
 
 
-def _below(context: np.ndarray, degree: list[np.ndarray], nexts: list[bytes]) -> np.ndarray:
+def _below(context: np.ndarray, degree: list[np.ndarray], nexts: np.ndarray) -> np.ndarray:
     """Keys of the next level."""
-    raw = np.frombuffer(b"".join(nexts), np.uint32)
-    return (np.repeat(context.astype(np.uint64), np.concatenate(degree)) << np.uint64(LOW_BITS)) | raw
+    keys = np.repeat(context, np.concatenate(degree)).astype(np.uint64)
+    keys <<= np.uint64(LOW_BITS)
+    keys |= nexts
+    return keys
 
 
 def _trained(keys: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -371,12 +388,13 @@ def _told(level: Level, keys: np.ndarray, rank: np.ndarray, known: np.ndarray) -
 def _answered(begin: int, split_nodes: np.ndarray):
     def run(key, table):
         of = {k: table.column(k).to_pylist() for k in _names(_ASKED)[1:]}
+        del table
         n_nodes, n_pairs = [len(x) // 8 for x in of["nodes"]], [len(x) // 4 for x in of["next"]]
-        n_triples = [len(x) // 4 for x in of["next2"]]
+        n_triples = [len(x) // 3 for x in of["next2"]]
         large = lambda k, sizes: [_large(x, n) for x, n in zip(of.pop(k), sizes, strict=True)]
-        nodes, node, counts = _merged([np.frombuffer(x, np.uint64) for x in of.pop("nodes")], large("counts", n_nodes))
-        pairs, pair, pair_counts = _merged([_below(node, large("degree", n_nodes), of.pop("next"))], large("next_counts", n_pairs))
-        triples, triple, triple_counts = _merged([_below(pair, large("degree2", n_pairs), of.pop("next2"))], large("next2_counts", n_triples))
+        nodes, node, counts = _merged(np.frombuffer(b"".join(of.pop("nodes")), np.uint64), large("counts", n_nodes))
+        pairs, pair, pair_counts = _merged(_below(node, large("degree", n_nodes), np.frombuffer(b"".join(of.pop("next")), np.uint32)), large("next_counts", n_pairs))
+        triples, triple, triple_counts = _merged(_below(pair, large("degree2", n_pairs), _from_three(b"".join(of.pop("next2")))), large("next2_counts", n_triples))
         # The trie holds what was seen in training; contexts get their ranks among that.
         seen, seen2 = counts > 0, pair_counts > 0
         rank, rank2 = np.cumsum(seen) - 1, np.cumsum(seen2) - 1
@@ -462,7 +480,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     nodes = {int(split_hash(np.asarray([h], np.uint64), np.asarray([k], np.uint64))[0]): h for h, m in split.items() for k in range(m)}
     d = docs.select(F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).cast("long").alias("doc_id"), (~held_out(F.col(doc_id))).alias("train"), F.col(text).alias("t"))
     asked = d.groupBy("block").applyInArrow(_asked(shards, split), _ASKED)
-    answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN), np.asarray(sorted(nodes), np.uint64)), _ANSWER), "answers")
+    answers = written(asked.groupBy("shard").applyInArrow(_answered(xxhash.xxh64_intdigest(BEGIN), np.asarray(sorted(nodes), np.uint64)), _ANSWER), "answers", compression="zstd")
     del asked
     release(docs.sparkSession)  # the documents and questions that were dealt for the first pass
     n, types, once = answers.agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
