@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strainlake.llm import exact_dedup, packing, quality, token_files
 from strainlake.llm.queries import vocabulary
@@ -71,8 +72,6 @@ def test_salted_hosts_give_the_same(docs, monkeypatch):
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(docs, weak):
-    from pyspark.sql import functions as F
-
     digest = (lambda n: F.unhex(F.substring(F.sha2(n, 256), 1, 1))) if weak else exact_dedup.sha256
     got = exact_dedup.dedup(docs.repartition(5), digest=digest, fanout=2).collect()
     groups = defaultdict(list)
@@ -86,6 +85,29 @@ def test_exact_dedup(docs, weak):
     assert sum(g.kept for g in got) == len(groups)
 
 
+def test_filters_hold_their_keys(spark, docs, monkeypatch):
+    keys = spark.range(0, 9000, 3).select(F.col("id").cast("string").alias("k"))
+    asked = spark.range(9000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("at"), F.lit(2).alias("Bits"))
+    got = exact_dedup.may_hold(asked, F.col("k"), exact_dedup.key_filter(keys, F.col("k"), 3000), "held")
+    assert got.columns == ["k", "at", "Bits", "held"]
+    hits = {int(r.k) for r in got.where("held").collect()}
+    assert hits >= set(range(0, 9000, 3)) and len(hits) < 3000 + 6000 * 0.1
+    whole = sorted(map(str, exact_dedup.dedup(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "MOST_FILTER", 0)
+    assert exact_dedup.key_filter(keys, F.col("k"), 3000) is None
+    assert sorted(map(str, exact_dedup.dedup(docs).collect())) == whole
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    rows = [(1, "a b", "x", 1, "s"), (1, "ab", "y", 2, "t"), (1, "a b", "x", 1, "s"), (2, "c", "z", 3, "u"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string, n int, stay string")
+    got = exact_dedup.kept(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [docs.first(), docs.where("doc_id = 2").first(), docs.where("doc_id is null").first()]))
+    plain = docs.where("doc_id = 2")
+    assert [tuple(r) for r in exact_dedup.kept(plain).collect()] == [rows[3]]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert quality.judge(none).count() == 0
