@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("strainlake", os.path.relpath(full, top)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strainlake-")
+    return f"{base.rstrip('/')}/strainlake/{name}-{uuid.uuid4().hex}"

@@ -57,15 +57,28 @@ def warp(reference: DataFrame, field: Field, shape: tuple[int, int, int], order:
     return grid.join(v, "poi").select("z", "y", "x", F.col("value").cast("float").alias("value"))
 
 
-def sample_flow(points: DataFrame, flow: DataFrame, shape: tuple[int, int, int], order: int = 3) -> DataFrame:
-    """poi with tz, ty, tx: a stored flow (z, y, x, dz, dy, dx) interpolated at the points."""
+def flow_tables(flow: DataFrame, shape: tuple[int, int, int], order: int = 3) -> dict[str, DataFrame]:
+    """Spline coefficients of a stored flow (z, y, x, dz, dy, dx), one table for each component: make once, sample often."""
+    return {a: signal.spline_table(flow.select("z", "y", "x", F.col(f"d{a}").alias("value")), shape, order) for a in "zyx"}
+
+
+def sample_flow(points: DataFrame, flow: DataFrame | dict[str, DataFrame], shape: tuple[int, int, int], order: int = 3) -> DataFrame:
+    """poi with tz, ty, tx: a stored flow, or its flow_tables(), interpolated at the points."""
+    tables = flow if isinstance(flow, dict) else flow_tables(flow, shape, order)
     out = points.select("poi")
     for a in "zyx":
-        c = signal.spline_table(flow.select("z", "y", "x", F.col(f"d{a}").alias("value")), shape, order)
-        out = out.join(signal.sample(points, c, shape, order, out=f"t{a}"), "poi")
+        out = out.join(signal.sample(points, tables[a], shape, order, out=f"t{a}"), "poi")
     return out
 
 
+def warp_flow(reference: DataFrame, flow: DataFrame, shape: tuple[int, int, int], sign: int = 1, order: int = 3, table: DataFrame | None = None) -> DataFrame:
+    """deformed(x) = reference(x - sign u(x)) for a stored flow, fractional too. table: the reference's spline_table()."""
+    _, ny, nx = shape
+    at = flow.select(((F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x")).alias("poi"), "z", "y", "x", *[(F.col(a) - sign * F.col(f"d{a}").cast("double")).alias(f"p{a}") for a in "zyx"])
+    v = signal.sample(at, signal.spline_table(reference, shape, order) if table is None else table, shape, order)
+    return at.join(v, "poi").select("z", "y", "x", "value")
+
+
 @dataclass
 class Pair:
     reference: DataFrame
@@ -91,14 +104,15 @@ def trabecular(spark: SparkSession, shape: tuple[int, int, int], scale: float, p
     return phantom.above_quantile(signal.gaussian(white_noise(spark, shape, seed), shape, scale), porosity).select("z", "y", "x", "strut")
 
 
-def render(spark: SparkSession, spec: phantom.PhantomSpec) -> DataFrame:
+def render(spark: SparkSession, spec: phantom.Phantom) -> DataFrame:
     """Scaffold times (1 + strength x texture), smoothed."""
-    s = phantom.scaffold(trabecular(spark, spec.shape, spec.trabecular_scale, spec.trabecular_porosity, spec.seed + 1), spec)
-    t = texture(spark, spec.shape, spec.texture_sigma, spec.seed + 2).withColumnRenamed("value", "t")
-    v = s.join(t, ["z", "y", "x"]).select("z", "y", "x", (F.col("intensity") * (1 + spec.texture * F.col("t"))).alias("value"))
+    (strength, sigma), (scale, empty) = spec.grain, spec.pores
+    s = phantom.scaffold(trabecular(spark, spec.shape, scale, empty, spec.seed + 1), spec)
+    t = texture(spark, spec.shape, sigma, spec.seed + 2).withColumnRenamed("value", "t")
+    v = s.join(t, ["z", "y", "x"]).select("z", "y", "x", (F.col("intensity") * (1 + strength * F.col("t"))).alias("value"))
     v = signal.gaussian(v, spec.shape, spec.blur) if spec.blur > 0 else v
     return v.select("z", "y", "x", F.col("value").cast("float").alias("value"))
 
 
 def default_phantom(spark: SparkSession, shape: tuple[int, int, int], seed: int = 0) -> DataFrame:
-    return render(spark, phantom.PhantomSpec(shape, defect_radius=min(shape[1:]) / 12, seed=seed))
+    return render(spark, phantom.bone(shape, hole=min(shape[1:]) / 12, seed=seed))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 BINS = 16_384
@@ -24,8 +29,52 @@ def displacement(flow: DataFrame, key: str = "entry") -> DataFrame:
     return flow.groupBy(key).agg(F.count("*").alias("n"), F.avg(u).alias("mean_u"), F.max(u).alias("max_u"), *[F.avg(c).alias(f"mean_{a}") for a, c in d.items()], *[F.max(F.abs(c)).alias(f"max_{a}") for a, c in d.items()])
 
 
+def exact_quantile(voxels: DataFrame, q: float = 0.5, key: str = "volume_id", value: str = "value", bins: int = 4096) -> dict:
+    """key -> the exact q-quantile of its values, interpolated between its two order statistics, among finite values.
+
+    Histograms are refined: each pass counts equally wide bins between the least and the largest value of the bin that
+    holds the wanted place, until that bin holds one distinct value. State is bounded by bins for each array.
+    """
+    t = voxels.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.abs("v") < float("inf"))
+    ends = {r["k"]: r for r in t.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()}
+    # Each wanted place: the values still in question lie in [lo, hi], and so many lie below.
+    wanted, found = {}, {}
+    for k, r in ends.items():
+        at = q * (r["n"] - 1)
+        for place in {int(at), min(int(at) + 1, r["n"] - 1)}:
+            wanted[k, place] = (r["lo"], r["hi"], 0)
+    while wanted:
+        for (k, place), (lo, hi, _) in list(wanted.items()):
+            if lo == hi:
+                found[k, place] = lo
+                del wanted[k, place]
+        if not wanted:
+            break
+        spans = sorted({(k, lo, hi) for (k, _), (lo, hi, _) in wanted.items()}, key=str)
+        asked = F.broadcast(t.sparkSession.createDataFrame(spans, f"k {dict(t.dtypes)['k']}, lo double, hi double"))
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("v") / F.lit(2.0) - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins))
+        seen = t.join(asked, "k").where("v >= lo and v <= hi").groupBy("k", "lo", "hi", bin_.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counts: dict = {}
+        for r in seen.collect():
+            counts.setdefault((r["k"], r["lo"], r["hi"]), []).append((r["b"], r["c"], r["least"], r["most"]))
+        for (k, place), (lo, hi, below) in list(wanted.items()):
+            for _, c, least, most in sorted(counts[k, lo, hi]):
+                if place < below + c:
+                    wanted[k, place] = (least, most, below)
+                    break
+                below += c
+    out = {}
+    for k, r in ends.items():
+        at = q * (r["n"] - 1)
+        a, b = found[k, int(at)], found[k, min(int(at) + 1, r["n"] - 1)]
+        out[k] = a + (b - a) * (at - int(at))
+    return out
+
+
 def exact_median(voxels: DataFrame, key: str = "volume_id", value: str = "value") -> DataFrame:
-    return voxels.groupBy(key).agg(F.percentile(F.col(value).cast("double"), F.lit(0.5)).alias("median"))
+    """key and median, one row for each array: exact, in passes with bounded state."""
+    kind = dict(voxels.dtypes)[key]
+    return voxels.sparkSession.createDataFrame(sorted(exact_quantile(voxels, 0.5, key, value).items(), key=str), f"{key} {kind}, median double")
 
 
 def histogram_median(voxels: DataFrame, bins: int = BINS, key: str = "volume_id", value: str = "value") -> DataFrame:
@@ -48,14 +97,95 @@ def histogram_median(voxels: DataFrame, bins: int = BINS, key: str = "volume_id"
     return inside.unionByName(ends.where("hi = lo").select(key, F.col("lo").alias("median")))
 
 
-def convention(reference: DataFrame, deformed: DataFrame, flow: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Which sign of a whole-voxel flow explains the deformed volume: mse of each, ratio, and the name; ties: pull_back."""
+def convention(reference: DataFrame, deformed: DataFrame, flow: DataFrame, shape: tuple[int, int, int], order: int = 3) -> DataFrame:
+    """Which sign of a flow explains the deformed volume: mse of each, ratio, and the name; ties: pull_back.
+
+    Flows of whole voxels are moved voxel by voxel; others are sampled from the spline of that order, as a warp does.
+    """
     from strainlake.functions.fields import warp_integer
+    from strainlake.functions.signal import spline_table
+    from strainlake.functions.synth import warp_flow
 
-    one = lambda sign, name: warp_integer(reference, flow, shape, sign).withColumnRenamed("value", name)
+    whole = flow.select(F.max(F.greatest(*[F.abs(F.col(f"d{a}") - F.bround(F.col(f"d{a}").cast("double"))) for a in "zyx"]))).first()[0]
+    table = None if not whole else spline_table(reference, shape, order).persist()
+    moved = (lambda sign: warp_flow(reference, flow, shape, sign, order, table)) if whole else (lambda sign: warp_integer(reference, flow, shape, sign))
+    one = lambda sign, name: moved(sign).withColumnRenamed("value", name)
     t = deformed.select("z", "y", "x", F.col("value").cast("double").alias("v")).join(one(1, "a"), ["z", "y", "x"]).join(one(-1, "b"), ["z", "y", "x"])
     sq = lambda c: F.avg(F.pow(F.col(c).cast("double") - F.col("v"), F.lit(2.0)))
     m = t.agg(sq("a").alias("mse_pull_back"), sq("b").alias("mse_push_forward"))
     low, high = F.least("mse_pull_back", "mse_push_forward"), F.greatest("mse_pull_back", "mse_push_forward")
     ratio = F.when(high == 0, 1.0).when(low == 0, F.lit(float("inf"))).otherwise(high / F.when(low == 0, 1.0).otherwise(low))
     return m.select("*", ratio.alias("ratio"), F.when(F.col("mse_pull_back") <= F.col("mse_push_forward"), "pull_back").otherwise("push_forward").alias("convention"))
+
+
+@dataclass(frozen=True)
+class Step:
+    """One array of a dataset is done: its role ("done" at the end), name, place, how many there are, seconds so far."""
+
+    stage: str
+    name: str
+    index: int
+    total: int
+    seconds: float
+
+
+@dataclass(frozen=True)
+class DatasetProfile:
+    """volumes (role, name, n, mean, min, max, median), masks (name, foreground, background, fraction), flows (name, n,
+    mean_u, max_u, mean and max per axis, median_u): one row per array."""
+
+    volumes: DataFrame
+    masks: DataFrame
+    flows: DataFrame
+
+
+def dataset(ds, include: list[str] | None = None, masks: list[str] | None = None, median: str = "histogram", bins: int = BINS, progress: Callable[[Step], None] | None = None) -> DatasetProfile:
+    """Statistics of every array of a dataset (sources.store.Dataset), or of the deformations and masks named.
+
+    median: "histogram" (two passes, bounded state), "exact" (refined histograms) or "skip" (null). All flows' layouts
+    are checked before a voxel is read. Arrays are told to progress one by one, in the order reference, masks, then each
+    deformation's image and flow.
+    """
+    if bins < 2:
+        raise ValueError(f"bins must be at least 2, got {bins}")
+    if median not in ("histogram", "exact", "skip"):
+        raise ValueError(f"median must be histogram, exact or skip, got {median!r}")
+    for section, names, known in (("masks", masks, ds.list_masks()), ("deformations", include, ds.list_all())):
+        if absent := [n for n in names or [] if n not in known]:
+            raise KeyError(f"no {section} {absent} in the dataset")
+    entries, mask_names = ds.list_all() if include is None else list(include), ds.list_masks() if masks is None else list(masks)
+    flows = [e for e in entries if ds.entries[e] == "synthetic"]
+    for e in flows:
+        ds.check_flow(e)
+    began, spark = time.monotonic(), ds.spark
+    plan = [("reference", "reference")] + [("mask", m) for m in mask_names] + [x for e in entries for x in (("deformed", e), ("flow", e))[: 1 + (e in flows)]]
+    parts: dict[str, list[DataFrame]] = {"volumes": [], "masks": [], "flows": []}
+
+    def told(i: int) -> None:
+        if progress:
+            stage, name = plan[i] if i < len(plan) else ("done", "")
+            progress(Step(stage, name, i, len(plan), time.monotonic() - began))
+
+    def medians(t: DataFrame) -> DataFrame:
+        if median == "skip":
+            return t.select("name").distinct().withColumn("median", F.lit(None).cast("double"))
+        return histogram_median(t, bins, "name") if median == "histogram" else exact_median(t, "name")
+
+    for i, (stage, name) in enumerate(plan):
+        if stage == "mask":
+            row = mask(ds.load_mask(name).withColumn("name", F.lit(name)), "name")
+        elif stage == "flow":
+            f = ds.load_flow(name).withColumn("name", F.lit(name))
+            u = f.select("name", F.sqrt(sum((F.pow(F.col(f"d{a}").cast("double"), F.lit(2.0)) for a in "zyx"), F.lit(0.0))).alias("value"))
+            row = displacement(f, "name").join(medians(u).withColumnRenamed("median", "median_u"), "name")
+        else:
+            v = (ds.load_reference() if stage == "reference" else ds.load_image(name)).withColumn("name", F.lit(name))
+            row = intensity(v, "name").join(medians(v), "name").withColumn("role", F.lit(stage))
+        kind = "masks" if stage == "mask" else "flows" if stage == "flow" else "volumes"
+        # One short row for each array, so that an array is read once however often the profile is looked at.
+        parts[kind].append(spark.createDataFrame(row.collect(), row.schema))
+        told(i)
+    told(len(plan))
+    u = [x for a in "zyx" for x in (f"mean_{a} double", f"max_{a} double")]
+    schemas = {"volumes": "name string, n long, mean double, min double, max double, median double, role string", "masks": "name string, foreground long, background long, fraction double", "flows": ", ".join(["name string, n long, mean_u double, max_u double", *u, "median_u double"])}
+    return DatasetProfile(**{k: reduce(lambda a, b: a.unionByName(b), ts) if ts else spark.createDataFrame([], schemas[k]) for k, ts in parts.items()})

@@ -33,18 +33,36 @@ def report(field: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return e.groupBy(*keys).agg(*aggs) if keys else e.agg(*aggs)
 
 
-def average_rank(t: DataFrame, column: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks from 1; ties share the mean of their ranks."""
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    same = Window.partitionBy(*keys, column)
-    return t.withColumn(out, F.rank().over(by.orderBy(column)) + (F.count("*").over(same) - 1) / 2)
+#: Ranges of values that ranks without keys are counted in, each by a task of its own.
+RANK_RANGES = 256
 
 
-def spearman(t: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rank correlation of two columns; null for fewer than two rows or a constant column.
+def average_rank(t: DataFrame, column: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks from 1; ties share the mean of their ranks, nulls come first.
 
-    Ranks need one order per key, so keys should name single fields: points of one field, not all rows of a campaign.
+    Without keys no task sees all rows: distinct values are counted, dealt to ranges between quantiles, and ranked
+    within their range on top of what lies in lower ranges, one sum for each range.
     """
+    if keys:
+        same = Window.partitionBy(*keys, column)
+        return t.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (F.count("*").over(same) - 1) / 2)
+    counts = t.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    bounds = counts.agg(F.percentile_approx(F.col("_v").cast("double"), [i / RANK_RANGES for i in range(1, RANK_RANGES)], 100 * RANK_RANGES)).first()[0]
+    array = F.array(*[F.lit(float(x)) for x in sorted(set(bounds or [0.0]))])
+    # NaN lies above all bounds, null below them.
+    at = F.size(F.filter(array, lambda x: F.coalesce(x < F.col("_v").cast("double"), F.lit(False))))
+    dealt = counts.withColumn("_range", at)
+    below = dealt.groupBy("_range").agg(F.sum("_c").alias("_n"))
+    up_to = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.select("_range", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_below"))  # RANK_RANGES rows
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = dealt.withColumn("_before", before).join(F.broadcast(below), "_range")
+    ranks = ranks.select("_v", (F.col("_below") + F.col("_before") + 1 + (F.col("_c") - 1) / 2).alias(out))
+    return t.join(ranks, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def spearman(t: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rank correlation of two columns; null for fewer than two rows or a constant column."""
     r = average_rank(average_rank(t, a, "_ra", keys), b, "_rb", keys)
     spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
     c = F.when((F.count("*") > 1) & (spread > 0), F.covar_pop("_ra", "_rb") / F.when(spread > 0, spread))
@@ -76,39 +94,16 @@ def centre_voxel(points: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return points
 
 
-def distance_to(points: DataFrame, mask: DataFrame, shape: tuple[int, int, int], to: bool = True, cell: int = 8) -> DataFrame:
+def distance_to(points: DataFrame, mask: DataFrame, shape: tuple[int, int, int], to: bool = True, distances: DataFrame | None = None) -> DataFrame:
     """points with the exact distance from their centre voxel to the nearest mask voxel whose value is `to`.
 
-    Voxels are dealt to cells of edge `cell`; a point looks at the shells of cells around its own until no farther
-    shell can be nearer. Each round is an equi-join on cells; points that are settled leave.
+    By the distance transform of the whole volume, three passes over lines whatever the distances; null without such a
+    voxel. distances: that transform, if it was made before.
     """
-    p = centre_voxel(points, shape)
-    target = mask.where(F.col("value") if to else ~F.col("value")).select(*[F.col(a).alias(f"m{a}") for a in "zyx"])
-    target = target.select("*", *[F.floor(F.col(f"m{a}") / cell).cast("int").alias(f"b{a}") for a in "zyx"])
-    open_ = p.select("poi", "cz", "cy", "cx").withColumn("best", F.lit(None).cast("double"))
-    done, most = None, max(shape) // cell + 1
-    for shell in range(most + 1):
-        ring = [(a, b, c) for a in range(-shell, shell + 1) for b in range(-shell, shell + 1) for c in range(-shell, shell + 1) if max(abs(a), abs(b), abs(c)) == shell]
-        cells = open_.withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("zyx", o, strict=True)]) for o in ring])))
-        cells = cells.select("poi", "cz", "cy", "cx", *[(F.floor(F.col(f"c{a}") / cell) + F.col(f"o.{a}")).cast("int").alias(f"b{a}") for a in "zyx"])
-        d2 = sum((F.pow((F.col(f"c{a}") - F.col(f"m{a}")).cast("double"), F.lit(2.0)) for a in "zyx"), F.lit(0.0))
-        near = cells.join(target, ["bz", "by", "bx"]).groupBy("poi").agg(F.min(F.sqrt(d2)).alias("now"))
-        t = open_.join(near, "poi", "left").withColumn("best", F.least("best", "now")).drop("now").persist()
-        settled = F.coalesce(F.col("best") <= shell * cell, F.lit(False))
-        new = t.where(settled)
-        done = new if done is None else done.unionByName(new)
-        open_ = t.where(~settled)
-        if shell >= 1 and not open_.limit(1).count():
-            break
-    done = done.unionByName(open_)
-    return p.join(done.select("poi", F.col("best").alias("distance")), "poi", "left")
-
-
-def distance_from_volume(points: DataFrame, mask: DataFrame, shape: tuple[int, int, int], to: bool = True) -> DataFrame:
-    """As distance_to, from the distance transform of the whole volume: three passes over lines, whatever the distances."""
     from strainlake.functions.signal import distance_volume
 
-    d = distance_volume(mask, shape, to).select(*[F.col(a).alias(f"c{a}") for a in "zyx"], F.col("value").alias("distance"))
+    d = distance_volume(mask, shape, to) if distances is None else distances
+    d = d.select(*[F.col(a).alias(f"c{a}") for a in "zyx"], F.col("value").alias("distance"))
     return centre_voxel(points, shape).join(d, ["cz", "cy", "cx"], "left")
 
 

@@ -1,7 +1,8 @@
 """Parameter campaigns: expand a spec to variants, skip what is done, correlate and score each pair, keep going on errors.
 
-Work is shared: pairs are loaded once per load parameters, and variants that differ in the mask threshold alone are
-one correlation at the loosest threshold, then filtered and tested anew. Results are rows appended to a Parquet table;
+Work is shared: pairs are loaded once per load parameters, variants that differ in the mask threshold alone are one
+correlation at the loosest threshold, then filtered and tested anew; the truth is sampled once for a flow and grid, and
+distances are transformed once for a mask. Results are rows appended to a Parquet table;
 resuming is an anti-join on (store, deformation, params_hash).
 """
 
@@ -11,7 +12,11 @@ import datetime
 import hashlib
 import itertools
 import json
+import math
+import platform
 import traceback
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -20,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strainlake import schema
 from strainlake.config import CorrelateConfig, Lattice
-from strainlake.functions.synth import sample_flow
+from strainlake.functions.shipping import shared_folder, ship
+from strainlake.functions.signal import distance_volume
+from strainlake.functions.synth import flow_tables, sample_flow
 from strainlake.operators import lattice as L, score
 from strainlake.operators.ncc_fft import tile_peaks
 from strainlake.plans import campaign_tables as C, correlate as P
@@ -237,42 +244,135 @@ def config_of(params: dict) -> CorrelateConfig:
     return CorrelateConfig(params["window"], params["overlap"], params["mask_threshold"], params["ncc_mode"], params["ncc_normalization"], params["search_radius"], params["tukey_alpha"])
 
 
-def _fields(spark, pair, group: list[Variant]) -> dict[str, DataFrame]:
+class _Shared:
+    """What several jobs of a campaign need, made once: truth per flow and grid, distances per mask; freed by scope.
+
+    Tables are written to the folder that driver and executors share and read again: their plans stay short and a lost
+    executor costs nothing.
+    """
+
+    def __init__(self):
+        self.kept: dict[str, dict[tuple, Any]] = {}
+        self.paths: dict[str, list[tuple[SparkSession, str]]] = {}
+
+    def keep(self, scope: str, t: DataFrame) -> DataFrame:
+        spark, path = t.sparkSession, shared_folder(t.sparkSession, "campaign")
+        t.write.parquet(path)
+        self.paths.setdefault(scope, []).append((spark, path))
+        return spark.read.schema(t.schema).parquet(path)
+
+    def once(self, scope: str, key: tuple, make: Callable[[], Any]) -> Any:
+        own = self.kept.setdefault(scope, {})
+        if key not in own:
+            own[key] = make()
+        return own[key]
+
+    def free(self, scope: str) -> None:
+        self.kept.pop(scope, None)
+        for spark, path in self.paths.pop(scope, []):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _fields(spark, pair, group: list[Variant], shared: _Shared) -> dict[str, DataFrame]:
     """The field of each variant of a group that differs in the mask threshold alone."""
     loosest = min(group, key=lambda v: v.params["mask_threshold"])
     config = config_of(loosest.params)
     lattice = Lattice(pair.shape, config.window, config.overlap)
-    points = L.admit(L.lattice_table(spark, lattice), pair.mask, lattice, config.mask_threshold).persist()
+    points = shared.keep("group", L.admit(L.lattice_table(spark, lattice), pair.mask, lattice, config.mask_threshold))
     voxels = P.pair_voxels(pair.reference, pair.deformed, pair.mask)
     n = tile_points(P.TILE_MEMORY, lattice.window, lattice.stride, config.mode, config.normalization)
-    found = tile_peaks(voxels, points.where("admitted").select("poi"), lattice, config, n).select("poi", "dz", "dy", "dx", "confidence").persist()
+    found = shared.keep("group", tile_peaks(voxels, points.where("admitted").select("poi"), lattice, config, n).select("poi", "dz", "dy", "dx", "confidence"))
     return {v.variant_id: P.field(points.drop("admitted").withColumn("admitted", F.col("fraction") >= v.params["mask_threshold"]), found, config, pair.name) for v in group}
 
 
-def run(spark: SparkSession, spec: Spec, force: bool = False, only: dict[str, str] | None = None, stores: list[str] | None = None, observer: Observer | None = None) -> DataFrame:
-    """Runs what is pending and returns the latest row of each job. A job that fails leaves a row and the rest goes on."""
+def jsonable(x: Any) -> Any:
+    """x as JSON has it: tuples as lists, times as text, numbers that are not finite as null."""
+    if isinstance(x, dict):
+        return {str(k): jsonable(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [jsonable(v) for v in x]
+    if isinstance(x, float) and not math.isfinite(x):
+        return None
+    return x.isoformat() if isinstance(x, (datetime.date, datetime.datetime)) else x if isinstance(x, (str, int, float, bool, type(None))) else str(x)
+
+
+def _write_json(spark: SparkSession, path: str, value: Any) -> None:
+    """One JSON text in a folder of its own, replaced as a whole."""
+    text = json.dumps(jsonable(value), sort_keys=True, allow_nan=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def provenance(spark: SparkSession) -> dict:
+    from importlib.metadata import PackageNotFoundError, version
+
+    try:
+        own = version("strainlake")
+    except PackageNotFoundError:
+        own = None
+    return {"spark": spark.version, "python": platform.python_version(), "strainlake": own, "application": spark.sparkContext.applicationId, "host": platform.node()}
+
+
+def sidecar(spark: SparkSession, spec: Spec, store: str, deformation: str, variant_id: str) -> dict:
+    """The sidecar of a result: params, params_hash, summary, provenance, scored."""
+    return json.loads(spark.read.text(_sidecar_path(spec, store, deformation, variant_id)).first()[0])
+
+
+def _sidecar_path(spec: Spec, store: str, deformation: str, variant_id: str) -> str:
+    return f"{spec.out}/sidecars/{slug(store.rstrip('/').split('/')[-1])}-{hashlib.sha256(store.encode()).hexdigest()[:8]}/{deformation}/{variant_id}"
+
+
+def run(
+    spark: SparkSession, spec: Spec, force: bool = False, only: dict[str, str] | None = None, stores: list[str] | None = None, observer: Observer | None = None,
+    open_dataset: Callable[..., Dataset] | None = None, fields_of: Callable[..., dict[str, DataFrame]] | None = None,
+) -> DataFrame:
+    """Runs what is pending and returns the latest row of each job. A job that fails leaves a row and the rest goes on.
+
+    open_dataset(spark, store, manifest, strict) and fields_of(spark, pair, variants) may take the place of the stores'
+    reader and of the correlation; the latter gives variant_id -> field. A flow's splines and the truth on each grid
+    are made once for a deformation, distances once for a mask. Results, sidecars, the variants' index and the campaign
+    as it was read are written below spec.out.
+    """
     observer, now = observer or Observer(), lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
     datasets: dict[str, Dataset] = {}
+    ship(spark)
+    shared, own = _Shared(), provenance(spark)
 
     def note(job: Job, **values) -> None:
         names = [x.split()[0] for x in schema.RESULT.split(", ")]
         row = dict.fromkeys(names) | {"store": job.store, "deformation": job.deformation, "variant_id": job.variant.variant_id, "params_hash": job.variant.params_hash, "written_at": now()} | values
+        if row["status"] == "ok":
+            summary = {k: row[k] for k in names if k not in ("store", "deformation", "variant_id", "params_hash", "phase", "error")}
+            side = {"params": job.variant.params, "params_hash": job.variant.params_hash, "summary": summary, "provenance": own, "scored": row["mae"] is not None}
+            _write_json(spark, _sidecar_path(spec, job.store, job.deformation, job.variant.variant_id), side)
         spark.createDataFrame([tuple(row[n] for n in names)], schema.RESULT).write.mode("append").parquet(f"{spec.out}/results")
         observer.ended(job, row)
 
     def failed(job: Job, phase: str) -> None:
         note(job, status="failed", phase=phase, error=traceback.format_exc()[-2000:])
 
+    _write_json(spark, f"{spec.out}/config", {k: v for k, v in spec.__dict__.items() if k not in ("variants", "manifest")} | {"manifest": str(spec.manifest) if spec.manifest else None, "variants": [{"variant_id": v.variant_id, "params": v.params} for v in spec.variants]})
+    index(spark, spec).coalesce(1).write.mode("overwrite").parquet(f"{spec.out}/variants")
+    for asked in stores or []:
+        if not any(asked in (s, s.rstrip("/").split("/")[-1]) for s in spec.stores):
+            warnings.warn(f"no store of the campaign is named {asked!r}", stacklevel=2)
     for store in spec.stores:
         try:
-            datasets[store] = Dataset.open(spark, store, spec.manifest, spec.strict)
+            datasets[store] = (open_dataset or Dataset.open)(spark, store, spec.manifest, spec.strict)
         except Exception:
             failed(Job(store, "", "", spec.variants[0]), "open_store")
     opened = Spec(**{**spec.__dict__, "stores": tuple(datasets)})
     jobs = plan(spark, opened, force, only, stores, datasets)
+    for store in sorted({j.store for j in jobs if j.kind == "synthetic" and j.variant.params["flow_convention"] is None}):
+        if datasets[store].manifest.convention is None:
+            warnings.warn(f"{store}: no flow convention is set, {datasets[store].profile.convention} is taken", stacklevel=2)
     observer.planned(jobs)
     place = lambda j: (j.store, j.deformation, j.kind, j.variant.part(LOAD))
+    before = None
     for (store, name, kind, _), of_load in itertools.groupby(sorted(jobs, key=place), place):
+        if store != before:
+            shared.free("store")
+            before = store
         group = list(of_load)
         p = group[0].variant.params
         try:
@@ -281,36 +381,45 @@ def run(spark: SparkSession, spec: Spec, force: bool = False, only: dict[str, st
             for j in group:
                 failed(j, "load_pair")
             continue
-        shared = lambda j: j.variant.part(tuple(k for k in GRID + COMPUTE if k != "mask_threshold"))
-        for _, same in itertools.groupby(sorted(group, key=shared), shared):
+        alike = lambda j: j.variant.part(tuple(k for k in GRID + COMPUTE if k != "mask_threshold"))
+        for _, same in itertools.groupby(sorted(group, key=alike), alike):
             of = list(same)
             try:
-                fields = _fields(spark, pair, [j.variant for j in of])
+                fields = fields_of(spark, pair, [j.variant for j in of]) if fields_of else _fields(spark, pair, [j.variant for j in of], shared)
             except Exception:
                 for j in of:
                     failed(j, "correlate")
+                shared.free("group")
                 continue
             for j in of:
                 observer.started(j)
                 phase = "correlate"
                 try:
-                    f = fields[j.variant.variant_id].persist()
+                    f = shared.keep("job", fields[j.variant.variant_id])
                     counts = score.status_counts(f).first().asDict()
                     phase = "evaluate_or_write"
                     fieldstore.save(f, f"{spec.out}/fields", j.variant.variant_id)
                     row = {k: counts[k] for k in counts} | {"status": "ok"}
                     if pair.flow is not None and counts["n_ok"]:
-                        scored = f.join(sample_flow(f, pair.flow, pair.shape), "poi").persist()
+                        grid = j.variant.part(GRID)
+                        tables = shared.once("pair", (), lambda: {a: shared.keep("pair", t) for a, t in flow_tables(pair.flow, pair.shape).items()})
+                        truth = shared.once("pair", (grid,), lambda: shared.keep("pair", sample_flow(f.select("poi", "pz", "py", "px"), tables, pair.shape)))
+                        scored = shared.keep("job", f.join(truth, "poi"))
                         e = score.report(scored).first()
                         rho = score.spearman(score.errors(scored.where("valid")), "confidence", "norm").first()["rho"]
                         if spec.distance_bins and pair.mask is not None:
-                            far = score.distance_from_volume(scored, pair.mask, pair.shape)
-                            table = score.strata(far, spec.distance_bins).withColumn("deformation", F.lit(name)).withColumn("variant_id", F.lit(j.variant.variant_id))
-                            table.write.mode("append").parquet(f"{spec.out}/strata")
+                            far = shared.once("store", (p["mask"], str(p["dry_shape"])), lambda: shared.keep("store", distance_volume(pair.mask, pair.shape)))
+                            table = score.strata(score.distance_to(scored, pair.mask, pair.shape, distances=far), spec.distance_bins)
+                            table.withColumn("deformation", F.lit(name)).withColumn("variant_id", F.lit(j.variant.variant_id)).write.mode("append").parquet(f"{spec.out}/strata")
                         row |= {"mae": e["mae"], "rmse": e["rmse"], "p95": e["p95"], "confidence_vs_error": rho}
                     note(j, **row)
                 except Exception:
                     failed(j, phase)
+                finally:
+                    shared.free("job")
+            shared.free("group")
+        shared.free("pair")
+    shared.free("store")
     return latest(spark, spec)
 
 
@@ -319,4 +428,4 @@ def index(spark: SparkSession, spec: Spec) -> DataFrame:
     return spark.createDataFrame([(v.variant_id, v.name, v.params_hash, json.dumps(v.params, sort_keys=True)) for v in spec.variants], "variant_id string, name string, params_hash string, params string")
 
 
-__all__ = ["Job", "Manifest", "Observer", "Spec", "Variant", "chosen", "index", "knob", "latest", "params_hash", "plan", "results", "run", "slug", "variants"]
+__all__ = ["Job", "Manifest", "Observer", "Spec", "Variant", "chosen", "index", "knob", "latest", "params_hash", "plan", "results", "run", "sidecar", "slug", "variants"]

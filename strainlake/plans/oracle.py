@@ -76,23 +76,33 @@ sp AS (SELECT iz, iy, ix, median(abs(bz - mz)) AS sz, median(abs(by_ - my)) AS s
 ol AS (SELECT t.*, coalesce(n_neighbors, 0) AS n_neighbors, CASE WHEN t.{valid} AND n_neighbors >= 4 THEN greatest(abs(dz - mz) / (sz + 0.1e0), abs(dy - my) / (sy + 0.1e0), abs(dx - mx) / (sx + 0.1e0)) END AS residual FROM {field} t LEFT JOIN md USING (iz, iy, ix) LEFT JOIN sp USING (iz, iy, ix))"""
 
 
-FIELD = f"""{WIN}, roll AS (SELECT (z + 1) % 16 AS z, (y + 30) % 32 AS y, (x + 1) % 32 AS x, value AS dv FROM cube),
+def field_sql(cyclic: bool = False) -> str:
+    """fld: the field of the cube against its rolled copy, by overlapping windows or by cyclic ones with a taper."""
+    taper = " * " + " * ".join(tukey(f"j{a}", 8, 0.25) for a in "zyx") if cyclic else ""
+    lag = (lambda a: f"(b.j{a} - a.j{a} + 12) % 8 - 4") if cyclic else (lambda a: f"b.j{a} - a.j{a}")
+    energy = "r2 * d2" if cyclic else "greatest(rr, 0) * greatest(dd, 0)"
+    en = "en AS (SELECT poi, sum(r * r) AS r2, sum(d * d) AS d2 FROM pr GROUP BY poi), " if cyclic else ""
+    return f"""{WIN}, roll AS (SELECT (z + 1) % 16 AS z, (y + 30) % 32 AS y, (x + 1) % 32 AS x, value AS dv FROM cube),
 adm AS (SELECT poi, avg(CASE WHEN m THEN 1e0 ELSE 0e0 END) AS fraction FROM win GROUP BY poi),
 pr0 AS (SELECT poi, jz, jy, jx, value AS r0, dv AS d0, CASE WHEN m THEN 1e0 ELSE 0e0 END AS mm FROM win JOIN grid USING (poi) JOIN roll ON roll.z = jz + z0 AND roll.y = jy + y0 AND roll.x = jx + x0 JOIN adm USING (poi) WHERE fraction >= 0.5),
-pr AS (SELECT poi, jz, jy, jx, (r0 - sum(r0 * mm) OVER p / greatest(sum(mm) OVER p, 1)) * mm AS r, (d0 - sum(d0 * mm) OVER p / greatest(sum(mm) OVER p, 1)) * mm AS d FROM pr0 WINDOW p AS (PARTITION BY poi)),
-g AS (SELECT poi, b.jz - a.jz AS kz, b.jy - a.jy AS ky, b.jx - a.jx AS kx, sum(a.r * b.d) AS rd, sum(a.r * a.r) AS rr, sum(b.d * b.d) AS dd FROM pr a JOIN pr b USING (poi) WHERE b.jz - a.jz BETWEEN -4 AND 3 AND b.jy - a.jy BETWEEN -4 AND 3 AND b.jx - a.jx BETWEEN -4 AND 3 GROUP BY ALL),
-c AS (SELECT poi, kz, ky, kx, round(rd / sqrt(greatest(rr, 0) * greatest(dd, 0) + 1e-12), 9) AS ncc FROM g), {fit(8)},
+pr AS (SELECT poi, jz, jy, jx, (r0 - sum(r0 * mm) OVER p / greatest(sum(mm) OVER p, 1)) * mm{taper} AS r, (d0 - sum(d0 * mm) OVER p / greatest(sum(mm) OVER p, 1)) * mm{taper} AS d FROM pr0 WINDOW p AS (PARTITION BY poi)),
+l AS (SELECT poi, {', '.join(f'{lag(a)} AS k{a}' for a in 'zyx')}, a.r, b.d FROM pr a JOIN pr b USING (poi)),
+g AS (SELECT poi, kz, ky, kx, sum(r * d) AS rd, sum(r * r) AS rr, sum(d * d) AS dd FROM l WHERE kz BETWEEN -4 AND 3 AND ky BETWEEN -4 AND 3 AND kx BETWEEN -4 AND 3 GROUP BY ALL),
+{en}c AS (SELECT poi, kz, ky, kx, round(rd / sqrt({energy} + 1e-12), 9) AS ncc FROM g{' JOIN en USING (poi)' if cyclic else ''}), {fit(8)},
 ff0 AS (SELECT grid.poi, iz, iy, ix, kz + fz AS dz, ky + fy AS dy, kx + fx AS dx, confidence, CASE WHEN sv.poi IS NULL THEN 1 WHEN greatest(abs(kz + fz), abs(ky + fy), abs(kx + fx)) > 4 THEN 4 ELSE 0 END AS st FROM grid LEFT JOIN sv USING (poi)),
 ff AS (SELECT *, st = 0 AS ok FROM ff0), {outliers('ff', 'ok')},
 fld AS (SELECT poi, iz, iy, ix, z_ AS pz, y_ AS py, x_ AS px, CASE WHEN s = 0 THEN dz ELSE 0 END AS dz, CASE WHEN s = 0 THEN dy ELSE 0 END AS dy, CASE WHEN s = 0 THEN dx ELSE 0 END AS dx, s = 0 AS valid, CASE WHEN s = 0 THEN confidence ELSE 0 END AS confidence, s AS status
  FROM (SELECT ol.*, z0 + 3.5e0 AS z_, y0 + 3.5e0 AS y_, x0 + 3.5e0 AS x_, CASE WHEN ok AND coalesce(residual > 2, false) THEN 2 ELSE st END AS s FROM ol JOIN (SELECT poi, z0, y0, x0 FROM grid) USING (poi)))"""
+
+
+FIELD, FIELD_CYCLIC = field_sql(), field_sql(True)
 REPORT = """count(*) AS n_total, count(*) FILTER (WHERE valid) AS n_valid, {mae}, {rmse}, {p95}, {mz}, {my}, {mx}""".format(
     mae=r("avg((abs(ez) + abs(ey) + abs(ex)) / 3) FILTER (WHERE valid)", "mae"), rmse=r("sqrt(avg((ez * ez + ey * ey + ex * ex) / 3) FILTER (WHERE valid))", "rmse"), p95=r("quantile_cont(norm, 0.95) FILTER (WHERE valid)", "p95"),
     mz=r("avg(abs(ez)) FILTER (WHERE valid)", "mae_z"), my=r("avg(abs(ey)) FILTER (WHERE valid)", "mae_y"), mx=r("avg(abs(ex)) FILTER (WHERE valid)", "mae_x"),
 )
 DIST = f"""{EVENTS}, so AS (SELECT iz, iy, ix FROM f WHERE confidence >= 4),
 ds AS (SELECT f.*, (SELECT min(sqrt(CAST(power(f.iz - so.iz, 2) + power(f.iy - so.iy, 2) + power(f.ix - so.ix, 2) AS DOUBLE))) FROM so) AS distance FROM f)"""
-VOLS = f"""{CUBE}, vol AS (SELECT 'reference' AS volume_id, value FROM cube UNION ALL SELECT 'deformed', value FROM cube WHERE (z + 1) % 16 < 12)"""
+VOLS = f"""{CUBE}, vol AS (SELECT 'reference' AS volume_id, value FROM cube UNION ALL SELECT 'deformed', value FROM cube)"""
 MIRROR = lambda i, n: f"(CASE WHEN (({i}) + {2 * n}) % {2 * n} >= {n} THEN {2 * n - 1} - (({i}) + {2 * n}) % {2 * n} ELSE (({i}) + {2 * n}) % {2 * n} END)"
 U = ("(y % 3 - 1)", "(x % 5 - 2)", "(z % 2)")
 
@@ -106,7 +116,7 @@ def analytic(dz: str, dy: str, dx: str) -> str:
     return f"WITH {GRID}, p AS (SELECT poi, z0 + 3.5e0 AS pz, y0 + 3.5e0 AS py, x0 + 3.5e0 AS px FROM grid) SELECT poi, pz, py, px, {r(f'CAST({dz} AS FLOAT)', 'dz')}, {r(f'CAST({dy} AS FLOAT)', 'dy')}, {r(f'CAST({dx} AS FLOAT)', 'dx')} FROM p"
 
 
-VARIANTS = """pts AS (SELECT 8 * (r_regionkey + 1) AS "window", n_nationkey * 25 AS threshold, 'w' || CAST(8 * (r_regionkey + 1) AS VARCHAR) || '-mt' || CAST(n_nationkey * 25 AS VARCHAR) AS name, 8000 * (r_regionkey + 1) + n_nationkey * 25 AS place, 0 AS part FROM region, nation WHERE n_nationkey < 4
+VARIANTS = """pts AS (SELECT 8 * (r_regionkey + 1) AS "window", n_nationkey * 4 AS threshold, 'w' || CAST(8 * (r_regionkey + 1) AS VARCHAR) || '-mt' || CAST(n_nationkey * 4 AS VARCHAR) AS name, 8000 * (r_regionkey + 1) + n_nationkey * 4 AS place, 0 AS part FROM region, nation
  UNION ALL SELECT 8 * (1 + 2 * r_regionkey), 50, 'own' || CAST(r_regionkey AS VARCHAR), r_regionkey, 1 FROM region),
 hs AS (SELECT *, substr(sha256('{"threshold": ' || CAST(threshold AS VARCHAR) || ', "window": ' || CAST("window" AS VARCHAR) || '}'), 1, 8) AS params_hash FROM pts),
 va AS (SELECT CAST("window" AS BIGINT) AS "window", CAST(threshold AS BIGINT) AS threshold, name, params_hash, name || '-' || params_hash AS variant_id FROM (SELECT *, row_number() OVER (PARTITION BY params_hash ORDER BY part, place) AS k FROM hs) WHERE k = 1)"""
@@ -173,7 +183,17 @@ SELECT volume_id, {r('lo + (b + (total / 2e0 - (upto - c)) / c) * ((hi - lo) / 6
         "latest_manifest": f"WITH {LATEST} SELECT store, variant_id, row_id, {r('mae', 'mae')} FROM la",
         "best_variants": f"WITH {LATEST} SELECT store, variant_id, {r('mae', 'mae')}, place FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY mae, variant_id) AS place FROM la) WHERE place <= 3",
         "broken_entries": "WITH g AS (SELECT l_orderkey AS entry, list(DISTINCT l_returnflag) AS roles FROM lineitem GROUP BY 1) SELECT entry, array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(roles, x)), ',') AS missing, CASE WHEN len(roles) = 3 THEN 'healthy' ELSE 'broken' END AS status FROM g",
-        "catalog_verify": "SELECT o_orderkey AS entry, 'no volume' AS error FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'wrong shape' FROM lineitem WHERE l_quantity > 49 AND l_discount = 0",
+        "catalog_verify": f"""WITH c AS (SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS entry, CASE l_returnflag WHEN 'A' THEN 'deformed' WHEN 'N' THEN 'mask' ELSE 'flow' END AS role, CAST(round(l_tax * 100) AS INT) AS tax, l_quantity > 49 AS absent, l_linestatus = 'O' AND l_discount = 0 AS wide FROM lineitem),
+w AS (SELECT *, CASE role WHEN 'mask' THEN 'bool' ELSE 'float32' END AS kind FROM c)
+SELECT entry, role, 'missing' AS error FROM w WHERE absent
+UNION ALL SELECT entry, role, 'expected ' || kind || ', got float64' FROM w WHERE NOT absent AND wide
+UNION ALL SELECT entry, role, 'expected ' || CASE role WHEN 'flow' THEN '4' ELSE '3' END || ' dimensions, got 2' FROM w WHERE NOT absent AND tax = 8
+UNION ALL SELECT entry, role, CASE role WHEN 'flow' THEN 'spatial shape' ELSE 'shape' END || ' differs from the reference''s' FROM w WHERE NOT absent AND tax = 7
+UNION ALL SELECT entry, role, 'vector axis 0 must be 3, got 2' FROM w WHERE NOT absent AND tax = 6 AND role = 'flow'""",
+        "ncc_fft": f"WITH {FIELD_CYCLIC} SELECT 'pair' AS pair_id, poi, iz, iy, ix, pz, py, px, {', '.join(r(f'CAST({c} AS FLOAT)', c) for c in ('dz', 'dy', 'dx', 'confidence'))}, valid, CAST(status AS BIGINT) AS status FROM fld",
+        "distance_volume": f"WITH {CUBE}, s AS (SELECT z, y, x FROM cube WHERE m) SELECT {big('z', 'y', 'x')}, {r('min(sqrt(power(c.z - s.z, 2) + power(c.y - s.y, 2) + power(c.x - s.x, 2)))', 'value')} FROM (SELECT z AS z, y AS y, x AS x FROM cube) c, s GROUP BY c.z, c.y, c.x".replace(f"{big('z', 'y', 'x')}", big("c.z", "c.y", "c.x").replace("AS c.", "AS ")),
+        "frame_pairs": "SELECT CAST(user_id AS VARCHAR) AS series, event_id AS t, before AS reference, event_type AS deformed FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE k > 1",
+        "zarr_roundtrip": f"WITH {CUBE} SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM cube",
         "budget_batch": " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS \"window\", '{m.rstrip('2')}' AS mode, '{n}' AS normalization, CAST({c} * {w}::BIGINT ** 3 AS BIGINT) AS per_point, CAST(9 * 960::BIGINT * 1280 * 1280 AS BIGINT) AS resident, CAST(least((CAST(floor(51539607552e0 * 0.85e0) AS BIGINT) - 14155776000 - CAST({o} * {w}::BIGINT ** 3 AS BIGINT)) // CAST({c} * {w}::BIGINT ** 3 AS BIGINT) // 8 * 8, 1024) AS BIGINT) AS batch" for w in (32, 64, 96) for m, (c, o, n) in BATCH.items()),
         "unit_convert": f"SELECT p_partkey, u AS unit, {r('p_size * (CASE u WHEN ' + chr(39) + 'nm' + chr(39) + ' THEN 0.001e0 WHEN ' + chr(39) + 'um' + chr(39) + ' THEN 1e0 ELSE 1000e0 END)', 'um')} FROM (SELECT *, (['nm', 'um', 'mm'])[p_partkey % 3 + 1] AS u FROM part)",
         "field_points_export": f"WITH {EVENTS} SELECT poi, {r('ix * 1.5e0', 'x')}, {r('iy * 0.5e0', 'y')}, {r('iz * 2e0', 'z')}, {r('dx * 1.5e0', 'ux')}, {r('dy * 0.5e0', 'uy')}, {r('dz * 2e0', 'uz')}, confidence, CAST(0 AS BIGINT) AS status, {r('sqrt(power(dx * 1.5e0, 2) + power(dy * 0.5e0, 2) + power(dz * 2e0, 2))', 'magnitude')} FROM f WHERE valid",

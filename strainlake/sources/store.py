@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strainlake import schema
 from strainlake.functions.units import VoxelSpacing
@@ -233,6 +233,29 @@ def verify(store: str, profile: Profile, manifest: Manifest | None = None) -> Re
     return report
 
 
+def check_catalog(catalog: DataFrame, shape: Column, dtypes: dict[str, str], axis_order: str = "zyx_3") -> DataFrame:
+    """entry, role and error for each row of a catalog (role, entry, path, shape, dtype) with a fault.
+
+    shape: the reference's shape. dtypes: role -> type. A null path is a missing array. The checks of verify(), as
+    columns, for catalogs of many stores.
+    """
+    axis = 0 if axis_order == "3_zyx" else 3
+    is_flow, own = F.col("role") == "flow", F.col("shape")
+    want = F.create_map(*[F.lit(x) for kv in dtypes.items() for x in kv])
+    spatial = F.slice(own, 2, 3) if axis == 0 else F.slice(own, 1, 3)
+    say = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    dims = F.when(is_flow, 4).otherwise(3)
+    faults = F.array(
+        F.when(F.col("path").isNull(), F.lit("missing")),
+        F.when(F.col("path").isNotNull() & (F.col("dtype") != F.try_element_at(want, F.col("role"))), say("expected ", F.try_element_at(want, F.col("role")), ", got ", F.col("dtype"))),
+        F.when(F.size(own) != dims, say("expected ", dims, " dimensions, got ", F.size(own))),
+        F.when((F.size(own) == dims) & ~is_flow & (own != shape), F.lit("shape differs from the reference's")),
+        F.when((F.size(own) == dims) & is_flow & (F.get(own, F.lit(axis)) != 3), say(f"vector axis {axis} must be 3, got ", F.get(own, F.lit(axis)))),
+        F.when((F.size(own) == dims) & is_flow & (F.get(own, F.lit(axis)) == 3) & (spatial != shape), F.lit("spatial shape differs from the reference's")),
+    )
+    return catalog.select("entry", "role", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("error"))
+
+
 @dataclass
 class LoadedPair:
     """Lazy tables of one deformation."""
@@ -324,8 +347,18 @@ class Dataset:
         if self.entries.get(entry, "synthetic") != "synthetic":
             raise ValueError(f"{entry!r} is a real deformation: it has no flow")
         m, p = self.manifest, self.profile
+        if (m.vector_order or p.vector_order) != "dz_dy_dx":
+            raise ValueError(f"vector order {m.vector_order or p.vector_order!r} cannot be read, only dz_dy_dx")
         return zarr.load_flow(self.spark, self.store, self._path(entry, p.flow), m.axis_order or p.axis_order, convention or m.convention or p.convention, crop)
 
+    def check_flow(self, entry: str) -> None:
+        """Raises if the flow's vector axis or its spatial shape does not fit; reads no voxel."""
+        m, p = self.manifest, self.profile
+        a, order = zarr.node(self.store, self._path(entry, p.flow)), m.axis_order or p.axis_order
+        axis = 0 if order == "3_zyx" else 3
+        if len(a.shape) != 4 or a.shape[axis] != 3 or tuple(n for i, n in enumerate(a.shape) if i != axis) != tuple(self.shape):
+            raise ValueError(f"{entry}: flow of shape {tuple(a.shape)} does not fit {order} on {tuple(self.shape)}")
+
     def load_pair(self, entry: str, mask: str | None = None, crop=None, convention: str | None = None) -> LoadedPair:
         """mask: a name, None for the default, NO_MASK for none."""
         image = self.load_image(entry, crop)

@@ -1,4 +1,4 @@
-"""Zarr arrays (version 3, and 2) as a Spark data source, read chunk by chunk; and a small writer.
+"""Zarr arrays (version 3, and 2) as a Spark data source, read chunk by chunk; and writers, of arrays and of tables.
 
 spark.read.format("zarr_array").option("array", "base/volume0").load(store) gives voxels (z, y, x, value) of a 3-D
 array, or flow rows (z, y, x, dz, dy, dx) of a 4-D one with option axis_order. Option crop="z,y,x" keeps the centred
@@ -132,38 +132,64 @@ def decode(raw: bytes | None, meta: ArrayMeta) -> np.ndarray:
     return np.frombuffer(raw, dtype).reshape(meta.chunks, order=meta.order)
 
 
-def write_array(store: str, name: str, data: np.ndarray, chunks: tuple[int, ...] | None = None, codec: str | None = "zstd", attributes: dict | None = None) -> None:
-    """A version 3 array in a local store, with its parent groups."""
+def _put(store: str, name: str, raw: bytes) -> None:
+    system, top = _fs(store)
+    system.create_dir(os.path.dirname(f"{top}/{name}"), recursive=True)
+    with system.open_output_stream(f"{top}/{name}") as f:
+        f.write(raw)
+
+
+def _describe(store: str, name: str, shape: tuple[int, ...], dtype: np.dtype, chunks: tuple[int, ...], codec: str | None, attributes: dict | None) -> None:
+    """Writes an array's metadata and that of its parent groups where there is none."""
     parts = name.split("/")
     for i in range(len(parts)):
-        os.makedirs(os.path.join(store, *parts[:i]), exist_ok=True)
-        path = os.path.join(store, *parts[:i], "zarr.json")
-        if not os.path.exists(path):
-            with open(path, "w") as f:
-                json.dump({"zarr_format": 3, "node_type": "group", "attributes": (attributes or {}) if i == 0 else {}}, f)
-    chunks = chunks or data.shape
-    top = os.path.join(store, *parts)
-    os.makedirs(top, exist_ok=True)
+        group = "/".join([*parts[:i], "zarr.json"])
+        if read_bytes(store, group) is None:
+            _put(store, group, json.dumps({"zarr_format": 3, "node_type": "group", "attributes": (attributes or {}) if i == 0 else {}}).encode())
     codecs = [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec, "configuration": {}}] if codec else [])
-    meta = {"zarr_format": 3, "node_type": "array", "shape": list(data.shape), "data_type": data.dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}},
-            "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": False if data.dtype == bool else 0, "codecs": codecs, "attributes": {}}
-    with open(os.path.join(top, "zarr.json"), "w") as f:
-        json.dump(meta, f)
+    meta = {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}},
+            "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": False if dtype == bool else 0, "codecs": codecs, "attributes": {}}
+    _put(store, f"{name}/zarr.json", json.dumps(meta).encode())
+
+
+def encode(block: np.ndarray, codec: str | None) -> bytes:
+    raw = block.tobytes()
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdCompressor().compress(raw)
+    return gzip.compress(raw) if codec == "gzip" else raw
+
+
+def write_array(store: str, name: str, data: np.ndarray, chunks: tuple[int, ...] | None = None, codec: str | None = "zstd", attributes: dict | None = None) -> None:
+    """A version 3 array, with its parent groups, from the driver's memory."""
+    chunks = chunks or data.shape
+    _describe(store, name, data.shape, data.dtype, chunks, codec, attributes)
     for at in product(*[range(-(-n // c)) for n, c in zip(data.shape, chunks, strict=True)]):
         block = np.zeros(chunks, data.dtype)
         part = data[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))]
         block[tuple(slice(0, n) for n in part.shape)] = part
-        raw = block.tobytes()
-        if codec == "zstd":
-            import zstandard
+        _put(store, "/".join([name, "c", *map(str, at)]), encode(block, codec))
+
+
+def write_volume(voxels, store: str, name: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], dtype: str = "float32", codec: str | None = "zstd", attributes: dict | None = None) -> int:
+    """voxels (z, y, x, value) as a version 3 array, each chunk by the task that holds it; returns the chunks written.
+
+    The store must be a path that driver and executors share. Absent voxels are 0; a chunk without voxels has no file.
+    """
+    from pyspark.sql import functions as F
+
+    _describe(store, name, shape, np.dtype(dtype), chunks, codec, attributes)
+
+    def run(key, t):
+        at = [k.as_py() for k in key]
+        block = np.zeros(chunks, dtype)
+        block[tuple(t.column(a).to_numpy() - i * c for a, i, c in zip("zyx", at, chunks, strict=True))] = t.column("value").to_numpy(zero_copy_only=False)
+        _put(store, "/".join([name, "c", *map(str, at)]), encode(block, codec))
+        return pa.table({"n": pa.array([1], pa.int64())})
 
-            raw = zstandard.ZstdCompressor().compress(raw)
-        elif codec == "gzip":
-            raw = gzip.compress(raw)
-        path = os.path.join(top, "c", *map(str, at))
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(raw)
+    of = [F.floor(F.col(a) / c).cast("int").alias(f"c{a}") for a, c in zip("zyx", chunks, strict=True)]
+    return voxels.select("z", "y", "x", "value", *of).groupBy("cz", "cy", "cx").applyInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 class _Chunk(InputPartition):

@@ -197,7 +197,7 @@ def test_distances(spark):
     want = np.sqrt(((np.indices(m.shape).reshape(3, -1).T[:, None] - true) ** 2).sum(2)).min(1).reshape(m.shape)
     assert np.allclose(array(signal.distance_volume(voxels(spark, m), m.shape), m.shape), want)
     lat = Lattice(m.shape, 3, 0.0)
-    got = score.distance_to(L.lattice_table(spark, lat), voxels(spark, m), m.shape, cell=3).toPandas()
+    got = score.distance_to(L.lattice_table(spark, lat), voxels(spark, m), m.shape).toPandas()
     assert np.allclose(got.distance, want[got.cz, got.cy, got.cx])
 
 
@@ -248,13 +248,13 @@ def test_texture_and_phantom(spark):
     a = array(synth.texture(spark, (8, 12, 12), 1.5, 3), (8, 12, 12))
     b = array(synth.texture(spark, (8, 12, 12), 1.5, 3).repartition(7), (8, 12, 12))
     assert np.array_equal(a, b) and abs(a.mean()) < 1e-5 and abs(a.std() - 1) < 1e-5
-    spec = phantom.PhantomSpec((16, 32, 32), defect_radius=3.0, implant_radius=3.0, cortical_thickness=4.0)
+    spec = phantom.bone((16, 32, 32), rod=3.0, hole=3.0)
     s = phantom.scaffold(synth.voxel_grid(spark, spec.shape).withColumn("strut", F.lit(True)), spec)
     assert {r.region for r in s.select("region").distinct().collect()} == {"implant", "cortical", "trabecular", "background"}
     r = array(synth.default_phantom(spark, (12, 40, 40), 1), (12, 40, 40))
     assert np.isfinite(r).all() and r.max() > 0.5
     with pytest.raises(ValueError):
-        phantom.PhantomSpec((8, 12, 12), cortical_thickness=9.0).radii()
+        phantom.bone((8, 12, 12), wall=9.0)
 
 
 def test_analytic_fields(spark):
@@ -302,3 +302,57 @@ def test_thresholds_share_one_correlation(spark):
 def test_taper_column_equals_numpy(spark):
     for n, a in ((1, 0.5), (8, 0.25), (9, 1.0)):
         assert np.allclose(taper.tukey_1d(spark, n, a).orderBy("i").toPandas().w, ncc_fft.taper(n, a))
+
+
+def test_spline_recursion_against_dense_solution():
+    """Coefficients put back through the spline give the samples; time grows with the length of a line."""
+    rng = np.random.default_rng(3)
+    for order in (2, 3, 4, 5):
+        for n in (1, 2, 5, 256):
+            lines = rng.standard_normal((n, 3))
+            c = signal.coefficients(lines, order)
+            r = order // 2
+            back = sum(signal.spline_weight(np.array(float(o)), order) * c[signal.mirror(np.arange(n) + o, n)] for o in range(-r, r + 1))
+            assert np.allclose(back, lines, atol=1e-9), (order, n)
+
+
+def test_nearest_squares_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for n, share in ((256, 0.02), (256, 0.2), (40, 0.0), (7, 1.0), (256, 0.001)):
+        far = 4.0 * n * n
+        lines = np.where(rng.random((n, 6)) < share, rng.integers(0, 50, (n, 6)).astype(float), far)
+        i = np.arange(n)
+        want = np.minimum(far, (lines[None] + ((i[:, None] - i) ** 2)[..., None]).min(1))
+        got = signal.nearest_squares(lines)
+        assert np.array_equal(np.minimum(far, got), want)
+
+
+def test_distributed_ranks_and_quantiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.integers(0, 40, 500).astype(float), rng.standard_normal(300) * 1e6, [1e300, -1e300, 5e-324, 0.0]])
+    t = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(v)), "v": v, "volume_id": np.where(np.arange(len(v)) % 3, "a", "b")}))
+    ranks = score.average_rank(t, "v", "r").toPandas().sort_values("i").r.to_numpy()
+    assert np.array_equal(ranks, pd.Series(v).rank().to_numpy())
+    nulls = t.withColumn("v", F.when(F.col("i") % 10 == 0, None).otherwise(F.col("v")))
+    got = score.average_rank(nulls, "v", "r").toPandas()
+    want = pd.Series(np.where(got.i % 10 == 0, -np.inf, got.v)).rank()
+    assert np.array_equal(got.r, want)
+    for q in (0.0, 0.3, 0.5, 0.955, 1.0):
+        for bins in (2, 7, 4096):
+            found = profile.exact_quantile(t, q, value="v", bins=bins)
+            for k in "ab":
+                own = np.sort(t.where(F.col("volume_id") == k).toPandas().v.to_numpy())
+                at = q * (len(own) - 1)
+                a, b = own[int(at)], own[min(int(at) + 1, len(own) - 1)]
+                assert found[k] == a + (b - a) * (at - int(at))
+    assert profile.exact_median(t.limit(0), value="v").count() == 0
+
+
+def test_convention_of_a_fractional_flow(spark):
+    shape = (10, 14, 14)
+    ref = synth.texture(spark, shape, 1.5, 5)
+    flow = fields.with_field(synth.voxel_grid(spark, shape), fields.rigid((0.3, -0.4, 0.2)))
+    for name in ("pull_back", "push_forward"):
+        moved = synth.warp(ref, fields.rigid((0.3, -0.4, 0.2)), shape, convention=name)
+        got = profile.convention(ref, moved, flow, shape).first()
+        assert got.convention == name and got.ratio > 5

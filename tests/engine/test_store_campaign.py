@@ -1,6 +1,7 @@
 """Stores, fields at rest, campaigns, the command line and frame series, on small stores written here."""
 
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strainlake import cli
 from strainlake.config import Lattice
+from strainlake.operators import lattice as L, profile
 from strainlake.plans import campaign
 from strainlake.sources import fieldstore, zarr_source as zarr
 from strainlake.sources.store import DISCOVER, Dataset, MalformedStore, Manifest, verify, default_profile
@@ -179,3 +181,106 @@ def test_frame_stream(spark, tmp_path):
     assert {(r.reference, r.deformed) for r in frames.pairs(t).collect()} == {("f0", "f1"), ("f0", "f2")}
     with pytest.raises(ValueError):
         frames.pairs(t.where(F.lit(True)), "other")
+
+
+def test_truth_and_distances_are_made_once(spark, tmp_path, store, monkeypatch):
+    """Five variants on two grids: one set of splines, a truth for each grid, one distance transform; nothing is left over."""
+    work = tmp_path / "work"
+    monkeypatch.setattr(campaign, "shared_folder", lambda s, name: f"{work}/strainlake/{name}-{uuid.uuid4().hex}")
+    calls = {"splines": 0, "samples": 0, "distances": 0}
+
+    def counted(name, f):
+        def g(*a, **k):
+            calls[name] += 1
+            return f(*a, **k)
+
+        return g
+
+    monkeypatch.setattr(campaign, "flow_tables", counted("splines", campaign.flow_tables))
+    monkeypatch.setattr(campaign, "sample_flow", counted("samples", campaign.sample_flow))
+    monkeypatch.setattr(campaign, "distance_volume", counted("distances", campaign.distance_volume))
+    raw = {"campaign": "s", "stores": [store[0]], "out_dir": str(tmp_path / "out"), "select": {"real": "none"}, "defaults": {"window": 4, "flow_convention": "pull_back"}, "sweep": {"mask_threshold": [0.9, 0.5]}, "variants": [{"window": 8}, {"window": 8, "mask_threshold": 0.6}, {"search_radius": 1}], "distance_bins": [0, 2]}
+    spec = campaign.Spec.parse(raw)
+    rows = campaign.run(spark, spec).toPandas()
+    assert (rows.status == "ok").all() and len(rows) == 5, rows.error.tolist()
+    assert calls == {"splines": 1, "samples": 2, "distances": 1}
+    assert not list(work.glob("strainlake/campaign-*"))
+    side = campaign.sidecar(spark, spec, store[0], "fs004", rows.variant_id[0])
+    assert side["scored"] and side["summary"]["mae"] == rows.mae[0] and side["provenance"]["spark"] == spark.version
+    assert side["params"]["window"] in (4, 8) and side["params_hash"] == rows.params_hash[0]
+    assert spark.read.parquet(f"{spec.out}/variants").count() == 5
+    assert json.loads(spark.read.text(f"{spec.out}/config").first()[0])["campaign"] == "s"
+    assert campaign.jsonable({"a": (1, float("nan")), 2: float("inf")}) == {"a": [1, None], "2": None}
+
+
+def test_own_kernel_and_reader_and_warnings(spark, tmp_path, store):
+    seen = []
+
+    def opened(s, path, manifest, strict):
+        seen.append(path)
+        return Dataset.open(s, store[0], manifest, strict)
+
+    def constant(s, pair, variants):
+        lat = Lattice(pair.shape, 4, 0.5)
+        t = L.lattice_table(s, lat).select(F.lit(pair.name).alias("pair_id"), "poi", "iz", "iy", "ix", "pz", "py", "px", *[F.lit(0.0).cast("float").alias(f"d{a}") for a in "zyx"], F.lit(True).alias("valid"), F.lit(1.0).cast("float").alias("confidence"), F.lit(0).cast("tinyint").alias("status"))
+        return {v.variant_id: t for v in variants}
+
+    spec = campaign.Spec.parse({"campaign": "k", "stores": ["elsewhere"], "out_dir": str(tmp_path / "out"), "select": {"real": "none"}, "defaults": {"window": 4}})
+    with pytest.warns(UserWarning, match="no flow convention"):
+        rows = campaign.run(spark, spec, open_dataset=opened, fields_of=constant).toPandas()
+    assert seen == ["elsewhere"] and rows.status.tolist() == ["ok"] and rows.n_ok[0] == rows.n_total[0]
+    with pytest.warns(UserWarning, match="no store of the campaign"):
+        campaign.run(spark, spec, stores=["other"], open_dataset=opened)
+
+
+def test_profile_of_a_dataset(spark, tmp_path, store):
+    ds = Dataset.open(spark, store[0])
+    steps = []
+    p = profile.dataset(ds, median="exact", progress=steps.append)
+    assert [(x.stage, x.name) for x in steps] == [("reference", "reference"), *[("mask", m) for m in ds.list_masks()], *[x for e in ds.list_all() for x in (("deformed", e), ("flow", e))[: 1 + (ds.entries[e] == "synthetic")]], ("done", "")]
+    assert [x.index for x in steps] == list(range(len(steps))) and {x.total for x in steps} == {len(steps) - 1}
+    v = {(r.role, r.name): r for r in p.volumes.collect()}
+    ref = ds.load_reference().toPandas()["value"].to_numpy(np.float64)
+    own = v["reference", "reference"]
+    assert (own.n, own.min, own.max) == (ref.size, ref.min(), ref.max()) and abs(own.mean - ref.mean()) < 1e-9 and own.median == np.median(ref)
+    flow = ds.load_flow("fs004").toPandas()[["dz", "dy", "dx"]].to_numpy(np.float64)
+    u = np.sqrt((flow**2).sum(1))
+    f = p.flows.first()
+    assert f.name == "fs004" and abs(f.median_u - np.median(u)) < 1e-12 and abs(f.mean_u - u.mean()) < 1e-12
+    assert {r.name for r in p.masks.collect()} == set(ds.list_masks())
+    some = profile.dataset(ds, include=["016"], masks=[], median="skip")
+    assert some.masks.count() == some.flows.count() == 0 and {r.median for r in some.volumes.collect()} == {None}
+    rough = {r.name: r.median for r in profile.dataset(ds, include=[], masks=[]).volumes.collect()}
+    assert abs(rough["reference"] - np.median(ref)) < (ref.max() - ref.min()) / 1000
+    for bad, error in (({"include": ["nope"]}, KeyError), ({"masks": ["nope"]}, KeyError), ({"bins": 1}, ValueError), ({"median": "mode"}, ValueError)):
+        with pytest.raises(error):
+            profile.dataset(ds, **bad)
+    wrong = str(tmp_path / "wrong.zarr")
+    make_store(wrong, flow_shape=(*SHAPE, 3))
+    told = []
+    with pytest.raises(ValueError, match="does not fit"):
+        profile.dataset(Dataset.open(spark, wrong, strict=False), progress=told.append)
+    assert not told
+
+
+def test_catalog_checks_say_what_verify_says(spark, tmp_path, store):
+    from strainlake.sources.store import check_catalog
+
+    wrong = str(tmp_path / "w.zarr")
+    make_store(wrong, flow_shape=(*SHAPE, 3))
+    dtypes = dict(default_profile().dtypes)
+    size = F.array(*[F.lit(int(n)) for n in SHAPE])
+    of = lambda s: {(r.role, r.error) for r in check_catalog(Dataset.open(spark, s, strict=False).catalog(), size, dtypes, "3_zyx").collect()}
+    assert of(store[0]) == set()
+    assert [x[0] for x in of(wrong)] == ["flow"] and "vector axis 0 must be 3" in next(iter(of(wrong)))[1]
+
+
+def test_volumes_written_by_executors(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((5, 9, 7)).astype(np.float32)
+    z, y, x = (i.ravel() for i in np.indices(a.shape))
+    t = spark.createDataFrame([(int(i), int(j), int(k), float(v)) for i, j, k, v in zip(z, y, x, a.ravel()) if k < 4], "z int, y int, x int, value float")
+    for path in (str(tmp_path / "plain.zarr"), f"file://{tmp_path}/uri.zarr"):
+        assert zarr.write_volume(t, path, "base/v", a.shape, (2, 4, 4)) == 9
+        back = zarr.load_volume(spark, path, "base/v").toPandas().sort_values(["z", "y", "x"])["value"].to_numpy().reshape(a.shape)
+        assert np.array_equal(back[..., :4], a[..., :4]) and not back[..., 4:].any()
