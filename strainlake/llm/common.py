@@ -6,13 +6,15 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strainlake.functions.shipping import ship
 
-__all__ = ["WS_RUN", "discard", "free", "new_path", "raw_of", "release", "ship", "slices", "texts_of", "words", "work_dir", "written"]
+__all__ = ["WS_RUN", "discard", "free", "new_path", "raw_of", "release", "ship", "slices", "small_batches", "texts_of", "words", "work_dir", "written"]
 
 #: Java pattern of a run of the six ASCII white-space characters; all other characters belong to words.
 WS_RUN = r"[ \t\n\x0B\f\r]+"
@@ -38,11 +40,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of at most so many bytes for what runs inside: their buffers are no part of the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{most_bytes}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table written to the work folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._work_path = path
     return table
@@ -104,3 +119,4 @@ def slices(batch: pa.RecordBatch, text_index: int, most_bytes: int = 4 << 20):
         total += n
     if begin < len(sizes):
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()

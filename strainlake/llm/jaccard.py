@@ -304,17 +304,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, at_leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            on = []
-            for i, (tx, ty) in enumerate(zip(raw_of(batch.column(2)), raw_of(batch.column(3)), strict=True)):
-                if y[i] not in known:
-                    known.clear()  # pairs come sorted by y
-                    known[y[i]] = shingles(ty, k)
-                p, q = shingles(tx, k), known[y[i]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if b * both >= a * (len(p) + len(q) - both):
-                    on.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in on], pa.int64()) for c in (x, y)], names=["x", "y"])
+            for part in slices(batch, 3):
+                x, y = part.column(0).to_pylist(), part.column(1).to_pylist()
+                on = []
+                for i, (tx, ty) in enumerate(zip(raw_of(part.column(2)), raw_of(part.column(3)), strict=True)):
+                    if y[i] not in known:
+                        known.clear()  # pairs come sorted by y
+                        known[y[i]] = shingles(ty, k)
+                    p, q = shingles(tx, k), known[y[i]]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if b * both >= a * (len(p) + len(q) - both):
+                        on.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in on], pa.int64()) for c in (x, y)], names=["x", "y"])
 
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id").dropDuplicates(["id"]), "texts", compression="zstd")
