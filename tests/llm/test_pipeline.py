@@ -74,3 +74,31 @@ def test_stages(spark, sf_dir):
     assert set(packed.doc_id) == set(mixed)
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(packed)
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, own string, n int, stay long, i long, gone int, kept boolean"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, tmp_path, empty):
+    """Nulls, empty and very long texts, whole repeats, a null id, clashing names; an empty table goes through empty."""
+    long = " ".join(f"w{k % 977}x{k % 13}" for k in range(60_000))
+    some, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "co")
+    texts = [(1, long), (2, some), (2, some), (None, other), (None, None), (3, ""), (4, None)]
+    rows = [(i, t, None, None, None, "o", 1, 2, 3, 4, None) for i, t in texts]
+    spark.createDataFrame([] if empty else rows, EDGES).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if empty else [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = docs.schema
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = out[name] = written(stage(spark, docs, str(tmp_path)), name)
+        if name != "packing":
+            assert docs.schema == want
+    got = {k: sorted((str(r.doc_id), r.text or "") for r in v.collect()) for k, v in out.items() if k != "packing"}
+    assert got["toxicity"] == sorted((str(i), t or "") for i, t in texts if not empty)
+    stay = [] if empty else sorted([("1", long), ("2", some), ("None", other), ("3", "")])
+    assert got["exact_dedup"] == got["ngram_jaccard"] == stay
+    assert set(got["mixing"]) <= set(stay)
+    packed = out["packing"].toPandas()
+    assert packed.length.sum() == packed[packed.start == 0].doc_tokens.sum()
