@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from math import prod
 
+from pyspark.sql import SparkSession
+
 from strainlake.config import triple
 
+#: Memory a Python worker may use for one tile, where the session's settings leave it more or say nothing.
+TILE_MEMORY = 1 << 30
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+_log = logging.getLogger(__name__)
+
 #: Bytes per voxel of a window, for each window in flight and once.
 PER_POINT = {("cyclic", "global"): 36, ("linear", "global"): 232, ("linear", "overlap"): 480}
 ONCE = {("linear", "overlap"): 8}
@@ -44,6 +52,32 @@ def largest_batch(free: int, shape, window, mode: str = "linear", normalization:
     return batch
 
 
+def size_of(text: str) -> int:
+    """Bytes of a Spark memory setting; a bare number is in MiB."""
+    t = text.strip().lower().removesuffix("b") or "0"
+    return int(t[:-1]) * _UNITS[t[-1]] if t[-1] in _UNITS else int(t) * (1 if text.strip().lower().endswith("b") else 1 << 20)
+
+
+def worker_memory(spark: SparkSession, most: int = TILE_MEMORY) -> int:
+    """Bytes that one Python worker of an executor may take for a tile, `most` at most.
+
+    An executor's Python memory is shared by as many workers as it has cores. It is spark.executor.pyspark.memory; where
+    that is unset, what lies beside the heap (the overhead, by its own setting or as a share of spark.executor.memory).
+    Sessions that set none of these, local ones among them, get `most`.
+    """
+    conf = spark.sparkContext.getConf()
+    own, beside, heap = (conf.get(f"spark.executor.{k}", "") for k in ("pyspark.memory", "memoryOverhead", "memory"))
+    if own or beside:
+        whole = size_of(own or beside)
+    elif heap:
+        whole = max(384 << 20, int(size_of(heap) * float(conf.get("spark.executor.memoryOverheadFactor", "0.1"))))
+    else:
+        return most
+    each = min(most, whole // max(1, int(conf.get("spark.executor.cores", "1"))))
+    _log.info("tile memory: whole=%d cores=%s each=%d", whole, conf.get("spark.executor.cores", "1"), each)
+    return each
+
+
 def tile_points(memory: int, window, stride, mode: str = "linear", normalization: str = "overlap") -> int:
     """Points per edge of a tile whose two volumes, masks and one batch of eight windows fit into memory."""
     w, s = triple(window), triple(stride, "stride")

@@ -7,10 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from strainlake.config import STATUS, CorrelateConfig, Lattice
 from strainlake.operators import lattice as L, ncc, peaks, robust, taper
 from strainlake.operators.ncc_fft import tile_peaks
-from strainlake.plans.budget import tile_points
-
-#: Memory a Python worker may use for one tile.
-TILE_MEMORY = 1 << 30
+from strainlake.plans.budget import tile_points, worker_memory
 
 
 def pair_voxels(reference: DataFrame, deformed: DataFrame, mask: DataFrame | None = None, deformed_mask: DataFrame | None = None) -> DataFrame:
@@ -44,9 +41,10 @@ def field(points: DataFrame, found: DataFrame, config: CorrelateConfig, pair_id:
 
 def correlate(
     reference: DataFrame, deformed: DataFrame, shape: tuple[int, int, int], mask: DataFrame | None = None, deformed_mask: DataFrame | None = None,
-    config: CorrelateConfig | None = None, pair_id: str = "pair", kernel: str = "fft", digits: int | None = None, tile_memory: int = TILE_MEMORY,
+    config: CorrelateConfig | None = None, pair_id: str = "pair", kernel: str = "fft", digits: int | None = None, tile_memory: int | None = None,
 ) -> DataFrame:
-    """One row per lattice point. kernel "sql" correlates by joins, for small windows and checks; "fft" by tiles.
+    """One row per lattice point. kernel "sql" correlates by joins, for small windows and checks; "fft" by tiles,
+    each within tile_memory bytes (by default what the session's settings leave a Python worker).
 
     Rejected points are dropped before voxels are dealt out. A deformed mask alone shapes the windows, not admission.
     """
@@ -56,7 +54,7 @@ def correlate(
     admitted = points.where("admitted").select("poi")
     voxels = pair_voxels(reference, deformed, mask, deformed_mask)
     if kernel == "fft":
-        n = tile_points(tile_memory, lattice.window, lattice.stride, config.mode, config.normalization)
+        n = tile_points(tile_memory or worker_memory(reference.sparkSession), lattice.window, lattice.stride, config.mode, config.normalization)
         found = tile_peaks(voxels, admitted, lattice, config, n, digits=digits)
     else:
         w = L.covering(voxels, lattice).join(admitted, "poi", "left_semi")

@@ -356,3 +356,24 @@ def test_convention_of_a_fractional_flow(spark):
         moved = synth.warp(ref, fields.rigid((0.3, -0.4, 0.2)), shape, convention=name)
         got = profile.convention(ref, moved, flow, shape).first()
         assert got.convention == name and got.ratio > 5
+
+
+@pytest.mark.parametrize(
+    "settings,want",
+    [
+        ({}, 1 << 30),
+        ({"spark.executor.memory": "20g", "spark.executor.cores": "4"}, 512 << 20),
+        ({"spark.executor.memory": "1g"}, 384 << 20),
+        ({"spark.executor.memory": "20g", "spark.executor.memoryOverhead": "800"}, 800 << 20),
+        ({"spark.executor.memoryOverhead": "800m", "spark.executor.pyspark.memory": "64GB", "spark.executor.cores": "2"}, 1 << 30),
+        ({"spark.executor.pyspark.memory": "2048kb", "spark.executor.cores": "2"}, 1 << 20),
+    ],
+)
+def test_worker_memory_follows_the_session(settings, want):
+    class Session:
+        class sparkContext:
+            @staticmethod
+            def getConf():
+                return settings
+
+    assert budget.worker_memory(Session) == want

@@ -170,6 +170,19 @@ def test_cli(spark, tmp_path, store, capsys):
     assert cli.main(["run", str(tmp_path / "none.yaml")]) == 2
 
 
+def test_one_pair_from_end_to_end(spark, tmp_path, store, capsys):
+    out = str(tmp_path / "field")
+    capsys.readouterr()
+    assert cli.main(["pair", store[0], "fs004", "--window", "4", "--threshold", "0.5", "--out", out, "--json"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert list(told["phases"]) == ["open", "correlate", "report", "evaluate"] and told["errors"]["mae"] < 0.5
+    assert fieldstore.load(spark, out, "fs004").count() == told["counts"]["n_total"] > 0
+    assert cli.main(["pair", store[0], "016", "--window", "4", "--threshold", "0.5"]) == 0
+    assert "errors" not in capsys.readouterr().out
+    assert cli.main(["pair", store[0], "none"]) == 2
+    assert cli.main(["pair", store[0], "fs004", "--window", "64"]) == 2
+
+
 def test_frame_stream(spark, tmp_path):
     got = []
     for n, times in enumerate(([2, 0], [1, 3])):
