@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: samples documents by the raked probabilities of their source, language and topic.
 
-    A null source or language is one of its own; the draw depends on the id alone, so rows of one id share it.
+    A null source or language counts as the empty one; the draw depends on the id alone, so rows of one id share it.
     """
     ship(spark)
     return mixing.kept(docs)
