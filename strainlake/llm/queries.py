@@ -14,10 +14,10 @@ def docs_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs_of(spark, sf_dir), vocabulary())
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import dual_tree
+
+    return dual_tree.cluster(docs_of(spark, sf_dir, "embeddings"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strainlake.llm import word_bpe
+
+    return word_bpe.digests(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op6_lm_scoring, op7_packing, op8_line_dedup, op9_secret_scan, op10_token_files)
+    all_of = (op1_quality_rules, op2_mixing, op3_exact_dedup, op4_ngram_jaccard, op5_toxicity, op6_lm_scoring, op7_packing, op8_line_dedup, op9_secret_scan, op10_token_files, op11_dual_tree_lloyd, op12_word_bpe)
     return {f.__name__: f for f in all_of}
 
 
@@ -157,5 +169,27 @@ def _op2() -> str:
     return f"""WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens, round(prob, 6) AS prob, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 < prob AS selected FROM m JOIN p USING (source, lang, topic)"""
 
 
+def _op11(rounds: int = 10) -> str:
+    """Plain rounds: every vector against every centroid."""
+    square = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = lambda n: f"a{n} AS MATERIALIZED (SELECT vid, vec_id, q, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vid, v.vec_id, v.q, c.k, CAST({square} AS BIGINT) AS d FROM v, c{n} c) GROUP BY vid, vec_id, q)"
+    ctes = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS vid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q FROM (SELECT q, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, q LIMIT 8))",
+    ]
+    for n in range(rounds):
+        ctes += [
+            nearest(n),
+            f"s{n} AS (SELECT k, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT k, unnest(range(64)) AS i, unnest(q) AS x FROM a{n}) GROUP BY k, i)",
+            # // truncates towards zero: one less where a negative sum leaves a rest.
+            f"m{n} AS (SELECT k, list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS q FROM s{n} GROUP BY k)",
+            f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN m{n} m USING (k))",
+        ]
+    ctes.append(nearest(rounds))
+    return f"""WITH {', '.join(ctes)}
+SELECT vec_id, CAST(a.k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op3_exact_dedup": _OP3}
+    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op3_exact_dedup": _OP3, "op11_dual_tree_lloyd": _op11()}
