@@ -60,6 +60,8 @@ class CorrelateConfig:
     outlier_epsilon: float = 2.0
     noise_floor: float = 0.1
     min_neighbors: int = 4
+    #: "single" transforms in 32 bits; sums and energies stay in 64.
+    precision: str = "double"
 
     def __post_init__(self):
         object.__setattr__(self, "window", triple(self.window))
@@ -67,6 +69,8 @@ class CorrelateConfig:
             raise ValueError(f"unknown mode or normalization: {self.mode}, {self.normalization}")
         if self.mode == "cyclic" and self.normalization == "overlap":
             raise ValueError("cyclic correlation has no overlap normalization")
+        if self.precision not in ("double", "single"):
+            raise ValueError(f"unknown precision {self.precision}")
         if not 0 <= self.mask_threshold <= 1:
             raise ValueError(f"mask_threshold must lie in [0, 1], got {self.mask_threshold}")
         if self.eps <= 0 or self.outlier_epsilon <= 0 or self.noise_floor <= 0 or self.min_neighbors < 1:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -31,5 +31,18 @@ def ship(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: below spark.checkpoint.dir, a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strainlake-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="strainlake-")
     return f"{base.rstrip('/')}/strainlake/{name}-{uuid.uuid4().hex}"
+
+
+def stored(t: DataFrame, name: str) -> DataFrame:
+    """t written to such a folder and read again, so that what made it runs once; deleted when the driver's JVM ends."""
+    spark, path = t.sparkSession, shared_folder(t.sparkSession, name)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    t.write.parquet(path)
+    return spark.read.schema(t.schema).parquet(path)

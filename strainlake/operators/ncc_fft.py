@@ -1,18 +1,13 @@
-"""The transform kernel: correlation maps of batches of windows by FFT, over halo tiles of the volume.
+"""The transform kernel: correlation maps of batches of windows by FFT.
 
-A tile holds T points per axis and all voxels of their windows, so a voxel is shipped about ((T - 1) s + W)^3 / (T s)^3
-times instead of once per window. One task assembles a tile and returns one row per point.
+Only lags within half a window count, so transforms are padded to one and a half windows, not two, and lines that are
+not needed are left out of the way back. The energies of the overlaps are sums over boxes and come from prefix sums,
+without a transform.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-from strainlake.config import CorrelateConfig, Lattice
-
-PEAKS = "poi long, kz int, ky int, kx int, dz double, dy double, dx double, confidence double"
 
 
 def taper(n: int, alpha: float) -> np.ndarray:
@@ -23,31 +18,70 @@ def taper(n: int, alpha: float) -> np.ndarray:
     return np.where(near < edge, 0.5 * (1 + np.cos(np.pi * (near / edge - 1))), 1.0)
 
 
-def prepared(v: np.ndarray, m: np.ndarray, alpha: float) -> np.ndarray:
-    """Windows (batch, z, y, x) less their masked mean, tapered, zero where masked."""
+def prepared(v: np.ndarray, m: np.ndarray | None, alpha: float) -> np.ndarray:
+    """Windows (batch, z, y, x) less their masked mean, tapered, zero where masked; without a mask all is valid."""
     axes = (1, 2, 3)
-    mean = (v * m).sum(axes, keepdims=True) / np.maximum(1, m.sum(axes, keepdims=True))
-    tz, ty, tx = (taper(n, alpha) for n in v.shape[1:])
-    return (v - mean) * (tz[:, None, None] * ty[:, None] * tx) * m
+    if m is None:
+        out = v - v.mean(axes, keepdims=True, dtype=float).astype(v.dtype)
+    else:
+        mean = (v * m).sum(axes, keepdims=True, dtype=float) / np.maximum(1, m.sum(axes, keepdims=True))
+        out = (v - mean.astype(v.dtype)) * m
+    if alpha:
+        tz, ty, tx = (taper(n, alpha).astype(v.dtype) for n in v.shape[1:])
+        out *= tz[:, None, None] * ty[:, None] * tx
+    return out
+
+
+def padded(w: int) -> int:
+    """The least length without primes beyond 5 at which no lag within half a window wraps onto another."""
+    n = w + w // 2
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1
+
+
+def window_bytes(window: tuple[int, int, int], mode: str = "linear", single: bool = False) -> int:
+    """Bytes in flight for each window of a batch: two spectra and their product, and maps of the window's size."""
+    pz, py, px = window if mode == "cyclic" else map(padded, window)
+    spectrum = pz * py * (px // 2 + 1) * (8 if single else 16)
+    return 3 * spectrum + 8 * window[0] * window[1] * window[2] * (5 if single else 8)
+
+
+def overlap_energy(v: np.ndarray, sign: int) -> np.ndarray:
+    """Sums of v over the overlap at each lag in wrapped order; sign 1 for the reference, -1 for the deformed window."""
+    e = v.astype(float)
+    e *= e
+    for axis, w in enumerate(v.shape[1:], 1):
+        upto = np.concatenate([np.zeros_like(e.take([0], axis)), np.cumsum(e, axis)], axis)
+        lag = np.r_[0 : w - w // 2, -(w // 2) : 0] * sign
+        # Lag k >= 0: the first w - k samples; k < 0: all but the first -k.
+        e = upto.take(np.where(lag >= 0, w - lag, w), axis) - upto.take(np.where(lag >= 0, 0, -lag), axis)
+    return np.maximum(0, e, out=e)
 
 
 def correlation(r: np.ndarray, d: np.ndarray, mode: str = "linear", normalization: str = "overlap", eps: float = 1e-12) -> np.ndarray:
     """Maps over lags in wrapped order (0, 1, ..., then the negative ones) on each axis."""
     window, axes = r.shape[1:], (1, 2, 3)
-    size = window if mode == "cyclic" else tuple(2 * w for w in window)
-    f = lambda a: np.fft.rfftn(a, s=size, axes=axes)
-    back = lambda a: np.fft.irfftn(a, s=size, axes=axes)
-    at = np.ix_(range(len(r)), *[np.r_[0 : w - w // 2, s - w // 2 : s] for w, s in zip(window, size, strict=True)])
-    fr, fd = f(r), f(d)
-    rd = back(np.conj(fr) * fd)[at]
+    size = window if mode == "cyclic" else tuple(map(padded, window))
+    spectrum = np.fft.rfftn(r, s=size, axes=axes)
+    np.conj(spectrum, out=spectrum)
+    spectrum *= np.fft.rfftn(d, s=size, axes=axes)
+    kept = [np.r_[0 : w - w // 2, s - w // 2 : s] for w, s in zip(window, size, strict=True)]
+    for axis in (1, 2):  # each axis is cut to the lags before the next is transformed
+        spectrum = np.fft.ifft(spectrum, axis=axis).take(kept[axis - 1], axis)
+    rd = np.fft.irfft(spectrum, n=size[2], axis=3).take(kept[2], 3)
     if normalization == "global":
-        energy = (r * r).sum(axes, keepdims=True) * (d * d).sum(axes, keepdims=True)
+        energy = (r.astype(float) ** 2).sum(axes, keepdims=True) * (d.astype(float) ** 2).sum(axes, keepdims=True)
     else:
-        box = f(np.ones((1, *window)))
-        rr = np.maximum(0, back(np.conj(f(r * r)) * box)[at])
-        dd = np.maximum(0, back(np.conj(box) * f(d * d))[at])
-        energy = rr * dd
-    return rd / np.sqrt(energy + eps)
+        energy = overlap_energy(r, 1)
+        energy *= overlap_energy(d, -1)
+    energy += eps
+    return rd / np.sqrt(energy, out=energy)
 
 
 def peak_of(corr: np.ndarray, eps: float = 1e-12, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,51 +106,3 @@ def peak_of(corr: np.ndarray, eps: float = 1e-12, digits: int | None = None) ->
         den = 2 * (m - 2 * z + p)
         fine[:, a] = lag[:, a] + np.clip((m - p) / np.where(np.abs(den) < eps, eps, den), -0.5, 0.5)
     return lag, fine, value
-
-
-def tiles(voxels: DataFrame, lattice: Lattice, points: int) -> DataFrame:
-    """Voxels with each tile (tz, ty, tx) that needs them; a tile has `points` lattice points per axis."""
-    t = voxels
-    for a, s, w, n in zip("zyx", lattice.stride, lattice.window, lattice.counts, strict=True):
-        last = -(-n // points) - 1
-        lo = F.greatest(F.lit(0), F.ceil((F.col(a) - (points - 1) * s - w + 1) / F.lit(float(points * s)))).cast("int")
-        hi = F.least(F.lit(last), F.floor(F.col(a) / F.lit(float(points * s)))).cast("int")
-        t = t.withColumn(f"t{a}", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
-    return t
-
-
-def tile_peaks(voxels: DataFrame, admitted: DataFrame, lattice: Lattice, config: CorrelateConfig, points: int = 4, batch: int = 64, digits: int | None = None) -> DataFrame:
-    """Peaks of the admitted points (poi). voxels: z, y, x, r, d and masks mr, md; voxels that are missing are masked 0.
-
-    Tiles without an admitted point are dropped before voxels are dealt out.
-    """
-    (_, ny, nx), stride, window = lattice.counts, lattice.stride, lattice.window
-    index = {"z": F.floor(F.col("poi") / (ny * nx)), "y": F.floor(F.col("poi") / nx) % ny, "x": F.col("poi") % nx}
-    wanted = admitted.select("poi", *[F.floor(c / points).cast("int").alias(f"t{a}") for a, c in index.items()])
-    key = ["tz", "ty", "tx"]
-    dealt = tiles(voxels.select("z", "y", "x", "r", "d", "mr", "md"), lattice, points).join(wanted.select(*key).distinct(), key, "left_semi")
-    alpha, mode, norm, eps = config.alpha, config.mode, config.normalization, config.eps
-
-    def run(key, left, right):
-        t = np.array([k.as_py() for k in key])
-        origin = t * points * np.array(stride)
-        shape = tuple((points - 1) * s + w for s, w in zip(stride, window, strict=True))
-        at = tuple(left.column(a).to_numpy().astype(int) - o for a, o in zip("zyx", origin, strict=True))
-        full = {}
-        for c, kind in (("r", float), ("d", float), ("mr", bool), ("md", bool)):
-            full[c] = np.zeros(shape, kind)
-            full[c][at] = left.column(c).to_numpy(zero_copy_only=False)
-        view = {c: np.lib.stride_tricks.sliding_window_view(v, window) for c, v in full.items()}
-        poi = right.column("poi").to_numpy()
-        start = np.stack([(poi // (ny * nx)), (poi // nx) % ny, poi % nx], 1) * np.array(stride) - origin
-        rows = []
-        for i in range(0, len(poi), batch):
-            s = tuple(start[i : i + batch].T)
-            r = prepared(view["r"][s], view["mr"][s], alpha)
-            d = prepared(view["d"][s], view["md"][s], alpha)
-            rows.append(peak_of(correlation(r, d, mode, norm, eps), eps, digits))
-        lag, fine, value = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.zeros((0, 3), int), np.zeros((0, 3)), np.zeros(0))
-        cols = [pa.array(poi), *[pa.array(lag[:, a].astype(np.int32)) for a in range(3)], *[pa.array(fine[:, a]) for a in range(3)], pa.array(value)]
-        return pa.table(cols, names=["poi", "kz", "ky", "kx", "dz", "dy", "dx", "confidence"])
-
-    return dealt.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(run, PEAKS)

@@ -8,7 +8,7 @@ from math import prod
 
 from pyspark.sql import SparkSession
 
-from strainlake.config import triple
+from strainlake.config import CorrelateConfig, Lattice, triple
 
 #: Memory a Python worker may use for one tile, where the session's settings leave it more or say nothing.
 TILE_MEMORY = 1 << 30
@@ -78,13 +78,18 @@ def worker_memory(spark: SparkSession, most: int = TILE_MEMORY) -> int:
     return each
 
 
-def tile_points(memory: int, window, stride, mode: str = "linear", normalization: str = "overlap") -> int:
-    """Points per edge of a tile whose two volumes, masks and one batch of eight windows fit into memory."""
-    w, s = triple(window), triple(stride, "stride")
-    t = 1
-    while t < 64:
-        edge = prod(t * b + a for a, b in zip(w, s, strict=True))
-        if 10 * edge + 8 * footprint(w, mode, normalization).per_point > memory:
-            break
-        t += 1
-    return t
+#: Bytes per voxel of a tile while it is put together: volumes and masks as arrays, and as slices that come in.
+PER_VOXEL = {"double": 36, "single": 28}
+#: Lattice points per axis of a tile at most; and tiles for each core at least, as far as there are points.
+MOST_POINTS, TILES_A_CORE = 6, 2
+
+
+def tile_points(memory: int, lattice: Lattice, config: CorrelateConfig, cores: int = 1, pairs: int = 1) -> int:
+    """Points per axis of a tile that fits into memory beside a batch of windows and leaves tiles for all cores."""
+    from strainlake.operators.blocks import BATCH_BYTES
+    from strainlake.operators.ncc_fft import window_bytes
+
+    batch = max(BATCH_BYTES, window_bytes(lattice.window, config.mode, config.precision == "single"))
+    fits = lambda t: PER_VOXEL[config.precision] * prod((min(t, n) - 1) * s + w for n, s, w in zip(lattice.counts, lattice.stride, lattice.window, strict=True)) + batch <= memory
+    dealt = lambda t: pairs * prod(-(-n // t) for n in lattice.counts) >= TILES_A_CORE * cores
+    return max([1, *[t for t in range(2, MOST_POINTS + 1) if fits(t) and dealt(t)]])

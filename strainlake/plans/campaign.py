@@ -29,9 +29,7 @@ from strainlake.functions.shipping import shared_folder, ship
 from strainlake.functions.signal import distance_volume
 from strainlake.functions.synth import flow_tables, sample_flow
 from strainlake.operators import lattice as L, score
-from strainlake.operators.ncc_fft import tile_peaks
 from strainlake.plans import campaign_tables as C, correlate as P
-from strainlake.plans.budget import tile_points, worker_memory
 from strainlake.sources import fieldstore
 from strainlake.sources.store import CONVENTIONS, Dataset, Manifest
 
@@ -280,9 +278,9 @@ def _fields(spark, pair, group: list[Variant], shared: _Shared) -> dict[str, Dat
     config = config_of(loosest.params)
     lattice = Lattice(pair.shape, config.window, config.overlap)
     points = shared.keep("group", L.admit(L.lattice_table(spark, lattice), pair.mask, lattice, config.mask_threshold))
-    voxels = P.pair_voxels(pair.reference, pair.deformed, pair.mask)
-    n = tile_points(worker_memory(spark), lattice.window, lattice.stride, config.mode, config.normalization)
-    found = shared.keep("group", tile_peaks(voxels, points.where("admitted").select("poi"), lattice, config, n).select("poi", "dz", "dy", "dx", "confidence"))
+    n = P.tile_size(spark, lattice, config)
+    found = P.voxel_peaks(pair.reference, pair.deformed, pair.mask, None, points.where("admitted").select("poi"), lattice, config, n)
+    found = shared.keep("group", found.select("poi", "dz", "dy", "dx", "confidence"))
     return {v.variant_id: P.field(points.drop("admitted").withColumn("admitted", F.col("fraction") >= v.params["mask_threshold"]), found, config, pair.name) for v in group}
 
 

@@ -12,7 +12,9 @@ from strainlake.functions import fields, phantom, signal, synth, units
 from strainlake.functions.shipping import ship
 from strainlake.operators import lattice as L, ncc_fft, profile, robust, score, taper
 from strainlake.plans import budget
-from strainlake.plans.correlate import at_thresholds, correlate
+from strainlake.plans.correlate import at_thresholds, correlate, correlate_arrays, correlate_pairs, voxel_peaks
+from strainlake.operators import blocks
+from strainlake.sources import zarr_source
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -116,14 +118,83 @@ def test_tile_size_does_not_matter(spark):
     v = texture((14, 18, 18), 5)
     d = np.roll(v, (0, 1, -1), (0, 1, 2))
     lat, cfg = Lattice(v.shape, 6, 0.5), CorrelateConfig(window=6)
-    both = voxels(spark, v).withColumnRenamed("value", "r").join(voxels(spark, d).withColumnRenamed("value", "d"), ["z", "y", "x"]).withColumn("mr", F.lit(True)).withColumn("md", F.lit(True))
     p = L.lattice_table(spark, lat).where("poi % 3 <> 1")
-    outs = [ncc_fft.tile_peaks(both, p, lat, cfg, t, batch=b).orderBy("poi").toPandas() for t, b in ((1, 64), (2, 3), (9, 7))]
+    outs = [voxel_peaks(voxels(spark, v), voxels(spark, d), None, None, p, lat, cfg, t, batch=b).orderBy("poi").toPandas() for t, b in ((1, 64), (2, 3), (9, 7))]
     assert len(outs[0]) == p.count()
     for o in outs[1:]:
         assert np.allclose(o, outs[0])
 
 
+def padded_twice(r, d, eps=1e-12):
+    """The overlap-normalised map by transforms padded to two windows, energies included."""
+    w, axes = r.shape[1:], (1, 2, 3)
+    size = tuple(2 * n for n in w)
+    f = lambda a: np.fft.rfftn(a, s=size, axes=axes)
+    at = np.ix_(range(len(r)), *[np.r_[0 : n - n // 2, 2 * n - n // 2 : 2 * n] for n in w])
+    back = lambda a: np.fft.irfftn(a, s=size, axes=axes)[at]
+    box = f(np.ones((1, *w)))
+    energy = np.maximum(0, back(np.conj(f(r * r)) * box)) * np.maximum(0, back(np.conj(box) * f(d * d)))
+    return back(np.conj(f(r)) * f(d)) / np.sqrt(energy + eps)
+
+
+@pytest.mark.parametrize("window", [(8, 8, 8), (5, 7, 6), (1, 2, 3), (16, 9, 12)])
+def test_short_padding_and_prefix_energies(window):
+    r, d = np.random.default_rng(3).standard_normal((2, 3, *window))
+    want = padded_twice(r, d)
+    assert np.allclose(ncc_fft.correlation(r, d), want, atol=1e-9)
+    single = ncc_fft.correlation(r.astype(np.float32), d.astype(np.float32))
+    assert np.allclose(single, want, atol=1e-4)
+    assert all(ncc_fft.padded(w) >= w + w // 2 for w in range(1, 200))
+
+
+def test_tiles_fit_memory_and_leave_work_for_all_cores():
+    lat = Lattice((160, 160, 160), 32, 0.5)
+    for cores in (1, 8, 64):
+        t = budget.tile_points(1 << 30, lat, CorrelateConfig(window=32), cores)
+        assert np.prod([-(-n // t) for n in lat.counts]) >= 2 * cores
+    large = Lattice((960, 1280, 1280), 96, 0.5)
+    for memory in (200 << 20, 1 << 30):
+        for precision in ("double", "single"):
+            cfg = CorrelateConfig(precision=precision)
+            t = budget.tile_points(memory, large, cfg, 8)
+            assert t == 1 or budget.PER_VOXEL[precision] * (48 * (t - 1) + 96) ** 3 + ncc_fft.window_bytes((96,) * 3, single=precision == "single") <= memory
+    assert budget.tile_points(1, lat, CorrelateConfig(window=32)) == 1
+
+
+def test_pairs_of_frames_in_one_plan(spark):
+    shape, cfg = (14, 18, 18), CorrelateConfig(window=6, mask_threshold=0.7)
+    frames = {"a": texture(shape, 5)}
+    frames["b"], frames["c"] = np.roll(frames["a"], (0, 1, -1), (0, 1, 2)), np.roll(frames["a"], (1, 1, 0), (0, 1, 2))
+    m = np.random.default_rng(2).random(shape) > 0.28
+    m[:, :9, :9] = False
+    rows = [blocks.of_voxels(voxels(spark, v), k, 7, shape) for k, v in (frames | {"m": m}).items()]
+    table = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    pairs = spark.createDataFrame([("ab", "a", "b", "m"), ("bc", "b", "c", "m"), ("ac", "a", "c", "m")], "pair_id string, reference string, deformed string, mask string")
+    for masked in (True, False):
+        got = correlate_pairs(table, pairs, shape, (7, 7, 7), masked, cfg).toPandas()
+        for name in ("ab", "bc", "ac"):
+            own = correlate(voxels(spark, frames[name[0]]), voxels(spark, frames[name[1]]), shape, voxels(spark, m) if masked else None, config=cfg, pair_id=name).orderBy("poi").toPandas()
+            mine = got[got.pair_id == name].sort_values("poi").reset_index(drop=True)
+            pd.testing.assert_frame_equal(mine, own, check_exact=False, atol=1e-6)
+        assert not masked or {0, 1} <= set(got.status)
+
+
+def test_stored_volumes_block_by_block(spark, tmp_path):
+    store, shape = f"{tmp_path}/v.zarr", (13, 17, 20)
+    v = texture(shape, 8).astype("float32")
+    d, m = np.roll(v, (1, 0, -1), (0, 1, 2)), np.random.default_rng(4).random(shape) > 0.2
+    for name, a, chunks in (("r", v, (5, 6, 20)), ("d", d, (13, 8, 8)), ("m", m, (4, 17, 7)), ("small", v[:12], (5, 6, 20))):
+        zarr_source.write_array(store, name, a, chunks)
+    cfg = CorrelateConfig(window=6, mask_threshold=0.7)
+    got = correlate_arrays(spark, (store, "r"), (store, "d"), (store, "m"), config=cfg).orderBy("poi").toPandas()
+    want = correlate(voxels(spark, v), voxels(spark, d), shape, voxels(spark, m), config=cfg).orderBy("poi").toPandas()
+    pd.testing.assert_frame_equal(got, want, check_exact=False, atol=1e-6)
+    with pytest.raises(ValueError, match="shape"):
+        correlate_arrays(spark, (store, "r"), (store, "small"), config=cfg)
+    with pytest.raises(Exception, match="outside"):
+        correlate(voxels(spark, v[:12]), voxels(spark, d), (12, 17, 20), config=cfg).collect()
+
+
 def test_fractional_shift_interior(spark):
     """A texture resampled at a fractional shift is measured to a tenth of a voxel away from the faces."""
     shape, shift = (40, 40, 40), (0.3, -0.7, 1.4)
@@ -290,8 +361,7 @@ def test_thresholds_share_one_correlation(spark):
     lat = Lattice(v.shape, 6, 0.5)
     loose = CorrelateConfig(window=6, mask_threshold=0.6)
     p = L.admit(L.lattice_table(spark, lat), voxels(spark, m), lat, 0.6)
-    both = voxels(spark, v).withColumnRenamed("value", "r").withColumn("d", F.col("r")).join(voxels(spark, m).withColumnRenamed("value", "mr"), ["z", "y", "x"]).withColumn("md", F.col("mr"))
-    found = ncc_fft.tile_peaks(both, p.where("admitted").select("poi"), lat, loose).select("poi", "dz", "dy", "dx", "confidence")
+    found = voxel_peaks(voxels(spark, v), voxels(spark, v), voxels(spark, m), None, p.where("admitted").select("poi"), lat, loose, 4).select("poi", "dz", "dy", "dx", "confidence")
     shared = at_thresholds(p, found, [0.6, 0.7], loose).toPandas()
     for t in (0.6, 0.7):
         own = correlate(voxels(spark, v), voxels(spark, v), v.shape, voxels(spark, m), config=CorrelateConfig(window=6, mask_threshold=t)).orderBy("poi").toPandas()
