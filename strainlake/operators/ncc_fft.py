@@ -85,10 +85,12 @@ def correlation(r: np.ndarray, d: np.ndarray, mode: str = "linear", normalizatio
 
 
 def peak_of(corr: np.ndarray, eps: float = 1e-12, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Integer lags, refined lags and the value at the integer lag. digits: values are compared rounded to so many."""
+    """Integer lags, refined lags and the value at the integer lag. digits: the map is rounded to so many before."""
+    if digits is not None:
+        corr = np.round(corr, digits)
     b, *window = corr.shape
     flat = corr.reshape(b, -1)
-    best = (flat if digits is None else np.round(flat, digits)).argmax(1)
+    best = flat.argmax(1)
     value = flat[np.arange(b), best]
     index = np.stack(np.unravel_index(best, window), 1)
     lag, fine = np.empty((b, 3), np.int64), np.empty((b, 3))
