@@ -147,22 +147,97 @@ def distance_volume(mask: DataFrame, shape: tuple[int, int, int], to: bool = Tru
     return d.select("z", "y", "x", F.when(F.col("value") < far, F.sqrt("value")).alias("value"))
 
 
-def _weight(x: Column, order: int) -> Column:
-    if order == 0:
-        return F.when((x >= -0.5) & (x < 0.5), 1.0).otherwise(0.0)
-    h = (order + 1) / 2
-    return sum((F.lit(float((-1) ** k * comb(order + 1, k))) * F.pow(F.greatest(F.lit(0.0), x + (h - k)), F.lit(float(order))) for k in range(order + 2)), F.lit(0.0)) / factorial(order)
+#: Edge of the cells that points and coefficients meet in, voxels that a spline reaches beyond one, and the points of a
+#: cell that go into one group.
+CELL, HALO, GROUP = 32, 4, 1 << 18
+
+
+def _folded(p: Column, n: int) -> Column:
+    """A coordinate mirrored into the volume: the spline of mirrored coefficients has the same value there."""
+    m = (p + 0.5) - F.floor((p + 0.5) / F.lit(2.0 * n)) * F.lit(2.0 * n)
+    return F.when(m > n, F.lit(2.0 * n) - m).otherwise(m) - 0.5
+
+
+def _cell_slices(blocks: DataFrame) -> DataFrame:
+    """Coefficient blocks cut into what each of the cells around them needs: gz, gy, gx, frame, place and bytes."""
+    schema = "gz int, gy int, gx int, frame string, oz int, oy int, ox int, nz int, ny int, nx int, data binary"
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = np.frombuffer(row["data"], row["dtype"]).reshape(row["nz"], row["ny"], row["nx"])
+                first = np.array([row[k] for k in ("z0", "y0", "x0")])
+                out = []
+                for g in np.ndindex(3, 3, 3):
+                    cell = first // CELL + np.array(g) - 1
+                    lo = np.maximum(cell * CELL - HALO, first)
+                    hi = np.minimum((cell + 1) * CELL + HALO, first + CELL)
+                    if (cell >= 0).all():
+                        cut = here[tuple(slice(a, b) for a, b in zip(lo - first, hi - first, strict=True))]
+                        out.append((*cell.tolist(), row["frame"], *(lo - cell * CELL + HALO).tolist(), *cut.shape, cut.astype("<f8").tobytes()))
+                cols = list(zip(*out, strict=True))
+                ints = lambda c: pa.array(c, pa.int32())
+                yield pa.RecordBatch.from_arrays([*map(ints, cols[:3]), pa.array(cols[3], pa.string()), *map(ints, cols[4:10]), pa.array(cols[10], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
+
+    return blocks.mapInArrow(run, schema)
+
+
+def evaluate(c: np.ndarray, p: np.ndarray, order: int) -> np.ndarray:
+    """The spline with coefficients c at points p (rows of three), whose taps all lie within c."""
+    first = (np.floor(p + 0.5) if order % 2 == 0 else np.floor(p)).astype(np.int64) - order // 2
+    weight = np.stack([spline_weight(p - (first + k), order) for k in range(order + 1)])  # tap, point, axis
+    out = np.zeros(len(p))
+    for i in range(order + 1):
+        for j in range(order + 1):
+            plane = weight[i, :, 0] * weight[j, :, 1]
+            for k in range(order + 1):
+                out += plane * weight[k, :, 2] * c[first[:, 0] + i, first[:, 1] + j, first[:, 2] + k]
+    return out
+
+
+def sample_all(points: DataFrame, tables: dict[str, DataFrame], shape: tuple[int, int, int], order: int = 3, at: tuple[str, str, str] = ("pz", "py", "px"), key: str = "poi") -> DataFrame:
+    """key and the value of each table's spline (out -> coefficients z, y, x, value) at each point, evaluated by cells.
+
+    Points are dealt to the cell that they fall into, wherever they come from, and each cell gets the coefficients of its
+    box and a halo of a few voxels: what is shipped follows the points, and cells without points get nothing. Cells with
+    very many points are split. Points beyond the volume are mirrored back; those with a null coordinate have no row,
+    those with a NaN the value NaN.
+    """
+    from strainlake.operators.blocks import of_voxels
+
+    names, cell = list(tables), ["gz", "gy", "gx"]
+    kind = dict(points.dtypes)[key]
+    t = points.select(key, *[_folded(F.col(c).cast("double"), n).alias(f"p{a}") for a, c, n in zip(AXES, at, shape, strict=True)])
+    t = t.where(F.col("pz").isNotNull() & F.col("py").isNotNull() & F.col("px").isNotNull())
+    t = t.select("*", *[F.greatest(F.lit(0), F.least(F.lit((n - 1) // CELL), F.floor((F.nanvl(f"p{a}", F.lit(0.0)) + 0.5) / CELL))).cast("int").alias(f"g{a}") for a, n in zip(AXES, shape, strict=True)])
+    parts = t.groupBy(*cell).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    dealt = t.join(parts, cell).withColumn("part", F.pmod(F.xxhash64(key, "pz", "py", "px"), F.col("parts")).cast("int")).drop("parts")
+    coded = [of_voxels(c, n, CELL) for n, c in tables.items()]
+    blocks = coded[0]
+    for b in coded[1:]:
+        blocks = blocks.unionByName(b)
+    cut = _cell_slices(blocks).join(parts, cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def run(g, left, right):
+        origin = np.array([g[i].as_py() for i in range(3)]) * CELL - HALO
+        size = (CELL + 2 * HALO,) * 3
+        boxes = {n: np.zeros(size) for n in names}
+        for i in range(len(right)):
+            row = right.slice(i, 1).to_pylist()[0]
+            n = (row["nz"], row["ny"], row["nx"])
+            boxes[row["frame"]][tuple(slice(o, o + k) for o, k in zip((row["oz"], row["oy"], row["ox"]), n, strict=True))] = np.frombuffer(row["data"]).reshape(n)
+        back = np.ix_(*[np.clip(mirror(np.arange(o, o + s), n) - o, 0, s - 1) for o, s, n in zip(origin, size, shape, strict=True)])
+        p = np.stack([left.column(f"p{a}").to_numpy() for a in AXES], 1)
+        lost = np.isnan(p).any(1)
+        local = np.where(lost[:, None], HALO, p - origin)
+        values = [np.where(lost, np.nan, evaluate(boxes[n][back], local, order)) for n in names]
+        return pa.table([left.column(key), *map(pa.array, values)], names=[key, *names])
+
+    group = [*cell, "part"]
+    out = f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names)
+    return dealt.groupBy(*group).cogroup(cut.groupBy(*group)).applyInArrow(run, out)
 
 
 def sample(points: DataFrame, table: DataFrame, shape: tuple[int, int, int], order: int = 3, at: tuple[str, str, str] = ("pz", "py", "px"), key: str = "poi", out: str = "value") -> DataFrame:
-    """key and the spline's value at each point: (order + 1)^3 taps per point, one equi-join, one sum."""
-    t = points.select(key, *[F.col(c).cast("double").alias(f"p{a}") for a, c in zip(AXES, at, strict=True)])
-    for a, n in zip(AXES, shape, strict=True):
-        p = F.col(f"p{a}")
-        first = F.floor(p + 0.5) - order // 2 if order % 2 == 0 else F.floor(p) - order // 2
-        t = t.withColumn(f"i{a}", F.explode(F.sequence(first, first + order)))
-        t = t.withColumn(f"w{a}", _weight(p - F.col(f"i{a}"), order))
-        m = F.pmod(F.col(f"i{a}"), F.lit(2 * n))
-        t = t.withColumn(f"i{a}", F.when(m >= n, 2 * n - 1 - m).otherwise(m).cast("int"))
-    c = table.select(*[F.col(a).alias(f"i{a}") for a in AXES], F.col("value").cast("double").alias("c"))
-    return t.join(c, ["iz", "iy", "ix"]).groupBy(key).agg(F.sum(F.col("wz") * F.col("wy") * F.col("wx") * F.col("c")).alias(out))
+    """key and the spline's value at each point; see sample_all()."""
+    return sample_all(points, {out: table}, shape, order, at, key)

@@ -49,12 +49,9 @@ def warp(reference: DataFrame, field: Field, shape: tuple[int, int, int], order:
     if convention not in ("pull_back", "push_forward"):
         raise ValueError(f"unknown convention {convention}")
     sign = 1 if convention == "pull_back" else -1
-    grid = voxel_grid(reference.sparkSession, shape).withColumn("poi", F.monotonically_increasing_id())
-    _, ny, nx = shape
-    grid = grid.withColumn("poi", (F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x"))
-    at = grid.select("poi", *[(F.col(a) - sign * u).alias(f"p{a}") for a, u in zip("zyx", field, strict=True)])
+    at = voxel_grid(reference.sparkSession, shape).select(F.struct("z", "y", "x").alias("poi"), *[(F.col(a) - sign * u).alias(f"p{a}") for a, u in zip("zyx", field, strict=True)])
     v = signal.sample(at, signal.spline_table(reference, shape, order), shape, order)
-    return grid.join(v, "poi").select("z", "y", "x", F.col("value").cast("float").alias("value"))
+    return v.select("poi.*", F.col("value").cast("float").alias("value"))
 
 
 def flow_tables(flow: DataFrame, shape: tuple[int, int, int], order: int = 3) -> dict[str, DataFrame]:
@@ -65,18 +62,14 @@ def flow_tables(flow: DataFrame, shape: tuple[int, int, int], order: int = 3) ->
 def sample_flow(points: DataFrame, flow: DataFrame | dict[str, DataFrame], shape: tuple[int, int, int], order: int = 3) -> DataFrame:
     """poi with tz, ty, tx: a stored flow, or its flow_tables(), interpolated at the points."""
     tables = flow if isinstance(flow, dict) else flow_tables(flow, shape, order)
-    out = points.select("poi")
-    for a in "zyx":
-        out = out.join(signal.sample(points, tables[a], shape, order, out=f"t{a}"), "poi")
-    return out
+    return signal.sample_all(points, {f"t{a}": tables[a] for a in "zyx"}, shape, order)
 
 
 def warp_flow(reference: DataFrame, flow: DataFrame, shape: tuple[int, int, int], sign: int = 1, order: int = 3, table: DataFrame | None = None) -> DataFrame:
     """deformed(x) = reference(x - sign u(x)) for a stored flow, fractional too. table: the reference's spline_table()."""
-    _, ny, nx = shape
-    at = flow.select(((F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x")).alias("poi"), "z", "y", "x", *[(F.col(a) - sign * F.col(f"d{a}").cast("double")).alias(f"p{a}") for a in "zyx"])
+    at = flow.select(F.struct("z", "y", "x").alias("poi"), *[(F.col(a) - sign * F.col(f"d{a}").cast("double")).alias(f"p{a}") for a in "zyx"])
     v = signal.sample(at, signal.spline_table(reference, shape, order) if table is None else table, shape, order)
-    return at.join(v, "poi").select("z", "y", "x", "value")
+    return v.select("poi.*", "value")
 
 
 @dataclass

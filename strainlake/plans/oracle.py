@@ -112,6 +112,14 @@ def warp(src: str, sign: str, name: str) -> str:
     return f"{name} AS (SELECT q.z, q.y, q.x, s.value FROM (SELECT z, y, x, {at} FROM cube) q JOIN {src} s ON s.z = rz AND s.y = ry AND s.x = rx)"
 
 
+def linear(points: str, keys: str) -> str:
+    """After points(keys, pz, py, px): li, the cube between its voxels, mirrored at its faces."""
+    corner = ", ".join(f"{MIRROR(f'CAST(floor(p{a}) AS BIGINT) + e{a}', n)} AS r{a}" for a, n in zip("zyx", (16, 32, 32), strict=True))
+    weight = " * ".join(f"(CASE WHEN e{a} = 1 THEN p{a} - floor(p{a}) ELSE 1 - (p{a} - floor(p{a})) END)" for a in "zyx")
+    bits = ", ".join(f"(SELECT unnest([0, 1]) AS e{a}) t{a}" for a in "zyx")
+    return f"cr AS (SELECT {keys}, {corner}, {weight} AS w FROM {points}, {bits}), li AS (SELECT {', '.join(f'cr.{k}' for k in keys.split(', '))}, sum(w * cube.value) AS value FROM cr JOIN cube ON cube.z = rz AND cube.y = ry AND cube.x = rx GROUP BY ALL)"
+
+
 def analytic(dz: str, dy: str, dx: str) -> str:
     return f"WITH {GRID}, p AS (SELECT poi, z0 + 3.5e0 AS pz, y0 + 3.5e0 AS py, x0 + 3.5e0 AS px FROM grid) SELECT poi, pz, py, px, {r(f'CAST({dz} AS FLOAT)', 'dz')}, {r(f'CAST({dy} AS FLOAT)', 'dy')}, {r(f'CAST({dx} AS FLOAT)', 'dx')} FROM p"
 
@@ -168,6 +176,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY b) AS k FROM
 SELECT volume_id, {r('lo + (b + (total / 2e0 - (upto - c)) / c) * ((hi - lo) / 64)', 'median')} FROM k WHERE k = 1 UNION ALL SELECT volume_id, lo FROM x WHERE hi = lo""",
         "exact_median": f"WITH {VOLS} SELECT volume_id, {r('median(value)', 'median')} FROM vol GROUP BY 1",
         "warp_integer": f"WITH {CUBE}, {warp('cube', '-', 'w')} SELECT {big('z', 'y', 'x')}, {r('value', 'value')} FROM w",
+        "warp_linear": f"WITH {CUBE}, pt AS (SELECT z, y, x, z - 0.5e0 AS pz, y + 1.25e0 AS py, x - 0.75e0 AS px FROM cube), {linear('pt', 'z, y, x')} SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM li",
+        "field_linear": f"WITH {CUBE}, pt AS (SELECT o_orderkey AS poi, (o_orderkey % 173) * 0.1e0 - 0.6e0 AS pz, (o_custkey % 337) * 0.1e0 - 0.8e0 AS py, ((o_orderkey * 7 + o_custkey) % 333) * 0.1e0 - 0.7e0 AS px FROM orders), {linear('pt', 'poi')} SELECT poi, {r('value', 'value')} FROM li",
         "flow_convention_check": f"WITH {CUBE}, {warp('cube', '-', 'a')}, {warp('cube', '+', 'b')}, m AS (SELECT avg(power(a.value - b.value, 2)) AS p, avg(power(b.value - b.value, 2)) AS q FROM a JOIN b USING (z, y, x)) SELECT {r('p', 'mse_pull_back')}, {r('q', 'mse_push_forward')}, CASE WHEN p <= q THEN 'pull_back' ELSE 'push_forward' END AS convention FROM m",
         "field_rigid": analytic("1.5", "-2.25", "0.5"),
         "field_dilation": analytic("0.01e0 * (pz - 8)", "0.01e0 * (py - 16)", "0.01e0 * (px - 16)"),

@@ -465,6 +465,24 @@ def warp_cubic(spark, d):
     return warp(volume(cube(spark, d)), fields.rigid((0.5, -1.25, 0.75)), SHAPE)
 
 
+@shipped
+def warp_linear(spark, d):
+    from strainlake.functions.synth import warp
+
+    return warp(volume(cube(spark, d)), fields.rigid((0.5, -1.25, 0.75)), SHAPE, 1)
+
+
+@shipped
+def field_linear(spark, d):
+    """The cube sampled where orders point, beyond its faces too."""
+    from strainlake.functions.signal import sample
+
+    o = table(spark, d, "orders")
+    tenth = lambda c, m, less: ((c % m) * 0.1 - less).cast("double")
+    p = o.select(F.col("o_orderkey").alias("poi"), tenth(F.col("o_orderkey"), 173, 0.6).alias("pz"), tenth(F.col("o_custkey"), 337, 0.8).alias("py"), tenth(F.col("o_orderkey") * 7 + F.col("o_custkey"), 333, 0.7).alias("px"))
+    return sample(p, volume(cube(spark, d)), SHAPE, 1)
+
+
 @plain
 def field_spline(spark, d):
     from strainlake.functions.signal import sample, spline_table

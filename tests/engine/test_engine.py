@@ -304,6 +304,36 @@ def test_splines_interpolate(spark):
         assert np.isclose(got[0], v[0, 0, 0]) and np.isclose(got[1], v[3, 2, 5])
 
 
+def plain_sample(v, at, order):
+    """The spline at points by loops over its taps."""
+    c = v
+    for axis in range(3):
+        c = np.moveaxis(signal.coefficients(np.moveaxis(c, axis, 0), order), 0, axis)
+    out = []
+    for a in at:
+        taps = [range(int(np.floor(x)) - 3, int(np.floor(x)) + 5) for x in a]
+        out.append(sum(np.prod([float(signal.spline_weight(np.array(x - i), order)) for x, i in zip(a, q)]) * c[tuple(int(signal.mirror(np.array(i), n)) for i, n in zip(q, v.shape))] for q in itertools.product(*taps)))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_sampling_across_cells(spark, monkeypatch, order):
+    """Points in all cells and far beyond the faces, many in one place; small cells and groups in the test."""
+    rng = np.random.default_rng(11)
+    shape = (13, 9, 11)
+    v = rng.random(shape)
+    monkeypatch.setattr(signal, "CELL", 5)
+    monkeypatch.setattr(signal, "GROUP", 7)
+    at = [tuple(map(float, rng.uniform(-3, 16, 3))) for _ in range(40)] + [(2.25, 2.5, 2.75)] * 30 + [(-20.3, 40.1, 5.0)]
+    rows = [(i, *a) for i, a in enumerate(at)] + [(900, None, 1.0, 1.0), (901, float("nan"), 1.0, 1.0)]
+    p = spark.createDataFrame(rows, "poi long, pz double, py double, px double")
+    t = signal.spline_table(voxels(spark, v), shape, order)
+    got = {r.poi: r for r in signal.sample_all(p, {"a": t, "b": t.withColumn("value", -F.col("value"))}, shape, order).collect()}
+    assert len(got) == len(at) + 1 and np.isnan(got[901].a)
+    want = plain_sample(v, at, order)
+    assert np.allclose([got[i].a for i in range(len(at))], want, atol=1e-9) and np.allclose([got[i].b for i in range(len(at))], -np.array(want), atol=1e-9)
+
+
 def test_warp_and_convention(spark):
     v = np.random.default_rng(9).random((8, 9, 10))
     t = voxels(spark, v)
