@@ -62,7 +62,7 @@ def pair(args) -> int:
     from strainlake.functions.shipping import shared_folder, ship
     from strainlake.functions.synth import sample_flow
     from strainlake.operators import score
-    from strainlake.plans.correlate import correlate
+    from strainlake.plans.correlate import correlate_pair
     from strainlake.sources import fieldstore
 
     told: dict = {"store": args.store, "deformation": args.deformation, "phases": {}}
@@ -83,7 +83,7 @@ def pair(args) -> int:
         return 2
     ship(spark)
     ended("open")
-    f = correlate(p.reference, p.deformed, p.shape, p.mask, config=config, pair_id=p.name)
+    f = correlate_pair(p, config)
     out = args.out or shared_folder(spark, "pair")
     fieldstore.save(f, out)
     f = fieldstore.load(spark, out, p.name, "base")

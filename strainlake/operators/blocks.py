@@ -104,42 +104,75 @@ def tiles_of(wanted: DataFrame, lattice: Lattice, points: int) -> DataFrame:
     return t.groupBy(*TILE).agg(*ends, F.sort_array(F.collect_list("poi")).alias("pois"))
 
 
-def slices(blocks: DataFrame, tiles: DataFrame, uses: DataFrame) -> DataFrame:
-    """What each tile needs, cut from the blocks: its place within the tile's box, its size and bytes."""
+def needs_of(tiles: DataFrame, uses: DataFrame) -> DataFrame:
+    """frame, z0, y0, x0 of each block that a tile needs, with the boxes (of which pair, tile and role) it has to serve."""
     need = tiles.drop("pois").join(uses, "pair_id")
     for a in "zyx":
         c = F.col(f"c{a}")
         need = need.withColumn(f"{a}0", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / c), F.floor((F.col(f"hi{a}") - 1) / c))))
         need = need.withColumn(f"{a}0", (F.col(f"{a}0") * c).cast("int"))
     box = [f"{e}{a}" for e in ("lo", "hi") for a in "zyx"]
-    need = need.groupBy("frame", *ORIGIN).agg(F.collect_list(F.struct(*TILE, "role", *box)).alias("needs"))
+    return need.groupBy("frame", *ORIGIN).agg(F.collect_list(F.struct(*TILE, "role", *box)).alias("needs"))
+
+
+def _cut(rows: Iterator[tuple[np.ndarray, list[int], list[dict]]]) -> Iterator[pa.RecordBatch]:
+    """Slices of boxes (values, origin, needs), in batches of about SEND_BYTES."""
+    out, held = [], 0
+    send = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SLICES.types, strict=True)], schema=_SLICES)
+    for here, first, needs in rows:
+        first = np.array(first)
+        for n in needs:
+            lo, hi = (np.array([n[f"{e}{a}"] for a in "zyx"]) for e in ("lo", "hi"))
+            a, b = np.maximum(lo, first), np.minimum(hi, first + here.shape)
+            if (a < b).all():
+                cut = here[tuple(slice(x, y) for x, y in zip(a - first, b - first, strict=True))]
+                out.append((*[n[k] for k in TILE], n["role"], *(a - lo).tolist(), *cut.shape, here.dtype.name, cut.tobytes()))
+                held += cut.nbytes
+            if held >= SEND_BYTES:
+                yield send()
+                out, held = [], 0
+    if out:
+        yield send()
+
+
+def slices(blocks: DataFrame, needs: DataFrame) -> DataFrame:
+    """What each tile needs, cut from rows of blocks: its place within the tile's box, its size and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
-                here, first = box_of(row), np.array([row[k] for k in ORIGIN])
-                for n in row["needs"]:
-                    lo, hi = (np.array([n[f"{e}{a}"] for a in "zyx"]) for e in ("lo", "hi"))
-                    a, b = np.maximum(lo, first), np.minimum(hi, first + here.shape)
-                    if (a < b).all():
-                        cut = here[tuple(slice(x, y) for x, y in zip(a - first, b - first, strict=True))]
-                        out.append((*[n[k] for k in TILE], n["role"], *(a - lo).tolist(), *cut.shape, row["dtype"], cut.tobytes()))
-                        held += cut.nbytes
-                    if held >= SEND_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SLICES.types, strict=True)], schema=_SLICES)
-                        out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SLICES.types, strict=True)], schema=_SLICES)
-
-    return blocks.join(need, ["frame", *ORIGIN]).select(*ORIGIN, "nz", "ny", "nx", "dtype", "data", "needs").mapInArrow(run, SLICE)
-
-
-def peaks(blocks: DataFrame, uses: DataFrame, wanted: DataFrame, lattice: Lattice, config: CorrelateConfig, points: int = 4, masks: tuple[bool, bool] = (True, False), batch: int | None = None, digits: int | None = None) -> DataFrame:
+        one = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch)))
+        yield from _cut((box_of(r), [r[k] for k in ORIGIN], r["needs"]) for r in one)
+
+    return blocks.join(needs, ["frame", *ORIGIN]).select(*ORIGIN, "nz", "ny", "nx", "dtype", "data", "needs").mapInArrow(run, SLICE)
+
+
+def stored_slices(arrays: dict[str, tuple[str, str]], needs: DataFrame) -> DataFrame:
+    """The same from stored volumes (frame -> store, array): the task that a need is dealt to opens that chunk.
+
+    Chunks that no tile needs are never opened, and no chunk is shuffled whole.
+    """
+    from strainlake.sources.zarr_source import _Reader
+
+    readers = {k: _Reader({"path": store, "array": array}) for k, (store, array) in arrays.items()}
+
+    def opened(row: dict) -> tuple[np.ndarray, list[int], list[dict]]:
+        reader = readers[row["frame"]]
+        at = tuple(row[k] // c for k, c in zip(ORIGIN, reader.meta.chunks, strict=True))
+        values = reader.values(at)[1][0]
+        return values.astype(values.dtype.newbyteorder("=")), [row[k] for k in ORIGIN], row["needs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut(map(opened, (r for batch in batches for r in batch.to_pylist())))
+
+    chunks = sum(len(r.partitions()) for r in readers.values())
+    cores = needs.sparkSession.sparkContext.defaultParallelism
+    # A number of its own: rows this short would else end in one task, with all chunks to open.
+    return needs.repartition(max(1, min(chunks, max(4 * cores, chunks // 64))), "frame", *ORIGIN).mapInArrow(run, SLICE)
+
+
+def peaks(source: DataFrame | dict[str, tuple[str, str]], uses: DataFrame, wanted: DataFrame, lattice: Lattice, config: CorrelateConfig, points: int = 4, masks: tuple[bool, bool] = (True, False), batch: int | None = None, digits: int | None = None) -> DataFrame:
     """Peaks of the wanted points (pair_id, poi), each tile of `points` lattice points per axis in one group.
 
-    masks: whether uses have a mask of the reference (else all is valid) and one of the deformed volume (else that of the
+    source: rows of blocks, or the stored array (store, name) of each frame. masks: whether uses have a mask of the reference (else all is valid) and one of the deformed volume (else that of the
     reference). batch: windows in flight, by default as many as BATCH_BYTES hold.
     """
     (_, ny, nx), stride, window = lattice.counts, np.array(lattice.stride), lattice.window
@@ -171,5 +204,6 @@ def peaks(blocks: DataFrame, uses: DataFrame, wanted: DataFrame, lattice: Lattic
         return pa.table(cols, names=names)
 
     tiles = tiles_of(wanted, lattice, points)
-    cut = slices(blocks, tiles, uses)
+    needs = needs_of(tiles, uses)
+    cut = stored_slices(source, needs) if isinstance(source, dict) else slices(source, needs)
     return cut.groupBy(*TILE).cogroup(tiles.groupBy(*TILE)).applyInArrow(run, PEAKS)

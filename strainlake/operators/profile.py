@@ -5,10 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+if TYPE_CHECKING:
+    from strainlake.sources.zones import Array
+
 BINS = 16_384
 
 
@@ -139,13 +142,30 @@ class DatasetProfile:
     flows: DataFrame
 
 
-def dataset(ds, include: list[str] | None = None, masks: list[str] | None = None, median: str = "histogram", bins: int = BINS, progress: Callable[[Step], None] | None = None) -> DatasetProfile:
+def arrays_of(ds, entries: list[str], masks: list[str]) -> list[tuple[str, str, Array]]:
+    """(role, name, array) of what a profile covers: the reference, masks, then each deformation's image and flow."""
+    from strainlake.sources.zones import Array
+
+    m, p = ds.manifest, ds.profile
+    out = [("reference", "reference", Array("reference/reference", f"{p.base}/{p.reference}")), *[("mask", x, Array(f"mask/{x}", f"{p.base}/{x}")) for x in masks]]
+    for e in entries:
+        out.append(("deformed", e, Array(f"deformed/{e}", ds._path(e, p.deformed))))
+        if ds.entries[e] == "synthetic":
+            out.append(("flow", e, Array(f"flow/{e}", ds._path(e, p.flow), m.axis_order or p.axis_order, m.convention or p.convention)))
+    return out
+
+
+def dataset(ds, include: list[str] | None = None, masks: list[str] | None = None, median: str = "histogram", bins: int = BINS, progress: Callable[[Step], None] | None = None, zones: DataFrame | None = None) -> DatasetProfile:
     """Statistics of every array of a dataset (sources.store.Dataset), or of the deformations and masks named.
 
-    median: "histogram" (two passes, bounded state), "exact" (refined histograms) or "skip" (null). All flows' layouts
-    are checked before a voxel is read. Arrays are told to progress one by one, in the order reference, masks, then each
-    deformation's image and flow.
+    One job makes the zone map of all arrays (sources.zones), unless one is given, and the statistics are sums over it.
+    median: "histogram" (one more job, which opens the chunks that span several bins), "exact" (refined histograms, array
+    by array) or "skip" (null). All flows' layouts are checked before a voxel is read. Arrays are told to progress in the
+    order reference, masks, then each deformation's image and flow, when their row is there.
     """
+    from strainlake.functions.shipping import ship, stored
+    from strainlake.sources import zones as Z
+
     if bins < 2:
         raise ValueError(f"bins must be at least 2, got {bins}")
     if median not in ("histogram", "exact", "skip"):
@@ -154,38 +174,33 @@ def dataset(ds, include: list[str] | None = None, masks: list[str] | None = None
         if absent := [n for n in names or [] if n not in known]:
             raise KeyError(f"no {section} {absent} in the dataset")
     entries, mask_names = ds.list_all() if include is None else list(include), ds.list_masks() if masks is None else list(masks)
-    flows = [e for e in entries if ds.entries[e] == "synthetic"]
-    for e in flows:
-        ds.check_flow(e)
+    for e in entries:
+        if ds.entries[e] == "synthetic":
+            ds.check_flow(e)
     began, spark = time.monotonic(), ds.spark
-    plan = [("reference", "reference")] + [("mask", m) for m in mask_names] + [x for e in entries for x in (("deformed", e), ("flow", e))[: 1 + (e in flows)]]
-    parts: dict[str, list[DataFrame]] = {"volumes": [], "masks": [], "flows": []}
-
-    def told(i: int) -> None:
-        if progress:
-            stage, name = plan[i] if i < len(plan) else ("done", "")
-            progress(Step(stage, name, i, len(plan), time.monotonic() - began))
-
-    def medians(t: DataFrame) -> DataFrame:
-        if median == "skip":
-            return t.select("name").distinct().withColumn("median", F.lit(None).cast("double"))
-        return histogram_median(t, bins, "name") if median == "histogram" else exact_median(t, "name")
-
-    for i, (stage, name) in enumerate(plan):
-        if stage == "mask":
-            row = mask(ds.load_mask(name).withColumn("name", F.lit(name)), "name")
-        elif stage == "flow":
-            f = ds.load_flow(name).withColumn("name", F.lit(name))
-            u = f.select("name", F.sqrt(sum((F.pow(F.col(f"d{a}").cast("double"), F.lit(2.0)) for a in "zyx"), F.lit(0.0))).alias("value"))
-            row = displacement(f, "name").join(medians(u).withColumnRenamed("median", "median_u"), "name")
+    ship(spark)
+    plan = arrays_of(ds, entries, mask_names)
+    map_ = stored(Z.zones(spark, ds.store, [a for _, _, a in plan]), "zones") if zones is None else zones
+    found = {r["name"]: r for r in Z.summary(map_.where(F.col("name").isin([a.name for _, _, a in plan]))).collect()}  # a row for each array
+    wanted = [a for role, _, a in plan if role != "mask"]
+    medians = {r["name"]: r["median"] for r in Z.median(spark, ds.store, wanted, map_, bins).collect()} if median == "histogram" else {}
+    rows: dict[str, list[tuple]] = {"volumes": [], "masks": [], "flows": []}
+    for i, (role, name, a) in enumerate(plan):
+        r, middle = found[a.name], medians.get(a.name)
+        if median == "exact" and role != "mask":
+            t = ds.load_flow(name) if role == "flow" else ds.load_reference() if role == "reference" else ds.load_image(name)
+            u = F.sqrt(sum((F.pow(F.col(f"d{x}").cast("double"), F.lit(2.0)) for x in "zyx"), F.lit(0.0))) if role == "flow" else F.col("value")
+            middle = exact_quantile(t.select(F.lit(name).alias("name"), u.alias("value")), 0.5, "name")[name]
+        if role == "mask":
+            rows["masks"].append((name, r["n_true"], r["n"] - r["n_true"], r["n_true"] / r["n"]))
+        elif role == "flow":
+            rows["flows"].append((name, r["n"], r["mean"], r["max"], *[r[f"{k}_{x}"] for x in "zyx" for k in ("mean", "max")], middle))
         else:
-            v = (ds.load_reference() if stage == "reference" else ds.load_image(name)).withColumn("name", F.lit(name))
-            row = intensity(v, "name").join(medians(v), "name").withColumn("role", F.lit(stage))
-        kind = "masks" if stage == "mask" else "flows" if stage == "flow" else "volumes"
-        # One short row for each array, so that an array is read once however often the profile is looked at.
-        parts[kind].append(spark.createDataFrame(row.collect(), row.schema))
-        told(i)
-    told(len(plan))
+            rows["volumes"].append((name, r["n"], r["mean"], r["min"], r["max"], middle, role))
+        if progress:
+            progress(Step(role, name, i, len(plan), time.monotonic() - began))
+    if progress:
+        progress(Step("done", "", len(plan), len(plan), time.monotonic() - began))
     u = [x for a in "zyx" for x in (f"mean_{a} double", f"max_{a} double")]
     schemas = {"volumes": "name string, n long, mean double, min double, max double, median double, role string", "masks": "name string, foreground long, background long, fraction double", "flows": ", ".join(["name string, n long, mean_u double, max_u double", *u, "median_u double"])}
-    return DatasetProfile(**{k: reduce(lambda a, b: a.unionByName(b), ts) if ts else spark.createDataFrame([], schemas[k]) for k, ts in parts.items()})
+    return DatasetProfile(**{k: spark.createDataFrame(rows[k], s) for k, s in schemas.items()})

@@ -277,9 +277,13 @@ def _fields(spark, pair, group: list[Variant], shared: _Shared) -> dict[str, Dat
     loosest = min(group, key=lambda v: v.params["mask_threshold"])
     config = config_of(loosest.params)
     lattice = Lattice(pair.shape, config.window, config.overlap)
-    points = shared.keep("group", L.admit(L.lattice_table(spark, lattice), pair.mask, lattice, config.mask_threshold))
     n = P.tile_size(spark, lattice, config)
-    found = P.voxel_peaks(pair.reference, pair.deformed, pair.mask, None, points.where("admitted").select("poi"), lattice, config, n)
+    if pair.stored:
+        points = shared.keep("group", P.stored_points(spark, lattice, pair.stored.get("mr"), config.mask_threshold))
+        found = P.stored_peaks(spark, pair.stored, points.where("admitted").select("poi"), lattice, config, n)
+    else:
+        points = shared.keep("group", L.admit(L.lattice_table(spark, lattice), pair.mask, lattice, config.mask_threshold))
+        found = P.voxel_peaks(pair.reference, pair.deformed, pair.mask, None, points.where("admitted").select("poi"), lattice, config, n)
     found = shared.keep("group", found.select("poi", "dz", "dy", "dx", "confidence"))
     return {v.variant_id: P.field(points.drop("admitted").withColumn("admitted", F.col("fraction") >= v.params["mask_threshold"]), found, config, pair.name) for v in group}
 

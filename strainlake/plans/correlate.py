@@ -128,28 +128,62 @@ def correlate_pairs(
     return field(points, found.select("pair_id", "poi", "dz", "dy", "dx", "confidence"), config, None)
 
 
-def correlate_arrays(spark: SparkSession, reference: tuple[str, str], deformed: tuple[str, str], mask: tuple[str, str] | None = None, deformed_mask: tuple[str, str] | None = None, config: CorrelateConfig | None = None, pair_id: str = "pair", tile_memory: int | None = None) -> DataFrame:
-    """The field of two stored volumes (store, array), chunk by chunk: no row for a voxel. Unequal shapes are refused."""
-    config = config or CorrelateConfig()
-    given = {k: a for k, a in (("r", reference), ("d", deformed), ("mr", mask), ("md", deformed_mask)) if a is not None}
-    read = {k: B.of_array(spark, *a, k) for k, a in given.items()}
-    shape = read["r"][1]
-    for k, (_, other, _) in read.items():
-        if other != shape:
-            raise ValueError(f"{given[k][1]} has shape {other}, the reference {shape}")
-    lattice = Lattice(shape, config.window, config.overlap)
+def stored_points(spark: SparkSession, lattice: Lattice, mask: tuple[str, str] | None, threshold: float) -> DataFrame:
+    """The lattice with fraction and admitted, from a stored mask read chunk by chunk."""
     points = L.lattice_table(spark, lattice)
     if mask is None:
-        points = points.withColumn("admitted", F.lit(True))
-    else:
-        points = points.join(B.window_support(read["mr"][0], lattice).drop("frame"), "poi", "left").withColumn("admitted", F.coalesce("fraction", F.lit(0.0)) >= config.mask_threshold)
-    blocks = reduce(DataFrame.unionByName, [b for b, _, _ in read.values()])
-    uses = spark.createDataFrame([(pair_id, k, k, *c) for k, (_, _, c) in read.items()], B.USE)
-    wanted = points.where("admitted").select(F.lit(pair_id).alias("pair_id"), "poi")
-    found = B.peaks(blocks, uses, wanted, lattice, config, tile_size(spark, lattice, config, tile_memory), ("mr" in read, "md" in read))
+        return points.withColumn("fraction", F.lit(1.0)).withColumn("admitted", F.lit(True))
+    support = B.window_support(B.of_array(spark, *mask, "mr")[0], lattice).drop("frame")
+    return points.join(support, "poi", "left").withColumn("fraction", F.coalesce("fraction", F.lit(0.0))).withColumn("admitted", F.col("fraction") >= threshold)
+
+
+def stored_peaks(spark: SparkSession, given: dict[str, tuple[str, str]], admitted: DataFrame, lattice: Lattice, config: CorrelateConfig, points: int, digits: int | None = None) -> DataFrame:
+    """Peaks of the admitted points (poi) of stored volumes (r, d, and masks mr and md): only chunks they need are opened."""
+    from strainlake.sources.zarr_source import open_array
+
+    metas = {k: open_array(*a) for k, a in given.items()}
+    for k, m in metas.items():
+        if tuple(m.shape) != tuple(lattice.shape):
+            raise ValueError(f"{given[k][1]} has shape {tuple(m.shape)}, not {tuple(lattice.shape)}")
+    uses = spark.createDataFrame([("pair", k, k, *m.chunks) for k, m in metas.items()], B.USE)
+    wanted = admitted.select(F.lit("pair").alias("pair_id"), "poi")
+    return B.peaks(given, uses, wanted, lattice, config, points, ("mr" in given, "md" in given), digits=digits).drop("pair_id")
+
+
+def correlate_arrays(spark: SparkSession, reference: tuple[str, str], deformed: tuple[str, str], mask: tuple[str, str] | None = None, deformed_mask: tuple[str, str] | None = None, config: CorrelateConfig | None = None, pair_id: str = "pair", digits: int | None = None, tile_memory: int | None = None) -> DataFrame:
+    """The field of two stored volumes (store, array), chunk by chunk: no row for a voxel. Unequal shapes are refused.
+
+    The mask is read once, for admission; of all volumes only the chunks that admitted points need are opened then.
+    """
+    from strainlake.sources.zarr_source import open_array
+
+    config = config or CorrelateConfig()
+    given = {k: a for k, a in (("r", reference), ("d", deformed), ("mr", mask), ("md", deformed_mask)) if a is not None}
+    lattice = Lattice(open_array(*reference).shape, config.window, config.overlap)
+    points = stored_points(spark, lattice, mask, config.mask_threshold)
+    found = stored_peaks(spark, given, points.where("admitted").select("poi"), lattice, config, tile_size(spark, lattice, config, tile_memory), digits)
     return field(points, found.select("poi", "dz", "dy", "dx", "confidence"), config, pair_id)
 
 
+def correlate_pair(pair, config: CorrelateConfig | None = None) -> DataFrame:
+    """The field of a dataset's pair (sources.store.LoadedPair): from its stored chunks, or from voxels where it is cropped."""
+    if pair.stored:
+        return correlate_arrays(pair.reference.sparkSession, pair.stored["r"], pair.stored["d"], pair.stored.get("mr"), config=config, pair_id=pair.name)
+    return correlate(pair.reference, pair.deformed, pair.shape, pair.mask, config=config, pair_id=pair.name)
+
+
+def run_and_evaluate(pair, config: CorrelateConfig | None = None, correlate_fn=None) -> tuple[DataFrame, DataFrame]:
+    """The field of one pair and its error report against the pair's flow; correlate_fn(pair, config) may make the field."""
+    from strainlake.functions.synth import sample_flow
+    from strainlake.operators import score
+
+    if pair.flow is None:
+        raise ValueError(f"{pair.name} has no flow to be held against")
+    f = (correlate_fn or correlate_pair)(pair, config)
+    f = stored(f, "field")
+    return f, score.report(f.join(sample_flow(f.select("poi", "pz", "py", "px"), pair.flow, pair.shape), "poi"))
+
+
 def at_thresholds(points: DataFrame, found: DataFrame, thresholds: list[float], config: CorrelateConfig) -> DataFrame:
     """Fields for several mask thresholds from one correlation at the loosest: admission and outliers alone differ.
 

@@ -204,6 +204,13 @@ UNION ALL SELECT entry, role, 'vector axis 0 must be 3, got 2' FROM w WHERE NOT
         "distance_volume": f"WITH {CUBE}, s AS (SELECT z, y, x FROM cube WHERE m) SELECT {big('z', 'y', 'x')}, {r('min(sqrt(power(c.z - s.z, 2) + power(c.y - s.y, 2) + power(c.x - s.x, 2)))', 'value')} FROM (SELECT z AS z, y AS y, x AS x FROM cube) c, s GROUP BY c.z, c.y, c.x".replace(f"{big('z', 'y', 'x')}", big("c.z", "c.y", "c.x").replace("AS c.", "AS ")),
         "frame_pairs": "SELECT CAST(user_id AS VARCHAR) AS series, event_id AS t, before AS reference, event_type AS deformed FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE k > 1",
         "zarr_roundtrip": f"WITH {CUBE} SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM cube",
+        "zone_profile": f"""WITH {CUBE}, v AS (SELECT 'reference' AS name, value FROM cube UNION ALL SELECT 'deformed', value FROM cube UNION ALL SELECT 'mask', CAST(m AS INT) FROM cube),
+x AS (SELECT name, count(*) AS n, count(*) FILTER (WHERE value <> 0) AS n_true, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1),
+b AS (SELECT name, least(floor((value - lo) / (hi - lo) * 64), 63) AS b, count(*) AS c FROM v JOIN x USING (name) GROUP BY ALL), s AS (SELECT *, sum(c) OVER (PARTITION BY name ORDER BY b) AS upto FROM b),
+k AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY b) AS k FROM s JOIN x USING (name) WHERE upto >= n / 2e0)
+SELECT name, n, n_true, {r('mean', 'mean')}, {r('lo', 'min')}, {r('hi', 'max')}, {r('lo + (b + (n / 2e0 - (upto - c)) / c) * ((hi - lo) / 64)', 'median')} FROM k JOIN x USING (name) WHERE k = 1""",
+        "zarr_region": f"WITH {CUBE}, roll AS (SELECT (z + 1) % 16 AS z, (y + 30) % 32 AS y, (x + 1) % 32 AS x, value FROM cube) SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM roll WHERE z >= 3 AND z < 9 AND y < 20 AND x >= 17",
+        "displacement_field_stored": f"WITH {FIELD} SELECT poi, {', '.join(r(f'CAST({c} AS FLOAT)', c) for c in ('dz', 'dy', 'dx', 'confidence'))}, valid, CAST(status AS BIGINT) AS status FROM fld",
         "budget_batch": " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS \"window\", '{m.rstrip('2')}' AS mode, '{n}' AS normalization, CAST({c} * {w}::BIGINT ** 3 AS BIGINT) AS per_point, CAST(9 * 960::BIGINT * 1280 * 1280 AS BIGINT) AS resident, CAST(least((CAST(floor(51539607552e0 * 0.85e0) AS BIGINT) - 14155776000 - CAST({o} * {w}::BIGINT ** 3 AS BIGINT)) // CAST({c} * {w}::BIGINT ** 3 AS BIGINT) // 8 * 8, 1024) AS BIGINT) AS batch" for w in (32, 64, 96) for m, (c, o, n) in BATCH.items()),
         "unit_convert": f"SELECT p_partkey, u AS unit, {r('p_size * (CASE u WHEN ' + chr(39) + 'nm' + chr(39) + ' THEN 0.001e0 WHEN ' + chr(39) + 'um' + chr(39) + ' THEN 1e0 ELSE 1000e0 END)', 'um')} FROM (SELECT *, (['nm', 'um', 'mm'])[p_partkey % 3 + 1] AS u FROM part)",
         "field_points_export": f"WITH {EVENTS} SELECT poi, {r('ix * 1.5e0', 'x')}, {r('iy * 0.5e0', 'y')}, {r('iz * 2e0', 'z')}, {r('dx * 1.5e0', 'ux')}, {r('dy * 0.5e0', 'uy')}, {r('dz * 2e0', 'uz')}, confidence, CAST(0 AS BIGINT) AS status, {r('sqrt(power(dx * 1.5e0, 2) + power(dy * 0.5e0, 2) + power(dz * 2e0, 2))', 'magnitude')} FROM f WHERE valid",

@@ -516,6 +516,44 @@ def zarr_roundtrip(spark, d):
     return zarr_source.load_volume(spark, store, "base/volume0")
 
 
+def _stored(spark, d) -> str:
+    """A store of the cube, its rolled copy and its mask, written by the executors."""
+    from strainlake.functions.shipping import shared_folder
+    from strainlake.sources import zarr_source
+
+    store, t = shared_folder(spark, "store") + "/cube.zarr", cube(spark, d)
+    for name, v, dtype in (("reference", volume(t), "float32"), ("deformed", rolled(t), "float32"), ("mask", mask(t), "bool")):
+        zarr_source.write_volume(v, store, name, SHAPE, (4, 16, 8), dtype)
+    return store
+
+
+@shipped
+def zone_profile(spark, d):
+    """Statistics and medians of a store's arrays from its zone map."""
+    from strainlake.sources import zones
+
+    store = _stored(spark, d)
+    arrays = [zones.Array(n, n) for n in ("reference", "deformed", "mask")]
+    of = zones.build(spark, store, arrays, f"{store}.zones")
+    return zones.summary(of).join(zones.median(spark, store, arrays, of, 64), "name").select("name", "n", "n_true", "mean", "min", "max", "median")
+
+
+@shipped
+def zarr_region(spark, d):
+    """Voxels of a range of places, from the chunks it touches."""
+    from strainlake.sources import zarr_source
+
+    return zarr_source.load_volume(spark, _stored(spark, d), "deformed", region=((3, 9), (None, 20), (17, None)))
+
+
+@shipped
+def displacement_field_stored(spark, d):
+    """The field of stored volumes: chunks are opened where tiles with admitted points need them."""
+    store = _stored(spark, d)
+    f = P.correlate_arrays(spark, (store, "reference"), (store, "deformed"), (store, "mask"), config=FIELD_CONFIG, digits=9)
+    return f.select("poi", "dz", "dy", "dx", "valid", "confidence", "status")
+
+
 @shipped
 def frame_pairs(spark, d):
     from strainlake.streaming.frames import pairs

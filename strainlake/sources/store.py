@@ -268,6 +268,8 @@ class LoadedPair:
     mask: DataFrame | None
     flow: DataFrame | None
     spacing: VoxelSpacing | None
+    #: Where the whole volumes lie (r, d and mr -> store, array), so that plans may open chunks; None for a crop.
+    stored: dict[str, tuple[str, str]] | None = None
 
 
 class Dataset:
@@ -365,7 +367,10 @@ class Dataset:
         kind = self.entries[entry]
         m = None if mask == NO_MASK or mask is None and self.default_mask is None else self.load_mask(mask, crop)
         flow = self.load_flow(entry, crop, convention) if kind == "synthetic" else None
-        return LoadedPair(entry, kind, tuple(crop or self.shape), self.load_reference(crop), image, m, flow, self.manifest.spacing)
+        base = self.profile.base
+        stored = {"r": (self.store, f"{base}/{self.profile.reference}"), "d": (self.store, self._path(entry, self.profile.deformed))}
+        stored |= {"mr": (self.store, f"{base}/{mask or self.default_mask}")} if m is not None else {}
+        return LoadedPair(entry, kind, tuple(crop or self.shape), self.load_reference(crop), image, m, flow, self.manifest.spacing, None if crop else stored)
 
     def catalog(self) -> DataFrame:
         """One row per array of the store, and one for each missing role of broken entries (path null)."""

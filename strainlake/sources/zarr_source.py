@@ -304,6 +304,15 @@ class _Reader(DataSourceReader):
             b = np.ascontiguousarray(b[tuple(slice(0, s) for s in size)])
             yield (self.name, *[at[a] for a in self.spatial], *[start[a] for a in self.spatial], *[size[a] for a in self.spatial], np.dtype(m.dtype).name, b.astype(b.dtype.newbyteorder("=")).tobytes())
             return
+        start, values = self.values(at)
+        coords = [(i + s - lo).ravel().astype(np.int32) for i, s, lo in zip(np.indices(values[0].shape), start, self.lo, strict=True)]
+        kind = bool if np.dtype(m.dtype).kind == "b" else np.float32
+        names = ["value"] if len(values) == 1 else ["dz", "dy", "dx"]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, coords), *[pa.array(np.ascontiguousarray(x).ravel().astype(kind)) for x in values]], names=["z", "y", "x", *names])
+
+    def values(self, at):
+        """Where the values of a chunk begin (z, y, x of the array), and they themselves: a volume's, or a flow's three."""
+        m = self.meta
         if len(m.shape) == 3:
             values = [self._block(at)]
         else:
@@ -317,11 +326,7 @@ class _Reader(DataSourceReader):
             values = [self.sign * np.take(whole, c, v) for c in range(3)]
         start = [at[a] * m.chunks[a] for a in self.spatial]
         cut = tuple(slice(max(0, lo - s), max(0, min(c, hi - s))) for s, c, (lo, hi) in zip(start, [m.chunks[a] for a in self.spatial], self.ends, strict=True))
-        values = [x[cut] for x in values]
-        coords = [(i + c.start + s - lo).ravel().astype(np.int32) for i, c, s, lo in zip(np.indices(values[0].shape), cut, start, self.lo, strict=True)]
-        kind = bool if np.dtype(m.dtype).kind == "b" else np.float32
-        names = ["value"] if len(values) == 1 else ["dz", "dy", "dx"]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, coords), *[pa.array(np.ascontiguousarray(x).ravel().astype(kind)) for x in values]], names=["z", "y", "x", *names])
+        return [s + c.start for s, c in zip(start, cut, strict=True)], [x[cut] for x in values]
 
 
 class ZarrArray(DataSource):

@@ -189,6 +189,15 @@ def test_stored_volumes_block_by_block(spark, tmp_path):
     got = correlate_arrays(spark, (store, "r"), (store, "d"), (store, "m"), config=cfg).orderBy("poi").toPandas()
     want = correlate(voxels(spark, v), voxels(spark, d), shape, voxels(spark, m), config=cfg).orderBy("poi").toPandas()
     pd.testing.assert_frame_equal(got, want, check_exact=False, atol=1e-6)
+    # Nothing is admitted in the lower half: chunks there that no window needs are never opened, whatever they hold.
+    m[6:] = False
+    zarr_source.write_array(store, "half", m, (4, 17, 7))
+    half = correlate_arrays(spark, (store, "r"), (store, "d"), (store, "half"), config=cfg).orderBy("poi").toPandas()
+    assert (half.status != 1).any()
+    for path in (tmp_path / "v.zarr" / "r" / "c" / "2").rglob("*"):
+        if path.is_file():
+            path.write_bytes(b"broken")
+    pd.testing.assert_frame_equal(correlate_arrays(spark, (store, "r"), (store, "d"), (store, "half"), config=cfg).orderBy("poi").toPandas(), half)
     with pytest.raises(ValueError, match="shape"):
         correlate_arrays(spark, (store, "r"), (store, "small"), config=cfg)
     with pytest.raises(Exception, match="outside"):

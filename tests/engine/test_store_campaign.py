@@ -276,6 +276,46 @@ def test_profile_of_a_dataset(spark, tmp_path, store):
     assert not told
 
 
+def test_zone_map_equals_its_voxels(spark, tmp_path, store):
+    from strainlake.sources import zones
+
+    path, v, flow = store
+    arrays = [zones.Array("v", "base/volume0"), zones.Array("m", "base/mask"), zones.Array("f", "synthetic/fs004/flow", convention="push_forward")]
+    of = zones.build(spark, path, arrays, str(tmp_path / "zones"))
+    assert of.where("name = 'v'").count() == 4 and of.where("name = 'f'").count() == 8
+    of = zones.build(spark, path, arrays[:1], str(tmp_path / "zones"))  # again: its own rows alone are replaced
+    s = {r["name"]: r for r in zones.summary(of).collect()}
+    assert s["v"].n == v.size and abs(s["v"].mean - v.astype(float).mean()) < 1e-9 and (s["v"].min, s["v"].max) == (v.min(), v.max())
+    assert s["f"].mean == s["f"].max == 1 and s["f"].mean_y == -1 and s["f"].max_y == 1 and s["f"].mean_x == 0
+    want = profile.histogram_median(zarr.load_volume(spark, path, "base/volume0").withColumn("volume_id", F.lit("v")), 64).first()["median"]
+    got = {r["name"]: r["median"] for r in zones.median(spark, path, arrays, of, 64).collect()}
+    assert np.isclose(got["v"], want) and got["f"] == 1
+    # Chunks of one value are counted from the map: broken ones do no harm.
+    flat = np.repeat(np.array([0, 5, 5, 9], np.float32), 16).reshape(4, 4, 4)
+    zarr.write_array(path, "flat", flat, (1, 4, 4))
+    a = [zones.Array("flat", "flat")]
+    of = zones.build(spark, path, a, str(tmp_path / "flat"))
+    for f in (tmp_path / "a.zarr" / "flat" / "c").rglob("*"):
+        if f.is_file():
+            f.write_bytes(b"broken")
+    assert abs(zones.median(spark, path, a, of, 100).first()["median"] - 5) < 0.1
+
+
+def test_one_pair_with_a_kernel_of_its_own(spark, store):
+    from strainlake.config import CorrelateConfig
+    from strainlake.plans.correlate import correlate_pair, run_and_evaluate
+
+    ds, config = Dataset.open(spark, store[0]), CorrelateConfig(window=4, mask_threshold=0.5)
+    pair = ds.load_pair("fs004")
+    f, report = run_and_evaluate(pair, config)
+    assert report.first().n_total == f.count()
+    exact = lambda p, c: correlate_pair(p, c).withColumns({"dz": F.lit(0.0), "dy": F.lit(1.0), "dx": F.lit(0.0), "valid": F.lit(True)})
+    r = run_and_evaluate(pair, config, exact)[1].first()
+    assert r.n_valid == f.count() and r.mae < 1e-6
+    with pytest.raises(ValueError, match="no flow"):
+        run_and_evaluate(ds.load_pair("016"), config)
+
+
 def test_catalog_checks_say_what_verify_says(spark, tmp_path, store):
     from strainlake.sources.store import check_catalog
 
