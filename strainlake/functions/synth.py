@@ -40,8 +40,13 @@ def standardised(voxels: DataFrame) -> DataFrame:
     return voxels.select("z", "y", "x", v.cast("float").alias("value"))
 
 
+def grain(voxels: DataFrame, shape: tuple[int, int, int], sigma: float = 1.5) -> DataFrame:
+    """voxels smoothed, with zero mean and unit deviation."""
+    return standardised(signal.gaussian(voxels, shape, sigma))
+
+
 def texture(spark: SparkSession, shape: tuple[int, int, int], sigma: float = 1.5, seed: int = 0) -> DataFrame:
-    return standardised(signal.gaussian(white_noise(spark, shape, seed), shape, sigma))
+    return grain(white_noise(spark, shape, seed), shape, sigma)
 
 
 def warp(reference: DataFrame, field: Field, shape: tuple[int, int, int], order: int = 3, convention: str = "pull_back") -> DataFrame:
@@ -97,15 +102,18 @@ def trabecular(spark: SparkSession, shape: tuple[int, int, int], scale: float, p
     return phantom.above_quantile(signal.gaussian(white_noise(spark, shape, seed), shape, scale), porosity).select("z", "y", "x", "strut")
 
 
-def render(spark: SparkSession, spec: phantom.Phantom) -> DataFrame:
-    """Scaffold times (1 + strength x texture), smoothed."""
-    (strength, sigma), (scale, empty) = spec.grain, spec.pores
-    s = phantom.scaffold(trabecular(spark, spec.shape, scale, empty, spec.seed + 1), spec)
-    t = texture(spark, spec.shape, sigma, spec.seed + 2).withColumnRenamed("value", "t")
-    v = s.join(t, ["z", "y", "x"]).select("z", "y", "x", (F.col("intensity") * (1 + strength * F.col("t"))).alias("value"))
+def rendered(struts: DataFrame, grains: DataFrame, spec: phantom.Phantom) -> DataFrame:
+    """Scaffold over struts (z, y, x, strut) times (1 + strength x grains' value), smoothed."""
+    s, t = phantom.scaffold(struts, spec), grains.withColumnRenamed("value", "t")
+    v = s.join(t, ["z", "y", "x"]).select("z", "y", "x", (F.col("intensity") * (1 + spec.grain[0] * F.col("t"))).alias("value"))
     v = signal.gaussian(v, spec.shape, spec.blur) if spec.blur > 0 else v
     return v.select("z", "y", "x", F.col("value").cast("float").alias("value"))
 
 
+def render(spark: SparkSession, spec: phantom.Phantom) -> DataFrame:
+    """A phantom with struts and texture of white noise."""
+    return rendered(trabecular(spark, spec.shape, *spec.pores, spec.seed + 1), texture(spark, spec.shape, spec.grain[1], spec.seed + 2), spec)
+
+
 def default_phantom(spark: SparkSession, shape: tuple[int, int, int], seed: int = 0) -> DataFrame:
     return render(spark, phantom.bone(shape, hole=min(shape[1:]) / 12, seed=seed))

@@ -22,6 +22,20 @@ def stride(window: Column, overlap: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(window * (1 - overlap))).cast("int")
 
 
+def lattices(volumes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The lattices of many volumes at once: keys, poi, index, window start and centre for each row (nz, ny, nx, window,
+    overlap). The windows are cubes; a volume smaller than its window has no points."""
+    t = volumes.withColumn("_s", stride(F.col("window"), F.col("overlap")))
+    for a in "zyx":
+        n = F.col(f"n{a}")
+        t = t.withColumn(f"_c{a}", F.when(n >= F.col("window"), F.floor((n - F.col("window")) / F.col("_s")) + 1).otherwise(0).cast("int"))
+    for a in "zyx":
+        t = t.where(F.col(f"_c{a}") > 0).withColumn(f"i{a}", F.explode(F.sequence(F.lit(0), F.col(f"_c{a}") - 1)))
+        t = t.withColumn(f"{a}0", F.col(f"i{a}") * F.col("_s")).withColumn(f"p{a}", (F.col(f"{a}0") + (F.col("window") - 1) / 2).cast("float"))
+    poi = (F.col("iz").cast("long") * F.col("_cy") + F.col("iy")) * F.col("_cx") + F.col("ix")
+    return t.select(*keys, poi.alias("poi"), "iz", "iy", "ix", "z0", "y0", "x0", "pz", "py", "px", F.col("_cz").alias("count_z"))
+
+
 def center_crop(voxels: DataFrame, shape: tuple[int, int, int], want: tuple[int, int, int]) -> DataFrame:
     """The centred block of size want, its coordinates from 0: a filter on z, y, x that reaches the scan."""
     if any(w > s for w, s in zip(want, shape, strict=True)):
@@ -78,12 +92,24 @@ def admit(points: DataFrame, mask: DataFrame | None, lattice: Lattice, threshold
     return t.withColumn("admitted", F.col("fraction") >= threshold)
 
 
-def slabs(points: DataFrame, lattice: Lattice, n: int) -> DataFrame:
-    """points with the slab of their z index: n contiguous slabs, the first ones larger, some empty if n > nz."""
-    base, extra = divmod(lattice.counts[0], n)
+def slab_of(iz: Column, count: Column, n: Column) -> Column:
+    """The slab of a z index among count: n contiguous slabs, the first ones larger, some empty if n > count."""
+    base, extra = F.floor(count / n), count % n
     large = extra * (base + 1)
-    z = F.col("iz")
-    return points.withColumn("slab", F.when(z < large, F.floor(z / (base + 1))).otherwise(extra + F.floor((z - large) / max(1, base))).cast("int"))
+    return F.when(iz < large, F.floor(iz / (base + 1))).otherwise(extra + F.floor((iz - large) / F.greatest(F.lit(1), base))).cast("int")
+
+
+def slabs(points: DataFrame, lattice: Lattice, n: int) -> DataFrame:
+    """points with the slab of their z index."""
+    return points.withColumn("slab", slab_of(F.col("iz"), F.lit(lattice.counts[0]), F.lit(n)))
+
+
+def within(margin: Column, window: Column) -> Column:
+    """Whether a window at z0, y0, x0 stays margin away from the faces of a volume nz, ny, nx."""
+    ok = F.lit(True)
+    for a in "zyx":
+        ok = ok & (F.col(f"{a}0") >= margin) & (F.col(f"{a}0") + window <= F.col(f"n{a}") - margin)
+    return ok
 
 
 def interior(points: DataFrame, lattice: Lattice, margin: float) -> DataFrame:

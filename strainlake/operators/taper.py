@@ -18,6 +18,14 @@ def tukey(index: Column, n: int, alpha: float) -> Column:
     return F.when(near < edge, 0.5 * (1 + F.cos(F.lit(pi) * (near / edge - 1)))).otherwise(1.0)
 
 
+def tukey_of(index: Column, n: Column, alpha: Column) -> Column:
+    """The taper where length and alpha differ from row to row; alpha beyond 0..1 gives null."""
+    edge = alpha * (n - 1) / 2
+    near = F.least(index, n - 1 - index).cast("double")
+    edged = F.when(near < edge, 0.5 * (1 + F.cos(F.lit(pi) * (near / F.when(edge > 0, edge) - 1)))).otherwise(1.0)
+    return F.when((alpha >= 0) & (alpha <= 1), F.when((n == 1) | (alpha == 0), 1.0).otherwise(edged))
+
+
 def tukey_1d(spark: SparkSession, n: int, alpha: float) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("i"), tukey(F.col("id"), n, alpha).alias("w"))
 

@@ -6,7 +6,7 @@ import logging
 from dataclasses import dataclass
 from math import prod
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession, functions as F
 
 from strainlake.config import CorrelateConfig, Lattice, triple
 
@@ -52,6 +52,16 @@ def largest_batch(free: int, shape, window, mode: str = "linear", normalization:
     return batch
 
 
+def batch_of(free: Column, voxels: Column, window: Column, mode: Column, normalization: Column, headroom: float = 0.15, most: int = 1024, multiple: int = 8) -> dict[str, Column]:
+    """per_point, resident and batch as columns, for many plans at once; a plan that no batch fits has batch 0."""
+    cube = window.cast("long") * window * window
+    pick = lambda table: F.coalesce(*[F.when((mode == m) & (normalization == n), F.lit(v).cast("long")) for (m, n), v in table.items()], F.lit(0).cast("long"))
+    per_point, resident_ = pick(PER_POINT) * cube, 9 * voxels
+    left = F.floor(free * F.lit(1 - headroom)) - resident_ - pick(ONCE) * cube
+    batch = F.least(F.floor(F.greatest(F.lit(0), left) / per_point / multiple) * multiple, F.lit(most))
+    return {"per_point": per_point, "resident": resident_, "batch": batch.cast("long")}
+
+
 def size_of(text: str) -> int:
     """Bytes of a Spark memory setting; a bare number is in MiB."""
     t = text.strip().lower().removesuffix("b") or "0"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import exp, pi
 
 CUBE = """agg AS (SELECT CAST((12 * year(l_shipdate) + month(l_shipdate)) % 16 AS INT) AS z, CAST(l_suppkey % 32 AS INT) AS y, CAST(l_partkey % 32 AS INT) AS x,
  CAST(sum(l_quantity) AS DOUBLE) AS v, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1, 2, 3),
@@ -120,8 +120,34 @@ def linear(points: str, keys: str) -> str:
     return f"cr AS (SELECT {keys}, {corner}, {weight} AS w FROM {points}, {bits}), li AS (SELECT {', '.join(f'cr.{k}' for k in keys.split(', '))}, sum(w * cube.value) AS value FROM cr JOIN cube ON cube.z = rz AND cube.y = ry AND cube.x = rx GROUP BY ALL)"
 
 
+POINTS = "p AS (SELECT o_orderkey AS poi, o_orderkey % 157 * 0.1e0 AS pz, o_custkey % 317 * 0.1e0 AS py, (o_orderkey * 7 + o_custkey) % 313 * 0.1e0 AS px FROM orders)"
+
+
 def analytic(dz: str, dy: str, dx: str) -> str:
-    return f"WITH {GRID}, p AS (SELECT poi, z0 + 3.5e0 AS pz, y0 + 3.5e0 AS py, x0 + 3.5e0 AS px FROM grid) SELECT poi, pz, py, px, {r(f'CAST({dz} AS FLOAT)', 'dz')}, {r(f'CAST({dy} AS FLOAT)', 'dy')}, {r(f'CAST({dx} AS FLOAT)', 'dx')} FROM p"
+    return f"WITH {POINTS} SELECT poi, {r('pz', 'pz')}, {r('py', 'py')}, {r('px', 'px')}, {r(f'CAST({dz} AS FLOAT)', 'dz')}, {r(f'CAST({dy} AS FLOAT)', 'dy')}, {r(f'CAST({dx} AS FLOAT)', 'dx')} FROM p"
+
+
+SCANS = """scans AS (SELECT p_partkey AS scan, p_size + 6 AS nz, p_size % 7 + 8 AS ny, p_size % 5 + 5 AS nx, p_partkey % 5 + 1 AS shards, p_size % 3 AS margin, CASE p_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END AS s FROM part),
+counts AS (SELECT *, (nz - 6) // s + 1 AS cz, (ny - 6) // s + 1 AS cy, (nx - 6) // s + 1 AS cx FROM scans WHERE nz >= 6 AND ny >= 6 AND nx >= 6),
+lat AS (SELECT *, (iz * cy + iy) * cx + ix AS poi, iz * s AS z0, iy * s AS y0, ix * s AS x0 FROM (SELECT *, unnest(range(cx)) AS ix FROM (SELECT *, unnest(range(cy)) AS iy FROM (SELECT *, unnest(range(cz)) AS iz FROM counts))))"""
+
+
+def tukey_rows(i: str, n: str, a: str) -> str:
+    """The taper by its three-part definition, length and alpha as columns."""
+    x, turn = f"({i} / ({n} - 1e0))", f"(2 * pi() / {a})"
+    return f"(CASE WHEN {n} = 1 OR {a} = 0 THEN 1e0 WHEN {x} > 1 - {a} / 2 THEN 0.5e0 * (1 + cos({turn} * ({x} - 1 + {a} / 2))) WHEN {x} >= {a} / 2 THEN 1e0 ELSE 0.5e0 * (1 + cos({turn} * ({x} - {a} / 2))) END)"
+
+
+def gaussian(src: str, out: str, sigma: float) -> str:
+    """out: src smoothed along z, y and x, mirrored at its faces, four deviations wide."""
+    reach = int(4 * sigma + 0.5)
+    raw = [exp(-0.5 * (o / sigma) ** 2) for o in range(-reach, reach + 1)]
+    ctes = [f"{out}k AS (SELECT unnest(range({-reach}, {reach + 1})) AS o, unnest([{', '.join(f'CAST({w / sum(raw)!r} AS DOUBLE)' for w in raw)}]) AS w)"]
+    for step, (a, n) in enumerate(zip("zyx", (16, 32, 32), strict=True)):
+        before, after = src if step == 0 else f"{out}{step}", out if step == 2 else f"{out}{step + 1}"
+        same = " AND ".join(f"b.{o} = a.{o}" for o in "zyx" if o != a)
+        ctes.append(f"{after} AS (SELECT a.z, a.y, a.x, sum(k.w * b.value) AS value FROM {before} a CROSS JOIN {out}k k JOIN {before} b ON b.{a} = {MIRROR(f'(a.{a} + k.o)', n)} AND {same} GROUP BY a.z, a.y, a.x)")
+    return ", ".join(ctes)
 
 
 VARIANTS = """pts AS (SELECT 8 * (r_regionkey + 1) AS "window", n_nationkey * 4 AS threshold, 'w' || CAST(8 * (r_regionkey + 1) AS VARCHAR) || '-mt' || CAST(n_nationkey * 4 AS VARCHAR) AS name, 8000 * (r_regionkey + 1) + n_nationkey * 4 AS place, 0 AS part FROM region, nation
@@ -130,23 +156,22 @@ hs AS (SELECT *, substr(sha256('{"threshold": ' || CAST(threshold AS VARCHAR) ||
 va AS (SELECT CAST("window" AS BIGINT) AS "window", CAST(threshold AS BIGINT) AS threshold, name, params_hash, name || '-' || params_hash AS variant_id FROM (SELECT *, row_number() OVER (PARTITION BY params_hash ORDER BY part, place) AS k FROM hs) WHERE k = 1)"""
 LATEST = """la AS (SELECT * FROM (SELECT o_orderpriority AS store, CAST(o_custkey AS VARCHAR) AS variant_id, o_orderkey AS row_id, o_totalprice AS mae, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1)"""
 RAD = {"imp": "(power(z - 8e0, 2) + power(y - 16e0, 2)) <= 9", "hole": "(power(z - 10e0, 2) + power(y - 12e0, 2) + power(x - 20e0, 2)) <= 9", "r2": "(power(y - 16e0, 2) + power(x - 16e0, 2))"}
-BATCH = {"cyclic": (36, 0, "global"), "linear": (232, 0, "global"), "linear2": (480, 8, "overlap")}
 
 
 def sql() -> dict[str, str]:
     ncc_out = f"SELECT poi, {big('kz', 'ky', 'kx')}, {r('ncc', 'ncc')} FROM c"
     out = {
-        "lattice_grid": f"WITH {GRID} SELECT {big('poi', 'iz', 'iy', 'ix', 'z0', 'y0', 'x0')}, {r('z0 + 3.5', 'pz')}, {r('y0 + 3.5', 'py')}, {r('x0 + 3.5', 'px')} FROM grid",
+        "lattice_grid": f"WITH {SCANS} SELECT scan, {big('poi', 'iz', 'iy', 'ix', 'z0', 'y0', 'x0')}, {r('z0 + 2.5', 'pz')}, {r('y0 + 2.5', 'py')}, {r('x0 + 2.5', 'px')} FROM lat",
         "stride_overlap": f"SELECT CAST(w AS BIGINT) AS w, {r('o', 'o')}, CAST(greatest(1, round_even(w * (1 - o), 0)) AS BIGINT) AS stride FROM (SELECT DISTINCT p_size AS w FROM part), (SELECT unnest([0e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0]) AS o)",
         "integral_image": f"WITH {CUBE}, a AS (SELECT z, y, x, sum(CAST(m AS INT)) OVER (PARTITION BY y, x ORDER BY z) AS s FROM cube), b AS (SELECT z, y, x, sum(s) OVER (PARTITION BY z, x ORDER BY y) AS s FROM a) SELECT {big('z', 'y', 'x')}, CAST(sum(s) OVER (PARTITION BY z, y ORDER BY x) AS BIGINT) AS sat FROM b",
         "box_sums": f"WITH {WIN} SELECT poi, CAST(sum(CAST(m AS INT)) AS BIGINT) AS total FROM win GROUP BY poi",
         "box_sum_admission": f"WITH {WIN}, a AS (SELECT poi, sum(CAST(m AS INT)) / 512e0 AS fraction FROM win GROUP BY poi) SELECT poi, {r('fraction', 'fraction')}, fraction >= 0.6e0 AS admitted FROM a",
-        "zslab_shards": f"WITH {GRID} SELECT poi, CAST(CASE WHEN iz < 2 THEN 0 ELSE 1 END AS BIGINT) AS slab, CAST(2 AS BIGINT) AS n FROM grid UNION ALL SELECT poi, iz, 5 FROM grid",
-        "interior_points": f"WITH {GRID} SELECT poi FROM grid WHERE z0 >= 4 AND z0 + 8 <= 12 AND y0 >= 4 AND y0 + 8 <= 28 AND x0 >= 4 AND x0 + 8 <= 28",
+        "zslab_shards": f"WITH {SCANS} SELECT scan, {big('poi', 'shards')}, CAST((SELECT min(k) FROM (SELECT k, sum(cz // shards + CASE WHEN k < cz % shards THEN 1 ELSE 0 END) OVER (ORDER BY k) AS upto FROM range(shards) t(k)) WHERE iz < upto) AS BIGINT) AS slab FROM lat",
+        "interior_points": f"WITH {SCANS} SELECT scan, CAST(poi AS BIGINT) AS poi FROM lat WHERE least(z0, y0, x0) >= margin AND z0 + 6 <= nz - margin AND y0 + 6 <= ny - margin AND x0 + 6 <= nx - margin",
         "extract_windows": f"WITH {WIN} SELECT poi, {big('jz', 'jy', 'jx')}, {r('value', 'value')} FROM win",
         "center_crop": f"WITH {CUBE} SELECT CAST(z - 4 AS BIGINT) AS z, CAST(y - 8 AS BIGINT) AS y, CAST(x - 8 AS BIGINT) AS x, {r('value', 'value')} FROM cube WHERE z BETWEEN 4 AND 10 AND y BETWEEN 8 AND 23 AND x BETWEEN 8 AND 22",
-        "tukey_1d": " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS n, CAST({a} AS DOUBLE) AS alpha, i, {r(tukey('i', n, a), 'w')} FROM range({n}) t(i)" for n in (1, 8, 9, 32) for a in (0.0, 0.25, 0.5, 1.0)),
-        "tukey_3d": f"SELECT jz, jy, jx, {r(tukey('jz', 4, 0.5) + ' * ' + tukey('jy', 6, 0.5) + ' * ' + tukey('jx', 8, 0.5), 'w')} FROM (SELECT i // 48 AS jz, (i // 8) % 6 AS jy, i % 8 AS jx FROM range(192) t(i))",
+        "tukey_1d": f"SELECT scan, {big('n')}, {r('alpha', 'alpha')}, {big('i')}, {r(tukey_rows('i', 'n', 'alpha'), 'w')} FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT p_partkey AS scan, p_size AS n, p_partkey % 5 / 4e0 AS alpha FROM part))",
+        "tukey_3d": f"SELECT scan, {big('jz', 'jy', 'jx')}, {r(' * '.join(tukey_rows(f'j{a}', f'n{a}', 'alpha') for a in 'zyx'), 'w')} FROM (SELECT *, unnest(range(nx)) AS jx FROM (SELECT *, unnest(range(ny)) AS jy FROM (SELECT *, unnest(range(nz)) AS jz FROM (SELECT p_partkey AS scan, p_partkey % 3 / 2e0 AS alpha, p_size % 3 + 1 AS nz, p_size % 5 + 1 AS ny, p_size % 7 + 1 AS nx FROM part))))",
         "preprocess_masked": f"WITH {WIN}, q AS (SELECT *, sum(CASE WHEN m THEN value ELSE 0 END) OVER p / greatest(count(*) FILTER (WHERE m) OVER p, 1) AS mean FROM win WINDOW p AS (PARTITION BY poi)) SELECT poi, {big('jz', 'jy', 'jx')}, {r('CASE WHEN m THEN (value - mean) * ' + ' * '.join(tukey(f'j{a}', 8, 0.25) for a in 'zyx') + ' ELSE 0 END', 'value')} FROM q",
         "preprocess_unmasked": f"WITH {WIN} SELECT poi, {big('jz', 'jy', 'jx')}, {r('value - avg(value) OVER (PARTITION BY poi)', 'value')} FROM win",
         "ncc_cyclic": f"WITH {corr('cyclic', 'global', True)} {ncc_out}",
@@ -211,7 +236,11 @@ k AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY b) AS k FROM s J
 SELECT name, n, n_true, {r('mean', 'mean')}, {r('lo', 'min')}, {r('hi', 'max')}, {r('lo + (b + (n / 2e0 - (upto - c)) / c) * ((hi - lo) / 64)', 'median')} FROM k JOIN x USING (name) WHERE k = 1""",
         "zarr_region": f"WITH {CUBE}, roll AS (SELECT (z + 1) % 16 AS z, (y + 30) % 32 AS y, (x + 1) % 32 AS x, value FROM cube) SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM roll WHERE z >= 3 AND z < 9 AND y < 20 AND x >= 17",
         "displacement_field_stored": f"WITH {FIELD} SELECT poi, {', '.join(r(f'CAST({c} AS FLOAT)', c) for c in ('dz', 'dy', 'dx', 'confidence'))}, valid, CAST(status AS BIGINT) AS status FROM fld",
-        "budget_batch": " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS \"window\", '{m.rstrip('2')}' AS mode, '{n}' AS normalization, CAST({c} * {w}::BIGINT ** 3 AS BIGINT) AS per_point, CAST(9 * 960::BIGINT * 1280 * 1280 AS BIGINT) AS resident, CAST(least((CAST(floor(51539607552e0 * 0.85e0) AS BIGINT) - 14155776000 - CAST({o} * {w}::BIGINT ** 3 AS BIGINT)) // CAST({c} * {w}::BIGINT ** 3 AS BIGINT) // 8 * 8, 1024) AS BIGINT) AS batch" for w in (32, 64, 96) for m, (c, o, n) in BATCH.items()),
+        "budget_batch": """WITH p AS (SELECT p_partkey, CAST(16 + 8 * (p_size % 11) AS BIGINT) AS w, CAST(500 + 10 * p_size AS BIGINT) * 1280 * 1280 AS v, CAST(16 + p_partkey % 64 AS BIGINT) * 1073741824 AS free, ([36, 232, 480])[p_partkey % 3 + 1] AS c, CASE WHEN p_partkey % 3 = 2 THEN 8 ELSE 0 END AS o FROM part)
+SELECT p_partkey, w AS "window", CASE p_partkey % 3 WHEN 0 THEN 'cyclic' ELSE 'linear' END AS mode, CASE p_partkey % 3 WHEN 2 THEN 'overlap' ELSE 'global' END AS normalization, CAST(c * w * w * w AS BIGINT) AS per_point, CAST(9 * v AS BIGINT) AS resident,
+ CAST(least(greatest(0, CAST(floor(free * 0.85e0) AS BIGINT) - 9 * v - o * w * w * w) // (c * w * w * w) // 8 * 8, 1024) AS BIGINT) AS batch FROM p""",
+        "make_texture": f"WITH {CUBE}, {gaussian('cube', 'gs', 1.5)} SELECT {big('z', 'y', 'x')}, {r('CAST((value - (SELECT avg(value) FROM gs)) / (SELECT stddev_pop(value) FROM gs) AS FLOAT)', 'value')} FROM gs",
+        "phantom_render": f"WITH {CUBE}, {gaussian('cube', 'gs', 1.5)}, tx AS (SELECT z, y, x, CAST((value - (SELECT avg(value) FROM gs)) / (SELECT stddev_pop(value) FROM gs) AS FLOAT) AS t FROM gs), lit AS (SELECT z, y, x, CASE WHEN {RAD['imp']} THEN 1.2e0 WHEN {RAD['hole']} THEN 0.05e0 WHEN {RAD['r2']} BETWEEN 81 AND 144 THEN 0.9e0 WHEN {RAD['r2']} <= 81 AND m THEN 0.55e0 ELSE 0.05e0 END * (1 + 0.2e0 * t) AS value FROM cube JOIN tx USING (z, y, x)), {gaussian('lit', 'ph', 0.5)} SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM ph",
         "unit_convert": f"SELECT p_partkey, u AS unit, {r('p_size * (CASE u WHEN ' + chr(39) + 'nm' + chr(39) + ' THEN 0.001e0 WHEN ' + chr(39) + 'um' + chr(39) + ' THEN 1e0 ELSE 1000e0 END)', 'um')} FROM (SELECT *, (['nm', 'um', 'mm'])[p_partkey % 3 + 1] AS u FROM part)",
         "field_points_export": f"WITH {EVENTS} SELECT poi, {r('ix * 1.5e0', 'x')}, {r('iy * 0.5e0', 'y')}, {r('iz * 2e0', 'z')}, {r('dx * 1.5e0', 'ux')}, {r('dy * 0.5e0', 'uy')}, {r('dz * 2e0', 'uz')}, confidence, CAST(0 AS BIGINT) AS status, {r('sqrt(power(dx * 1.5e0, 2) + power(dy * 0.5e0, 2) + power(dz * 2e0, 2))', 'magnitude')} FROM f WHERE valid",
         "masked_volume": f"WITH {CUBE} SELECT {big('z', 'y', 'x')}, {r('CASE WHEN m THEN value ELSE 0 END', 'value')} FROM cube",

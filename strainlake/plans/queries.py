@@ -28,9 +28,15 @@ def query(f: Query) -> Query:
     return f
 
 
+def _scans(spark, d):
+    """Parts as scans of different shapes, windows and overlaps."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return table(spark, d, "part").select(key.alias("scan"), (size + 6).alias("nz"), (size % 7 + 8).alias("ny"), (size % 5 + 5).alias("nx"), F.lit(6).alias("window"), (key % 4 / 4).alias("overlap"), (key % 5 + 1).cast("int").alias("shards"), (size % 3).alias("margin"))
+
+
 @query
 def lattice_grid(spark, d):
-    return L.lattice_table(spark, LATTICE)
+    return L.lattices(_scans(spark, d), ("scan",)).drop("count_z")
 
 
 @query
@@ -57,13 +63,14 @@ def box_sum_admission(spark, d):
 
 @query
 def zslab_shards(spark, d):
-    t = L.lattice_table(spark, LATTICE)
-    return L.slabs(t, LATTICE, 2).select("poi", "slab").withColumn("n", F.lit(2)).unionByName(L.slabs(t, LATTICE, 5).select("poi", "slab").withColumn("n", F.lit(5)))
+    t = L.lattices(_scans(spark, d), ("scan", "shards"))
+    return t.select("scan", "poi", "shards", L.slab_of(F.col("iz"), F.col("count_z"), F.col("shards")).alias("slab"))
 
 
 @query
 def interior_points(spark, d):
-    return L.interior(L.lattice_table(spark, LATTICE), LATTICE, 4).select("poi")
+    t = L.lattices(_scans(spark, d), ("scan", "nz", "ny", "nx", "window", "margin"))
+    return t.where(L.within(F.col("margin"), F.col("window"))).select("scan", "poi")
 
 
 @query
@@ -78,17 +85,19 @@ def center_crop(spark, d):
 
 @query
 def tukey_1d(spark, d):
-    out = [taper.tukey_1d(spark, n, a).select(F.lit(n).alias("n"), F.lit(a).alias("alpha"), "i", "w") for n in (1, 8, 9, 32) for a in (0.0, 0.25, 0.5, 1.0)]
-    t = out[0]
-    for o in out[1:]:
-        t = t.unionByName(o)
-    return t
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("scan"), F.col("p_size").alias("n"), (F.col("p_partkey") % 5 / 4).alias("alpha"))
+    t = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return t.withColumn("w", taper.tukey_of(F.col("i"), F.col("n"), F.col("alpha")))
 
 
 @query
 def tukey_3d(spark, d):
-    j = spark.range(192).select(F.expr("int(id div 48)").alias("jz"), F.expr("int(id div 8 % 6)").alias("jy"), F.expr("int(id % 8)").alias("jx"))
-    return j.withColumn("w", taper.tukey_3d((4, 6, 8), 0.5))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("scan"), (F.col("p_partkey") % 3 / 2).alias("alpha"), *[(F.col("p_size") % m + 1).alias(f"n{a}") for a, m in zip("zyx", (3, 5, 7), strict=True)])
+    w = F.lit(1.0)
+    for a in "zyx":
+        p = p.withColumn(f"j{a}", F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)))
+        w = w * taper.tukey_of(F.col(f"j{a}"), F.col(f"n{a}"), F.col("alpha"))
+    return p.select("scan", "jz", "jy", "jx", w.alias("w"))
 
 
 @query
@@ -270,8 +279,11 @@ def flow_convention_check(spark, d):
     return profile.convention(volume(t), deformed, _flow(t), SHAPE).select("mse_pull_back", "mse_push_forward", "convention")
 
 
-def _points(spark):
-    return L.lattice_table(spark, LATTICE).select("poi", "pz", "py", "px")
+def _points(spark, d):
+    """Orders as measured points within the cube."""
+    tenth = lambda c, m: (c % m * 0.1).alias
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select(o.alias("poi"), tenth(o, 157)("pz"), tenth(c, 317)("py"), tenth(o * 7 + c, 313)("px"))
 
 
 AT = ("pz", "py", "px")
@@ -279,27 +291,27 @@ AT = ("pz", "py", "px")
 
 @query
 def field_rigid(spark, d):
-    return fields.with_field(_points(spark), fields.rigid((1.5, -2.25, 0.5)))
+    return fields.with_field(_points(spark, d), fields.rigid((1.5, -2.25, 0.5)))
 
 
 @query
 def field_dilation(spark, d):
-    return fields.with_field(_points(spark), fields.dilation(0.01, (8.0, 16.0, 16.0), AT))
+    return fields.with_field(_points(spark, d), fields.dilation(0.01, (8.0, 16.0, 16.0), AT))
 
 
 @query
 def field_shear(spark, d):
-    return fields.with_field(_points(spark), fields.shear(0.02, "z", "x", 16.0, AT))
+    return fields.with_field(_points(spark, d), fields.shear(0.02, "z", "x", 16.0, AT))
 
 
 @query
 def field_sinusoid(spark, d):
-    return fields.with_field(_points(spark), fields.sinusoid((1.0, 0.5, 2.0), (16.0, 32.0, 24.0), (0.0, 0.5, 1.0), AT))
+    return fields.with_field(_points(spark, d), fields.sinusoid((1.0, 0.5, 2.0), (16.0, 32.0, 24.0), (0.0, 0.5, 1.0), AT))
 
 
 @query
 def field_compose(spark, d):
-    return fields.with_field(_points(spark), fields.compose(fields.rigid((1.0, 0.0, -1.0)), fields.dilation(0.01, (8.0, 16.0, 16.0), AT), fields.shear(0.02, "y", "z", 0.0, AT)))
+    return fields.with_field(_points(spark, d), fields.compose(fields.rigid((1.0, 0.0, -1.0)), fields.dilation(0.01, (8.0, 16.0, 16.0), AT), fields.shear(0.02, "y", "z", 0.0, AT)))
 
 
 @query
@@ -386,8 +398,12 @@ def catalog_verify(spark, d):
 
 @query
 def budget_batch(spark, d):
-    rows = [(w, m, n, budget.footprint(w, m, n).per_point, budget.resident((960, 1280, 1280)), budget.largest_batch(48 << 30, (960, 1280, 1280), w, m, n)) for w in (32, 64, 96) for m, n in budget.PER_POINT]
-    return spark.createDataFrame(rows, "window long, mode string, normalization string, per_point long, resident long, batch long")
+    p = table(spark, d, "part")
+    kind = F.col("p_partkey") % 3
+    mode, norm = F.when(kind == 0, "cyclic").otherwise("linear"), F.when(kind == 2, "overlap").otherwise("global")
+    window, voxels = 16 + 8 * (F.col("p_size") % 11), (500 + 10 * F.col("p_size")).cast("long") * 1280 * 1280
+    free = (16 + F.col("p_partkey") % 64).cast("long") * (1 << 30)
+    return p.select("p_partkey", window.alias("window"), mode.alias("mode"), norm.alias("normalization"), *[c.alias(k) for k, c in budget.batch_of(free, voxels, window, mode, norm).items()])
 
 
 @query
@@ -451,11 +467,11 @@ def ncc_fft(spark, d):
     return _field(spark, d, CorrelateConfig(window=8, mask_threshold=0.5, mode="cyclic", normalization="global"))
 
 
-@plain
+@shipped
 def make_texture(spark, d):
-    from strainlake.functions.synth import texture
+    from strainlake.functions.synth import grain
 
-    return texture(spark, (12, 16, 16), 1.5, 7)
+    return grain(volume(cube(spark, d)), SHAPE, 1.5)
 
 
 @plain
@@ -497,11 +513,13 @@ def distance_volume(spark, d):
     return f(mask(cube(spark, d)), SHAPE)
 
 
-@plain
+@shipped
 def phantom_render(spark, d):
-    from strainlake.functions.synth import default_phantom
+    from strainlake.functions.synth import grain, rendered
 
-    return default_phantom(spark, (12, 40, 40), 3)
+    t = cube(spark, d)
+    spec = phantom.bone(SHAPE, radius=12.0, wall=3.0, rod=3.0, hole=3.0)
+    return rendered(t.select("z", "y", "x", F.col("m").alias("strut")), grain(volume(t), SHAPE, spec.grain[1]), spec)
 
 
 @query
