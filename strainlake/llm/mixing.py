@@ -20,10 +20,9 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a dimension's shares are its token shares to this power, scaled to 1: below 1 flattens.
 TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.95}
 KEEP = 0.9
-ROUNDS = 12
 #: Rounds in one plan: each is a window over every dimension, on cells alone.
 ROUNDS_A_PLAN = 4
-#: Targets count as met within this share; rounds until raking under the cap gives up; the floor of a lowered kept share.
+#: Targets count as met within this share; rounds after which raking gives up; the floor of a lowered kept share.
 TOLERANCE = 1e-4
 MOST_ROUNDS = 60
 LEAST = 0.5
@@ -68,18 +67,6 @@ def _targets(cells: DataFrame, targets: dict[str, dict[str, float]], temper: dic
     return cells.select("*", *[(F.col(f"t_{d}") / F.lit(sums[d])).alias(f"s_{d}") for d in DIMENSIONS]).drop(*[f"t_{d}" for d in DIMENSIONS])
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens, s_<dim>) with weight: shares of 1 whose marginals approach s_<dim>."""
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for begin in range(0, rounds, ROUNDS_A_PLAN):
-        for _ in range(min(ROUNDS_A_PLAN, rounds - begin)):
-            for dim in DIMENSIONS:
-                total = F.sum("weight").over(Window.partitionBy(dim))
-                cells = cells.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"s_{dim}") / total).otherwise(0.0))
-        cells = written(cells, "raked")
-    return cells
-
-
 def gaps(cells: DataFrame, amount: Column) -> dict[str, float]:
     """Dimension -> largest distance of a value's share of amount from its target s_<dim>."""
     out = {}
@@ -90,10 +77,10 @@ def gaps(cells: DataFrame, amount: Column) -> dict[str, float]:
     return out
 
 
-def rake_under_cap(cells: DataFrame, keep: float = KEEP, least: float = LEAST, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
-    """cells with weight as of rake(), but at most tokens / (kept share x all tokens), and the kept share.
+def rake(cells: DataFrame, keep: float = KEEP, least: float = LEAST, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+    """cells (source, lang, topic, tokens, s_<dim>) with weight, and the kept share.
 
-    The share starts at what each value's tokens allow, and is lowered to least at most while the targets are not met.
+    Weights are shares of 1 whose marginals approach s_<dim>, at most tokens / (kept share x all tokens) each. The share starts at what each value's tokens allow, and is lowered to least at most while the targets are not met.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
@@ -106,9 +93,9 @@ def rake_under_cap(cells: DataFrame, keep: float = KEEP, least: float = LEAST, r
     share = max(share, least)
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     before = float("inf")
-    for _ in range(0, rounds, ROUNDS_A_PLAN):
+    for begin in range(0, rounds, ROUNDS_A_PLAN):
         cap = F.col("tokens") / F.lit(total * share)
-        for _ in range(ROUNDS_A_PLAN):
+        for _ in range(min(ROUNDS_A_PLAN, rounds - begin)):
             for dim in DIMENSIONS:
                 own = F.sum("weight").over(Window.partitionBy(dim))
                 cells = cells.withColumn("weight", F.when(own > 0, F.least(cap, F.col("weight") * F.col(f"s_{dim}") / own)).otherwise(0.0))
@@ -141,13 +128,13 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | str | None = None,
-    targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, keep: float = KEEP, rounds: int = ROUNDS,
-    meet: bool = True, least: float = LEAST,
+    targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, keep: float = KEEP, rounds: int = MOST_ROUNDS,
+    least: float = LEAST,
 ) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight (of its cell), prob, selected.
 
-    With meet the targets are met under the cap, for which the kept share may fall from keep to least; without, it is
-    keep, and cells capped after a fixed number of rounds miss their targets. A gap is logged in both cases.
+    The targets are met under the cap, for which the kept share may fall from keep to least; what is left of a gap after
+    so many rounds is logged.
     A null source, language or topic counts as ''; a null text has no tokens. Cells without tokens have probability 0
     unless no cell has any: then all stay. Texts of any length are counted whole. Rows with one id share their fate, null
     ids one of their own; other columns are ignored, whatever their names; an empty table gives no rows.
@@ -161,7 +148,7 @@ def mix(
     d = written(d, "measured")
     cells = d.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     cells = written(_targets(written(cells, "cells"), targets or {}, temper), "targets")
-    raked, share = rake_under_cap(cells, keep, least, max(rounds, MOST_ROUNDS)) if meet else (rake(cells, rounds), keep)
+    raked, share = rake(cells, keep, least, rounds)
     cells = written(calibrated(raked, share), "probabilities")
     gap = gaps(cells, F.col("tokens") * F.col("prob"))
     logging.getLogger(__name__).log(logging.WARNING if max(gap.values()) > TOLERANCE else logging.INFO, "kept share %.4f of tokens, gaps to the targets %s", share, gap)

@@ -30,7 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strainlake.llm import mixing
 
-    m = mixing.mix(docs_of(spark, sf_dir), meet=False)  # as the SQL has it: fixed rounds, the cap after them
+    m = mixing.mix(docs_of(spark, sf_dir))
     return m.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("prob", 6).alias("prob"), "selected")
 
 
@@ -153,17 +153,28 @@ def _op2() -> str:
         f"""m AS (SELECT doc_id, source, lang, CASE WHEN 20 * {count('[|]')} > greatest(length(t), 1) THEN 'table' WHEN 5 * {count('[0-9]')} > greatest(length(t), 1) THEN 'numbers' WHEN 20 * {count('[{}()<>=;#$%&*]')} > greatest(length(t), 1) THEN 'symbols' WHEN length(t) < 600 THEN 'short' ELSE 'prose' END AS topic, CAST(len({_WORDS}) AS BIGINT) AS n_tokens FROM d)""",
         "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM m GROUP BY ALL)",
         *[f"t_{x} AS (SELECT {x}, power(sum(tokens), {mixing.TEMPER[x]}e0) / sum(power(sum(tokens), {mixing.TEMPER[x]}e0)) OVER () AS s_{x} FROM c GROUP BY {x})" for x in dims],
-        "w0 AS (SELECT *, tokens AS weight FROM c " + " ".join(f"JOIN t_{x} USING ({x})" for x in dims) + ")",
+        f"w AS (SELECT * FROM c {' '.join(f'JOIN t_{x} USING ({x})' for x in dims)})",
+        # What each value's tokens allow, before any round.
+        f"s0 AS (SELECT greatest({mixing.LEAST}e0, least({mixing.KEEP}e0, {', '.join(f'(SELECT min(x / s) FROM (SELECT sum(tokens) / (SELECT sum(tokens) FROM c) AS x, any_value(s_{x}) AS s FROM w GROUP BY {x}) WHERE x > 0 AND s > 0)' for x in dims)})) AS share, CAST('inf' AS DOUBLE) AS before, false AS done)",
+        "w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight, sum(tokens) OVER () AS total FROM w)",
     ]
-    n = 0
-    for _ in range(mixing.ROUNDS):
-        for x in dims:
-            ctes.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * s_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0 END AS weight) FROM w{n})")
-            n += 1
+    n, blocks = 0, mixing.MOST_ROUNDS // mixing.ROUNDS_A_PLAN
+    for k in range(blocks):
+        for _ in range(mixing.ROUNDS_A_PLAN):
+            for x in dims:
+                own = f"sum(weight) OVER (PARTITION BY {x})"
+                ctes.append(f"w{n + 1} AS MATERIALIZED (SELECT w{n}.* REPLACE (CASE WHEN done THEN weight WHEN {own} > 0 THEN least(tokens / (total * share), weight * s_{x} / {own}) ELSE 0 END AS weight) FROM w{n}, s{k})")
+                n += 1
+        gap = ", ".join(f"(SELECT max(abs(x / (SELECT sum(weight) FROM w{n}) - s)) FROM (SELECT sum(weight) AS x, any_value(s_{x}) AS s FROM w{n} GROUP BY {x}))" for x in dims)
+        ctes += [
+            f"g{k} AS MATERIALIZED (SELECT greatest({gap}) AS gap)",
+            f"e{k} AS MATERIALIZED (SELECT *, done OR gap <= {mixing.TOLERANCE!r} OR (share = {mixing.LEAST}e0 AND gap > 0.9e0 * before) AS stop FROM s{k}, g{k})",
+            f"s{k + 1} AS MATERIALIZED (SELECT CASE WHEN NOT stop AND gap > before / 2 THEN greatest({mixing.LEAST}e0, share * {mixing.LOWER}e0) ELSE share END AS share, gap AS before, stop AS done FROM e{k})",
+        ]
     ctes += [
-        f"r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{n})",
+        f"r AS (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{n})",
         "o AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(tokens * ratio) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(tokens) OVER () AS total FROM r)",
-        f"k AS (SELECT ({mixing.KEEP}e0 * total - above) / rest AS c FROM o WHERE rest > 0 AND ({mixing.KEEP}e0 * total - above) / rest * ratio <= 1 ORDER BY ratio DESC LIMIT 1)",
+        f"k AS (SELECT (share * total - above) / rest AS c FROM o, s{blocks} WHERE rest > 0 AND (share * total - above) / rest * ratio <= 1 ORDER BY ratio DESC LIMIT 1)",
         "p AS (SELECT source, lang, topic, least(1, c * ratio) AS prob FROM r, k)",
     ]
     return f"""WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens, round(prob, 6) AS prob, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 < prob AS selected FROM m JOIN p USING (source, lang, topic)"""
