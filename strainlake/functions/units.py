@@ -1,4 +1,4 @@
-"""Voxel spacings and their units."""
+"""Voxel spacings and their units, and the tables that viewers take."""
 
 from __future__ import annotations
 
@@ -58,6 +58,15 @@ def points_table(field: DataFrame, spacing: VoxelSpacing, only_valid: bool = Tru
     return t.withColumn("magnitude", F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz")))
 
 
+def structured_grid(points: DataFrame, spacing: VoxelSpacing, scalars: tuple[str, ...] = ()) -> DataFrame:
+    """The whole lattice for viewers: its index i, j, k along x, y, z, its places x, y, z scaled by the spacing, and columns
+    of points as floats under their names. Ordered by poi it is a structured grid, x running fastest."""
+    s = {"z": spacing.z, "y": spacing.y, "x": spacing.x}
+    index = [F.col(f"i{a}").cast("int").alias(n) for a, n in zip("xyz", "ijk", strict=True)]
+    places = [(F.col(f"p{a}").cast("double") * s[a]).cast("float").alias(a) for a in "xyz"]
+    return points.select("poi", *index, *places, *[F.col(c).cast("float").alias(c) for c in scalars])
+
+
 def masked_volume(voxels: DataFrame, mask: DataFrame) -> DataFrame:
     """Voxels for renderers: zero where the mask is not true."""
     m = mask.select("z", "y", "x", F.col("value").alias("m"))

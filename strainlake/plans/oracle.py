@@ -15,6 +15,19 @@ tr AS (SELECT iy, ix, avg(dz) AS tz, avg(dy) AS ty, avg(dx) AS tx FROM f0 GROUP
 f AS (SELECT (iz * 24 + iy) * 5 + ix AS poi, iz, iy, ix, dz, dy, dx, tz, ty, tx, n >= 2 AS valid, CAST(n AS DOUBLE) AS confidence FROM f0 JOIN tr USING (iy, ix))"""
 ERR = f"""{EVENTS}, er AS (SELECT *, dz - tz AS ez, dy - ty AS ey, dx - tx AS ex, sqrt((dz - tz) * (dz - tz) + (dy - ty) * (dy - ty) + (dx - tx) * (dx - tx)) AS norm FROM f)"""
 
+#: Triangles at 120.5 of the tetrahedra of v(z, y, x, value), scaled by s(sz, sy, sx): an inside corner's edges, or the halves of a ring of four.
+MARCH = """paths(p1, p2, p3) AS (VALUES (4, 2, 1), (4, 1, 2), (2, 4, 1), (2, 1, 4), (1, 4, 2), (1, 2, 4)),
+tet AS (SELECT row_number() OVER () AS tet, unnest([0, 1, 2, 3]) AS i, unnest([0, p1, p1 + p2, 7]) AS o FROM paths),
+cell AS (SELECT z, y, x FROM v WHERE z < 15 AND y < 31 AND x < 31),
+corner AS (SELECT c.z, c.y, c.x, tet, i, o, v.value, v.z AS vz, v.y AS vy, v.x AS vx FROM cell c, tet JOIN v ON v.z = c.z + o // 4 AND v.y = c.y + o // 2 % 2 AND v.x = c.x + o % 2),
+place AS (SELECT *, value > 120.5 AS up, row_number() OVER (PARTITION BY z, y, x, tet, value > 120.5 ORDER BY i) AS nth, sum(CASE WHEN value > 120.5 THEN 1 ELSE 0 END) OVER (PARTITION BY z, y, x, tet) AS ups FROM corner),
+cross_ AS (SELECT a.z, a.y, a.x, a.tet, a.ups, a.nth AS ni, b.nth AS nj, ((least(a.vz, b.vz) * 32 + least(a.vy, b.vy)) * 32 + least(a.vx, b.vx)) * 8 + abs(a.o - b.o) AS id,
+ sz * (a.vz + (b.vz - a.vz) * (120.5 - a.value) / (b.value - a.value)) AS pz, sy * (a.vy + (b.vy - a.vy) * (120.5 - a.value) / (b.value - a.value)) AS py, sx * (a.vx + (b.vx - a.vx) * (120.5 - a.value) / (b.value - a.value)) AS px
+ FROM place a JOIN place b ON a.z = b.z AND a.y = b.y AND a.x = b.x AND a.tet = b.tet AND a.up AND NOT b.up, s),
+half AS (SELECT *, unnest(CASE WHEN ups <> 2 THEN [0] WHEN ni = 2 AND nj = 1 THEN [2] WHEN ni = 1 AND nj = 2 THEN [1] ELSE [1, 2] END) AS h FROM cross_),
+tri AS (SELECT z, y, x, tet, h, list(id ORDER BY id) AS ids, list(pz ORDER BY id) AS z3, list(py ORDER BY id) AS y3, list(px ORDER BY id) AS x3 FROM half GROUP BY ALL),
+tris AS (SELECT *, sqrt(pow((y3[2] - y3[1]) * (x3[3] - x3[1]) - (x3[2] - x3[1]) * (y3[3] - y3[1]), 2) + pow((x3[2] - x3[1]) * (z3[3] - z3[1]) - (z3[2] - z3[1]) * (x3[3] - x3[1]), 2) + pow((z3[2] - z3[1]) * (y3[3] - y3[1]) - (y3[2] - y3[1]) * (z3[3] - z3[1]), 2)) / 2 AS area FROM tri)"""
+
 
 def r(x: str, name: str) -> str:
     return f"round(CAST({x} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
@@ -245,6 +258,10 @@ SELECT p_partkey, w AS "window", CASE p_partkey % 3 WHEN 0 THEN 'cyclic' ELSE 'l
         "field_points_export": f"WITH {EVENTS} SELECT poi, {r('ix * 1.5e0', 'x')}, {r('iy * 0.5e0', 'y')}, {r('iz * 2e0', 'z')}, {r('dx * 1.5e0', 'ux')}, {r('dy * 0.5e0', 'uy')}, {r('dz * 2e0', 'uz')}, confidence, CAST(0 AS BIGINT) AS status, {r('sqrt(power(dx * 1.5e0, 2) + power(dy * 0.5e0, 2) + power(dz * 2e0, 2))', 'magnitude')} FROM f WHERE valid",
         "masked_volume": f"WITH {CUBE} SELECT {big('z', 'y', 'x')}, {r('CASE WHEN m THEN value ELSE 0 END', 'value')} FROM cube",
         "iso_cells": f"WITH {CUBE}, g AS (SELECT a.z, a.y, a.x, count(*) AS n, min(b.value) AS lo, max(b.value) AS hi FROM cube a JOIN cube b ON b.z - a.z BETWEEN 0 AND 1 AND b.y - a.y BETWEEN 0 AND 1 AND b.x - a.x BETWEEN 0 AND 1 GROUP BY ALL) SELECT {big('z', 'y', 'x')}, {r('lo', 'lo')}, {r('hi', 'hi')} FROM g WHERE n = 8 AND lo <= 120 AND hi >= 120",
+        "iso_surface": f"WITH {CUBE}, v AS (SELECT z, y, x, value FROM cube), s AS (SELECT 1e0 AS sz, 1e0 AS sy, 1e0 AS sx), {MARCH} SELECT {big('z', 'y', 'x')}, CAST(ids[1] AS BIGINT) AS a, CAST(ids[2] AS BIGINT) AS b, CAST(ids[3] AS BIGINT) AS c, {r('area', 'area')} FROM tris",
+        "surface_measures": f"""WITH {CUBE}, v AS (SELECT z, y, x, CASE WHEN m THEN value ELSE 0 END AS value FROM cube), s AS (SELECT 2e0 AS sz, 1e0 AS sy, 0.5e0 AS sx), {MARCH}, ed AS (SELECT p, q, count(*) AS n FROM (SELECT unnest([ids[1], ids[2], ids[1]]) AS p, unnest([ids[2], ids[3], ids[3]]) AS q FROM tris) GROUP BY ALL), vt AS (SELECT count(DISTINCT id) AS n FROM cross_)
+ SELECT 'masked' AS frame, (SELECT count(*) FROM tris) AS n_triangles, (SELECT n FROM vt) AS n_corners, (SELECT count(*) FROM ed) AS n_edges, (SELECT count(*) FROM ed WHERE n = 1) AS n_open, (SELECT n FROM vt) - (SELECT count(*) FROM ed) + (SELECT count(*) FROM tris) AS euler, {r('(SELECT sum(area) FROM tris)', 'area')}""",
+        "structured_grid": f"WITH {EVENTS} SELECT poi, CAST(ix AS BIGINT) AS i, CAST(iy AS BIGINT) AS j, CAST(iz AS BIGINT) AS k, {r('(ix * 4 + 3.5e0) * 1.5e0', 'x')}, {r('(iy * 4 + 3.5e0) * 0.5e0', 'y')}, {r('(iz * 4 + 3.5e0) * 2e0', 'z')}, confidence FROM f",
         "magnitude_percentiles": f"WITH {EVENTS}, q AS (SELECT sqrt(dz * dz + dy * dy + dx * dx) AS u, confidence FROM f WHERE valid) SELECT {r('quantile_cont(u, 0.5e0)', 'u_p50')}, {r('quantile_cont(u, 0.9e0)', 'u_p90')}, {r('quantile_cont(u, 0.99e0)', 'u_p99')}, {r('max(u)', 'u_max')}, {r('quantile_cont(confidence, 0.5e0)', 'conf_p50')}, {r('quantile_cont(confidence, 0.1e0)', 'conf_p10')}, {r('min(confidence)', 'conf_min')} FROM q",
     }
     return out

@@ -578,3 +578,33 @@ def frame_pairs(spark, d):
 
     f = table(spark, d, "events").select(F.col("user_id").cast("string").alias("series"), F.col("event_id").alias("t"), F.col("event_type").alias("path"))
     return pairs(f, "sequential")
+
+
+@shipped
+def iso_surface(spark, d):
+    """Each triangle of the cube's surface at 120.5: its cell, its corners in rising order, its area."""
+    from strainlake.functions import surface
+
+    t = surface.surface(volume(cube(spark, d)), SHAPE, 120.5, edge=8)
+    name = F.sort_array(F.array("a", "b", "c"))
+    return t.select("z", "y", "x", *[name[i].alias(c) for i, c in enumerate("abc")], surface.area().alias("area"))
+
+
+@shipped
+def surface_measures(spark, d):
+    """Counts of triangles, corners, edges and open edges of the surface of a stored, masked cube, and its area."""
+    from strainlake.functions import surface
+    from strainlake.functions.shipping import shared_folder
+    from strainlake.sources import zarr_source
+
+    store, t = shared_folder(spark, "store") + "/cube.zarr", cube(spark, d)
+    zarr_source.write_volume(units.masked_volume(volume(t), mask(t)), store, "masked", SHAPE, (4, 16, 8), "float32")
+    return surface.measures(surface.surface_of_array(spark, store, "masked", 120.5, units.VoxelSpacing(2.0, 1.0, 0.5, "um")))
+
+
+@query
+def structured_grid(spark, d):
+    """The whole lattice of events as a grid for viewers, with the magnitude of its errors."""
+    f = score.errors(event_field(spark, d))
+    f = f.select("*", *[(F.col(f"i{a}") * 4 + 3.5).alias(f"p{a}") for a in "zyx"])
+    return units.structured_grid(f, units.VoxelSpacing(2.0, 0.5, 1.5, "um"), ("confidence",))
