@@ -16,7 +16,7 @@ import resource
 import sys
 import time
 
-from strainlake.plans import budget, campaign
+from strainlake.plans import budget, campaign, together
 from strainlake.sources.store import Dataset, MalformedStore, Manifest
 
 
@@ -117,7 +117,7 @@ def run(args) -> int:
     except (ValueError, FileNotFoundError, KeyError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    rows = campaign.run(spark, spec, args.force, only, args.store, campaign.Observer() if args.quiet else _Printed())
+    rows = (together if args.together else campaign).run(spark, spec, args.force, only, args.store, campaign.Observer() if args.quiet else _Printed())
     return 1 if rows.where("status = 'failed'").limit(1).count() else 0
 
 
@@ -157,6 +157,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--only", nargs="*", default=[])
     r.add_argument("--store", nargs="*", default=None)
     r.add_argument("--quiet", action="store_true")
+    r.add_argument("--together", action="store_true", help="all pairs and thresholds of a store in one plan")
     r.set_defaults(do=run)
     return p
 

@@ -115,11 +115,19 @@ def needs_of(tiles: DataFrame, uses: DataFrame) -> DataFrame:
     return need.groupBy("frame", *ORIGIN).agg(F.collect_list(F.struct(*TILE, "role", *box)).alias("needs"))
 
 
-def _cut(rows: Iterator[tuple[np.ndarray, list[int], list[dict]]]) -> Iterator[pa.RecordBatch]:
-    """Slices of boxes (values, origin, needs), in batches of about SEND_BYTES."""
+#: What the dtype of a slice begins with where its chunk could not be read; the reason follows.
+FAULT = "!"
+
+
+def _cut(rows: Iterator[tuple[np.ndarray | str, list[int], list[dict]]]) -> Iterator[pa.RecordBatch]:
+    """Slices of boxes (values, origin, needs), in batches of about SEND_BYTES. A text in place of values is a fault, sent
+    to each tile that needs the box."""
     out, held = [], 0
     send = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SLICES.types, strict=True)], schema=_SLICES)
     for here, first, needs in rows:
+        if isinstance(here, str):
+            out += [(*[n[k] for k in TILE], n["role"], *[0] * 6, FAULT + here, b"") for n in needs]
+            continue
         first = np.array(first)
         for n in needs:
             lo, hi = (np.array([n[f"{e}{a}"] for a in "zyx"]) for e in ("lo", "hi"))
@@ -145,19 +153,25 @@ def slices(blocks: DataFrame, needs: DataFrame) -> DataFrame:
     return blocks.join(needs, ["frame", *ORIGIN]).select(*ORIGIN, "nz", "ny", "nx", "dtype", "data", "needs").mapInArrow(run, SLICE)
 
 
-def stored_slices(arrays: dict[str, tuple[str, str]], needs: DataFrame) -> DataFrame:
+def stored_slices(arrays: dict[str, tuple[str, str]], needs: DataFrame, faults: bool = False) -> DataFrame:
     """The same from stored volumes (frame -> store, array): the task that a need is dealt to opens that chunk.
 
-    Chunks that no tile needs are never opened, and no chunk is shuffled whole.
+    Chunks that no tile needs are never opened, and no chunk is shuffled whole. faults: a chunk that cannot be read goes
+    to its tiles as a fault and does not fail the task.
     """
     from strainlake.sources.zarr_source import _Reader
 
     readers = {k: _Reader({"path": store, "array": array}) for k, (store, array) in arrays.items()}
 
-    def opened(row: dict) -> tuple[np.ndarray, list[int], list[dict]]:
+    def opened(row: dict) -> tuple[np.ndarray | str, list[int], list[dict]]:
         reader = readers[row["frame"]]
         at = tuple(row[k] // c for k, c in zip(ORIGIN, reader.meta.chunks, strict=True))
-        values = reader.values(at)[1][0]
+        try:
+            values = reader.values(at)[1][0]
+        except Exception as e:
+            if not faults:
+                raise
+            return f"{type(e).__name__}: {e} (chunk {at} of {row['frame']})", [], row["needs"]
         return values.astype(values.dtype.newbyteorder("=")), [row[k] for k in ORIGIN], row["needs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +183,12 @@ def stored_slices(arrays: dict[str, tuple[str, str]], needs: DataFrame) -> DataF
     return needs.repartition(max(1, min(chunks, max(4 * cores, chunks // 64))), "frame", *ORIGIN).mapInArrow(run, SLICE)
 
 
-def peaks(source: DataFrame | dict[str, tuple[str, str]], uses: DataFrame, wanted: DataFrame, lattice: Lattice, config: CorrelateConfig, points: int = 4, masks: tuple[bool, bool] = (True, False), batch: int | None = None, digits: int | None = None) -> DataFrame:
+def peaks(source: DataFrame | dict[str, tuple[str, str]], uses: DataFrame, wanted: DataFrame, lattice: Lattice, config: CorrelateConfig, points: int = 4, masks: tuple[bool, bool] = (True, False), batch: int | None = None, digits: int | None = None, faults: bool = False) -> DataFrame:
     """Peaks of the wanted points (pair_id, poi), each tile of `points` lattice points per axis in one group.
 
+    faults: of stored arrays, a tile with a chunk that cannot be read gives its points with null peaks and the reason
+    in a column `fault`, null for all others.
+
     source: rows of blocks, or the stored array (store, name) of each frame. masks: whether uses have a mask of the reference (else all is valid) and one of the deformed volume (else that of the
     reference). batch: windows in flight, by default as many as BATCH_BYTES hold.
     """
@@ -181,6 +198,11 @@ def peaks(source: DataFrame | dict[str, tuple[str, str]], uses: DataFrame, wante
     names = [x.split()[0] for x in PEAKS.split(", ")]
 
     def run(key, left, right):
+        reason = next((k[len(FAULT) :] for k in left.column("dtype").to_pylist() if k.startswith(FAULT)), None)
+        if reason is not None:
+            poi = right.column("pois")[0].values
+            none = [pa.nulls(len(poi), pa.int32())] * 3 + [pa.nulls(len(poi), pa.float64())] * 4
+            return pa.table([pa.array([key[0].as_py()] * len(poi), pa.string()), poi, *none, pa.array([reason] * len(poi), pa.string())], names=[*names, "fault"])
         lo, hi = (np.array([right.column(f"{e}{a}")[0].as_py() for a in "zyx"]) for e in ("lo", "hi"))
         full = {k: np.zeros(hi - lo, np.float32 if single else float) for k in "rd"}
         full |= {k: np.zeros(hi - lo, bool) for k, have in zip(("mr", "md"), masks, strict=True) if have}
@@ -201,9 +223,9 @@ def peaks(source: DataFrame | dict[str, tuple[str, str]], uses: DataFrame, wante
             rows.append(peak_of(correlation(r, d, mode, norm, eps), eps, digits))
         lag, fine, value = (np.concatenate(c) for c in zip(*rows, strict=True))
         cols = [pa.array([key[0].as_py()] * len(poi), pa.string()), pa.array(poi), *[pa.array(lag[:, a].astype(np.int32)) for a in range(3)], *[pa.array(fine[:, a]) for a in range(3)], pa.array(value)]
-        return pa.table(cols, names=names)
+        return pa.table(cols + ([pa.nulls(len(poi), pa.string())] if faults else []), names=names + (["fault"] if faults else []))
 
     tiles = tiles_of(wanted, lattice, points)
     needs = needs_of(tiles, uses)
-    cut = stored_slices(source, needs) if isinstance(source, dict) else slices(source, needs)
-    return cut.groupBy(*TILE).cogroup(tiles.groupBy(*TILE)).applyInArrow(run, PEAKS)
+    cut = stored_slices(source, needs, faults) if isinstance(source, dict) else slices(source, needs)
+    return cut.groupBy(*TILE).cogroup(tiles.groupBy(*TILE)).applyInArrow(run, PEAKS + (", fault string" if faults else ""))

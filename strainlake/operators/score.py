@@ -78,13 +78,18 @@ def bucket(distance: Column, edges: tuple[float, ...]) -> Column:
     return out
 
 
-def strata(field: DataFrame, edges: tuple[float, ...] = DISTANCE_BINS, distance: str = "distance") -> DataFrame:
-    """bin, edge, n, mae and rmse by distance bin over valid points; bins without points stay, with null metrics."""
+def strata(field: DataFrame, edges: tuple[float, ...] = DISTANCE_BINS, distance: str = "distance", keys: tuple[str, ...] = ()) -> DataFrame:
+    """bin, edge, n, mae and rmse by distance bin over valid points; bins without points stay, with null metrics.
+
+    keys name a field; all of a field's bins stay, as long as it has points.
+    """
     e = errors(field.where("valid")).withColumn("bin", bucket(F.col(distance), edges))
     third = lambda f: F.avg(sum((f(F.col(f"e{a}")) for a in "zyx"), F.lit(0.0)) / 3)
-    got = e.groupBy("bin").agg(F.count("*").alias("n"), third(F.abs).alias("mae"), F.sqrt(third(lambda c: c * c)).alias("rmse"))
+    got = e.groupBy(*keys, "bin").agg(F.count("*").alias("n"), third(F.abs).alias("mae"), F.sqrt(third(lambda c: c * c)).alias("rmse"))
     bins = field.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(edges)], "bin int, edge double")
-    return bins.join(got, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if keys:
+        bins = field.select(*keys).distinct().crossJoin(F.broadcast(bins))
+    return bins.join(got, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def centre_voxel(points: DataFrame, shape: tuple[int, int, int]) -> DataFrame:

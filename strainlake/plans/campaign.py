@@ -299,6 +299,15 @@ def jsonable(x: Any) -> Any:
     return x.isoformat() if isinstance(x, (datetime.date, datetime.datetime)) else x if isinstance(x, (str, int, float, bool, type(None))) else str(x)
 
 
+def fields_path(spec: Spec, store: str) -> str:
+    """Where the fields of a store lie: each store has a folder of its own as soon as a campaign has several."""
+    return f"{spec.out}/fields" if len(spec.stores) == 1 else f"{spec.out}/fields-{store_key(store)}"
+
+
+def store_key(store: str) -> str:
+    return f"{slug(store.rstrip('/').split('/')[-1])}-{hashlib.sha256(store.encode()).hexdigest()[:8]}"
+
+
 def _write_json(spark: SparkSession, path: str, value: Any) -> None:
     """One JSON text in a folder of its own, replaced as a whole."""
     text = json.dumps(jsonable(value), sort_keys=True, allow_nan=False)
@@ -315,40 +324,53 @@ def provenance(spark: SparkSession) -> dict:
     return {"spark": spark.version, "python": platform.python_version(), "strainlake": own, "application": spark.sparkContext.applicationId, "host": platform.node()}
 
 
+SIDECAR = "value string, store string, deformation string, variant_id string"
+
+
 def sidecar(spark: SparkSession, spec: Spec, store: str, deformation: str, variant_id: str) -> dict:
     """The sidecar of a result: params, params_hash, summary, provenance, scored."""
-    return json.loads(spark.read.text(_sidecar_path(spec, store, deformation, variant_id)).first()[0])
+    t = spark.read.schema(SIDECAR).text(f"{spec.out}/sidecars")
+    return json.loads(t.where((F.col("store") == store_key(store)) & (F.col("deformation") == deformation) & (F.col("variant_id") == variant_id)).first()[0])
 
 
-def _sidecar_path(spec: Spec, store: str, deformation: str, variant_id: str) -> str:
-    return f"{spec.out}/sidecars/{slug(store.rstrip('/').split('/')[-1])}-{hashlib.sha256(store.encode()).hexdigest()[:8]}/{deformation}/{variant_id}"
+def write_results(spark: SparkSession, spec: Spec, rows: list[tuple[Job, dict]], own: dict) -> list[dict]:
+    """Appends the rows of jobs (job, values), all in one file, and writes the sidecars of those that are ok in one pass."""
+    names = [x.split()[0] for x in schema.RESULT.split(", ")]
+    now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    full = [dict.fromkeys(names) | {"store": j.store, "deformation": j.deformation, "variant_id": j.variant.variant_id, "params_hash": j.variant.params_hash, "written_at": now} | v for j, v in rows]
+    sides = []
+    for (job, _), row in zip(rows, full, strict=True):
+        if row["status"] == "ok":
+            summary = {k: row[k] for k in names if k not in ("store", "deformation", "variant_id", "params_hash", "phase", "error")}
+            side = {"params": job.variant.params, "params_hash": job.variant.params_hash, "summary": summary, "provenance": own, "scored": row["mae"] is not None}
+            sides.append((json.dumps(jsonable(side), sort_keys=True, allow_nan=False), store_key(job.store), job.deformation, job.variant.variant_id))
+    if sides:
+        t = spark.createDataFrame(sides, SIDECAR).coalesce(1)
+        t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store", "deformation", "variant_id").text(f"{spec.out}/sidecars")
+    if full:
+        spark.createDataFrame([tuple(r[n] for n in names) for r in full], schema.RESULT).coalesce(1).write.mode("append").parquet(f"{spec.out}/results")
+    return full
 
 
 def run(
     spark: SparkSession, spec: Spec, force: bool = False, only: dict[str, str] | None = None, stores: list[str] | None = None, observer: Observer | None = None,
     open_dataset: Callable[..., Dataset] | None = None, fields_of: Callable[..., dict[str, DataFrame]] | None = None,
+    take: Callable[[Job], bool] | None = None,
 ) -> DataFrame:
     """Runs what is pending and returns the latest row of each job. A job that fails leaves a row and the rest goes on.
 
     open_dataset(spark, store, manifest, strict) and fields_of(spark, pair, variants) may take the place of the stores'
-    reader and of the correlation; the latter gives variant_id -> field. A flow's splines and the truth on each grid
+    reader and of the correlation; the latter gives variant_id -> field. take: which of the pending jobs to run, by default all. A flow's splines and the truth on each grid
     are made once for a deformation, distances once for a mask. Results, sidecars, the variants' index and the campaign
     as it was read are written below spec.out.
     """
-    observer, now = observer or Observer(), lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    observer = observer or Observer()
     datasets: dict[str, Dataset] = {}
     ship(spark)
     shared, own = _Shared(), provenance(spark)
 
     def note(job: Job, **values) -> None:
-        names = [x.split()[0] for x in schema.RESULT.split(", ")]
-        row = dict.fromkeys(names) | {"store": job.store, "deformation": job.deformation, "variant_id": job.variant.variant_id, "params_hash": job.variant.params_hash, "written_at": now()} | values
-        if row["status"] == "ok":
-            summary = {k: row[k] for k in names if k not in ("store", "deformation", "variant_id", "params_hash", "phase", "error")}
-            side = {"params": job.variant.params, "params_hash": job.variant.params_hash, "summary": summary, "provenance": own, "scored": row["mae"] is not None}
-            _write_json(spark, _sidecar_path(spec, job.store, job.deformation, job.variant.variant_id), side)
-        spark.createDataFrame([tuple(row[n] for n in names)], schema.RESULT).write.mode("append").parquet(f"{spec.out}/results")
-        observer.ended(job, row)
+        observer.ended(job, write_results(spark, spec, [(job, values)], own)[0])
 
     def failed(job: Job, phase: str) -> None:
         note(job, status="failed", phase=phase, error=traceback.format_exc()[-2000:])
@@ -364,7 +386,7 @@ def run(
         except Exception:
             failed(Job(store, "", "", spec.variants[0]), "open_store")
     opened = Spec(**{**spec.__dict__, "stores": tuple(datasets)})
-    jobs = plan(spark, opened, force, only, stores, datasets)
+    jobs = [j for j in plan(spark, opened, force, only, stores, datasets) if take is None or take(j)]
     for store in sorted({j.store for j in jobs if j.kind == "synthetic" and j.variant.params["flow_convention"] is None}):
         if datasets[store].manifest.convention is None:
             warnings.warn(f"{store}: no flow convention is set, {datasets[store].profile.convention} is taken", stacklevel=2)
@@ -400,7 +422,7 @@ def run(
                     f = shared.keep("job", fields[j.variant.variant_id])
                     counts = score.status_counts(f).first().asDict()
                     phase = "evaluate_or_write"
-                    fieldstore.save(f, f"{spec.out}/fields", j.variant.variant_id)
+                    fieldstore.save(f, fields_path(spec, store), j.variant.variant_id)
                     row = {k: counts[k] for k in counts} | {"status": "ok"}
                     if pair.flow is not None and counts["n_ok"]:
                         grid = j.variant.part(GRID)

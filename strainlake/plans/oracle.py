@@ -89,7 +89,7 @@ sp AS (SELECT iz, iy, ix, median(abs(bz - mz)) AS sz, median(abs(by_ - my)) AS s
 ol AS (SELECT t.*, coalesce(n_neighbors, 0) AS n_neighbors, CASE WHEN t.{valid} AND n_neighbors >= 4 THEN greatest(abs(dz - mz) / (sz + 0.1e0), abs(dy - my) / (sy + 0.1e0), abs(dx - mx) / (sx + 0.1e0)) END AS residual FROM {field} t LEFT JOIN md USING (iz, iy, ix) LEFT JOIN sp USING (iz, iy, ix))"""
 
 
-def field_sql(cyclic: bool = False) -> str:
+def field_sql(cyclic: bool = False, threshold: str = "0.5") -> str:
     """fld: the field of the cube against its rolled copy, by overlapping windows or by cyclic ones with a taper."""
     taper = " * " + " * ".join(tukey(f"j{a}", 8, 0.25) for a in "zyx") if cyclic else ""
     lag = (lambda a: f"(b.j{a} - a.j{a} + 12) % 8 - 4") if cyclic else (lambda a: f"b.j{a} - a.j{a}")
@@ -97,7 +97,7 @@ def field_sql(cyclic: bool = False) -> str:
     en = "en AS (SELECT poi, sum(r * r) AS r2, sum(d * d) AS d2 FROM pr GROUP BY poi), " if cyclic else ""
     return f"""{WIN}, roll AS (SELECT (z + 1) % 16 AS z, (y + 30) % 32 AS y, (x + 1) % 32 AS x, value AS dv FROM cube),
 adm AS (SELECT poi, avg(CASE WHEN m THEN 1e0 ELSE 0e0 END) AS fraction FROM win GROUP BY poi),
-pr0 AS (SELECT poi, jz, jy, jx, value AS r0, dv AS d0, CASE WHEN m THEN 1e0 ELSE 0e0 END AS mm FROM win JOIN grid USING (poi) JOIN roll ON roll.z = jz + z0 AND roll.y = jy + y0 AND roll.x = jx + x0 JOIN adm USING (poi) WHERE fraction >= 0.5),
+pr0 AS (SELECT poi, jz, jy, jx, value AS r0, dv AS d0, CASE WHEN m THEN 1e0 ELSE 0e0 END AS mm FROM win JOIN grid USING (poi) JOIN roll ON roll.z = jz + z0 AND roll.y = jy + y0 AND roll.x = jx + x0 JOIN adm USING (poi) WHERE fraction >= {threshold}),
 pr AS (SELECT poi, jz, jy, jx, (r0 - sum(r0 * mm) OVER p / greatest(sum(mm) OVER p, 1)) * mm{taper} AS r, (d0 - sum(d0 * mm) OVER p / greatest(sum(mm) OVER p, 1)) * mm{taper} AS d FROM pr0 WINDOW p AS (PARTITION BY poi)),
 l AS (SELECT poi, {', '.join(f'{lag(a)} AS k{a}' for a in 'zyx')}, a.r, b.d FROM pr a JOIN pr b USING (poi)),
 g AS (SELECT poi, kz, ky, kx, sum(r * d) AS rd, sum(r * r) AS rr, sum(d * d) AS dd FROM l WHERE kz BETWEEN -4 AND 3 AND ky BETWEEN -4 AND 3 AND kx BETWEEN -4 AND 3 GROUP BY ALL),
@@ -248,6 +248,7 @@ b AS (SELECT name, least(floor((value - lo) / (hi - lo) * 64), 63) AS b, count(*
 k AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY b) AS k FROM s JOIN x USING (name) WHERE upto >= n / 2e0)
 SELECT name, n, n_true, {r('mean', 'mean')}, {r('lo', 'min')}, {r('hi', 'max')}, {r('lo + (b + (n / 2e0 - (upto - c)) / c) * ((hi - lo) / 64)', 'median')} FROM k JOIN x USING (name) WHERE k = 1""",
         "zarr_region": f"WITH {CUBE}, roll AS (SELECT (z + 1) % 16 AS z, (y + 30) % 32 AS y, (x + 1) % 32 AS x, value FROM cube) SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM roll WHERE z >= 3 AND z < 9 AND y < 20 AND x >= 17",
+        "campaign_fields": " UNION ALL ".join(f"(WITH {field_sql(threshold=t)} SELECT CAST({t} AS DOUBLE) AS mask_threshold, poi, {', '.join(r(f'CAST({c} AS FLOAT)', c) for c in ('dz', 'dy', 'dx', 'confidence'))}, valid, CAST(status AS BIGINT) AS status FROM fld)" for t in ("0.4", "0.5", "0.6")),
         "displacement_field_stored": f"WITH {FIELD} SELECT poi, {', '.join(r(f'CAST({c} AS FLOAT)', c) for c in ('dz', 'dy', 'dx', 'confidence'))}, valid, CAST(status AS BIGINT) AS status FROM fld",
         "budget_batch": """WITH p AS (SELECT p_partkey, CAST(16 + 8 * (p_size % 11) AS BIGINT) AS w, CAST(500 + 10 * p_size AS BIGINT) * 1280 * 1280 AS v, CAST(16 + p_partkey % 64 AS BIGINT) * 1073741824 AS free, ([36, 232, 480])[p_partkey % 3 + 1] AS c, CASE WHEN p_partkey % 3 = 2 THEN 8 ELSE 0 END AS o FROM part)
 SELECT p_partkey, w AS "window", CASE p_partkey % 3 WHEN 0 THEN 'cyclic' ELSE 'linear' END AS mode, CASE p_partkey % 3 WHEN 2 THEN 'overlap' ELSE 'global' END AS normalization, CAST(c * w * w * w AS BIGINT) AS per_point, CAST(9 * v AS BIGINT) AS resident,

@@ -572,6 +572,24 @@ def displacement_field_stored(spark, d):
     return f.select("poi", "dz", "dy", "dx", "valid", "confidence", "status")
 
 
+@shipped
+def campaign_fields(spark, d):
+    """A campaign over a store of the cube: three mask thresholds in one plan, their fields as written."""
+    from strainlake.functions.shipping import shared_folder
+    from strainlake.plans import campaign, together
+    from strainlake.sources import fieldstore, zarr_source
+
+    base, t = shared_folder(spark, "campaign"), cube(spark, d)
+    store = f"{base}/cube.zarr"
+    for name, v, dtype in (("base/volume0", volume(t), "float32"), ("iterations/016/volume1", rolled(t), "float32"), ("base/mask", mask(t), "bool"), ("synthetic/004/volume1", rolled(t), "float32")):
+        zarr_source.write_volume(v, store, name, SHAPE, (4, 16, 8), dtype)  # the synthetic entry has no flow: it is left out
+    spec = campaign.Spec.parse({"campaign": "cube", "stores": [store], "out_dir": base, "strict": False, "defaults": {"window": 8, "mask_threshold": 0.5}, "sweep": {"mask_threshold": [0.4, 0.5, 0.6]}})
+    together.run(spark, spec, digits=9)
+    known = F.broadcast(campaign.index(spark, spec).select("variant_id", F.get_json_object("params", "$.mask_threshold").cast("double").alias("mask_threshold")))  # a row for each variant
+    f = fieldstore.load(spark, campaign.fields_path(spec, store)).join(known, "variant_id")
+    return f.select("mask_threshold", "poi", "dz", "dy", "dx", "valid", "confidence", "status")
+
+
 @shipped
 def frame_pairs(spark, d):
     from strainlake.streaming.frames import pairs

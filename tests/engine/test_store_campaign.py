@@ -144,10 +144,10 @@ def test_campaign_runs_resumes_and_isolates(spark, tmp_path, store):
     assert [j.variant.name for j in campaign.plan(spark, only)] == ["nomask", "nomask"]
     assert len(campaign.plan(spark, only, force=True)) == 6
     assert len(campaign.plan(spark, only, force=True, only={"mask_threshold": "0.5"})) == 2
-    f = fieldstore.load(spark, f"{spec.out}/fields", "fs004")
+    f = fieldstore.load(spark, campaign.fields_path(spec, store[0]), "fs004")
     assert {r.variant_id.split("-")[0] for r in f.select("variant_id").distinct().collect()} == {"base", "mt0.5"}
     lat = Lattice(SHAPE, 4, 0.5)
-    one = fieldstore.load(spark, f"{spec.out}/fields", "fs004", ok[ok.deformation == "fs004"].variant_id.iloc[0]).drop("variant_id")
+    one = fieldstore.load(spark, campaign.fields_path(spec, store[0]), "fs004", ok[ok.deformation == "fs004"].variant_id.iloc[0]).drop("variant_id")
     fieldstore.save_npz(one, lat, str(tmp_path / "f.npz"))
     back = fieldstore.load_npz(spark, str(tmp_path / "f.npz"), "fs004")
     assert back.orderBy("poi").toPandas()[["iz", "dz", "status"]].equals(one.orderBy("poi").toPandas()[["iz", "dz", "status"]])
