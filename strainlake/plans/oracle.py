@@ -241,6 +241,7 @@ UNION ALL SELECT entry, role, 'vector axis 0 must be 3, got 2' FROM w WHERE NOT
         "ncc_fft": f"WITH {FIELD_CYCLIC} SELECT 'pair' AS pair_id, poi, iz, iy, ix, pz, py, px, {', '.join(r(f'CAST({c} AS FLOAT)', c) for c in ('dz', 'dy', 'dx', 'confidence'))}, valid, CAST(status AS BIGINT) AS status FROM fld",
         "distance_volume": f"WITH {CUBE}, s AS (SELECT z, y, x FROM cube WHERE m) SELECT {big('z', 'y', 'x')}, {r('min(sqrt(power(c.z - s.z, 2) + power(c.y - s.y, 2) + power(c.x - s.x, 2)))', 'value')} FROM (SELECT z AS z, y AS y, x AS x FROM cube) c, s GROUP BY c.z, c.y, c.x".replace(f"{big('z', 'y', 'x')}", big("c.z", "c.y", "c.x").replace("AS c.", "AS ")),
         "frame_pairs": "SELECT CAST(user_id AS VARCHAR) AS series, event_id AS t, before AS reference, event_type AS deformed FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE k > 1",
+        "frame_pairs_state": "SELECT CAST(user_id AS VARCHAR) AS series, event_id AS t, before AS reference, event_type AS deformed, false AS late FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE k > 1",
         "zarr_roundtrip": f"WITH {CUBE} SELECT {big('z', 'y', 'x')}, {r('CAST(value AS FLOAT)', 'value')} FROM cube",
         "zone_profile": f"""WITH {CUBE}, v AS (SELECT 'reference' AS name, value FROM cube UNION ALL SELECT 'deformed', value FROM cube UNION ALL SELECT 'mask', CAST(m AS INT) FROM cube),
 x AS (SELECT name, count(*) AS n, count(*) FILTER (WHERE value <> 0) AS n_true, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1),

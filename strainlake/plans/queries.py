@@ -626,3 +626,17 @@ def structured_grid(spark, d):
     f = score.errors(event_field(spark, d))
     f = f.select("*", *[(F.col(f"i{a}") * 4 + 3.5).alias(f"p{a}") for a in "zyx"])
     return units.structured_grid(f, units.VoxelSpacing(2.0, 0.5, 1.5, "um"), ("confidence",))
+
+
+@shipped
+def frame_pairs_state(spark, d):
+    """Events as a file stream of frames: the series' state pairs each with the one before it."""
+    from strainlake.functions.shipping import shared_folder
+    from strainlake.streaming import frames
+
+    base, source = shared_folder(spark, "series"), f"{d}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{d}/events*.parquet")  # a file stream takes folders and patterns
+    f = e.select(F.col("user_id").cast("string").alias("series"), F.col("event_id").alias("t"), F.col("event_type").alias("path"))
+    w = frames.paired(f, frames.SEQUENTIAL).writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/checkpoint")
+    w.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frames.PAIR).parquet(f"{base}/pairs")
