@@ -23,9 +23,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where that is unset and the master local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="strainlake-")
         _own_dirs[app] = base

@@ -236,3 +236,13 @@ def test_a_bad_host_falls_in_query_and_sql(spark, tmp_path):
     duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = duckdb.sql(queries.oracle_sql()["op1_quality_rules"]).df().sort_values("doc_id").reset_index(drop=True)
     assert (got[want.columns] == want).all().all() and set(got.columns) == set(want.columns)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strainlake.llm.common import work_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="none"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(session)
