@@ -158,16 +158,19 @@ def edges(mesh: DataFrame) -> DataFrame:
     return t.groupBy("frame", "low", "high").agg(F.count_if("up").alias("along"), F.count_if(~F.col("up")).alias("against"))
 
 
-def measures(mesh: DataFrame) -> DataFrame:
-    """frame, n_triangles, n_corners, n_edges, n_open (edges of one triangle), euler, area; frames without triangles have no row.
+def measures(mesh: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """frame, n_triangles, n_corners, n_edges, n_open (edges of one triangle), euler, area.
 
-    The triangles are written to the shared folder first, as they are counted three times.
+    frames (column frame): each of them has a row; without triangles its counts are zero and its area is null. By default
+    such frames have no row. The triangles are written to the shared folder first, as they are counted three times.
     """
     mesh = stored(mesh, "mesh")
     of = mesh.groupBy("frame").agg(F.count("*").alias("n_triangles"), F.sum(area()).alias("area"))
     rims = edges(mesh).groupBy("frame").agg(F.count("*").alias("n_edges"), F.count_if(F.col("along") + F.col("against") == 1).alias("n_open"))
     own = corners(mesh).groupBy("frame").agg(F.count("*").alias("n_corners"))
     t = of.join(rims, "frame").join(own, "frame")
+    if frames is not None:
+        t = frames.select("frame").distinct().join(t, "frame", "left").fillna(0, ["n_triangles", "n_edges", "n_open", "n_corners"])
     return t.select("frame", "n_triangles", "n_corners", "n_edges", "n_open", (F.col("n_corners") - F.col("n_edges") + F.col("n_triangles")).alias("euler"), "area")
 
 

@@ -617,7 +617,8 @@ def surface_measures(spark, d):
 
     store, t = shared_folder(spark, "store") + "/cube.zarr", cube(spark, d)
     zarr_source.write_volume(units.masked_volume(volume(t), mask(t)), store, "masked", SHAPE, (4, 16, 8), "float32")
-    return surface.measures(surface.surface_of_array(spark, store, "masked", 120.5, units.VoxelSpacing(2.0, 1.0, 0.5, "um")))
+    mesh = surface.surface_of_array(spark, store, "masked", 120.5, units.VoxelSpacing(2.0, 1.0, 0.5, "um"))
+    return surface.measures(mesh, spark.range(1).select(F.lit("masked").alias("frame")))  # a row where nothing is above the level, too
 
 
 @query

@@ -89,6 +89,17 @@ def test_masks_spacing_and_nothing_to_show(spark):
     assert S.surface(v.where("z < 0"), SHAPE, 10.0).count() == 0
 
 
+def test_frames_without_triangles_have_a_row_where_asked(spark):
+    from strainlake.functions.shipping import ship
+
+    ship(spark)
+    v = _frame(spark, _ball(4.0) + 10)
+    frames = spark.createDataFrame([("volume",), ("empty",), ("empty",)], "frame string")
+    got = {r["frame"]: tuple(r)[1:] for r in S.measures(S.surface(v, SHAPE, 10.0), frames).collect()}
+    assert len(got) == 2 and got["empty"] == (0, 0, 0, 0, 0, None)
+    assert got["volume"] == tuple(S.measures(S.surface(v, SHAPE, 10.0)).first())[1:]
+
+
 def test_structured_grid(spark):
     p = spark.createDataFrame([(0, 0, 0, 1, 2.0, 3.0, 5.0, 0.5)], "poi long, iz int, iy int, ix int, pz double, py double, px double, confidence double")
     assert tuple(structured_grid(p, VoxelSpacing(2, 3, 4, "um"), ("confidence",)).first()) == (0, 1, 0, 0, 20.0, 9.0, 4.0, 0.5)
