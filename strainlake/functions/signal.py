@@ -210,13 +210,16 @@ def sample_all(points: DataFrame, tables: dict[str, DataFrame], shape: tuple[int
     t = points.select(key, *[_folded(F.col(c).cast("double"), n).alias(f"p{a}") for a, c, n in zip(AXES, at, shape, strict=True)])
     t = t.where(F.col("pz").isNotNull() & F.col("py").isNotNull() & F.col("px").isNotNull())
     t = t.select("*", *[F.greatest(F.lit(0), F.least(F.lit((n - 1) // CELL), F.floor((F.nanvl(f"p{a}", F.lit(0.0)) + 0.5) / CELL))).cast("int").alias(f"g{a}") for a, n in zip(AXES, shape, strict=True)])
-    parts = t.groupBy(*cell).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    dealt = t.join(parts, cell).withColumn("part", F.pmod(F.xxhash64(key, "pz", "py", "px"), F.col("parts")).cast("int")).drop("parts")
+    counts = t.groupBy(*cell).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    # Points never meet by cell alone, which would put a full cell's into one task: the full cells, of more than GROUP
+    # points each, are few and broadcast, and all others are one part.
+    full = F.broadcast(counts.where("parts > 1"))
+    dealt = t.join(full, cell, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(key, "pz", "py", "px"), F.col("parts")).cast("int"))).drop("parts")
     coded = [of_voxels(c, n, CELL) for n, c in tables.items()]
     blocks = coded[0]
     for b in coded[1:]:
         blocks = blocks.unionByName(b)
-    cut = _cell_slices(blocks).join(parts, cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    cut = _cell_slices(blocks).join(counts, cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def run(g, left, right):
         origin = np.array([g[i].as_py() for i in range(3)]) * CELL - HALO
