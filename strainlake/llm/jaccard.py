@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strainlake.llm.common import discard, free, raw_of, release, slices, written
+from strainlake.llm.common import discard, free, release, slices, written
 
 WORDS = 3
 THRESHOLD = (90, 100)
@@ -36,33 +36,105 @@ MOST_HOT = 1 << 20
 SHORT = 64
 #: Longer lists are dealt out by chunks of about so many sets.
 CHUNK = 2048
-KEPT_WORDS = 300_000
+#: Bytes of text whose shingles are made at once.
+PART = 1 << 20
+#: Words of up to so many bytes are hashed eight bytes at a time, all of a part at once.
+SHORT_WORD = 64
 
-_words: dict[bytes, int] = {}
 
+def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie end to end in data (bytes), the first word of each text (and one past
+    the last), and the bytes with A-Z lower-cased."""
+    import xxhash
 
-def shingles(raw: bytes, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; of the whole sequence if it has fewer words."""
+    n = len(data)
+    low = np.zeros((n // 8 + 2) * 8, np.uint8)
+    np.take(_LOWER, data, out=low[:n])
+    inside = np.zeros(n + 2, bool)
+    np.take(_IN_WORD, data, out=inside[1:-1])
+    begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    cuts = offs[1:-1]
+    at = cuts[(cuts > 0) & (cuts < n)]  # a word never reaches into the next text
+    begins[at] |= inside[at + 1]
+    ends[at - 1] |= inside[at]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(ends) + 1 - start
+    h = size.astype(np.uint64) * _MIX[0]
+    eight = low.view("<u8")
+    on = np.arange(len(start))
+    for done in range(0, SHORT_WORD, 8):
+        if done:
+            on = on[size[on] > done]
+        if not len(on):
+            break
+        where = start[on] + done
+        bit = ((where & 7) << 3).astype(np.uint64)
+        where >>= 3
+        value = (eight[where] >> bit) | (eight[where + 1] << (np.uint64(64) - bit))  # NumPy's shift by 64 gives 0
+        value &= _FIRST[np.minimum(size[on] - done, 8)]
+        value ^= h[on]
+        value *= _MIX[1]
+        value ^= value >> np.uint64(32)
+        value *= _MIX[2]
+        value ^= value >> np.uint64(29)
+        h[on] = value
+    for i in np.flatnonzero(size > SHORT_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(low[start[i] : start[i] + size[i]])
+    return h, np.searchsorted(start, offs), low
+
+
+def shingle_parts(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles, end to end, and the texts' offsets; of the whole
+    sequence if a text has fewer words. texts: a string column; null counts as empty."""
+    import pyarrow.compute as pc
     import xxhash
 
-    words = raw.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < k:
-        return np.asarray([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(h) - k + 1, np.uint64)
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+    offs = offs - offs[0]
+    h, first, low = _word_hashes(data, offs)
+    words = np.diff(first)
+    count = np.where(words < k, words > 0, words - k + 1)
+    cut = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        out = (out ^ (h[i : len(h) - k + 1 + i] * np.uint64(0x9E3779B97F4A7C15 + 2 * i))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out = (out ^ (h[i : i + len(out)] * np.uint64(0x9E3779B97F4A7C15 + 2 * i))) * _MIX[2]
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    of = np.repeat(np.arange(len(words)), words)
+    flat = np.zeros(cut[-1], np.uint64)
+    few = np.flatnonzero((words > 0) & (words < k))
+    whole = np.ones(len(flat), bool)
+    whole[cut[few]] = False
+    flat[whole] = out[of[: len(out)] == of[k - 1 :]]
+    for i in few.tolist():
+        flat[cut[i]] = xxhash.xxh64_intdigest(b" ".join(low[offs[i] : offs[i + 1]].tobytes().split()), seed=int(words[i]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[cut[:-1][count > 0]] = True
+    return flat[new], np.concatenate([[0], np.cumsum(new)])[cut]
+
+
+def shingle_lists(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
+    """The same, an array for each text."""
+    flat, cut = shingle_parts(texts, k)
+    return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def shingles(raw: bytes, k: int = WORDS) -> np.ndarray:
+    """The same of one text."""
+    return shingle_parts(pa.array([raw], pa.large_binary()), k)[0]
 
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+_MIX = np.asarray([0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: The first 0 to 8 bytes of eight.
+_FIRST = np.asarray([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def prefix_length(n: int, at_least: tuple[int, int] = THRESHOLD) -> int:
@@ -100,10 +172,9 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, at_least: tuple[int, i
         import xxhash
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, PART):
                 rows = []
-                for i, raw in zip(part.column(0).to_pylist(), raw_of(part.column(1)), strict=True):
-                    s = shingles(raw, k)
+                for i, s in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k), strict=True):
                     rows.append((i, len(s), xxhash.xxh128_digest(s.tobytes()), s[: prefix_length(len(s), at_least) if len(s) else 0].view(np.int64), sketch(s, at_least)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], schema=pa.schema(types))
 
@@ -131,12 +202,13 @@ def _ordered_prefixes(docs: DataFrame, doc_id: str, text: str, at_least: tuple[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = held.value
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, PART):
                 ids, out = [], []
-                for i, raw in zip(part.column(0).to_pylist(), raw_of(part.column(1)), strict=True):
-                    s = shingles(raw, k)
+                flat, cut = shingle_parts(part.column(1), k)
+                found = h[np.minimum(np.searchsorted(h, flat), len(h) - 1)] == flat
+                for i, begin, end in zip(part.column(0).to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    s, is_hot = flat[begin:end], found[begin:end]
                     p = prefix_length(len(s), at_least) if len(s) else 0
-                    is_hot = h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s
                     if is_hot[:p].any():
                         ids.append(i)
                         out.append(np.concatenate([s[~is_hot], s[is_hot]])[:p].view(np.int64))
@@ -302,20 +374,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, at_leas
     a, b = at_least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, 3):
-                x, y = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for part in slices(batch, 3, PART):
+                xy, sets = [], []
+                for c in (0, 1):
+                    ids, first, at = np.unique(part.column(c).to_numpy(), return_index=True, return_inverse=True)
+                    own = shingle_lists(part.column(c + 2).take(pa.array(first)), k)  # a text of several pairs once
+                    xy.append(ids[at])
+                    sets.append([own[i] for i in at.tolist()])
                 on = []
-                for i, (tx, ty) in enumerate(zip(raw_of(part.column(2)), raw_of(part.column(3)), strict=True)):
-                    if y[i] not in known:
-                        known.clear()  # pairs come sorted by y
-                        known[y[i]] = shingles(ty, k)
-                    p, q = shingles(tx, k), known[y[i]]
+                for i, (p, q) in enumerate(zip(*sets, strict=True)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if b * both >= a * (len(p) + len(q) - both):
                         on.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in on], pa.int64()) for c in (x, y)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in xy], names=["x", "y"])
 
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id").dropDuplicates(["id"]), "texts", compression="zstd")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strainlake.llm import jaccard
@@ -87,3 +88,26 @@ def test_chains_become_one_component(spark):
     links = spark.range(149).selectExpr("id as x", "id + 1 as y")
     got = {r.id: r.comp for r in jaccard.components(nodes, links).collect()}
     assert all(got[i] == 0 for i in range(150)) and all(got[i] == i for i in range(150, 200))
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_shingles_of_many_texts_at_once(k):
+    """Sizes and intersections are those of plain word tuples, wherever a text lies among others."""
+    rng = random.Random(7)
+    texts = ["", None, "  ", "A b", "a\x0bb\x0cc\td\re\nf", "É É x", "x" * 63 + " " + "x" * 64 + " " + "x" * 65 + " y y", "\0 \0\0 a", "12345678 123456789 1234567", "tail ", " lead x y z"]
+    texts += ["".join(rng.choice("abAB \n\tcdé") for _ in range(rng.randrange(150))) for _ in range(300)]
+
+    def plain(text):
+        w = (text or "").encode().lower().split()  # bytes: A-Z alone
+        return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = [plain(t) for t in texts]
+    for column in (pa.array(texts), pa.array(["w x", *texts], pa.large_string()).slice(1)):
+        got = jaccard.shingle_lists(column, k)
+        assert all((np.diff(s.astype(object)) > 0).all() for s in got)
+        assert [len(s) for s in got] == [len(w) for w in want]
+        assert len(np.unique(np.concatenate(got))) == len(set().union(*want))
+        for _ in range(500):
+            i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+            assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+    assert not len(jaccard.shingle_parts(pa.array([], pa.string()), k)[0])
