@@ -52,9 +52,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: token windows of 2048, a row for each piece; an empty text is its end id alone."""
+    """Operator 7: token windows of 2048, a row for each piece; an empty text is its end id alone.
+
+    The rows are written here as well, so that texts reach Python in small batches: the stages before leave the
+    executors' heaps full.
+    """
     ship(spark)
-    return packing.pack(docs, vocabulary())
+    return written(packing.pack(docs, vocabulary(), part_bytes=3 << 20), "stage-packing")
 
 
 STAGES = [

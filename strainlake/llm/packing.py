@@ -95,11 +95,12 @@ class SumOfSquares:
         return self.window if left >= self.window else 1 << (left.bit_length() - 1) if left else 0
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is empty: its document is the end id alone. Repeated rows are packed each for itself; a null id stays
-    null; other columns are ignored; an empty table gives no rows.
+    null; other columns are ignored; an empty table gives no rows. part_bytes: text encoded at once, which the memory of a
+    Python worker follows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
+            for part in slices(batch, 1, part_bytes):
                 ids, offs = enc.encode(part.column(1))
                 raw = ids.tobytes()
                 for doc, a, b in zip(part.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):

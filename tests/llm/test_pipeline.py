@@ -102,3 +102,15 @@ def test_stages_on_odd_rows(spark, tmp_path, empty):
     assert set(got["mixing"]) <= set(stay)
     packed = out["packing"].toPandas()
     assert packed.length.sum() == packed[packed.start == 0].doc_tokens.sum()
+
+
+def test_windows_are_written_in_small_batches(spark):
+    """The packing stage runs while it is called, its texts in batches of bounded bytes, and small parts change no row."""
+    from strainlake.llm import packing
+    from strainlake.llm.queries import vocabulary
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 40)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    got = corpus_pipeline.pack_windows(spark, docs, "")
+    assert got._work_path and "MapInArrow" not in got._jdf.queryExecution().toString()
+    whole = sorted(map(tuple, packing.pack(docs, vocabulary()).collect()))
+    assert sorted(map(tuple, got.collect())) == whole == sorted(map(tuple, packing.pack(docs, vocabulary(), part_bytes=1).collect()))
